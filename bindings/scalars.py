@@ -1 +1,305 @@
+"""Scalar functions: text embeddings, vectors, filters, prompts, paths and components."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from bindings import views as v
+from bindings.registry import CTES, query
+from epochloom.functions import arrays, paths, text
+from epochloom.operators import cleaning, embedders, graph, prompt, release, retrieval, supply
+from epochloom.plans import decode
+
+
+def exploded(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    return df.select(key, F.posexplode(vec).alias("i", "x")).select(key, "i", v.r6("x").alias("x"))
+
+
+@query("f01_hash_text_embedding", f"""
+SELECT p_partkey, (i - 1)::INT AS i, round(vec[i], 6) AS x FROM (SELECT p_partkey, {v.sql_unit('raw')} AS vec FROM (SELECT p_partkey, {v.sql_raw_hash('p_name', 40)} AS raw FROM part)), range(1, 41) r(i)""")
+def f01(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.table(spark, sf, "part").select("p_partkey", text.hash_embedding("p_name", 40).alias("vec"))
+    return exploded(rows, "p_partkey")
+
+
+CTES["c_grams"] = r"""
+SELECT item_id, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS bucket, count(*)::DOUBLE AS n FROM (
+  SELECT item_id, unnest(list_concat(
+    list_transform(range(1, greatest(1, length(w) - 2) + 1), lambda i: substr(w, i, 3)),
+    CASE WHEN length(w) > 3 THEN list_transform(range(1, greatest(1, length(w) - 3) + 1), lambda i: substr(w, i, 4)) ELSE [] END,
+    CASE WHEN length(w) > 4 THEN list_transform(range(1, greatest(1, length(w) - 4) + 1), lambda i: substr(w, i, 5)) ELSE [] END)) AS gram
+  FROM (SELECT item_id, ' ' || t || ' ' AS w FROM (SELECT item_id, unnest(string_split_regex(lower(trim(text)), '\s+')) AS t FROM benchmark) WHERE t <> '')) GROUP BY 1, 2"""
+
+
+@query("f02_char_gram_embedding", """
+SELECT item_id, i::INT AS i, round(coalesce(n, 0e0) / sqrt(s), 6) AS x FROM (SELECT item_id, sum(n * n) AS s FROM c_grams GROUP BY 1) CROSS JOIN range(0, 64) r(i)
+LEFT JOIN c_grams USING (item_id) WHERE bucket = i
+UNION ALL SELECT item_id, i::INT, 0e0 FROM (SELECT DISTINCT item_id FROM c_grams) b CROSS JOIN range(0, 64) r(i) WHERE NOT EXISTS (SELECT 1 FROM c_grams c WHERE c.item_id = b.item_id AND c.bucket = i)""")
+def f02(spark: SparkSession, sf: str) -> DataFrame:
+    rows = embedders.CharGramEmbedder(64).transform(v.table(spark, sf, "benchmark"), "item_id", "text")
+    return exploded(rows, "item_id")
+
+
+CTES["t_top"] = "SELECT *, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT term, idf FROM d_freq ORDER BY tf_total DESC, term LIMIT 64)"
+CTES["t_w"] = "SELECT doc_id, idx, tf * idf AS w FROM d_terms JOIN t_top USING (term)"
+
+
+@query("f03_tfidf_embedding", f"""
+SELECT doc_id, idx::INT AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM t_w
+UNION ALL SELECT doc_id, (i - 1)::INT, round(vec[i], 6) FROM (SELECT doc_id, {v.sql_unit('raw')} AS vec FROM (SELECT doc_id, {v.sql_raw_hash('text')} AS raw FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t_w))), range(1, 65) r(i)""")
+def f03(spark: SparkSession, sf: str) -> DataFrame:
+    """Non-zero weights of every document under an embedder fitted on all of them."""
+    docs = v.table(spark, sf, "documents")
+    corpus = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("surface"))
+    rows = embedders.TfidfEmbedder(64).fit(corpus).transform(docs.select("doc_id", "text"), "doc_id", "text")
+    return exploded(rows, "doc_id").where("x <> 0")
+
+
+@query("f04_l2_normalise", "SELECT vec_id, (i - 1)::INT AS i, round(embedding[i]::DOUBLE * 3e0 / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 9e0))) + 1e-8), 6) AS x FROM embeddings, range(1, 65) r(i)")
+def f04(spark: SparkSession, sf: str) -> DataFrame:
+    tripled = F.transform("embedding", lambda x: x.cast("double") * 3.0)
+    return exploded(v.table(spark, sf, "embeddings").select("vec_id", arrays.l2_normalise(tripled).alias("vec")), "vec_id")
+
+
+@query("f05_dot_product", "SELECT epoch_id, round(list_dot_product(embedding::DOUBLE[], vec), 6) AS d FROM v_epochs JOIN l_vocab ON label = surface")
+def f05(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.epochs(spark, sf).join(v.label_vocab(spark, sf), F.col("label") == F.col("surface"))
+    return rows.select("epoch_id", v.r6(arrays.dot("embedding", "vec")).alias("d"))
+
+
+@query("f06_anchor_form", "SELECT epoch_id, rank, 'anchor:' || replace(surface, ' ', '_') AS anchor_id, round(score, 6) AS score, provenance FROM v_anchors")
+def f06(spark: SparkSession, sf: str) -> DataFrame:
+    return v.anchors(spark, sf).select("epoch_id", "rank", "anchor_id", v.r6("score").alias("score"), F.get("provenance", F.lit(0)).alias("provenance"))
+
+
+@query("f07_feature_width", """
+SELECT vec_id, w, (i - 1)::INT AS i, round(coalesce(embedding[i]::DOUBLE, 0e0), 6) AS x FROM embeddings, (VALUES (50), (70)) t(w), range(1, 71) r(i) WHERE i <= w""")
+def f07(spark: SparkSession, sf: str) -> DataFrame:
+    """Flattened epochs cut to 50 features and padded to 70."""
+    ep = v.epochs(spark, sf).withColumnRenamed("epoch_id", "vec_id")
+    part = lambda w: exploded(ep.select("vec_id", arrays.features("eeg", w).alias("vec")), "vec_id").withColumn("w", F.lit(w))
+    return part(50).unionByName(part(70))
+
+
+@query("f08_time_width", """
+SELECT epoch_id, w, c::INT AS ch, (i - 1)::INT AS t, round(CASE WHEN i <= 8 THEN eeg[c + 1][least(i, 8)]::DOUBLE ELSE 0e0 END, 6) AS v FROM v_epochs, (VALUES (5), (11)) t(w), range(0, 8) rc(c), range(1, 12) r(i) WHERE i <= w""")
+def f08(spark: SparkSession, sf: str) -> DataFrame:
+    ep = v.epochs(spark, sf)
+    part = lambda w: v.long_form(ep.select("epoch_id", arrays.fit_epoch_width("eeg", w).alias("eeg")), "epoch_id").withColumn("w", F.lit(w))
+    return part(5).unionByName(part(11))
+
+
+
+
+@query("f09_bandpass", """
+SELECT epoch_id, c::INT AS ch, n::INT AS t, round((2e0 / 8e0) * list_sum(list_transform([1, 2], lambda k:
+  list_sum(list_transform(range(0, 8), lambda t: eeg[c + 1][t + 1]::DOUBLE * cos(2e0 * pi() * k * (n - t) / 8e0))))), 6) AS v
+FROM v_epochs, range(0, 8) rc(c), range(0, 8) rn(n)""")
+def f09(spark: SparkSession, sf: str) -> DataFrame:
+    """At 100 Hz the bins of eight samples lie 12.5 Hz apart; 10 to 30 Hz keeps the first two."""
+    return v.long_form(cleaning.bandpass(v.epochs(spark, sf).select("epoch_id", "eeg"), 10.0, 30.0, 100.0), "epoch_id")
+
+
+@query("f10_surface_sanitise", """
+SELECT doc_id, clean, clean IN (SELECT 'key ' || n_nationkey FROM nation) AS member FROM (
+  SELECT doc_id, substr(trim(regexp_replace(raw, '[^A-Za-z0-9 _-]', '', 'g')), 1, 64) AS clean FROM (SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN ' <key ' || (doc_id % 30) || '>' ELSE text END AS raw FROM documents))
+WHERE regexp_full_match(clean, '[A-Za-z0-9 _-]{1,64}')""")
+def f10(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts and bracketed keys sanitised; only keys of a nation are in the vocabulary."""
+    raw = F.when(F.length("text") % 2 == 0, F.concat(F.lit(" <key "), (F.col("doc_id") % 30).cast("string"), F.lit(">"))).otherwise(F.col("text"))
+    rows = v.table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
+    vocab = v.table(spark, sf, "nation").select(F.concat(F.lit("key "), F.col("n_nationkey").cast("string")).alias("surface"))
+    good, bad = graph.in_vocabulary(rows, "raw", vocab)
+    part = lambda df, member: df.where(F.col("clean").isNotNull()).select("doc_id", "clean", F.lit(member).alias("member"))
+    return part(good, True).unionByName(part(bad, False))
+
+
+@query("f11_operating_k", "SELECT subject_id, n, (CASE WHEN n <= 1 THEN 1 ELSE least(5, n - 1) END)::BIGINT AS k FROM (SELECT subject_id, count(DISTINCT label) AS n FROM v_epochs WHERE segment < epoch_id % 12 GROUP BY 1)")
+def f11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.epochs(spark, sf).where("segment < epoch_id % 12").groupBy("subject_id").agg(F.count_distinct("label").alias("n"))
+    return rows.select("subject_id", "n", retrieval.operating_k(F.col("n")).cast("long").alias("k"))
+
+
+@query("f12_relation_operator", """
+SELECT id, CASE relation WHEN 'INCREASES' THEN 'increase' WHEN 'DECREASES' THEN 'decrease' WHEN 'CONFLICTS_WITH' THEN 'avoid' WHEN 'PRESERVES' THEN 'preserve' ELSE 'set' END AS operator,
+  'kg:edge:' || regexp_replace(id, '^edge:', '') AS provenance FROM g_edges""")
+def f12(spark: SparkSession, sf: str) -> DataFrame:
+    return v.ontology(spark, sf).edges.select("id", graph.operator_of("relation").alias("operator"), graph.edge_provenance("id").alias("provenance"))
+
+
+CTES["g_sub"] = "SELECT epoch_id, 'sg:' || substr(sha256(string_agg(surface, '|' ORDER BY surface)), 1, 8) AS subgraph_id FROM v_anchors GROUP BY 1"
+
+
+@query("f13_subgraph_id", "SELECT epoch_id, subgraph_id FROM g_sub")
+def f13(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.subgraph_ids(v.anchors(spark, sf), "epoch_id")
+
+
+def prompts(spark: SparkSession, sf: str) -> DataFrame:
+    onto = v.ontology(spark, sf)
+    top = retrieval.top_anchors(v.embedded(spark, sf), v.vocabulary(spark, sf, onto), 5)
+    return decode.prompts_from_anchors(v.epochs(spark, sf).select("epoch_id"), retrieval.as_anchors(top), onto, "epoch_id")
+
+
+CTES["p_subject"] = """
+SELECT e.epoch_id, coalesce(a.concept_id, 'text:Topic') AS concept_id, coalesce(a.label, 'topic') AS label, coalesce(a.confidence, 5e-1) AS confidence FROM v_epochs e
+LEFT JOIN (SELECT * FROM g_accepted QUALIFY row_number() OVER (PARTITION BY epoch_id ORDER BY seq) = 1) a USING (epoch_id)"""
+CTES["p_attr"] = """
+SELECT a.epoch_id, 0 AS late, a.seq, a.concept_id, 'set' AS operator, a.label, 'accepted' AS status FROM g_accepted a JOIN p_subject s ON s.epoch_id = a.epoch_id WHERE a.concept_id <> s.concept_id
+UNION ALL SELECT epoch_id, 1, seq, concept_id, operator, label, 'suggested' FROM g_suggested"""
+CTES["p_attrs"] = "SELECT epoch_id, string_agg(concept_id || '/' || operator || '/' || status, ',' ORDER BY late, seq) AS attributes FROM p_attr GROUP BY 1"
+CTES["p_forbidden"] = "SELECT epoch_id, string_agg('avoid ' || target, ',' ORDER BY pos) AS forbidden FROM g_merged WHERE relation = 'CONFLICTS_WITH' GROUP BY 1"
+CTES["p_top"] = "SELECT epoch_id, max(score) AS score FROM v_anchors GROUP BY 1"
+
+
+@query("f14_prompt_compile", """
+SELECT e.epoch_id, round(t.score, 6) AS intent_confidence, s.concept_id AS subject, round(s.confidence, 6) AS subject_confidence, coalesce(a.attributes, '') AS attributes,
+  coalesce(f.forbidden, '') AS forbidden, g.subgraph_id FROM v_epochs e JOIN p_top t ON t.epoch_id = e.epoch_id JOIN p_subject s ON s.epoch_id = e.epoch_id JOIN g_sub g ON g.epoch_id = e.epoch_id
+LEFT JOIN p_attrs a ON a.epoch_id = e.epoch_id LEFT JOIN p_forbidden f ON f.epoch_id = e.epoch_id""")
+def f14(spark: SparkSession, sf: str) -> DataFrame:
+    item = lambda a: F.concat_ws("/", a["concept_id"], a["operator"], a["status"])
+    return prompts(spark, sf).select(
+        "epoch_id", v.r6("prompt.intent.confidence").alias("intent_confidence"), F.col("prompt.subject.concept_id").alias("subject"),
+        v.r6("prompt.subject.confidence").alias("subject_confidence"),
+        F.array_join(F.transform("prompt.attributes", item), ",").alias("attributes"),
+        F.array_join("prompt.constraints.forbidden", ",").alias("forbidden"), F.col("prompt.kg.subgraph_id").alias("subgraph_id"),
+    )
+
+
+@query("f15_prompt_validation", """
+SELECT epoch_id, array_to_string(list_filter([CASE WHEN segment = 1 THEN 'modality' END, CASE WHEN segment = 2 THEN 'intent' END,
+  CASE WHEN segment = 3 THEN 'subject.concept_id' END, CASE WHEN segment = 4 THEN 'kg' END], lambda x: x IS NOT NULL), ',') AS errors FROM v_epochs""")
+def f15(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid prompts, and prompts given a bad modality, confidence, concept or subgraph."""
+    rows = prompts(spark, sf).join(v.epochs(spark, sf).select("epoch_id", "segment"), "epoch_id")
+    p, seg = F.col("prompt"), F.col("segment")
+    bent = (
+        F.when(seg == 1, p.withField("modality", F.lit("smell")))
+        .when(seg == 2, p.withField("intent", p["intent"].withField("confidence", F.lit(1.5))))
+        .when(seg == 3, p.withField("subject", p["subject"].withField("concept_id", F.lit("no colon"))))
+        .when(seg == 4, p.withField("kg", p["kg"].withField("subgraph_id", F.lit("")))).otherwise(p)
+    )
+    return rows.select("epoch_id", F.array_join(prompt.prompt_errors(bent), ",").alias("errors"))
+
+
+@query("f16_prompt_hash", """
+SELECT vec_id AS epoch_id, sha256('{"attributes":[],"constraints":{"forbidden":[],"required":[]},"intent":{"confidence":0.5,"provenance":["eeg:' || vec_id || '"],"value":"decode"},"kg":{"ontology_version":"tables-v1","subgraph_id":"sg:'
+  || substr(sha256('africa'), 1, 8) || '"},"modality":"text","schema_version":"1.0","subject":{"concept_id":"region:AFRICA","confidence":0.5,"label":"africa","provenance":["eeg:' || vec_id || '"]}}') AS prompt_hash, true AS fits FROM embeddings""")
+def f16(spark: SparkSession, sf: str) -> DataFrame:
+    """One known anchor per vector gives a prompt whose canonical text is known."""
+    onto = v.ontology(spark, sf)
+    lone = decode.Ontology(onto.nodes, onto.edges.where("id = 'none'"), onto.synonyms, onto.version)
+    ids = v.epochs(spark, sf).select("epoch_id")
+    anchors = ids.select(
+        "epoch_id", F.lit("anchor:africa").alias("anchor_id"), F.lit("africa").alias("surface"), F.lit(0.5).alias("score"),
+        F.lit(1).alias("rank"), F.array(retrieval.epoch_provenance("epoch_id")).alias("provenance"),
+    )
+    rows = decode.prompts_from_anchors(ids, anchors, lone, "epoch_id")
+    return rows.select("epoch_id", "prompt_hash", prompt.within_size("prompt").alias("fits"))
+
+
+@query("f17_summary_text", """
+SELECT e.epoch_id, substr('[EEG-to-text] Anchors: ' || a.s || '. Subject: ' || s.label || '.' || coalesce(' KG suggestions (not EEG-read): ' || g.l || '.', ''), 1, 4000) AS text FROM v_epochs e
+JOIN (SELECT epoch_id, string_agg(surface, ', ' ORDER BY rank) AS s FROM v_anchors GROUP BY 1) a ON a.epoch_id = e.epoch_id JOIN p_subject s ON s.epoch_id = e.epoch_id
+LEFT JOIN (SELECT epoch_id, string_agg(label, ', ' ORDER BY seq) AS l FROM g_suggested GROUP BY 1) g ON g.epoch_id = e.epoch_id""")
+def f17(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts(spark, sf).select("epoch_id", "text")
+
+
+@query("f18_combined_provenance", "SELECT a.epoch_id, string_agg(provenance, ',' ORDER BY rank) || ',kg:' || any_value(subgraph_id) AS provenance FROM v_anchors a JOIN g_sub g ON g.epoch_id = a.epoch_id GROUP BY 1")
+def f18(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts(spark, sf).select("epoch_id", F.array_join("provenance", ",").alias("provenance"))
+
+
+HEADS = ("", ".git/", "a/Cache/", "Reports/", "../", "a/__pycache__/", "", "")
+TAILS = ("", "", "", "", "", "", "/Download-all.PS1", "/report.html")
+CTES["v_scope"] = f"""
+SELECT page_id, path, kind, CASE WHEN list_contains(string_split(path, '/'), '..') THEN 'parent-traversal' WHEN page_id % 8 = 1 THEN 'git' WHEN page_id % 8 IN (2, 5) THEN 'cache' WHEN page_id % 8 = 3 THEN 'report'
+  WHEN kind = 'symlink' THEN 'symlink' WHEN kind = 'other' THEN 'non-regular' WHEN page_id % 8 = 6 THEN 'downloader-script' WHEN page_id % 8 = 7 THEN 'report' END AS reason FROM (
+  SELECT page_id, ({list(HEADS)!r})[page_id % 8 + 1] || regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*', '') || ({list(TAILS)!r})[page_id % 8 + 1] AS path,
+    CASE WHEN page_id % 13 = 0 THEN 'symlink' WHEN page_id % 13 = 1 THEN 'other' ELSE 'file' END AS kind FROM pages)"""
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as a file listing with the excluded kinds of paths mixed in."""
+    at = (F.col("page_id") % 8).cast("int")
+    pick = lambda values: F.get(F.array(*[F.lit(x) for x in values]), at)
+    bare = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*", "")
+    kind = F.when(F.col("page_id") % 13 == 0, "symlink").when(F.col("page_id") % 13 == 1, "other").otherwise("file")
+    return v.table(spark, sf, "pages").select(
+        "page_id", F.concat(pick(HEADS), bare, pick(TAILS)).alias("path"), kind.alias("kind"), F.lit("web").alias("family"), F.col("page_id").alias("seq")
+    )
+
+
+@query("f19_scope_classification", """
+SELECT page_id, path, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY path, reason ORDER BY page_id) > 1 THEN 'duplicate' ELSE 'include' END) AS reason FROM v_scope""")
+def f19(spark: SparkSession, sf: str) -> DataFrame:
+    return release.scope(listing(spark, sf), "family", "path", "kind").select("page_id", F.col("path_posix").alias("path"), F.coalesce("reason", F.lit("include")).alias("reason"))
+
+
+CTES["v_governed"] = """
+SELECT s_suppkey, (['public', 'private-team', 'blocked', 'secret'])[s_suppkey % 4 + 1] AS visibility, CASE WHEN s_nationkey = 3 THEN 'unknown' ELSE 'verified' END AS license_status,
+  CASE WHEN s_nationkey = 4 THEN 'denied' ELSE 'not_applicable' END AS dua_status, CASE WHEN s_nationkey = 5 THEN 'not_reviewed' ELSE 'verified' END AS custodian_status,
+  CASE WHEN s_nationkey = 6 THEN 'unknown' ELSE 'reviewed' END AS deidentification_status, CASE WHEN s_acctbal < 0 THEN ' ' ELSE s_name END AS approved_by, CASE WHEN s_acctbal > 9000 THEN NULL ELSE 'doc' END AS evidence_reference FROM supplier"""
+
+
+def governed(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("s_nationkey")
+    status = lambda key, bad, good: F.when(n == key, bad).otherwise(good)
+    return v.table(spark, sf, "supplier").select(
+        "s_suppkey", F.get(F.array(*[F.lit(x) for x in ("public", "private-team", "blocked", "secret")]), (F.col("s_suppkey") % 4).cast("int")).alias("visibility"),
+        status(3, "unknown", "verified").alias("license_status"), status(4, "denied", "not_applicable").alias("dua_status"),
+        status(5, "not_reviewed", "verified").alias("custodian_status"), status(6, "unknown", "reviewed").alias("deidentification_status"),
+        F.when(F.col("s_acctbal") < 0, " ").otherwise(F.col("s_name")).alias("approved_by"), F.when(F.col("s_acctbal") <= 9000, "doc").alias("evidence_reference"),
+    )
+
+
+@query("f20_governance_decision", """
+SELECT s_suppkey, coalesce(reason, 'none') AS blocking_reason, reason IS NULL AS can_upload FROM (SELECT s_suppkey, CASE WHEN visibility NOT IN ('public', 'private-team') THEN 'visibility' WHEN license_status = 'unknown' THEN 'license_status'
+  WHEN dua_status = 'denied' THEN 'dua_status' WHEN custodian_status = 'not_reviewed' THEN 'custodian_status' WHEN deidentification_status = 'unknown' THEN 'deidentification_status'
+  WHEN trim(coalesce(approved_by, '')) = '' THEN 'approved_by' WHEN coalesce(evidence_reference, '') = '' THEN 'evidence_reference' END AS reason FROM v_governed)""")
+def f20(spark: SparkSession, sf: str) -> DataFrame:
+    return release.governance_decision(governed(spark, sf)).select("s_suppkey", F.coalesce("blocking_reason", F.lit("none")).alias("blocking_reason"), "can_upload")
+
+
+@query("f21_dependency_parse", """
+SELECT doc_id, 'frozen' AS kind, 'Pkg-' || source AS name, n_chars || '.0' AS version, 'pkg:pypi/pkg-' || source || '@' || n_chars || '.0' AS purl FROM documents WHERE lang IN ('en', 'fr')
+UNION ALL SELECT doc_id, 'declared', 'pkg-' || source, CASE lang WHEN 'en' THEN n_chars::VARCHAR ELSE 'declared' END, 'pkg:pypi/pkg-' || source || '@' || CASE lang WHEN 'en' THEN n_chars::VARCHAR ELSE 'declared' END FROM documents WHERE lang <> 'es'""")
+def f21(spark: SparkSession, sf: str) -> DataFrame:
+    """Freeze lines (plain, extras, editable, URL) and declared requirement lines, one per document."""
+    docs = v.table(spark, sf, "documents")
+    n, lang, name = F.col("n_chars").cast("string"), F.col("lang"), F.col("source")
+    freeze = (
+        F.when(lang == "en", F.concat(F.lit(" Pkg-"), name, F.lit("=="), n, F.lit(".0 ")))
+        .when(lang == "fr", F.concat(F.lit("Pkg-"), name, F.lit("[extra]=="), n, F.lit(".0")))
+        .when(lang == "de", F.concat(F.lit("-e git+x#egg="), name, F.lit("=="), n)).otherwise(F.concat(F.lit("pkg @ file:///x=="), n))
+    )
+    declared = (
+        F.when(lang == "en", F.concat(F.lit('"pkg-'), name, F.lit("=="), n, F.lit(',<9",')))
+        .when(lang == "fr", F.concat(F.lit("'pkg-"), name, F.lit("[x]>=1'")))
+        .when(lang == "de", F.concat(F.lit("pkg-"), name, F.lit(">=2"))).otherwise("# note")
+    )
+    a = supply.frozen_components(docs.select("doc_id", freeze.alias("line")), "line").withColumn("kind", F.lit("frozen"))
+    b = supply.declared_components(docs.select("doc_id", declared.alias("line")), "line").withColumn("kind", F.lit("declared"))
+    return a.unionByName(b).select("doc_id", "kind", "name", "version", supply.purl().alias("purl"))
+
+
+@query("f22_lineage_struct", """
+SELECT doc_id, '{"dataset_id":"' || source || '","revision":"r1","manifest_sha256":"' || sha256(text) || '","provider":"local","mode":"local"' || CASE WHEN quality IS NULL THEN '' ELSE ',"release_id":"rel-' || quality || '"' END || '}' AS lineage
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def f22(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id", "left")
+    return rows.select("doc_id", release.lineage_struct(
+        dataset_id=F.col("source"), revision=F.lit("r1"), manifest_sha256=F.sha2(F.col("text").cast("binary"), 256),
+        provider=F.lit("local"), mode=F.lit("local"), release_id=F.concat(F.lit("rel-"), F.col("quality").cast("string")),
+    ).alias("lineage"))
+
+
+@query("f23_path_normalise", """
+SELECT page_id, array_to_string(s, '/') AS path, CASE WHEN page_id % 2 = 0 THEN array_to_string(s[4:], '/') ELSE '-' END AS below FROM (
+  SELECT page_id, list_filter(string_split(CASE WHEN page_id % 2 = 0 THEN 'mnt/Family/ROOT/' ELSE 'mnt/other/' END || regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '' AND x <> '.') AS s FROM pages)""")
+def f23(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.when(F.col("page_id") % 2 == 0, "/mnt\\Family/./ROOT//").otherwise("/mnt/other\\")
+    rows = v.table(spark, sf, "pages").select("page_id", F.concat(head, F.regexp_replace("url", "^https?://", "")).alias("path"))
+    return rows.select("page_id", paths.normalise("path").alias("path"), F.coalesce(paths.below_root("path", F.lit("family\\root")), F.lit("-")).alias("below"))
+
 

@@ -267,7 +267,7 @@ def vocabulary(spark: SparkSession, sf: str, onto: Ontology | None = None) -> Da
     onto = onto or ontology(spark, sf)
     seen = graph.vocabulary(keywords(spark, sf), onto.synonyms, onto.nodes)
     numbered = ranked(seen.withColumnRenamed("pos", "at"), [], ["block", "at"], "pos")
-    return HashEmbedder(64).transform(numbered.select("pos", "surface"), "pos", "surface")
+    return HashEmbedder(64).transform(numbered.select("pos", "surface"), "pos", "surface").persist()
 
 
 def sql_unit(raw: str) -> str:
@@ -282,11 +282,11 @@ def sql_raw_hash(surface: str, dim: int = 64) -> str:
 
 
 CTES["g_words"] = """
-SELECT lower(surface) AS surface, min(at) AS at FROM (
-  SELECT c_mktsegment AS surface, (0, row_number() OVER (ORDER BY c_mktsegment)) AS at FROM (SELECT DISTINCT c_mktsegment FROM customer)
+SELECT lower(surface) AS surface, min(spot) AS spot FROM (
+  SELECT c_mktsegment AS surface, (0, row_number() OVER (ORDER BY c_mktsegment))  AS spot FROM (SELECT DISTINCT c_mktsegment FROM customer)
   UNION ALL SELECT surface, (1, pos) FROM g_syn WHERE regexp_full_match(surface, '[A-Za-z0-9 _-]{1,64}')
   UNION ALL SELECT label, (2, pos) FROM g_nodes WHERE regexp_full_match(label, '[A-Za-z0-9 _-]{1,64}')) GROUP BY 1"""
-CTES["g_raw"] = f"SELECT surface, row_number() OVER (ORDER BY at) AS pos, {sql_raw_hash('surface')} AS raw FROM g_words"
+CTES["g_raw"] = f"SELECT surface, row_number() OVER (ORDER BY spot) AS pos, {sql_raw_hash('surface')} AS raw FROM g_words"
 CTES["g_vocab"] = f"SELECT surface, pos, {sql_unit('raw')} AS vec FROM g_raw"
 CTES["v_top"] = """
 SELECT * FROM (SELECT vec_id AS epoch_id, pos, surface, dot, row_number() OVER (PARTITION BY vec_id ORDER BY dot DESC, pos)::INT AS rank

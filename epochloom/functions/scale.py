@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 200_000
 SAMPLE_PER_BUCKET = 48
+SMALL_ROWS = 10_000
 MAX_BUCKETS = 1024
 
 
@@ -31,22 +32,19 @@ def n_buckets(df: DataFrame) -> int:
     return max(2, min(MAX_BUCKETS, parts))
 
 
-def cut_points(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> list[tuple]:
+def cut_points(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> list[tuple] | None:
     """Sorted, distinct cut tuples from the rows with the smallest key hashes.
 
     The hash sample is a uniform one and does not depend on the partitioning, so
-    two readings of the same table always give the same buckets.
+    two readings of the same table always give the same buckets. NULL when the
+    sample is the whole table, which then is small enough for one plain window.
     """
     buckets = buckets or n_buckets(df)
-    picked = (
-        df.select(*order)
-        .orderBy(F.xxhash64(*order), *order)
-        .limit(buckets * SAMPLE_PER_BUCKET)
-        .collect()
-    )
-    values = sorted(
-        {tuple(row) for row in picked if all(item is not None for item in row)}
-    )
+    limit = max(buckets * SAMPLE_PER_BUCKET, SMALL_ROWS)
+    picked = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(limit).collect()
+    if len(picked) < limit:
+        return None
+    values = sorted({tuple(row) for row in picked if all(item is not None for item in row)})
     if len(values) <= 1:
         return []
     step = len(values) / buckets
@@ -91,6 +89,9 @@ def ranked(
     """
     keys = list(keys)
     cuts = cut_points(df, order, buckets)
+    if cuts is None:
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
     tagged = df.withColumn("_bucket", bucket_of(order, cuts))
     totals = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _carry(totals, keys, F.sum("_n"), "_offset").select(*keys, "_bucket", "_offset")
@@ -123,7 +124,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     keys = list(keys)
     rows = df.select(*keys, value).where(F.col(value).isNotNull())
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = cut_points(rows, [value])
+    cuts = cut_points(rows, [value]) or []
     tagged = counts.withColumn("_bucket", bucket_of([value], cuts))
     totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
     carried = _carry(totals, keys, F.sum("_n"), "_before")
@@ -171,7 +172,7 @@ def prefix_max(
         F.col(base_value).alias("_value"), F.lit(None).cast(row_type).alias("_row"),
     )
     both = side_p.unionByName(side_b)
-    cuts = cut_points(both, ["_at"])
+    cuts = cut_points(both, ["_at"]) or []
     both = both.withColumn("_bucket", bucket_of(["_at"], cuts))
     totals = both.groupBy(*keys, "_bucket").agg(F.max("_value").alias("_m"))
     carried = _carry(totals, keys, F.max("_m"), "_carry").select(*keys, "_bucket", "_carry")

@@ -68,11 +68,11 @@ def char_grams(col: Col, low: int = 3, high: int = 5) -> Column:
     def grams(w: Column) -> Column:
         size = F.length(w)
         parts = []
+        of_length = lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))), lambda i: F.substring(w, i, F.lit(n))
+        )
         for n in range(low, high + 1):
-            full = F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), size - (n - 1))),
-                lambda i, n=n: F.substring(w, i, F.lit(n)),
-            )
+            full = of_length(n)
             # a shorter n already gave the whole word
             keep = F.lit(True) if n == low else size > (n - 1)
             parts.append(F.when(keep, full).otherwise(F.array().cast("array<string>")))

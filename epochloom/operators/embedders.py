@@ -28,9 +28,9 @@ def _dense(entries: DataFrame, key: str, index: str, weight: str, dim: int) -> D
 
 def _or_hash(df: DataFrame, vectors: DataFrame, key: str, surface: str, dim: int, out: str) -> DataFrame:
     """Keep the vector, or the hash embedding where the text gave none."""
-    return df.join(vectors, key, "left").withColumn(
-        out, F.coalesce("vec", text.hash_embedding(surface, dim))
-    ).drop("vec")
+    return df.join(vectors.withColumnRenamed("vec", "_vec"), key, "left").withColumn(
+        out, F.coalesce("_vec", text.hash_embedding(surface, dim))
+    ).drop("_vec")
 
 
 @dataclass

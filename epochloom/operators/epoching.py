@@ -130,7 +130,8 @@ def assemble(
             F.col(time).alias("t"), *[F.col(f"`{c}`").cast("float").alias(f"c{i}") for i, c in enumerate(channels)]
         ))).alias("_s"),
     )
-    rows = [F.transform("_s", lambda p, i=i: p[f"c{i}"]) for i in range(len(channels))]
+    row_of = lambda field: F.transform("_s", lambda p: p[field])
+    rows = [row_of(f"c{i}") for i in range(len(channels))]
     return ordered.select(*keys, "label", F.array(*rows).alias("eeg"))
 
 

@@ -150,9 +150,9 @@ def suggested_concepts(edges: DataFrame, nodes: DataFrame, request: str) -> Data
 
 def subgraph_nodes(resolved: DataFrame, nodes: DataFrame, request: str) -> DataFrame:
     """Ontology rows of the request's concepts; ``pos`` is their ontology order."""
-    wanted = resolved.select(request, "concept_id").distinct()
-    return wanted.join(small_side(nodes), wanted["concept_id"] == nodes["id"], "inner").select(
-        request, "id", "type", nodes["label"], "pos"
+    wanted = resolved.select(request, F.col("concept_id").alias("id")).distinct()
+    return wanted.join(small_side(nodes.select("id", "type", "label", "pos")), "id", "inner").select(
+        request, "id", "type", "label", "pos"
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions.arrays import Col, _c
+from epochloom.operators.graph import anchor_violations
 
 # Closed sets, patterns and limits of the prompt contract.
 CONCEPT_PATTERN = r"^[A-Za-z][A-Za-z0-9_-]*:[A-Za-z0-9_-]+\z"
@@ -39,12 +40,29 @@ def oversized_requests(
     return sizes.groupBy(request).agg(F.sum("_b").alias("bytes")).where(F.col("bytes") > limit)
 
 
+def request_summary(anchors: DataFrame, request: str) -> DataFrame:
+    """Everything one pass over the anchors gives a request: best anchor, surfaces,
+    provenance, count, subgraph id and the first broken anchor rule."""
+    best = F.max_by(F.struct("surface", "score", "provenance"), F.struct(F.col("score"), -F.col("rank")))
+    listed = F.sort_array(F.collect_list(F.struct("rank", "surface", "provenance")))
+    packed = anchors.groupBy(request).agg(
+        best.alias("top"), listed.alias("_a"), F.min(anchor_violations()).alias("anchor_error")
+    )
+    surfaces = F.transform("_a", lambda a: a["surface"])
+    joined = F.array_join(F.array_sort(F.transform("_a", lambda a: F.coalesce(a["surface"], F.lit("")))), "|")
+    subgraph = F.concat(F.lit("sg:"), F.substring(F.sha2(joined.cast("binary"), 256), 1, 8))
+    return packed.select(
+        request, "top", surfaces.alias("surfaces"), F.size("_a").alias("anchor_count"), "anchor_error",
+        subgraph.alias("subgraph_id"),
+        F.concat(F.flatten(F.transform("_a", lambda a: a["provenance"])), F.array(F.concat(F.lit("kg:"), subgraph))).alias("provenance"),
+    )
+
+
 def compile_prompts(
-    requests: DataFrame, anchors: DataFrame, resolved: DataFrame, edges: DataFrame, subgraphs: DataFrame,
-    request: str, *, ontology_version: str, modality: Column | None = None,
-    intent_value: str = "decode", subject_fallback: str = "text:Topic",
+    summary: DataFrame, resolved: DataFrame, edges: DataFrame, request: str, *, ontology_version: str,
+    modality: Column | None = None, intent_value: str = "decode", subject_fallback: str = "text:Topic",
 ) -> DataFrame:
-    """One prompt struct per request.
+    """The request summary with one prompt struct added.
 
     Intent comes from the best score, the subject from the first accepted concept in
     anchor order; accepted rows of the subject's concept are left out of the attributes.
@@ -60,10 +78,7 @@ def compile_prompts(
             lambda e: F.concat(F.lit("avoid "), e["target"]),
         ).alias("forbidden")
     )
-    rows = (
-        requests.join(top_anchor(anchors, request), request, "left")
-        .join(ordered, request, "left").join(conflicts, request, "left").join(subgraphs, request, "left")
-    )
+    rows = summary.join(ordered, request, "left").join(conflicts, request, "left")
     first = F.try_element_at(F.filter("items", lambda i: i["status"] == "accepted"), F.lit(1))
     fallback = F.struct(
         F.lit(subject_fallback).alias("concept_id"), F.lit("topic").alias("label"),
@@ -98,7 +113,7 @@ def compile_prompts(
         F.struct(empty_text.alias("required"), F.coalesce("forbidden", empty_text).alias("forbidden")).alias("constraints"),
         F.struct(F.lit(ontology_version).alias("ontology_version"), F.coalesce("subgraph_id", F.lit("")).alias("subgraph_id")).alias("kg"),
     )
-    return rows.select(request, prompt.alias("prompt"))
+    return rows.select(*summary.columns, prompt.alias("prompt"))
 
 
 def _grounded(block: Column) -> Column:
@@ -174,13 +189,3 @@ def summary_text(prompt: Col, surfaces: Col, limit: int = MAX_OUTPUT_CHARS) -> C
         F.concat(F.lit(" KG suggestions (not EEG-read): "), F.array_join(suggested, ", "), F.lit(".")),
     ).otherwise(F.lit(""))
     return F.substring(F.concat(head, tail), 1, limit)
-
-
-def combined_provenance(anchors: DataFrame, subgraphs: DataFrame, request: str, seq: str = "rank") -> DataFrame:
-    """Provenance of the anchors in order, then the subgraph."""
-    listed = anchors.groupBy(request).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(seq, "provenance"))), lambda a: a["provenance"])).alias("_p")
-    )
-    return listed.join(subgraphs, request, "inner").select(
-        request, F.concat("_p", F.array(F.concat(F.lit("kg:"), F.col("subgraph_id")))).alias("provenance")
-    )

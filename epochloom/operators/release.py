@@ -225,22 +225,21 @@ def approved(families: DataFrame, order: str) -> DataFrame:
 def config_strings(df: DataFrame, key: str, json_column: str) -> DataFrame:
     """Every ``(key_path, name, value)`` of a nested JSON document.
 
-    Walks the parsed value with one generator per level of nesting that occurs.
+    One lateral generator per level of nesting that occurs in the table.
     """
-    v = F.try_parse_json(F.col(json_column))
-    level = df.select(key, F.lit("$").alias("at"), F.lit(None).cast("string").alias("name"), v.alias("v"))
+    tvf = df.sparkSession.tvf
+    level = df.select(key, F.lit("").alias("key_path"), F.try_parse_json(json_column).alias("v"))
     out = None
     while True:
-        level.createOrReplaceTempView("_config_level")
-        inner = level.sparkSession.sql(
-            f"SELECT l.{key}, concat(l.at, '/', coalesce(e.key, cast(e.pos AS string))) AS at, e.key AS name, e.value AS v "
-            "FROM _config_level l, LATERAL variant_explode(l.v) e"
+        step = level.lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        inner = step.select(
+            key, F.concat("key_path", F.lit("/"), F.coalesce("_key", F.col("_pos").cast("string"))).alias("key_path"),
+            F.col("_key").alias("name"), F.col("_value").alias("v"),
         )
-        rows = inner.select(key, "at", "name", F.try_variant_get("v", "$", "string").alias("value"), F.schema_of_variant("v").alias("kind"))
+        kind = F.schema_of_variant("v")
+        rows = inner.select(key, "key_path", "name", F.try_variant_get("v", "$", "string").alias("value"), kind.alias("kind"))
         out = rows if out is None else out.unionByName(rows)
-        level = inner
-        deeper = F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY")
-        level = level.where(deeper)
+        level = inner.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select(key, "key_path", "v")
         if level.isEmpty():
             return out
 
@@ -257,7 +256,7 @@ def secret_violations(strings: DataFrame, key: str) -> DataFrame:
         .when(is_text & header, F.lit("private-key"))
         .when(is_text & paths.is_absolute("value"), F.lit("absolute-path"))
     )
-    return strings.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "at", "reason")
+    return strings.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(key, "key_path", "reason")
 
 
 def lineage_struct(**fields: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions import arrays
 from epochloom.operators import graph, prompt, retrieval
+from epochloom.session import cut_lineage
 
 MAX_CHANNELS, MAX_TIMES = 64, 2500
 
@@ -56,41 +57,38 @@ class Resolution:
     resolved: DataFrame
     edges: DataFrame
     nodes: DataFrame
-    subgraphs: DataFrame
 
 
 def resolve(anchors: DataFrame, ontology: Ontology, request: str, threshold: float = graph.THRESHOLD) -> Resolution:
-    """Accepted and suggested concepts, touched edges and subgraph of every request."""
+    """Accepted and suggested concepts, touched edges and subgraph nodes of every request."""
     usable = graph.usable_anchors(anchors, threshold)
-    accepted = graph.accepted_concepts(usable, ontology.nodes, ontology.synonyms, request, "rank")
-    edges = graph.touched_edges(accepted, ontology.edges, request)
-    suggested = graph.suggested_concepts(edges, ontology.nodes, request)
-    resolved = accepted.unionByName(suggested)
-    return Resolution(resolved, edges, graph.subgraph_nodes(resolved, ontology.nodes, request), graph.subgraph_ids(anchors, request))
+    accepted = graph.accepted_concepts(usable, ontology.nodes, ontology.synonyms, request, "rank").persist()
+    edges = graph.touched_edges(accepted, ontology.edges, request).persist()
+    resolved = accepted.unionByName(graph.suggested_concepts(edges, ontology.nodes, request))
+    return Resolution(resolved, edges, graph.subgraph_nodes(resolved, ontology.nodes, request))
 
 
 def prompts_from_anchors(
     requests: DataFrame, anchors: DataFrame, ontology: Ontology, request: str, modality: Column | None = None
 ) -> DataFrame:
-    """Prompt, hash, text, provenance and status per request; bad rows carry their reason."""
-    broken = anchors.where(graph.anchor_violations().isNotNull()).groupBy(request).agg(
-        F.min(graph.anchor_violations()).alias("anchor_error")
-    )
+    """Prompt, hash, text, provenance and status per request; bad rows carry their reason.
+
+    The anchors are checkpointed once, so scoring is never repeated by the branches
+    that read them.
+    """
+    anchors = cut_lineage(anchors)
     found = resolve(anchors, ontology, request)
-    large = prompt.oversized_requests(found.resolved, found.edges, request).select(request, F.lit(True).alias("oversized"))
-    fit = lambda df: df.join(large.select(request), request, "left_anti")
-    compiled = prompt.compile_prompts(
-        requests.select(request), anchors, fit(found.resolved), fit(found.edges), found.subgraphs, request,
-        ontology_version=ontology.version, modality=modality,
-    )
-    surfaces = anchors.groupBy(request).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "surface"))), lambda a: a["surface"]).alias("surfaces"),
-        F.count(F.lit(1)).alias("anchor_count"),
-    )
-    provenance = prompt.combined_provenance(anchors, found.subgraphs, request)
-    rows = (
-        compiled.join(surfaces, request, "left").join(provenance, request, "left")
-        .join(broken, request, "left").join(large, request, "left")
+    resolved, edges = found.resolved.persist(), found.edges
+    large = prompt.oversized_requests(resolved, edges, request).select(request, F.lit(True).alias("oversized")).persist()
+    summary = requests.select(request).join(prompt.request_summary(anchors, request), request, "left")
+    if large.isEmpty():
+        summary = summary.withColumn("oversized", F.lit(False))
+    else:
+        summary = summary.join(large, request, "left")
+        resolved = resolved.join(large.select(request), request, "left_anti")
+        edges = edges.join(large.select(request), request, "left_anti")
+    rows = prompt.compile_prompts(
+        summary, resolved, edges, request, ontology_version=ontology.version, modality=modality
     )
     errors = prompt.prompt_errors("prompt")
     status = (

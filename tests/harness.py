@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 import pandas as pd
@@ -43,9 +44,12 @@ def rows_of(frame: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(_cell(v) for v in row) for row in frame[columns].itertuples(index=False, name=None))
 
 
-def compare(spark: SparkSession, con, sf: str, fn, sql: str | None) -> str | None:
+def compare(spark: SparkSession, con, sf: str, fn, sql: str | None, clock: dict | None = None) -> str | None:
     """NULL when equal, else what differs."""
+    start = time.time()
     got = fn(spark, sf).toPandas()
+    if clock is not None:
+        clock["spark"] = time.time() - start
     if sql is None:
         return None if len(got) else "no rows"
     want = con.execute(sql).df()

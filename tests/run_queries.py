@@ -21,14 +21,14 @@ def main(argv: list[str]) -> int:
     for name, fn in queries.items():
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
-        start = time.time()
+        start, clock = time.time(), {"spark": 0.0}
         try:
-            problem = compare(spark, con, sf, fn, oracle.get(name))
+            problem = compare(spark, con, sf, fn, oracle.get(name), clock)
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         kind = "sql " if name in oracle else "rows"
-        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
+        print(f"{'ok  ' if problem is None else 'FAIL'} {kind} {clock['spark']:6.2f}s of {time.time() - start:6.2f}s {name} {problem or ''}", flush=True)
     print("failures", bad)
     return bad
 
