@@ -47,7 +47,7 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
 CTES["v_contract"] = """
 SELECT patient, epoch, n_rows, one_label, bad_steps, CASE WHEN n_rows > 4 OR NOT one_label OR bad_steps > 0 THEN 'time-or-label' WHEN n_rows <> 4 THEN 'incomplete' END AS reason FROM (
   SELECT patient, epoch, count(*) AS n_rows, min(label) = max(label) AS one_label,
-    CASE WHEN count(*) <= 4 THEN count_if(abs(gap - 4e-3) > 1e-6)::BIGINT ELSE 0 END AS bad_steps FROM (
+    CASE WHEN count(*) <= 4 THEN coalesce(count_if(abs(gap - 4e-3) > 1e-6), 0)::BIGINT ELSE 0 END AS bad_steps FROM (
       SELECT *, time - lag(time) OVER (PARTITION BY patient, epoch ORDER BY time) AS gap FROM v_samples) GROUP BY 1, 2)"""
 
 

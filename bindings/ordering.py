@@ -14,7 +14,7 @@ from epochloom.operators import audit, epoching, graph, prompt, release, selecti
 
 
 @query("w01_cadence_check", """
-SELECT patient, epoch, bad_steps FROM (SELECT patient, epoch, count(*) AS n, count_if(abs(gap - 4e-3) > 1e-6)::BIGINT AS bad_steps FROM (
+SELECT patient, epoch, bad_steps FROM (SELECT patient, epoch, count(*) AS n, coalesce(count_if(abs(gap - 4e-3) > 1e-6), 0)::BIGINT AS bad_steps FROM (
   SELECT *, time - lag(time) OVER (PARTITION BY patient, epoch ORDER BY time) AS gap FROM v_samples) GROUP BY 1, 2) WHERE n <= 7 AND bad_steps > 0""")
 def w01(spark: SparkSession, sf: str) -> DataFrame:
     rows = epoching.sample_contract(v.samples(spark, sf), ["patient", "epoch"], "time", "label", expected=7, step=0.004)

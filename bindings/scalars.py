@@ -45,7 +45,7 @@ CTES["t_w"] = "SELECT doc_id, idx, tf * idf AS w FROM d_terms JOIN t_top USING (
 
 @query("f03_tfidf_embedding", f"""
 SELECT doc_id, idx::INT AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS x FROM t_w
-UNION ALL SELECT doc_id, (i - 1)::INT, round(vec[i], 6) FROM (SELECT doc_id, {v.sql_unit('raw')} AS vec FROM (SELECT doc_id, {v.sql_raw_hash('text')} AS raw FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t_w))), range(1, 65) r(i)""")
+UNION ALL SELECT doc_id, (i - 1)::INT, round(vec[i], 6) FROM (SELECT doc_id, {v.sql_unit('raw')} AS vec FROM (SELECT doc_id, {v.sql_raw_hash('text')} AS raw FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t_w))), range(1, 65) r(i) WHERE vec[i] <> 0""")
 def f03(spark: SparkSession, sf: str) -> DataFrame:
     """Non-zero weights of every document under an embedder fitted on all of them."""
     docs = v.table(spark, sf, "documents")

@@ -238,7 +238,7 @@ def ontology(spark: SparkSession, sf: str) -> Ontology:
     syn = part.join(names, F.col("p_partkey") % 25 == F.col("n_nationkey")).select(
         F.col("p_name").alias("surface"), F.col("nation_id").alias("concept_id"), F.col("p_partkey").alias("pos")
     )
-    return Ontology(nodes, up.unionByName(down), syn, "tables-v1")
+    return Ontology(nodes.persist(), up.unionByName(down).persist(), syn.persist(), "tables-v1")
 
 
 CTES["g_nodes"] = """
@@ -311,7 +311,7 @@ def anchors(spark: SparkSession, sf: str) -> DataFrame:
 # --- labels as a vocabulary --------------------------------------------------------------
 
 def label_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.label_vocab(epochs(spark, sf), "label", "epoch_id", HashEmbedder(64))
+    return retrieval.label_vocab(epochs(spark, sf), "label", "epoch_id", HashEmbedder(64)).persist()
 
 
 CTES["l_raw"] = f"SELECT label AS surface, min(epoch_id) AS pos, {sql_raw_hash('label')} AS raw FROM v_epochs GROUP BY label"

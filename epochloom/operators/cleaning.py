@@ -1,14 +1,14 @@
 """Epoch cleaning: filtering, rejection and artefact removal."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions import arrays
+from epochloom.functions.blocks import fold_epochs, map_epochs
 from epochloom.functions.scale import array_sum, exact_median, ranked
 
 MAX_CHANNELS = 64
@@ -48,19 +48,10 @@ def brick_wall(x: np.ndarray, low: float, high: float, sfreq: float) -> np.ndarr
     return np.fft.irfft(spectrum, n=x.shape[-1], axis=-1)
 
 
-def _by_shape(series: pd.Series):
-    """Row positions and the stacked block of each epoch shape in a batch."""
-    mats = [np.stack([np.asarray(r, dtype=np.float64) for r in e]) for e in series]
-    groups: dict[tuple[int, ...], list[int]] = {}
-    for i, m in enumerate(mats):
-        groups.setdefault(m.shape, []).append(i)
-    for rows in groups.values():
-        yield rows, np.stack([mats[i] for i in rows])
+def cleaner(cfg: CleaningConfig) -> Callable[[np.ndarray], np.ndarray]:
+    """The fixed-order signal steps over a block of epochs."""
 
-
-def _clean_batch(series: pd.Series, cfg: CleaningConfig) -> pd.Series:
-    out: list = [None] * len(series)
-    for rows, x in _by_shape(series):
+    def clean(x: np.ndarray) -> np.ndarray:
         if cfg.apply_bandpass:
             x = brick_wall(x, cfg.bandpass_low, cfg.bandpass_high, cfg.sampling_rate_hz)
         if cfg.reference == "average":
@@ -70,20 +61,14 @@ def _clean_batch(series: pd.Series, cfg: CleaningConfig) -> pd.Series:
         if cfg.use_baseline:
             lead = max(1, int(x.shape[2] * 0.2))
             x = x - x[:, :, :lead].mean(axis=2, keepdims=True)
-        for i, epoch in zip(rows, x):
-            out[i] = list(epoch)
-    return pd.Series(out)
+        return x
+
+    return clean
 
 
 def clean_signal(df: DataFrame, cfg: CleaningConfig, column: str = "eeg", out: str = "eeg_clean") -> DataFrame:
     """Band-pass, reference, demeaning and baseline in one Arrow pass over each epoch."""
-
-    @F.pandas_udf("array<array<double>>")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield _clean_batch(batch, cfg)
-
-    return df.withColumn(out, clean(F.col(column)))
+    return map_epochs(df, column, out, cleaner(cfg))
 
 
 def bandpass(df: DataFrame, low: float, high: float, sfreq: float, column: str = "eeg", out: str = "eeg") -> DataFrame:
@@ -105,17 +90,17 @@ def rejection(
     Medians are exact. When a scope would lose every epoch its cleanest half is kept.
     """
     scope = list(scope)
-    ptp = df.select(*scope, epoch_id, F.posexplode(arrays.channel_peak_to_peak(column)).alias("ch", "ptp"))
+    ptp = df.select(*scope, epoch_id, F.posexplode(arrays.channel_peak_to_peak(column)).alias("ch", "ptp")).persist()
     keys = [*scope, "ch"]
     centre = exact_median(ptp, keys, "ptp", "med")
-    deviated = ptp.join(centre, keys, "inner").withColumn("dev", F.abs(F.col("ptp") - F.col("med")))
+    deviated = ptp.join(centre, keys, "inner").withColumn("dev", F.abs(F.col("ptp") - F.col("med"))).persist()
     spread = exact_median(deviated, keys, "dev", "mad")
     scored = deviated.join(spread, keys, "inner").withColumn(
         "z", F.col("dev") / (F.lit(1.4826) * (F.col("mad") + F.lit(1e-6)))
     )
     per_epoch = scored.groupBy(*scope, epoch_id).agg(
         F.avg(F.when(F.col("z") > z_threshold, 1.0).otherwise(0.0)).alias("bad_frac")
-    ).withColumn("clean", F.col("bad_frac") <= F.lit(max_bad_fraction))
+    ).withColumn("clean", F.col("bad_frac") <= F.lit(max_bad_fraction)).persist()
     totals = per_epoch.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or("clean").alias("_any")
     )
@@ -160,54 +145,43 @@ def guarded_mask(
     )
 
 
-def _covariance_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for _, x in _by_shape(batch["eeg"]):
-            c = x.shape[1]
-            if c > MAX_CHANNELS:
-                raise ValueError("component removal needs at most 64 channels; pool them first")
-            part = np.einsum("nct,ndt->cd", x, x)
-            total[c] = total.get(c, 0.0) + part
-    rows = [(c, i, list(m[i])) for c, m in total.items() for i in range(c)]
-    yield pd.DataFrame(rows, columns=["n_channels", "row", "vec"])
-
-
 def component_basis(df: DataFrame, column: str = "eeg") -> np.ndarray:
     """Right singular directions in channel space, strongest first.
 
     Only channel-by-channel sums leave the executors.
     """
-    partial = df.select(F.col(column).alias("eeg")).mapInPandas(
-        _covariance_rows, "n_channels int, row int, vec array<double>"
-    )
+
+    def step(total: dict, x: np.ndarray) -> dict:
+        c = x.shape[1]
+        if c > MAX_CHANNELS:
+            raise ValueError("component removal needs at most 64 channels; pool them first")
+        total[c] = total.get(c, 0.0) + np.einsum("nct,ndt->cd", x, x)
+        return total
+
+    def finish(total: dict) -> dict[str, list]:
+        rows = [(c, i, list(map(float, m[i]))) for c, m in total.items() for i in range(c)]
+        return {"n_channels": [r[0] for r in rows], "row": [r[1] for r in rows], "vec": [r[2] for r in rows]}
+
+    partial = fold_epochs(df, column, "n_channels long, row long, vec array<double>", dict, step, finish)
     rows = array_sum(partial, ["n_channels", "row"], "vec", "vec").orderBy("row").collect()
     if len({r["n_channels"] for r in rows}) != 1:
         raise ValueError("component removal needs one channel count in its scope")
-    gram = np.array([r["vec"] for r in rows])
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(np.array([r["vec"] for r in rows]))
     return vectors[:, np.argsort(values)[::-1]]
 
 
-def _moment_rows(basis: np.ndarray):
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((4, basis.shape[1]))
-        count = 0
-        for batch in batches:
-            for _, x in _by_shape(batch["eeg"]):
-                y = np.einsum("ck,nct->knt", basis, x).reshape(basis.shape[1], -1)
-                sums += np.stack([(y ** p).sum(axis=1) for p in (1, 2, 3, 4)])
-                count += y.shape[1]
-        if count:
-            yield pd.DataFrame({"n": [count], "vec": [list(sums.ravel())]})
-
-    return moments
-
-
 def component_kurtosis(df: DataFrame, basis: np.ndarray, column: str = "eeg") -> np.ndarray:
     """Excess kurtosis of each component over all samples of the scope, from raw moment sums."""
     k = basis.shape[1]
-    part = df.select(F.col(column).alias("eeg")).mapInPandas(_moment_rows(basis), "n long, vec array<double>")
+
+    def step(state: tuple, x: np.ndarray) -> tuple:
+        y = np.einsum("ck,nct->knt", basis, x).reshape(k, -1)
+        return state[0] + y.shape[1], state[1] + np.stack([(y ** p).sum(axis=1) for p in (1, 2, 3, 4)])
+
+    def finish(state: tuple) -> dict[str, list]:
+        return {"n": [state[0]], "vec": [list(map(float, state[1].ravel()))]} if state[0] else {"n": [], "vec": []}
+
+    part = fold_epochs(df, column, "n long, vec array<double>", lambda: (0, np.zeros((4, k))), step, finish)
     row = part.groupBy().agg(
         F.sum("n").alias("n"), *[F.sum(F.get("vec", F.lit(i))).alias(f"m{i}") for i in range(4 * k)]
     ).head()
@@ -228,13 +202,4 @@ def remove_components(
     dropped = basis[:, np.argsort(kurtosis)[::-1][:drop_top]]
     keep = np.eye(basis.shape[0]) - dropped @ dropped.T
 
-    @F.pandas_udf("array<array<double>>")
-    def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            result: list = [None] * len(batch)
-            for rows, x in _by_shape(batch):
-                for i, epoch in zip(rows, np.einsum("cd,ndt->nct", keep, x)):
-                    result[i] = list(epoch)
-            yield pd.Series(result)
-
-    return df.withColumn(out, project(F.col(column)))
+    return map_epochs(df, column, out, lambda x: np.einsum("cd,ndt->nct", keep, x))

@@ -12,6 +12,7 @@ from epochloom.functions.hashed import order_hash
 from epochloom.functions.scale import array_sum, ranked, small_side
 from epochloom.operators import embedders, encoders, retrieval, splits
 from epochloom.operators.embedders import HashEmbedder
+from epochloom.session import cut_lineage
 
 CONTROLS = ("shuffled_label_top5", "temporal_shuffle_top5", "gaussian_noise_top5", "no_eeg_lm_only_top5")
 
@@ -45,7 +46,8 @@ def evaluate(
     """
     n_labels = vocab.count() if n_labels is None else n_labels
     k = 1 if n_labels <= 1 else min(cfg.top_k, n_labels - 1)
-    keep = encoded.select("epoch_id", fold, "label", "emb")
+    # every arm reads the encoded epochs; they are written once
+    keep = cut_lineage(encoded.select("epoch_id", fold, "label", "emb"))
     shuffled = _shuffled_in_folds(keep, fold, seed)
     noise = lambda s: retrieval.random_unit(keep, "epoch_id", cfg.dim, s)
     arms = {
@@ -135,7 +137,7 @@ def train_report(df: DataFrame, cfg: TrainConfig, embedder=None, pos: str = "epo
 
     ``df`` holds ``epoch_id, x, label, session_id, subject_id``.
     """
-    vocab = retrieval.label_vocab(df, "label", pos, embedder or HashEmbedder(cfg.dim))
+    vocab = retrieval.label_vocab(df, "label", pos, embedder or HashEmbedder(cfg.dim)).persist()
     reports = grouped_report(df, "cross_session", vocab, cfg).unionByName(grouped_report(df, "loso", vocab, cfg))
     model = make_encoder(cfg).fit(with_targets(df, vocab))
     return reports, model
