@@ -8,8 +8,10 @@ from bindings.joins import spans
 from bindings.registry import CTES, query
 from bindings.scans import advisories_of
 from epochloom.functions import arrays
+from epochloom.functions.scale import attach_row
 from epochloom.operators import cleaning, embedders, encoders, epoching, graph, release, retrieval, supply
 from epochloom.plans import train
+from epochloom.sources.readers import spread
 
 POOL_T = """list_transform(eeg, lambda r: list_transform(range(0, {n}), lambda i:
   list_avg(list_slice(r, i * len(r) // {n} + 1, greatest(i * len(r) // {n} + 1, (i + 1) * len(r) // {n}))::DOUBLE[])))"""
@@ -174,7 +176,7 @@ SELECT term, sum(tf)::BIGINT AS tf_total, count(*) AS df, ln(((SELECT count(*) F
 
 @query("a15_document_frequency", "SELECT term, tf_total, df, round(idf, 6) AS idf FROM d_freq")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    freq = embedders.document_frequency(v.table(spark, sf, "documents"), "doc_id", "text")
+    freq = embedders.document_frequency(spread(v.table(spark, sf, "documents")), "doc_id", "text")
     return freq.select("term", "tf_total", "df", v.r6("idf").alias("idf"))
 
 
@@ -215,7 +217,7 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
     rows = fold_rates(spark, sf, "subject_id").withColumn("prior", F.lit(min(5 / n, 1.0)))
     gated = rows.withColumn("gate_pass", retrieval.passes(F.col("top5"), [F.col("top1"), F.col("prior")]))
     both = gated.agg(F.bool_and("gate_pass").alias("combined"))
-    return gated.join(F.broadcast(both), F.lit(True)).select("subject_id", "gate_pass", "combined")
+    return attach_row(gated, both).select("subject_id", "gate_pass", "combined")
 
 
 @query("a19_subject_counts", "SELECT subject_id, count(*) AS n_epochs, count(DISTINCT label) AS n_labels, count(DISTINCT session_id) AS n_sessions FROM v_epochs GROUP BY 1")

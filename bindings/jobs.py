@@ -9,6 +9,7 @@ from bindings.predicates import CODE_LABELS
 from bindings.registry import CTES, query
 from bindings.scalars import governed
 from bindings.scans import advisory_folder, sharded
+from epochloom.functions.scale import attach_row
 from epochloom.operators import encoders, epoching, release
 from epochloom.operators.selection import strided_budget
 from epochloom.plans import advisory_gate, decode, load_jobs, train
@@ -37,7 +38,7 @@ def c01_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c02_windowed_load", """
 SELECT patient || ':' || epoch AS epoch_id, label, ch::INT AS ch, t::INT AS t, round(list_avg(list_transform(
-    [s[t * 2 + 1], s[t * 2 + 2]], lambda r: CASE WHEN ch = 0 THEN (r.quantity + r.price) / 2e0 ELSE (r.discount + r.tax) / 2e0 END)), 3) AS v FROM (
+    [s[t * 2 + 1], s[t * 2 + 2]], lambda r: CASE WHEN ch = 0 THEN (r.quantity + r.price) / 2e0 ELSE (r.discount + r.tax) / 2e0 END)), 9) AS v FROM (
   SELECT patient, epoch, min(label) AS label, list({'quantity': quantity::FLOAT::DOUBLE, 'price': price::FLOAT::DOUBLE, 'discount': discount::FLOAT::DOUBLE, 'tax': tax::FLOAT::DOUBLE} ORDER BY time) AS s FROM v_samples
   WHERE epoch IN (SELECT epoch FROM (SELECT epoch, patient, row_number() OVER (PARTITION BY patient ORDER BY epoch) AS p FROM v_contract WHERE reason IS NULL) ORDER BY p, patient LIMIT 60) GROUP BY 1, 2),
   range(0, 2) rc(ch), range(0, 2) rt(t)""")
@@ -46,7 +47,7 @@ def c02(spark: SparkSession, sf: str) -> DataFrame:
     rows = load_jobs.windowed_job(
         v.samples(spark, sf), v.SAMPLE_CHANNELS, expected=v.SAMPLE_EXPECTED, step=0.004, max_epochs=60, n_times=2, n_channels=2, strict=False
     )
-    return v.long_form(rows, "epoch_id", "label").withColumn("v", F.round("v", 3))
+    return v.long_form(rows, "epoch_id", "label", digits=9)
 
 
 @query("c02_windowed_source_checks", """
@@ -223,7 +224,7 @@ SELECT count_if(o AND upper(severity) = 'CRITICAL')::BIGINT AS critical, count_i
 FROM (SELECT *, lower(coalesce(status, 'open')) NOT IN ('remediated', 'resolved', 'closed', 'accepted') AS o FROM v_cve)""")
 def c11(spark: SparkSession, sf: str) -> DataFrame:
     found, counts = advisory_gate.gate(spark, advisory_folder(spark, sf))
-    return counts.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("n_unresolved"))), F.lit(True))
+    return attach_row(counts, found.agg(F.count(F.lit(1)).alias("n_unresolved")))
 
 
 @query("u03_dataset_registry", """

@@ -7,6 +7,7 @@ from bindings import views as v
 from bindings.joins import BLOCK_SQL
 from bindings.registry import CTES, query
 from epochloom.functions import arrays
+from epochloom.functions.scale import attach_row
 from epochloom.operators import embedders, encoders, retrieval, splits
 from epochloom.operators.embedders import FunctionEmbedder
 from epochloom.plans import train
@@ -124,7 +125,7 @@ SELECT subject_id, k, round(avg((gold_rank <= k)::INT), 6) AS topk FROM l_gold,
 def m12(spark: SparkSession, sf: str) -> DataFrame:
     vocab = v.label_vocab(spark, sf)
     k = vocab.agg(retrieval.operating_k(F.count(F.lit(1))).alias("k"))
-    ranks = retrieval.gold_ranks(v.embedded(spark, sf), vocab).join(F.broadcast(k), F.lit(True))
+    ranks = attach_row(retrieval.gold_ranks(v.embedded(spark, sf), vocab), k)
     return ranks.groupBy("subject_id", "k").agg(v.r6(F.avg((F.col("gold_rank") <= F.col("k")).cast("int"))).alias("topk"))
 
 

@@ -8,6 +8,7 @@ from bindings.registry import CTES, query
 from epochloom.functions import arrays, paths, text
 from epochloom.operators import cleaning, embedders, graph, prompt, release, retrieval, supply
 from epochloom.plans import decode
+from epochloom.sources.readers import spread
 
 
 def exploded(df: DataFrame, key: str, vec: str = "vec") -> DataFrame:
@@ -48,7 +49,7 @@ SELECT doc_id, idx::INT AS i, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_i
 UNION ALL SELECT doc_id, (i - 1)::INT, round(vec[i], 6) FROM (SELECT doc_id, {v.sql_unit('raw')} AS vec FROM (SELECT doc_id, {v.sql_raw_hash('text')} AS raw FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t_w))), range(1, 65) r(i) WHERE vec[i] <> 0""")
 def f03(spark: SparkSession, sf: str) -> DataFrame:
     """Non-zero weights of every document under an embedder fitted on all of them."""
-    docs = v.table(spark, sf, "documents")
+    docs = spread(v.table(spark, sf, "documents").select("doc_id", "text"))
     corpus = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("surface"))
     rows = embedders.TfidfEmbedder(64).fit(corpus).transform(docs.select("doc_id", "text"), "doc_id", "text")
     return exploded(rows, "doc_id").where("x <> 0")

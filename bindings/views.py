@@ -27,11 +27,11 @@ def r6(col: str | Column) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, 6)
 
 
-def long_form(df: DataFrame, *keys: str, column: str = "eeg") -> DataFrame:
+def long_form(df: DataFrame, *keys: str, column: str = "eeg", digits: int = 6) -> DataFrame:
     """``(keys, ch, t, v)`` rows of an epoch column."""
     return df.select(*keys, F.posexplode(column).alias("ch", "_r")).select(
         *keys, "ch", F.posexplode("_r").alias("t", "v")
-    ).select(*keys, "ch", "t", r6("v").alias("v"))
+    ).select(*keys, "ch", "t", F.round("v", digits).alias("v"))
 
 
 def sql_long(source: str, keys: str, column: str = "eeg") -> str:

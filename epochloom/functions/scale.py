@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 200_000
@@ -27,6 +27,11 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row."""
+    return df.join(F.broadcast(one_row), F.lit(True))
+
+
 def n_buckets(df: DataFrame) -> int:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(2, min(MAX_BUCKETS, parts))
@@ -106,15 +111,6 @@ def ranked(
     )
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
-
-
-def with_group_size(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
-    """Row count of the key on every row, from a pre-aggregated side instead of a window."""
-    return df.join(group_sizes(df, keys, out), list(keys), "inner")
-
-
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact midpoint median per key by two counting passes.
 
@@ -219,6 +215,3 @@ def array_sum(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Data
     return df.groupBy(*keys).agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col(column)))).alias(out)
     )
-
-
-DOUBLE_ARRAY = T.ArrayType(T.DoubleType())

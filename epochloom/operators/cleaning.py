@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions import arrays
 from epochloom.functions.blocks import fold_epochs, map_epochs
-from epochloom.functions.scale import array_sum, exact_median, ranked
+from epochloom.functions.scale import array_sum, attach_row, exact_median, ranked
 
 MAX_CHANNELS = 64
 
@@ -105,7 +105,7 @@ def rejection(
         F.count(F.lit(1)).alias("_n"), F.bool_or("clean").alias("_any")
     )
     tagged = (
-        per_epoch.join(totals, scope, "inner") if scope else per_epoch.join(F.broadcast(totals), F.lit(True))
+        per_epoch.join(totals, scope, "inner") if scope else attach_row(per_epoch, totals)
     )
     return _with_safety_net(tagged, scope, epoch_id)
 
@@ -141,7 +141,7 @@ def guarded_mask(
         enough = (F.col("k") >= min_kept) & (F.col("s") >= min_subjects) & (F.col("e") >= min_sessions)
     gate = stats.select(enough.alias("_apply"))
     return (
-        df.join(F.broadcast(gate), F.lit(True)).where(~F.col("_apply") | F.col(keep)).drop("_apply")
+        attach_row(df, gate).where(~F.col("_apply") | F.col(keep)).drop("_apply")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from epochloom.functions import arrays, text
-from epochloom.functions.scale import ranked
+from epochloom.functions.scale import attach_row, ranked
 
 
 def _dense(entries: DataFrame, key: str, index: str, weight: str, dim: int) -> DataFrame:
@@ -79,11 +79,8 @@ def document_frequency(df: DataFrame, key: str, surface: str) -> DataFrame:
     """Corpus count, document frequency and smoothed IDF of every term."""
     terms = term_rows(df, key, surface)
     totals = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    return (
-        terms.groupBy("term").agg(F.sum("tf").alias("tf_total"), F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(totals), F.lit(True))
-        .withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
-    )
+    counts = terms.groupBy("term").agg(F.sum("tf").alias("tf_total"), F.count(F.lit(1)).alias("df"))
+    return attach_row(counts, totals).withColumn("idf", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)
 
 
 def top_terms(frequencies: DataFrame, dim: int) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from epochloom.functions import text
-from epochloom.functions.scale import small_side
+from epochloom.functions.scale import attach_row, small_side
 
 # Prompt operators of graph relations and the fallback concept.
 RELATION_OPERATORS = {
@@ -29,7 +29,7 @@ def merge_ontology(
         if by_id:
             right = right.join(left.select("id"), "id", "left_anti")
         top = left.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_shift"))
-        moved = right.join(F.broadcast(top), F.lit(True)).withColumn("pos", F.col("pos") + F.col("_shift")).drop("_shift")
+        moved = attach_row(right, top).withColumn("pos", F.col("pos") + F.col("_shift")).drop("_shift")
         return left.unionByName(moved)
 
     return (

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from epochloom.functions.hashed import order_hash
-from epochloom.functions.scale import prefix_max, ranked
+from epochloom.functions.scale import attach_row, prefix_max, ranked
 
 # The id column each strategy holds out, the held-out segments.
 GROUP_COLUMNS = {"cross_session": "session_id", "loso": "subject_id", "stimulus_identity": "stimulus_id"}
@@ -29,7 +29,7 @@ def group_folds(df: DataFrame, strategy: str, holdout: str | None = None) -> Dat
     key = GROUP_COLUMNS[strategy]
     sizes = df.groupBy(F.col(key).alias("fold")).agg(F.count(F.lit(1)).alias("n_test"))
     total = sizes.agg(F.sum("n_test").alias("_t"), F.count(F.lit(1)).alias("_g"))
-    folds = sizes.join(F.broadcast(total), F.lit(True)).withColumn("n_train", F.col("_t") - F.col("n_test"))
+    folds = attach_row(sizes, total).withColumn("n_train", F.col("_t") - F.col("n_test"))
     folds = folds.where("_g >= 2").drop("_t", "_g")
     if strategy == "loso" and holdout:
         chosen = folds.where(F.col("fold") == holdout)
@@ -90,7 +90,7 @@ def random_split(df: DataFrame, epoch_id: str, allow: bool = False, train_share:
     keyed = df.withColumn("_h", order_hash(F.col(epoch_id), seed))
     numbered = ranked(keyed, [], ["_h", epoch_id], "_rn")
     total = df.agg(F.floor(F.count(F.lit(1)) * F.lit(train_share)).alias("_cut"))
-    return numbered.join(F.broadcast(total), F.lit(True)).withColumn(
+    return attach_row(numbered, total).withColumn(
         "is_test", F.col("_rn") > F.col("_cut")
     ).drop("_h", "_rn", "_cut")
 

@@ -123,6 +123,7 @@ def decode(
         anchors = anchors.unionByName(given.select(*anchors.columns))
         rejected = rejected.unionByName(refused.withColumn("reason", F.lit("vocabulary")))
     accepted = good.join(rejected.select(request), request, "left_anti")
-    rows = prompts_from_anchors(accepted, anchors, ontology, request)
+    # results and rejects both read the finished rows; they are written once
+    rows = cut_lineage(prompts_from_anchors(accepted, anchors, ontology, request))
     bad = rows.where(F.col("status") != "ok").select(request, F.col("status").alias("reason"))
     return rows.where(F.col("status") == "ok"), rejected.unionByName(bad)

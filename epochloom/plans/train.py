@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions.hashed import order_hash
-from epochloom.functions.scale import array_sum, ranked, small_side
+from epochloom.functions.scale import array_sum, attach_row, ranked, small_side
 from epochloom.operators import embedders, encoders, retrieval, splits
 from epochloom.operators.embedders import HashEmbedder
 from epochloom.session import cut_lineage
@@ -155,7 +155,7 @@ def block_report(df: DataFrame, cfg: TrainConfig, held_segments=splits.HELD_SEGM
     counts = lambda rows, side: rows.agg(
         F.count(F.lit(1)).alias(f"n_{side}_epochs"), F.count_distinct("label").alias(f"n_{side}_labels")
     )
-    return report.join(F.broadcast(counts(train, "train")), F.lit(True)).join(F.broadcast(counts(test, "test")), F.lit(True))
+    return attach_row(attach_row(report, counts(train, "train")), counts(test, "test"))
 
 
 def fold_targets(df: DataFrame, key: str, dim: int) -> DataFrame:
@@ -165,7 +165,7 @@ def fold_targets(df: DataFrame, key: str, dim: int) -> DataFrame:
     labels = df.groupBy("label").agg(F.min("epoch_id").alias("pos"))
     names = splits.require_folds(splits.group_folds(df, splits_name(key)), splits_name(key)).select("fold")
     listed = names.agg(F.array_sort(F.collect_list("fold")).alias("folds"))
-    surfaces = labels.join(F.broadcast(listed), F.lit(True)).withColumn("fold", F.explode("folds")).drop("folds")
+    surfaces = attach_row(labels, listed).withColumn("fold", F.explode("folds")).drop("folds")
     return embedders.fold_embeddings(surfaces, "pos", "label", terms, "fold", dim)
 
 
@@ -259,7 +259,7 @@ def headline(reports: DataFrame) -> DataFrame:
     both = reports.agg(F.bool_and("gate_pass").alias("combined_gate"))
     order = F.when(F.col("strategy") == "stimulus_block", 0).otherwise(1)
     best = reports.where(F.col("skipped").isNull()).orderBy(order, "strategy").limit(1)
-    return best.join(F.broadcast(both), F.lit(True))
+    return attach_row(best, both)
 
 
 def gate_column(topk: str = "top5") -> Column:
@@ -275,7 +275,7 @@ def run_lineage(df: DataFrame, reports: DataFrame, source: str, digest: Column)
         pick("cross_session").alias("cross_session_folds"), pick("loso").alias("loso_folds"),
         F.bool_and("gate_pass").alias("gate_pass"),
     )
-    return subjects.join(F.broadcast(evaluation), F.lit(True)).select(F.to_json(F.struct(
+    return attach_row(subjects, evaluation).select(F.to_json(F.struct(
         F.struct(F.lit(source).alias("source"), "n_epochs", "n_subjects", "min_epochs", "max_epochs", digest.alias("source_sha256")).alias("dataset"),
         F.struct("cross_session_folds", "loso_folds", "gate_pass").alias("evaluation"),
         F.lit(1).alias("version"),

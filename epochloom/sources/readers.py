@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from epochloom import schemas
 from epochloom.functions import arrays, paths, text
-from epochloom.functions.scale import small_side
+from epochloom.functions.scale import attach_row, small_side
 
 
 _KINDS = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
@@ -25,6 +25,15 @@ def require_columns(df: DataFrame, wanted: Sequence[str], what: str) -> DataFram
     return df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan of fewer splits than there are threads, dealt out over them.
+
+    For work that is heavy per row; a large table has more splits and is left alone.
+    """
+    threads = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= threads else scan.repartition(threads)
+
+
 def nested_epochs(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, glob: str | None = None
 ) -> DataFrame:
@@ -48,7 +57,7 @@ def shard_range(df: DataFrame, start: int, max_shards: int) -> DataFrame:
     order = names.withColumn("shard_no", F.row_number().over(Window.orderBy("shard")) - 1)
     last = order.agg(F.max("shard_no").alias("_last"))
     chosen = (
-        order.join(F.broadcast(last), F.lit(True))
+        attach_row(order, last)
         .withColumn("_start", F.least(F.lit(start), F.col("_last")))
         .where((F.col("shard_no") >= F.col("_start")) & (F.col("shard_no") < F.col("_start") + max_shards))
         .select("shard", "shard_no")
