@@ -211,16 +211,19 @@ def s10(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc", "family_key", "provider", F.array_join("violations", ",").alias("violations"))
 
 
-@query("s11_ontology_scan", "SELECT kind, id, pos FROM (SELECT 'node' AS kind, id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM g_nodes WHERE type <> 'Supplier' UNION ALL SELECT 'edge', id, row_number() OVER (ORDER BY pos) - 1 FROM g_edges WHERE id LIKE 'edge:n%')")
+@query("s11_ontology_scan", """
+SELECT 'node' AS kind, source AS id, 0::BIGINT AS pos FROM g_edges WHERE id LIKE 'edge:s%'
+UNION ALL SELECT 'node', target, 1 FROM g_edges WHERE id LIKE 'edge:s%' UNION ALL SELECT 'edge', id, 0 FROM g_edges WHERE id LIKE 'edge:s%'""")
 def s11(spark: SparkSession, sf: str) -> DataFrame:
-    """The nation and region part of the graph written as one document and scanned back."""
-    onto = v.ontology(spark, sf)
-    pack = lambda df, *c: df.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", *c))), lambda r: F.struct(*[r[x].alias(x) for x in c])).alias("a"))
-    nodes = pack(onto.nodes.where("type <> 'Supplier'"), "id", "type", "label")
-    edges = pack(onto.edges.where(F.col("id").startswith("edge:n")), "id", "source", "relation", "target", "confidence", "provenance")
+    """One ontology document per supplier edge: its two nodes and the edge, scanned back as tables."""
+    edges = v.ontology(spark, sf).edges.where(F.col("id").startswith("edge:s"))
+    node = lambda c: F.struct(F.col(c).alias("id"), F.lit("Concept").alias("type"), F.col(c).alias("label"))
+    edge = F.struct("id", "source", "relation", "target", "confidence", "provenance")
     folder = new_folder(spark, "ontology")
-    nodes.withColumnRenamed("a", "nodes").join(edges.withColumnRenamed("a", "edges"), F.lit(True)).write.json(folder)
-    n, e, _ = catalog.ontology_tables(spark, folder)
+    edges.select(
+        F.lit("tables-v1").alias("ontology_version"), F.array(node("source"), node("target")).alias("nodes"), F.array(edge).alias("edges")
+    ).write.json(folder)
+    n, e, _ = catalog.ontology_tables(spark, folder, multi_line=False)
     return n.select(F.lit("node").alias("kind"), "id", "pos").unionByName(e.select(F.lit("edge").alias("kind"), "id", "pos"))
 
 

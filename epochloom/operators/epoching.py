@@ -75,8 +75,8 @@ def cut_epochs(
     hit = samples.join(wanted, [key, "_bucket"], "inner").where(
         (F.col("sample_idx") >= F.col("start")) & (F.col("sample_idx") < F.col("stop"))
     )
-    # a channel of one epoch is bounded by the window width
-    rows = hit.groupBy(key, marker_id, "ch").agg(
+    # one shuffle by marker serves both steps; a channel is bounded by the window width
+    rows = hit.repartition(key, marker_id).groupBy(key, marker_id, "ch").agg(
         F.sort_array(F.collect_list(F.struct("sample_idx", "v"))).alias("s")
     ).select(key, marker_id, "ch", F.transform("s", lambda p: p["v"]).alias("row"))
     epochs = rows.groupBy(key, marker_id).agg(

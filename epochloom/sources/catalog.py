@@ -107,8 +107,10 @@ def family_violations(families: DataFrame, protected: tuple[str, ...] = ()) -> D
     return families.withColumn("violations", broken)
 
 
-def ontology_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and synonyms of one ontology document, with their document order."""
+def ontology_tables(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and synonyms of ontology documents, with their order inside a document."""
     S = T.StringType()
     document = schemas.struct(
         ontology_version=S,
@@ -119,7 +121,7 @@ def ontology_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         )),
         synonyms=T.ArrayType(schemas.struct(surface=S, concept_id=S)),
     )
-    doc = spark.read.schema(document).option("multiLine", True).json(path)
+    doc = spark.read.schema(document).option("multiLine", multi_line).json(path)
 
     def part(name: str) -> DataFrame:
         return doc.select(F.posexplode(name).alias("pos", "r")).select("r.*", F.col("pos").cast("long").alias("pos"))

@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 import math
+import os
 import time
 
 import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
+STRICT = bool(os.environ.get("STRICT_FLOATS"))
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -31,7 +33,7 @@ def _cell(value: object) -> str:
         value = float(value)
         if math.isnan(value):
             return "NULL"
-        return repr(round(value, 6) + 0.0)
+        return repr(value if STRICT else round(value, 6) + 0.0)
     if type(value).__name__.startswith(("int", "uint")):
         return str(int(value))
     if isinstance(value, pd.Timestamp):
