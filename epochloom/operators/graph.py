@@ -1,9 +1,9 @@
 """Knowledge graph: vocabulary, merge, anchor resolution and contract checks."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from epochloom import schemas
 from epochloom.functions import text
 from epochloom.functions.scale import attach_row, small_side
 
@@ -15,12 +15,56 @@ RELATION_OPERATORS = {
     "RELATED_TO": "set",
     "PRESERVES": "preserve",
 }
+# The default anchor keywords.
+DEFAULT_KEYWORDS = (
+    "open", "airy", "sunlight", "minimalist", "modern", "classical",
+    "window", "living room", "bedroom", "office", "natural light", "openness",
+    "decoration density", "minimal", "increase", "decrease", "preserve",
+    "focus", "memory", "recall", "reading", "imagery", "rest", "intent", "topic",
+)
 FALLBACK_CONCEPT = "text:Keyword"
 THRESHOLD = 0.5
 FALLBACK_FACTOR = 0.8
 SUGGESTION_FACTOR = 0.7
 
 
+# The text extension that a base ontology is merged with.
+EXTENSION_VERSION = "text-v0.1"
+EXTENSION_NODES = (
+    ("text:Keyword", "Concept", "keyword"),
+    ("text:Topic", "Concept", "topic"),
+    ("text:Intent", "Concept", "intent"),
+    ("text:Reading", "Paradigm", "reading"),
+    ("text:InnerRecall", "Paradigm", "inner recall"),
+)
+EXTENSION_EDGES = (
+    ("edge:keyword_topic", "text:Keyword", "RELATED_TO", "text:Topic", 0.7, "text_v01:keyword_topic"),
+    ("edge:topic_intent", "text:Topic", "RELATED_TO", "text:Intent", 0.6, "text_v01:topic_intent"),
+)
+EXTENSION_SYNONYMS = (
+    ("recall", "text:InnerRecall"),
+    ("reading", "text:Reading"),
+    ("keyword", "text:Keyword"),
+    ("topic", "text:Topic"),
+)
+
+
+def text_extension(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and synonyms of the text extension, in their order."""
+    numbered = lambda rows: [(*row, pos) for pos, row in enumerate(rows)]
+    edges = [(*row, None, pos) for pos, row in enumerate(EXTENSION_EDGES)]
+    return (
+        spark.createDataFrame(numbered(EXTENSION_NODES), schemas.NODES),
+        spark.createDataFrame(edges, schemas.EDGES),
+        spark.createDataFrame(numbered(EXTENSION_SYNONYMS), schemas.SYNONYMS),
+    )
+
+
+def default_keywords(spark: SparkSession) -> DataFrame:
+    """The default anchor keywords with their position."""
+    return spark.createDataFrame(list(zip(DEFAULT_KEYWORDS, range(len(DEFAULT_KEYWORDS)))), "surface string, pos long")
+
+
 def merge_ontology(
     base: tuple[DataFrame, DataFrame, DataFrame], extension: tuple[DataFrame, DataFrame, DataFrame]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

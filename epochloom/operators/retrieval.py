@@ -15,14 +15,6 @@ from epochloom.operators.encoders import matrix
 VOCAB_BLOCK = 50_000
 TIE = 1e-12
 
-# The default anchor keywords.
-DEFAULT_KEYWORDS = (
-    "open", "airy", "sunlight", "minimalist", "modern", "classical",
-    "window", "living room", "bedroom", "office", "natural light", "openness",
-    "decoration density", "minimal", "increase", "decrease", "preserve",
-    "focus", "memory", "recall", "reading", "imagery", "rest", "intent", "topic",
-)
-
 
 def vocab_blocks(vocab: DataFrame, block: int = VOCAB_BLOCK) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
     """``(pos, surface, vec)`` in position order, read block by block.

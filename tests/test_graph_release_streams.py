@@ -78,6 +78,15 @@ def test_vocabulary_drops_bad_surfaces(spark, onto):
     assert {"open", "airy", "window"} <= words and not any("script" in w or "\n" in w for w in words)
 
 
+def test_text_extension_merges_by_id(spark, onto):
+    base = (onto.nodes, onto.edges.withColumn("qualifier", F.lit(None).cast("map<string,string>")), onto.synonyms)
+    nodes, edges, syn = graph.merge_ontology(base, graph.text_extension(spark))
+    assert (nodes.count(), edges.count(), syn.count()) == (6 + 4, 2 + 2, 3 + 4)
+    assert [r.id for r in nodes.orderBy("pos").collect()][-4:] == ["text:Topic", "text:Intent", "text:Reading", "text:InnerRecall"]
+    words = graph.vocabulary(graph.default_keywords(spark), syn, nodes)
+    assert {"living room", "topic", "inner recall"} <= {r.surface for r in words.collect()}
+
+
 def test_graph_contract_is_clean(onto):
     assert graph.contract_violations(onto.nodes, onto.edges, onto.synonyms).isEmpty()
 
