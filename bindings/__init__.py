@@ -8,8 +8,8 @@ MODULES = ("scans", "predicates", "joins", "aggregates", "ordering", "scalars",
 
 def all_bindings():
     """Queries and SQL of every module, in registration order."""
-    from bindings.registry import ORACLE, QUERIES
+    from bindings.registry import ORACLE, QUERIES, with_ctes
 
     for name in MODULES:
         importlib.import_module(f"bindings.{name}")
-    return dict(QUERIES), dict(ORACLE)
+    return dict(QUERIES), {name: with_ctes(body) for name, body in ORACLE.items()}

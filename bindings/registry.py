@@ -13,17 +13,18 @@ CTES: dict[str, str] = {}
 
 
 def with_ctes(body: str) -> str:
-    """Prefix the named views a statement uses, in definition order."""
-    used: set[str] = set()
+    """Prefix the named views a statement uses, each after the views it uses itself."""
+    ordered: list[str] = []
 
     def visit(text: str) -> None:
-        for name in CTES:
-            if name not in used and re.search(rf"\b{name}\b", text):
-                used.add(name)
-                visit(CTES[name])
+        for name, view in CTES.items():
+            if name not in ordered and view is not text and re.search(rf"\b{name}\b", text):
+                visit(view)
+                if name not in ordered:
+                    ordered.append(name)
 
     visit(body)
-    parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in used]
+    parts = [f"{name} AS ({CTES[name]})" for name in ordered]
     return (f"WITH {', '.join(parts)} " if parts else "") + body.strip()
 
 
@@ -33,7 +34,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
             raise KeyError(name)
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = with_ctes(oracle)
+            ORACLE[name] = oracle
         return fn
 
     return register
