@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochloom.llm import bit_planes, packing
+from epochloom.llm import bit_planes, order_minhash, packing
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -31,6 +31,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.read_ids(spark, path, keep_ids=False)
 
 
+@query("op9_order_minhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens."""
