@@ -9,7 +9,7 @@ Segments are Parquet rows written by Spark, so they can lie in any store, and a
 replaces its files.
 
 Defined cases: a null text counts as empty and gets the end id alone; equal document ids keep all their
-rows (ordered by text); a null document id sorts first; an empty table gives empty files; further columns
+rows (shorter ones first); a null document id sorts first; an empty table gives empty files; further columns
 are ignored. A text of any length is one document of many blocks.
 """
 from __future__ import annotations
@@ -71,29 +71,49 @@ def from_planes(planes: list[bytes], count: int, layout: Layout) -> np.ndarray:
     return ids.astype("<u4")
 
 
-def _segments(tokenizer: str, layout: Layout):
+ENCODED = "to int, doc_id long, n long, planes array<binary>"
+
+
+def _encoded(tokenizer: str, layout: Layout, bounds: list[int]):
+    names, cuts = ["to", "doc_id", "n", "planes"], np.array(bounds, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                ids = [np.frombuffer(coder.encode(t.as_py()) + END_BYTES, "<u4") for t in part.column(1)]
+                to = np.searchsorted(cuts, part.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), side="right")
+                columns = [
+                    pa.array(to, pa.int32()), part.column(0), pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array([to_planes(x, layout) for x in ids], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        coder.forget()
+
+    return run
+
+
+def _segments(layout: Layout):
     schema = pa.schema([
         ("part", pa.int32()), ("seg", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
         ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.list_(pa.binary()))),
     ])
 
-    def row(part: int, seg: int, docs: list, parts: list[bytes]) -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        step = layout.block_ids
+    def row(part: int, seg: int, docs: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids, step = np.concatenate(parts), layout.block_ids
         blocks = [to_planes(ids[k : k + step], layout) for k in range(0, len(ids), step)]
-        lengths = [len(p) // 4 for p in parts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip((part, seg, len(ids), docs, lengths, blocks), schema.types)], schema=schema
-        )
+        values = (part, seg, len(ids), docs, [len(p) for p in parts], blocks)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seg, held, docs, parts = 0, 0, [], []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts.append(encode(text.as_py()) + END_BYTES)
-                docs.append(doc_id)
-                held += len(parts[-1]) // 4
+            for doc_id, n, planes in zip(*(batch.column(k) for k in range(3))):
+                docs.append(doc_id.as_py())
+                parts.append(from_planes(planes.as_py(), n.as_py(), layout))
+                held += len(parts[-1])
                 if held >= layout.segment_ids:
                     yield row(part, seg, docs, parts)
                     seg, held, docs, parts = seg + 1, 0, [], []
@@ -103,19 +123,31 @@ def _segments(tokenizer: str, layout: Layout):
     return run
 
 
+def _bounds(ids: DataFrame, parts: int) -> list[int]:
+    """At most ``parts - 1`` ids that cut the table into about equal parts, from the id column alone."""
+    cuts = ids.filter("doc_id is not null").agg(
+        F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 50 * parts).alias("cuts")
+    ).first()["cuts"]
+    return sorted(set(cuts or []))
+
+
 def write_ids(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-    layout: Layout = Layout(),
+    layout: Layout = Layout(), parts: int | None = None,
 ) -> None:
-    """Encode, append the end id and write ``path/segments`` and ``path/index`` in ascending id order."""
+    """Encode, append the end id and write ``path/segments`` and ``path/index`` in ascending id order.
+
+    ``parts`` is the number of files, the session's shuffle partitions by default. Texts are encoded where
+    they are read; what is shuffled are the compressed planes of each document.
+    """
     spark = docs.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # equal ids are spread by text and row, so that no id fills a partition by itself
-    keyed = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    spread = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
-    spread.select("doc_id", "text").mapInArrow(_segments(tokenizer or default_tokenizer(), layout), SEGMENTS).write.option(
-        "compression", "none"
-    ).parquet(f"{path}/segments")
+    bounds = _bounds(rows.select("doc_id"), parts)
+    encoded = rows.mapInArrow(_encoded(tokenizer or default_tokenizer(), layout, bounds), ENCODED)
+    spread = encoded.repartitionById(len(bounds) + 1, "to")
+    ordered = spread.sortWithinPartitions("doc_id", "n", F.xxhash64("planes")).select("doc_id", "n", "planes")
+    ordered.mapInArrow(_segments(layout), SEGMENTS).write.option("compression", "none").parquet(f"{path}/segments")
     size = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda s, p: s + F.length(p))
     spark.read.parquet(f"{path}/segments").select(
         "part", "seg", "n_ids", F.size("doc_ids").cast("long").alias("n_docs"), F.transform("blocks", size).alias("block_bytes")

@@ -76,8 +76,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def shingle_labels(text: str, words: int) -> np.ndarray:
-    """A 64-bit hash of each shingle and its occurrence number, in text order."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """A 64-bit hash of each shingle, in text order."""
     tokens = text.lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -92,7 +92,11 @@ def shingle_labels(text: str, words: int) -> np.ndarray:
         starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    hashes = _mix((total[ends] - total[starts]) * down[starts])
+    return _mix((total[ends] - total[starts]) * down[starts])
+
+
+def occurrences(hashes: np.ndarray) -> np.ndarray:
+    """Hashes that also tell the n-th occurrence of a shingle from the others."""
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
     if not same.any():
@@ -138,7 +142,7 @@ def _sketched(params: Params):
         for batch in batches:
             sigs, sketches = [], []
             for text in batch.column(2):
-                labels = shingle_labels(text.as_py(), params.words)
+                labels = occurrences(shingle_hashes(text.as_py(), params.words))
                 sigs.append(signatures(labels, params))
                 sketches.append(sketch(labels).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -245,13 +249,6 @@ def matched(a: list, b: list, band: int) -> int:
     return head + tail + found + width - row.bit_count()
 
 
-def shingles(text: str, words: int) -> list:
-    tokens = text.lower().split()
-    if len(tokens) <= words:
-        return [tuple(tokens)] if tokens else []
-    return list(zip(*(tokens[k:] for k in range(words))))
-
-
 def alike(a: list, b: list, similarity: float) -> bool:
     """Whether the aligned similarity reaches the threshold."""
     n, m = len(a), len(b)
@@ -263,28 +260,31 @@ def alike(a: list, b: list, similarity: float) -> bool:
 
 def _linked(params: Params):
     def work(rows: list[dict]) -> list[tuple]:
-        """Spanning links of one family or pair of blocks."""
-        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(len(rows), BINS)
-        root = list(range(len(rows)))
-        cut: dict[int, list] = {}
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
+        """Spanning links of one family or pair of blocks.
 
-        def of(k: int) -> list:
-            if k not in cut:
-                cut[k] = shingles(rows[k]["text"], params.words)
-            return cut[k]
-
-        out = []
+        A text is counted against the earlier ones outside its class, all at once, by the shingles that they
+        share; only where these are enough for a link is the pair aligned.
+        """
+        sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint16).reshape(len(rows), BINS)
+        hashes = [shingle_hashes(r["text"], params.words) for r in rows]
+        sizes = np.array([len(h) for h in hashes])
+        kinds, dense = np.unique(np.concatenate([occurrences(h) for h in hashes]), return_inverse=True)
+        held = np.split(dense.astype(np.int32), np.cumsum(sizes)[:-1])
+        own, cls, out = np.zeros(len(kinds), bool), np.arange(len(rows)), []
         for k in range(1, len(rows)):
             agree = agreement(sketches[k], sketches[:k])
-            for other in sorted(np.flatnonzero(agree >= SKETCH_AGREES).tolist(), key=lambda o: -agree[o]):
-                if find(other) != find(k) and alike(of(k), of(other), params.similarity):
-                    root[find(k)] = find(other)
+            near = np.flatnonzero((agree >= SKETCH_AGREES) & (sizes[:k] > 0))
+            if not len(near) or not sizes[k]:
+                continue
+            own[held[k]] = True
+            ends = np.cumsum(sizes[near])
+            shared = np.add.reduceat(own[np.concatenate([held[o] for o in near])].astype(np.int64), ends - sizes[near])
+            own[held[k]] = False
+            near = near[shared >= params.similarity * (sizes[near] + sizes[k]) / (1 + params.similarity) - 1e-9]
+            mine = hashes[k].tolist()
+            for other in near[np.argsort(-agree[near], kind="stable")].tolist():
+                if cls[other] != cls[k] and alike(mine, hashes[other].tolist(), params.similarity):
+                    cls[cls == cls[k]] = cls[other]
                     out.append(tuple(sorted((rows[k]["uid"], rows[other]["uid"]))))
         return out
 

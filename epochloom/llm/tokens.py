@@ -22,7 +22,7 @@ UNUSUAL = re.compile("[^\x00-įı-ɏ]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 END_ID = 1
 #: Entries of the caches; one is emptied when full, which costs time but changes no result.
-WORD_ENTRIES, PIECE_ENTRIES = 500_000, 900_000
+WORD_ENTRIES, PIECE_ENTRIES = 250_000, 500_000
 
 
 class _Pieces(dict):
@@ -78,6 +78,11 @@ class Encoder:
     def slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def forget(self) -> None:
+        """Give the caches' memory back, as a worker outlives the stage that needed them."""
+        self.words.pieces.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or SEPARATORS.search(text):
             return self.slow(text)
