@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochloom.llm import bit_planes, order_minhash, packing
+from epochloom.llm import bit_planes, order_minhash, packing, pii
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_offset_preserving_pii")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, plain and disguised."""
+    return pii.find(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op6_bit_planes")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as plane-shuffled blocks and read back."""
