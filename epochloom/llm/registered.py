@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from epochloom.llm import bit_planes, order_minhash, packing, pii
+from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -29,6 +29,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query("op5_bm25_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, with the items."""
+    return decontaminate.leaks(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op6_bit_planes")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as plane-shuffled blocks and read back."""
