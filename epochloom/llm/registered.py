@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii
+from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, sharding, url_filter
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -23,6 +23,44 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Host labels whose pages make up the URL list of the query.
+LISTED_LABELS = ("spam-farm", "casino", "phish")
+
+_AFTER = "coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '')"
+_HOST = f"translate(regexp_extract({_AFTER}, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
+_PATH = f"regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1)"
+_KEPT = (
+    f"list_sort(list_filter(string_split(regexp_extract({_AFTER}, '^[^?#]*[?]([^#]*)', 1), '&'), "
+    f"lambda p: p <> '' AND NOT regexp_matches(p, '{url_filter.TRACKING}')))"
+)
+OP1_SQL = f"""
+WITH cut AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path, {_KEPT} AS kept FROM pages),
+keyed AS (SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^(www\\.|m\\.)+', ''), '(:80|:443)$', '')
+  || regexp_replace(regexp_replace(path, '/{{2,}}', '/', 'g'), '/+$', '')
+  || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS key FROM cut),
+listed AS (SELECT DISTINCT key FROM keyed
+  WHERE key <> '' AND list_has_any(string_split(host, '.'), ['{"', '".join(LISTED_LABELS)}'])),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM keyed)
+SELECT page_id, host, path, rule, l.key IS NOT NULL AS listed,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled r LEFT JOIN listed l ON r.key = l.key
+"""
+
+
+@query("op1_blocked_bloom_urls", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; listed are the URLs of hosts with a listed label."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = F.split(url_filter.host_of(F.col("url")), r"\.")
+    listed = pages.filter(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in LISTED_LABELS]))).select("url")
+    return url_filter.judge(pages, listed)
+
+
 @query("op4_offset_preserving_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
@@ -43,6 +81,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.read_ids(spark, path, keep_ids=False)
 
 
+@query("op7_karmarkar_karp_shards")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of nearly equal bytes."""
+    return sharding.assign(documents(spark, sf_dir, "doc_id", "text"))
+
+
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
