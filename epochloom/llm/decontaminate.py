@@ -27,7 +27,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from epochloom.llm.common import fresh, text_of
 
@@ -266,14 +266,16 @@ def clean(
     """The rows of ``docs`` that leak no test item, with all their columns."""
     flag = fresh(docs, "leaks")
     for index in slices(bench, item_col, item_text, answer_col, params):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.withColumn(flag, _leaked(docs.sparkSession.sparkContext.broadcast(index), text_of(text_col)))
+        docs = docs.filter(~F.col(flag)).drop(flag)
+    return docs
 
-        def leaked(texts: pd.Series, shared=shared) -> pd.Series:
-            found: list[bool] = []
-            for at in range(0, len(texts), BATCH):
-                found += [bool(rows) for rows in shared.value.search(texts.iloc[at : at + BATCH].tolist())]
-            return pd.Series(found, dtype=bool)
 
-        udf = F.pandas_udf(leaked, T.BooleanType(), F.PandasUDFType.SCALAR)
-        docs = docs.withColumn(flag, udf(text_of(text_col))).filter(~F.col(flag)).drop(flag)
-    return docs
+def _leaked(shared, text: Column) -> Column:
+    def leaked(texts: pd.Series) -> pd.Series:
+        found: list[bool] = []
+        for at in range(0, len(texts), BATCH):
+            found += [bool(rows) for rows in shared.value.search(texts.iloc[at : at + BATCH].tolist())]
+        return pd.Series(found, dtype=bool)
+
+    return F.pandas_udf(leaked, T.BooleanType())(text)

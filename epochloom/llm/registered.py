@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, sharding, url_filter
+from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, quality, sharding, toxicity, url_filter
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -61,6 +61,20 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed)
 
 
+@query("op2_weak_supervision_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op3_boosted_tree_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query("op4_offset_preserving_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, plain and disguised."""
