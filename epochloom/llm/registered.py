@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, quality, sharding, toxicity, url_filter
+from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, projected_neighbours, quality, sharding, toxicity, url_filter
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -101,6 +101,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query("op8_projected_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query."""
+    return projected_neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op9_order_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
