@@ -34,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from epochloom.llm.common import saved, text_of
+from epochloom.llm.common import fresh, saved, text_of
 from epochloom.llm.components import components
 
 BINS = 64
@@ -344,8 +344,8 @@ def kin(texts: DataFrame, params: Params) -> DataFrame:
     return _grouped(rows, ["bucket", "first", "second"], _kin)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """``doc_id, class_id, class_size`` of every row; a class holds the texts that links connect."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, params: Params) -> DataFrame:
+    """``doc_id, fp, cls`` of every row: its id, the fingerprint of its text and the class of that text."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("fp"), text_of(text_col).alias("text")
     )
@@ -366,6 +366,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _grouped(dealt.drop("size"), ["component", "first", "second"], _linked(params))
     classes = components(links).withColumnRenamed("node", "uid")
     named = texts.select("uid", "fp").join(classes, "uid", "left").select("fp", F.coalesce("component", "uid").alias("cls"))
-    labelled = all_rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "cls")
+    return all_rows.select("doc_id", "fp").join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """``doc_id, class_id, class_size`` of every row; a class holds the texts that links connect."""
+    labelled = _classes(docs, id_col, text_col, params).select("doc_id", "cls")
     totals = labelled.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return labelled.join(totals, "cls").select("doc_id", "class_id", "class_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
+    """One row of ``docs`` for each class, the one with the smallest id, with all its columns."""
+    labelled = saved(_classes(docs, id_col, text_col, params), "classes")
+    first = labelled.groupBy("cls").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*")
+    copies = labelled.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
+    first = saved(first.join(copies, (first.fp == copies.fp) & first.doc_id.eqNullSafe(copies.doc_id)).select(
+        first.fp.alias("_fp"), first.doc_id.alias("_id"), "n"
+    ), "first")
+    fp, same = fresh(docs, "fp"), fresh(docs, "id")
+    rows = docs.withColumn(fp, F.unhex(F.md5(text_of(text_col)))).withColumn(same, F.col(id_col).cast("long"))
+    match = lambda reps: (F.col(fp) == reps["_fp"]) & F.col(same).eqNullSafe(reps["_id"])
+    alone, repeated = first.filter("n = 1"), first.filter("n > 1")
+    once = rows.join(alone, match(alone), "left_semi")
+    # rows that repeat both id and text: one of them stays
+    again = rows.join(repeated, match(repeated), "left_semi").dropDuplicates([fp, same])
+    return once.unionByName(again).drop(fp, same)
