@@ -37,17 +37,17 @@ def c01_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("c02_windowed_load", """
-SELECT patient || ':' || epoch AS epoch_id, label, ch::INT AS ch, t::INT AS t, round(list_avg(list_transform(
+SELECT patient || ':' || epoch AS epoch_id, 'sub-' || repeat('0', greatest(0, 2 - length(patient::VARCHAR))) || patient AS subject_id, label, ch::INT AS ch, t::INT AS t, round(list_avg(list_transform(
     [s[t * 2 + 1], s[t * 2 + 2]], lambda r: CASE WHEN ch = 0 THEN (r.quantity + r.price) / 2e0 ELSE (r.discount + r.tax) / 2e0 END)), 9) AS v FROM (
   SELECT patient, epoch, min(label) AS label, list({'quantity': quantity::FLOAT::DOUBLE, 'price': price::FLOAT::DOUBLE, 'discount': discount::FLOAT::DOUBLE, 'tax': tax::FLOAT::DOUBLE} ORDER BY time) AS s FROM v_samples
-  WHERE epoch IN (SELECT epoch FROM (SELECT epoch, patient, row_number() OVER (PARTITION BY patient ORDER BY epoch) AS p FROM v_contract WHERE reason IS NULL) ORDER BY p, patient LIMIT 60) GROUP BY 1, 2),
+  WHERE (patient, epoch) IN (SELECT (patient, epoch) FROM v_contract WHERE reason IS NULL) GROUP BY 1, 2),
   range(0, 2) rc(ch), range(0, 2) rt(t)""")
 def c02(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of four evenly spaced, singly labelled samples, round robin over patients, pooled to 2 x 2."""
+    """Groups of four evenly spaced, singly labelled samples of all patients, pooled to 2 x 2."""
     rows = load_jobs.windowed_job(
-        v.samples(spark, sf), v.SAMPLE_CHANNELS, expected=v.SAMPLE_EXPECTED, step=0.004, max_epochs=60, n_times=2, n_channels=2, strict=False
+        v.samples(spark, sf), v.SAMPLE_CHANNELS, expected=v.SAMPLE_EXPECTED, step=0.004, n_times=2, n_channels=2, strict=False
     )
-    return v.long_form(rows, "epoch_id", "label", digits=9)
+    return v.long_form(rows, "epoch_id", "subject_id", "label", digits=9)
 
 
 @query("c02_windowed_source_checks", """
@@ -60,14 +60,12 @@ def c02_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("c03_marker_locked_load", """
 SELECT marker_id, label, ch::INT AS ch, t::INT AS t, round(avg(v), 6) AS v FROM (
   SELECT m.marker_id, m.trial_type AS label, s.ch, (s.sample_idx - m.start) // 2 AS t, s.v FROM (
-    SELECT k.*, trunc(onset * 1e1)::BIGINT AS start, n_samples FROM (
-      SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY onset, marker_id) - 1 AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM v_markers) k JOIN v_recordings USING (recording_id)
-    WHERE n <= 20 OR list_contains(list_transform(range(0, 20), lambda b: trunc(b * (n / 2e1))::BIGINT), i)) m
+    SELECT k.*, trunc(onset * 1e1)::BIGINT AS start, n_samples FROM v_markers k JOIN v_recordings USING (recording_id)) m
   JOIN v_signal s ON s.recording_id = m.recording_id AND s.sample_idx >= m.start AND s.sample_idx < m.start + 8 WHERE m.start + 8 <= m.n_samples) GROUP BY 1, 2, 3, 4""")
 def c03(spark: SparkSession, sf: str) -> DataFrame:
-    """Strided markers cut from the user signals and pooled to four times, without solver steps."""
+    """All markers cut from the user signals and pooled to four times, without solver steps."""
     idx = v.indexed_events(spark, sf)
-    rows = load_jobs.continuous_job(v.signal(idx), v.recordings(idx), v.markers(idx), fs=v.FS, epoch_sec=0.8, per_recording=20, n_channels=2, n_times=4, cfg=None)
+    rows = load_jobs.continuous_job(v.signal(idx), v.recordings(idx), v.markers(idx), fs=v.FS, epoch_sec=0.8, n_channels=2, n_times=4, cfg=None)
     return v.long_form(rows, "marker_id", "label")
 
 
@@ -75,7 +73,7 @@ def c03(spark: SparkSession, sf: str) -> DataFrame:
 def c03_clean(spark: SparkSession, sf: str) -> DataFrame:
     idx = v.indexed_events(spark, sf)
     markers = v.markers(idx).withColumn("subject_id", F.col("recording_id").cast("string")).withColumn("session_id", F.col("subject_id"))
-    rows = load_jobs.continuous_job(v.signal(idx), v.recordings(idx), markers, fs=v.FS, epoch_sec=0.8, per_recording=20, n_channels=2, n_times=4)
+    rows = load_jobs.continuous_job(v.signal(idx), v.recordings(idx), markers, fs=v.FS, epoch_sec=0.8, n_channels=2, n_times=4)
     return v.long_form(rows, "marker_id", "label")
 
 
@@ -117,14 +115,14 @@ def c05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c05_nested_load", """
 SELECT shard || ':' || rn AS epoch_id, label, shard, c::INT AS ch, t::INT AS t, round((eeg[c + 1][t * 2 + 1]::DOUBLE + eeg[c + 1][t * 2 + 2]::DOUBLE) / 2e0, 6) AS v FROM (
-  SELECT 'train-' || lpad(segment::VARCHAR, 5, '0') AS shard, epoch_id AS rn, label, eeg FROM v_epochs QUALIFY row_number() OVER (PARTITION BY segment ORDER BY epoch_id) <= 6), range(0, 8) rc(c), range(0, 4) rt(t)""")
+  SELECT 'train-' || lpad(segment::VARCHAR, 5, '0') AS shard, epoch_id AS rn, label, eeg FROM v_epochs), range(0, 8) rc(c), range(0, 4) rt(t)""")
 def c05_nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested epochs under a budget of six per shard."""
+    """Nested epochs of all shards."""
     raw = sharded(spark, sf).select(
         F.col("label").alias("word"), F.concat(F.lit(" "), F.upper("label")).alias("topic"), F.lit("").alias("selected_topic"),
         F.col("subject_id").alias("participant"), "eeg", F.lit(1).cast("long").alias("semantic_relevance"), "shard", F.col("epoch_id").alias("row_index"),
     )
-    rows = load_jobs.nested_job(raw, n_times=4, max_rows=60, n_shards=10)
+    rows = load_jobs.nested_job(raw, n_times=4)
     return v.long_form(rows.withColumn("shard", F.split("session_id", ":")[1]), "epoch_id", "label", "shard")
 
 

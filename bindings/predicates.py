@@ -93,16 +93,16 @@ def p06(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p07_identity_derivation", """
-SELECT o_orderkey, 'sub-' || lpad((o_custkey % 100)::VARCHAR, 2, '0') AS subject_id,
-  'sub-' || lpad((o_custkey % 100)::VARCHAR, 2, '0') || ':epoch-' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') AS session_id,
+SELECT o_orderkey, 'sub-' || repeat('0', greatest(0, 2 - length(o_custkey::VARCHAR))) || o_custkey AS subject_id,
+  'sub-' || repeat('0', greatest(0, 2 - length(o_custkey::VARCHAR))) || o_custkey || ':epoch-' || repeat('0', greatest(0, 3 - length(o_orderkey::VARCHAR))) || o_orderkey AS session_id,
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderkey::INT END::VARCHAR AS run FROM orders""")
 def p07(spark: SparkSession, sf: str) -> DataFrame:
-    subject = paths.numbered("sub-", F.col("o_custkey") % 100, 2)
+    subject = paths.numbered("sub-", "o_custkey", 2)
     name = F.concat(F.lit("sub-02"), F.when(F.col("o_orderstatus") == "F", "_rest_").otherwise(
         F.concat(F.lit("_run-00"), F.col("o_orderkey").cast("string"), F.lit("_"))), F.lit("eeg.edf"))
     return v.table(spark, sf, "orders").select(
         "o_orderkey", subject.alias("subject_id"),
-        F.concat(subject, F.lit(":"), paths.numbered("epoch-", F.col("o_orderkey") % 1000, 3)).alias("session_id"),
+        F.concat(subject, F.lit(":"), paths.numbered("epoch-", "o_orderkey", 3)).alias("session_id"),
         paths.run_number(name).cast("string").alias("run"),
     )
 

@@ -15,8 +15,7 @@ from epochloom.plans.decode import Ontology
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; wall-clock timestamps are read as UTC."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A given table; wall-clock timestamps are read as UTC, which ``session.prepare`` sets."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     for field in df.schema.fields:
         if isinstance(field.dataType, T.TimestampNTZType):

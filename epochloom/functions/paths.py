@@ -151,7 +151,9 @@ def scope_reason(path: Col, kind: Col) -> Column:
 
 
 def numbered(prefix: str, number: Col, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_c(number).cast("string"), width, "0"))
+    """The number padded to ``width`` digits; a longer one stays whole."""
+    text = _c(number).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text))
 
 
 def run_number(name: Col) -> Column:

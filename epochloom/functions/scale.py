@@ -27,6 +27,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the key columns of ``left`` stay."""
+    keys = list(keys)
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)  # without keys a total has one row
+    renamed = right.select(*[F.col(c).alias(f"_same_{c}" if c in keys else c) for c in right.columns])
+    cond = None
+    for k in keys:
+        same = left[k].eqNullSafe(renamed[f"_same_{k}"])
+        cond = same if cond is None else cond & same
+    return left.join(renamed, cond, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row."""
     return df.join(F.broadcast(one_row), F.lit(True))
@@ -57,10 +70,10 @@ def cut_points(df: DataFrame, order: Sequence[str], buckets: int | None = None)
 
 
 def _below(order: Sequence[str], cut: tuple) -> Column:
-    """Lexicographic ``order < cut``."""
+    """Lexicographic ``order < cut``; like a window, NULL comes before every value."""
     test = F.lit(False)
     for name, value in reversed(list(zip(order, cut))):
-        test = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & test)
+        test = F.col(name).isNull() | (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & test)
     return test
 
 
@@ -126,7 +139,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     carried = _carry(totals, keys, F.sum("_n"), "_before")
     size = totals.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     wanted = (
-        carried.join(size, keys, "inner")
+        join_keys(carried, size, keys)
         .withColumn("_before", F.coalesce("_before", F.lit(0)))
         .withColumn("_lo", F.floor((F.col("_size") + 1) / 2))
         .withColumn("_hi", F.floor((F.col("_size") + 2) / 2))
@@ -135,7 +148,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     )
     w = Window.partitionBy(*keys, "_bucket").orderBy(value)
     picked = (
-        tagged.join(wanted, [*keys, "_bucket"], "inner")
+        join_keys(tagged, wanted, [*keys, "_bucket"])
         .withColumn("_top", F.col("_before") + F.sum("_n").over(w))
         .withColumn("_bottom", F.col("_top") - F.col("_n"))
     )
@@ -154,6 +167,7 @@ def prefix_max(
 
     Both sides are merged and scanned in time order, so no pair of rows is ever
     formed; a hot key is cut into time buckets whose maxima are carried forward.
+    A base row without a time is before nothing, and nothing is before a probe without one.
     """
     keys = list(keys)
     payload = F.struct(*[F.col(c) for c in probe.columns]).alias("_row")
@@ -163,7 +177,7 @@ def prefix_max(
         F.lit(None).cast(value_type).alias("_value"), payload,
     )
     row_type = side_p.schema["_row"].dataType
-    side_b = base.select(
+    side_b = base.where(F.col(base_at).isNotNull()).select(
         *keys, F.col(base_at).alias("_at"), F.lit(0 if inclusive else 1).alias("_side"),
         F.col(base_value).alias("_value"), F.lit(None).cast(row_type).alias("_row"),
     )
@@ -177,7 +191,7 @@ def prefix_max(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     scanned = both.withColumn("_run", F.max("_value").over(w)).where(F.col("_row").isNotNull())
-    joined = scanned.join(carried, [*keys, "_bucket"], "inner")
+    joined = join_keys(scanned, carried, [*keys, "_bucket"])
     return joined.select("_row.*", F.greatest("_run", "_carry").alias(out))
 
 

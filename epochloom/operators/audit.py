@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from epochloom import schemas
-from epochloom.functions.scale import prefix_max, trailing_count
+from epochloom.functions.scale import join_keys, prefix_max, trailing_count
 
 RELEASE_FAILURES = (
     "dataset_release_verification_failed",
@@ -125,7 +125,7 @@ def fixed_limit(events: DataFrame, key: str, at: str, event_id: str, limit: int,
     last = rows.select(key, "_slot", at, event_id).withColumn("_n", F.row_number().over(w)).where(
         F.col("_n") <= limit
     ).groupBy(key, "_slot").agg(F.max(F.struct(at, event_id)).alias("_last"))
-    return rows.join(last, [key, "_slot"], "inner").withColumn(
+    return join_keys(rows, last, [key, "_slot"]).withColumn(
         "allowed", F.struct(at, event_id) <= F.col("_last")
     ).drop("_slot", "_last")
 

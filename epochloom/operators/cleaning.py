@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions import arrays
 from epochloom.functions.blocks import fold_epochs, map_epochs
-from epochloom.functions.scale import array_sum, attach_row, exact_median, ranked
+from epochloom.functions.scale import array_sum, attach_row, exact_median, join_keys, ranked
 
 MAX_CHANNELS = 64
 
@@ -93,9 +93,9 @@ def rejection(
     ptp = df.select(*scope, epoch_id, F.posexplode(arrays.channel_peak_to_peak(column)).alias("ch", "ptp")).persist()
     keys = [*scope, "ch"]
     centre = exact_median(ptp, keys, "ptp", "med")
-    deviated = ptp.join(centre, keys, "inner").withColumn("dev", F.abs(F.col("ptp") - F.col("med"))).persist()
+    deviated = join_keys(ptp, centre, keys).withColumn("dev", F.abs(F.col("ptp") - F.col("med"))).persist()
     spread = exact_median(deviated, keys, "dev", "mad")
-    scored = deviated.join(spread, keys, "inner").withColumn(
+    scored = join_keys(deviated, spread, keys).withColumn(
         "z", F.col("dev") / (F.lit(1.4826) * (F.col("mad") + F.lit(1e-6)))
     )
     per_epoch = scored.groupBy(*scope, epoch_id).agg(
@@ -104,9 +104,7 @@ def rejection(
     totals = per_epoch.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("_n"), F.bool_or("clean").alias("_any")
     )
-    tagged = (
-        per_epoch.join(totals, scope, "inner") if scope else attach_row(per_epoch, totals)
-    )
+    tagged = join_keys(per_epoch, totals, scope)
     return _with_safety_net(tagged, scope, epoch_id)
 
 

@@ -129,8 +129,15 @@ class RidgeModel:
 
     @classmethod
     def from_rows(cls, rows: DataFrame) -> "RidgeModel":
-        lines = {r["row"]: r["vec"] for r in rows.where("part = 'w'").limit(MAX_FEATURES).collect()}
-        return cls(np.array([lines[i] for i in range(len(lines))]))
+        lines = {r["row"]: r["vec"] for r in rows.where("part = 'w'").toLocalIterator()}
+        return cls(_stacked("w", lines))
+
+
+def _stacked(part: str, lines: dict[int, list[float]]) -> np.ndarray:
+    """The lines of a stored matrix in order; a line that is missing or of another width is an error."""
+    if sorted(lines) != list(range(len(lines))) or len({len(v) for v in lines.values()}) > 1:
+        raise ValueError(f"stored matrix {part} is incomplete")
+    return np.array([lines[i] for i in range(len(lines))])
 
 
 @dataclass
@@ -273,9 +280,9 @@ class MlpModel:
     @classmethod
     def from_rows(cls, rows: DataFrame) -> "MlpModel":
         got: dict[str, dict[int, list[float]]] = {}
-        for r in rows.limit(8 * MAX_FEATURES).collect():
+        for r in rows.toLocalIterator():
             got.setdefault(r["part"], {})[r["row"]] = r["vec"]
-        m = {k: np.array([v[i] for i in range(len(v))]) for k, v in got.items()}
+        m = {k: _stacked(k, v) for k, v in got.items()}
         return cls(m["w1"], m["b1"][0], m["w2"], m["b2"][0], m["x_mean"][0], m["x_scale"][0])
 
     def transform(self, df: DataFrame, x: str = "x", out: str = "emb") -> DataFrame:

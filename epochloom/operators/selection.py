@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from epochloom.functions.scale import ranked
+from epochloom.functions.scale import join_keys, ranked
 
 
 def round_robin(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -49,7 +49,7 @@ def strided_budget(df: DataFrame, groups: Sequence[str], order: Sequence[str], b
     groups = list(groups)
     numbered = ranked(df, groups, list(order), "_rn")
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    joined = numbered.join(sizes, groups, "inner").withColumn("_i", F.col("_rn") - 1)
+    joined = join_keys(numbered, sizes, groups).withColumn("_i", F.col("_rn") - 1)
     step = F.col("_n").cast("double") / F.lit(float(budget))
     guess = F.floor(F.col("_i") / step)
     hit = F.lit(False)

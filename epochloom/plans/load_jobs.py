@@ -16,12 +16,12 @@ LOADER_CLEANING = CleaningConfig(apply_bandpass=False, bad_epoch_threshold_uv=80
 
 def nested_job(
     raw: DataFrame, *, label_field: str = "topic", relevant_only: bool = False, n_times: int = 64,
-    max_rows: int = 400, n_shards: int | None = None,
+    max_rows: int | None = None, n_shards: int | None = None,
 ) -> DataFrame:
-    """Nested-epoch load: filters, per-shard budget, temporal pooling, shard sessions."""
-    rows = selection.shard_budget(
-        usable_epochs(raw, label_field, relevant_only), "shard", "row_index", max_rows, n_shards
-    )
+    """Nested-epoch load: filters, per-shard budget if one is asked for, temporal pooling, shard sessions."""
+    rows = usable_epochs(raw, label_field, relevant_only)
+    if max_rows is not None:
+        rows = selection.shard_budget(rows, "shard", "row_index", max_rows, n_shards)
     subject = F.coalesce(F.nullif(F.col("participant"), F.lit("")), F.lit("unknown"))
     return rows.select(
         F.concat_ws(":", "shard", "row_index").alias("epoch_id"), subject.alias("subject_id"),
@@ -88,11 +88,13 @@ def _clean_and_pool(
 
 def continuous_job(
     signal: DataFrame, recordings: DataFrame, markers: DataFrame, *, key: str = "recording_id",
-    marker_id: str = "marker_id", fs: float, epoch_sec: float = 0.8, per_recording: int = 60,
+    marker_id: str = "marker_id", fs: float, epoch_sec: float = 0.8, per_recording: int | None = None,
     n_channels: int = 32, n_times: int = 64, cfg: CleaningConfig | None = LOADER_CLEANING, max_epochs: int | None = None,
 ) -> DataFrame:
     """Marker-locked load of continuous recordings."""
-    usable = selection.strided_budget(epoching.usable_markers(markers), [key], ["onset", marker_id], per_recording)
+    usable = epoching.usable_markers(markers)
+    if per_recording is not None:
+        usable = selection.strided_budget(usable, [key], ["onset", marker_id], per_recording)
     bounds = epoching.windows(usable, "onset", F.lit(fs), F.lit(int(epoch_sec * fs)))
     inside = epoching.drop_outside(bounds, recordings, key)
     width = max(1, int(epoch_sec * fs))

@@ -1,12 +1,52 @@
 """Session, checkpoint folder and write-folder helpers."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that results depend on, made once for a session."""
+    for key, value in (
+        ("spark.sql.session.timeZone", "UTC"), ("spark.sql.streaming.stateStore.providerClass", STATE_STORE),
+    ):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession, root: str) -> None:
+    """Send the packages below ``root`` to the workers, once for an application.
+
+    Python functions are pickled by module name, so a worker must be able to import the modules, whatever its
+    working folder is.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="spark-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "epochloom_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for top in ("epochloom", "bindings", "corpus_pipeline.py"):
+            for here, _, names in os.walk(os.path.join(root, top)) if not top.endswith(".py") else [(root, [], [top])]:
+                for name in names:
+                    if name.endswith(".py") and os.path.exists(os.path.join(here, name)):
+                        out.write(os.path.join(here, name), os.path.relpath(os.path.join(here, name), root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def local_session(cpus: int | str = 8, app: str = "epochloom") -> SparkSession:
     """A local session for tests and the bench; a cluster supplies its own."""

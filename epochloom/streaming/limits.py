@@ -1,7 +1,9 @@
 """Stateful stream processors: sliding-log rate limit and attempt lockout.
 
-State per key is a short list of times, kept by the state store. A key idle for a
-whole window has its state cleared by an event-time timer.
+Rows wait in the state of their key until the watermark has passed them and are then judged in time
+order, so the verdicts are those of the batch form whatever the order of arrival, for all rows within the
+delay. State per key is the rows still waiting and a short list of times; a key idle for a whole window
+has its state cleared by an event-time timer.
 """
 from __future__ import annotations
 
@@ -10,46 +12,81 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DataType, LongType, StructField, StructType
 
 _TIMES = StructType([StructField("at", LongType())])
 
 
-class _WindowedLog(StatefulProcessor):
-    """Replays a key's events of a micro-batch in time order against its stored log."""
+def _waiting(id_type: DataType) -> StructType:
+    return StructType([StructField("at", LongType()), StructField("event_id", id_type), StructField("ok", BooleanType())])
 
-    def __init__(self, limit: int, width_us: int) -> None:
-        self.limit, self.width_us = limit, width_us
+
+class Ordered(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them; ``settle`` then gets them in order."""
+
+    def __init__(self, id_type: DataType) -> None:
+        self.id_type = id_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.log = handle.getListState("log", _TIMES)
+        self.waiting = handle.getListState("waiting", _waiting(self.id_type))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            ids = batch["event_id"].tolist()
+            new = list(zip(batch["at_us"].astype(int).tolist(), ids, batch["ok"].astype(bool).tolist()))
+            self.waiting.appendList(new)
+            first = min([at for at, _, _ in new] + ([first] if first is not None else []))
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted(r for r in held if r[0] <= passed)
+        left = [r for r in held if r[0] > passed]
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(-(-min(r[0] for r in left) // 1000))
+        else:
+            self.waiting.clear()
+        out = self.settle(ready, passed)
+        if len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+    def settle(self, ready: list[tuple], passed: int) -> pd.DataFrame:
+        raise NotImplementedError
+
+
+class _WindowedLog(Ordered):
+    """Judges a key's rows in time order against its log."""
+
+    def __init__(self, limit: int, width_us: int, id_type: DataType) -> None:
+        super().__init__(id_type)
+        self.limit, self.width_us = limit, width_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.log = handle.getListState("log", _TIMES)
+
+    def settle(self, ready: list[tuple], passed: int) -> pd.DataFrame:
         log = [r[0] for r in self.log.get()] if self.log.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["at_us", "event_id"])
         verdict = []
-        for at, ok in zip(batch["at_us"], batch["ok"]):
+        for at, _, ok in ready:
             log = [x for x in log if at - x < self.width_us]
-            verdict.append(self.judge(log, int(at), bool(ok)))
+            verdict.append(self.judge(log, at, ok))
+        log = [x for x in log if passed - x < self.width_us]
         if log:
             self.log.put([(int(x),) for x in log])
             self.handle.registerTimer((max(log) + self.width_us) // 1000 + 1)
         else:
             self.log.clear()
-        yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "outcome": verdict})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        kept = [r[0] for r in self.log.get() if now - r[0] < self.width_us] if self.log.exists() else []
-        if kept:
-            self.log.put([(x,) for x in kept])
-        else:
-            self.log.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame({"event_id": [r[1] for r in ready], "outcome": verdict})
 
     def judge(self, log: list, at: int, ok: bool) -> str:
         raise NotImplementedError
@@ -74,24 +111,24 @@ class Lockout(_WindowedLog):
         return "failed"
 
 
-def _run(stream: DataFrame, key: str, at: str, event_id: str, ok, processor: StatefulProcessor, delay: str) -> DataFrame:
-    kind = stream.schema[event_id].dataType.simpleString()
+def _run(stream: DataFrame, key: str, at: str, event_id: str, ok, make, delay: str) -> DataFrame:
+    kind = stream.schema[event_id].dataType
+    processor = make(kind)
     rows = stream.withWatermark(at, delay).select(
         F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.unix_micros(at).alias("at_us"),
         F.col(event_id).alias("event_id"), ok.alias("ok"),
     )
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=f"event_id {kind}, outcome string",
+        statefulProcessor=processor, outputStructType=f"event_id {kind.simpleString()}, outcome string",
         outputMode="Append", timeMode="EventTime",
     )
 
 
 def sliding_limit_stream(stream: DataFrame, key: str, at: str, event_id: str, limit: int = 60, width_s: int = 60, delay: str = "1 minute") -> DataFrame:
-    return _run(stream, key, at, event_id, F.lit(True), SlidingLimit(limit, width_s * 1_000_000), delay)
+    return _run(stream, key, at, event_id, F.lit(True), lambda kind: SlidingLimit(limit, width_s * 1_000_000, kind), delay)
 
 
 def lockout_stream(stream: DataFrame, key: str, at: str, event_id: str, succeeded: str, limit: int = 5, width_s: int = 300, delay: str = "5 minutes") -> DataFrame:
-    return _run(stream, key, at, event_id, F.col(succeeded), Lockout(limit, width_s * 1_000_000), delay)
+    return _run(stream, key, at, event_id, F.col(succeeded), lambda kind: Lockout(limit, width_s * 1_000_000, kind), delay)
 
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
