@@ -207,12 +207,13 @@ def r07_stream(spark: SparkSession, sf: str) -> DataFrame:
     return drain(rows, "lockout")
 
 
-@query("r08_revoked_use_stream", """
-SELECT a.event_id, strftime(r.revoked_at, '%Y-%m-%d %H:%M:%S') AS revoked_at FROM v_audit a JOIN v_revocations r ON r.token_id = a.token_id AND r.revoked_at <= a.timestamp AND a.timestamp < r.exp""")
+@query("r08_revoked_use_stream", f"""
+SELECT event_id, CASE WHEN k = 0 THEN true ELSE EXISTS (SELECT 1 FROM v_revocations r WHERE r.token_id = a.token_id AND r.revoked_at <= a.timestamp AND a.timestamp < r.exp) END AS revoked
+FROM v_audit a WHERE k = 0 OR {SETTLED}""")
 def r08(spark: SparkSession, sf: str) -> DataFrame:
-    events = event_stream(spark, sf)
-    used = detections.revoked_use(events, revocations(event_stream(spark, sf)))
-    return drain(used.select("event_id", "revoked_at"), "revoked").select("event_id", stamp("revoked_at"))
+    """Late events and revocations; every event says whether its token was revoked, one without a token is."""
+    events = late_stream(spark, sf).withColumn("token_id", F.when(F.col("k") != 0, F.col("token_id")))
+    return drain(limits.revoked_stream(events, revocations(late_stream(spark, sf)), "token_id", "timestamp", "event_id", LATE), "revoked")
 
 
 CTES["v_peers"] = """

@@ -58,22 +58,3 @@ def unauthorised_bursts(stream: DataFrame, at: str = "timestamp", width: str = "
 def release_failures(stream: DataFrame, at: str = "timestamp", width: str = "15 minutes", threshold: int = 2, delay: str = "15 minutes") -> DataFrame:
     chosen = stream.where(F.col("event_type").isin(*audit.RELEASE_FAILURES))
     return tumbling(chosen, at, ["user_sub", "dataset_id", "event_type"], width, threshold, delay)
-
-
-def revoked_use(
-    events: DataFrame, revocations: DataFrame, token: str = "token_id", at: str = "timestamp", delay: str = "1 hour"
-) -> DataFrame:
-    """Events that used a token while it was revoked: a stream-stream join bounded by expiry.
-
-    Revocation state lives until the watermark passes its expiry, which replaces a
-    fixed number of remembered tokens.
-    """
-    left = events.withWatermark(at, delay).alias("e")
-    right = revocations.withWatermark("revoked_at", delay).alias("r")
-    return left.join(
-        right,
-        (F.col(f"e.{token}") == F.col(f"r.{token}")) & (F.col("r.revoked_at") <= F.col(f"e.{at}"))
-        & (F.col(f"e.{at}") < F.col("r.exp"))
-        & (F.col(f"e.{at}") < F.col("r.revoked_at") + F.expr("INTERVAL 400 DAYS")),
-        "inner",
-    ).select("e.*", F.col("r.revoked_at"), F.col("r.exp"))

@@ -1,4 +1,4 @@
-"""Stateful stream processors: sliding-log rate limit and attempt lockout.
+"""Stateful stream processors: sliding-log rate limit, attempt lockout and token revocation.
 
 Rows wait in the state of their key until the watermark has passed them and are then judged in time
 order, so the verdicts are those of the batch form whatever the order of arrival, for all rows within the
@@ -18,7 +18,9 @@ _TIMES = StructType([StructField("at", LongType())])
 
 
 def _waiting(id_type: DataType) -> StructType:
-    return StructType([StructField("at", LongType()), StructField("event_id", id_type), StructField("ok", BooleanType())])
+    return StructType([
+        StructField("at", LongType()), StructField("event_id", id_type), StructField("ok", BooleanType()), StructField("until", LongType()),
+    ])
 
 
 class Ordered(StatefulProcessor):
@@ -35,9 +37,11 @@ class Ordered(StatefulProcessor):
         first = None
         for batch in rows:
             ids = batch["event_id"].tolist()
-            new = list(zip(batch["at_us"].astype(int).tolist(), ids, batch["ok"].astype(bool).tolist()))
+            # a row that isn't an event has no id; pandas may show that as NaN
+            ids = [None if i is None or i != i else int(i) if isinstance(i, float) else i for i in ids]
+            new = list(zip(batch["at_us"].astype(int).tolist(), ids, batch["ok"].astype(bool).tolist(), batch["until"].astype(int).tolist()))
             self.waiting.appendList(new)
-            first = min([at for at, _, _ in new] + ([first] if first is not None else []))
+            first = min([r[0] for r in new] + ([first] if first is not None else []))
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
         return iter([])
@@ -45,7 +49,7 @@ class Ordered(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted(r for r in held if r[0] <= passed)
+        ready = sorted((r for r in held if r[0] <= passed), key=lambda r: (r[0], r[1] is not None, r[1]))
         left = [r for r in held if r[0] > passed]
         if left:
             self.waiting.put(left)
@@ -77,7 +81,7 @@ class _WindowedLog(Ordered):
     def settle(self, ready: list[tuple], passed: int) -> pd.DataFrame:
         log = [r[0] for r in self.log.get()] if self.log.exists() else []
         verdict = []
-        for at, _, ok in ready:
+        for at, _, ok, _ in ready:
             log = [x for x in log if at - x < self.width_us]
             verdict.append(self.judge(log, at, ok))
         log = [x for x in log if passed - x < self.width_us]
@@ -111,12 +115,36 @@ class Lockout(_WindowedLog):
         return "failed"
 
 
+class Revocation(Ordered):
+    """Tells of each event whether its token is revoked; keeps one expiry for each token, until it is over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.until = handle.getListState("until", _TIMES)
+
+    def settle(self, ready: list[tuple], passed: int) -> pd.DataFrame:
+        until = max([r[0] for r in self.until.get()] if self.until.exists() else [0])
+        ids, revoked = [], []
+        for at, event_id, _, expiry in ready:  # a revocation stands before the events of its own time
+            if event_id is None:
+                until = max(until, expiry)
+            else:
+                ids.append(event_id)
+                revoked.append(at < until)
+        if until > passed:
+            self.until.put([(int(until),)])
+            self.handle.registerTimer(until // 1000 + 1)
+        else:
+            self.until.clear()
+        return pd.DataFrame({"event_id": ids, "revoked": revoked})
+
+
 def _run(stream: DataFrame, key: str, at: str, event_id: str, ok, make, delay: str) -> DataFrame:
     kind = stream.schema[event_id].dataType
     processor = make(kind)
     rows = stream.withWatermark(at, delay).select(
         F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.unix_micros(at).alias("at_us"),
-        F.col(event_id).alias("event_id"), ok.alias("ok"),
+        F.col(event_id).alias("event_id"), ok.alias("ok"), F.lit(0).cast("long").alias("until"),
     )
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=f"event_id {kind.simpleString()}, outcome string",
@@ -132,3 +160,20 @@ def lockout_stream(stream: DataFrame, key: str, at: str, event_id: str, succeede
     return _run(stream, key, at, event_id, F.col(succeeded), lambda kind: Lockout(limit, width_s * 1_000_000, kind), delay)
 
 
+def revoked_stream(events: DataFrame, revocations: DataFrame, token: str, at: str, event_id: str, delay: str = "1 hour") -> DataFrame:
+    """``event_id, revoked`` as in batch: the latest expiry among the revocations made so far decides.
+
+    Tokens may live for any time. An event without a token counts as revoked, at once and without state.
+    """
+    named = F.coalesce(F.col(token), F.lit("")) != ""
+    kind = events.schema[event_id].dataType
+    rows = events.where(named).select(
+        F.col(token).alias("key"), F.col(at).alias("at"), F.col(event_id).alias("event_id"), F.lit(0).cast("long").alias("until")
+    ).unionByName(revocations.select(
+        F.col(token).alias("key"), F.col("revoked_at").alias("at"), F.lit(None).cast(kind).alias("event_id"), F.unix_micros("exp").alias("until")
+    )).withWatermark("at", delay).select("key", "at", F.unix_micros("at").alias("at_us"), "event_id", F.lit(True).alias("ok"), "until")
+    judged = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Revocation(kind), outputStructType=f"event_id {kind.simpleString()}, revoked boolean",
+        outputMode="Append", timeMode="EventTime",
+    )
+    return judged.unionByName(events.where(~named).select("event_id", F.lit(True).alias("revoked")))
