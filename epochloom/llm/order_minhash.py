@@ -109,10 +109,13 @@ def occurrences(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(labels: np.ndarray, params: Params) -> np.ndarray:
-    """One value for each table; none for texts too short to be linked to a different one."""
+    """One value for each table; one in all for a text of so few shingles that only equal ones can be linked."""
     k = params.sample
     if len(labels) <= k:
-        return np.zeros(0, np.int64)
+        value = np.full(min(1, len(labels)), len(labels), np.uint64)
+        for label in labels:
+            value = _mix(value + label)
+        return value.view(np.int64)
     seeds = _mix(np.arange(1, params.tables + 1, dtype=np.uint64) * _MULT)
     drawn = (labels[None, :] ^ seeds[:, None]) * _MULT
     drawn ^= drawn >> np.uint64(29)
@@ -382,13 +385,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     first = labelled.groupBy("cls").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.*")
     copies = labelled.groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n"))
     first = saved(first.join(copies, (first.fp == copies.fp) & first.doc_id.eqNullSafe(copies.doc_id)).select(
-        first.fp.alias("_fp"), first.doc_id.alias("_id"), "n"
+        first.fp.alias(fresh(docs, "first_fp")), first.doc_id.alias(fresh(docs, "first_id")), "n"
     ), "first")
-    fp, same = fresh(docs, "fp"), fresh(docs, "id")
+    fp, same = fresh(docs, "own_fp"), fresh(docs, "own_id")
     rows = docs.withColumn(fp, F.unhex(F.md5(text_of(text_col)))).withColumn(same, F.col(id_col).cast("long"))
-    match = lambda reps: (F.col(fp) == reps["_fp"]) & F.col(same).eqNullSafe(reps["_id"])
-    alone, repeated = first.filter("n = 1"), first.filter("n > 1")
-    once = rows.join(alone, match(alone), "left_semi")
+    match = (F.col(fp) == F.col(first.columns[0])) & F.col(same).eqNullSafe(F.col(first.columns[1]))
+    once = rows.join(first.filter("n = 1").drop("n"), match, "left_semi")
     # rows that repeat both id and text: one of them stays
-    again = rows.join(repeated, match(repeated), "left_semi").dropDuplicates([fp, same])
+    again = rows.join(first.filter("n > 1").drop("n"), match, "left_semi").dropDuplicates([fp, same])
     return once.unionByName(again).drop(fp, same)

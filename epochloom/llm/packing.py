@@ -205,11 +205,12 @@ class _Exchange:
                     changed = True
                     continue
                 break
+            if changed:
+                stuck.clear()  # other bins have changed as well
             if self.bins[low]:
                 stuck.add(low)
             else:
                 held -= 1
-                stuck.clear()
             if not changed and len(stuck) > 32:
                 break
         return [b for b in self.bins if b]

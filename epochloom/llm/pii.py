@@ -148,7 +148,8 @@ class Traced:
         begin = src if changed else src + (start - at)
         at, src, changed, stop = self.stretches[last]
         finish = stop if changed else src + (end - at)
-        return begin, finish, any(self.stretches[k][2] for k in range(first, last + 1))
+        # characters that were dropped leave no stretch, but make the source span longer
+        return begin, finish, finish - begin != end - start or any(self.stretches[k][2] for k in range(first, last + 1))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> "Traced":
         """Replace spans of this text, in order; every edit becomes one stretch."""
