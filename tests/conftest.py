@@ -2,12 +2,12 @@ from __future__ import annotations
 
 import pytest
 
-from epochloom.session import local_session
+from epochloom.session import local_session, prepare
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests")
+    session = prepare(local_session(4, "tests"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from statistics import median
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from epochloom.functions import scale
 from epochloom.operators import audit, selection, splits
@@ -130,3 +130,37 @@ def test_small_side_falls_back_to_a_shuffle_join(spark):
     assert scale.fits(df, 50) and not scale.fits(df, 49)
     plan = spark.range(10).join(scale.small_side(df, 49), "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan.lower()
+
+
+@pytest.mark.parametrize("rows", [9_000, 12_000])
+def test_null_order_and_null_keys_on_both_sides_of_the_switch(spark, rows, monkeypatch):
+    monkeypatch.setattr(scale, "SMALL_ROWS", 10_000)
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("g"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("x"), "id"
+    )
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("x", "id")).cast("long"))
+    got = scale.ranked(df, ["g"], ["x", "id"], "n")
+    assert got.exceptAll(want).isEmpty() and got.count() == rows
+    medians = {r.g: r.m for r in scale.exact_median(df, ["g"], "x", "m").collect()}
+    assert medians == {r.g: r.m for r in df.groupBy("g").agg(F.median("x").alias("m")).collect()} and None in medians
+
+
+def test_prefix_max_keeps_null_keys(spark):
+    probe = spark.createDataFrame([(None, 5, "a"), (1, 5, "b"), (1, None, "c"), (2, 5, "d")], "k int, t int, name string")
+    base = spark.createDataFrame([(None, 1, 10), (1, 4, 20), (1, None, 99), (1, 6, 30)], "k int, u int, v int")
+    got = {r.name: r.m for r in scale.prefix_max(probe, base, ["k"], "t", "u", "v", "m", inclusive=False).collect()}
+    assert got == {"a": 10, "b": 20, "c": None, "d": None}
+
+
+def test_numbers_are_padded_and_never_cut(spark):
+    from epochloom.functions import paths
+
+    rows = spark.createDataFrame([(1,), (10,), (1000,), (None,)], "n int")
+    assert [r.s for r in rows.select(paths.numbered("sub-", "n", 2).alias("s")).collect()] == ["sub-01", "sub-10", "sub-1000", None]
+
+
+def test_budget_keeps_groups_without_a_name(spark):
+    from epochloom.operators.selection import strided_budget
+
+    rows = spark.createDataFrame([(None, k) for k in range(3)] + [(1, k) for k in range(3)], "g int, k int")
+    assert strided_budget(rows, ["g"], ["k"], 5).count() == 6
