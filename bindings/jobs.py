@@ -143,7 +143,7 @@ def c07(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c08_batch_decode")
 def c08(spark: SparkSession, sf: str) -> DataFrame:
-    """Every epoch decoded by a fitted model; results and rejects in one table."""
+    """Every epoch decoded by the untrained projection; results and rejects in one table."""
     onto = v.ontology(spark, sf)
     model = encoders.random_projection(spark, v.WIDTH, 64)
     good, bad = decode.decode(v.epochs(spark, sf).select("epoch_id", "eeg"), model, v.vocabulary(spark, sf, onto), onto, width=v.WIDTH)

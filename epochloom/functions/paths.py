@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 from epochloom.functions.arrays import Col, _c
 from epochloom.functions.text import non_empty
 
-# Accepted extensions, folder and script names left out of a release.
+# Accepted extensions, the traversal pattern, folder and script names left out of a release.
 ALLOWED_EXTENSIONS = (".bdf", ".edf", ".fif", ".parquet", ".npy", ".npz", ".csv")
 TRAVERSAL = (
     r"(?i)(?:\.\.(?:[\\/]|\z)|%(?:25)?2e%(?:25)?2e(?:%(?:25)?2f|%(?:25)?5c|[\\/]|\z))"

@@ -11,8 +11,6 @@ from epochloom.functions import arrays
 from epochloom.functions.blocks import fold_epochs, map_epochs
 from epochloom.functions.scale import array_sum, attach_row, exact_median, join_keys, ranked
 
-MAX_CHANNELS = 64
-
 
 @dataclass(frozen=True)
 class CleaningConfig:
@@ -151,8 +149,6 @@ def component_basis(df: DataFrame, column: str = "eeg") -> np.ndarray:
 
     def step(total: dict, x: np.ndarray) -> dict:
         c = x.shape[1]
-        if c > MAX_CHANNELS:
-            raise ValueError("component removal needs at most 64 channels; pool them first")
         total[c] = total.get(c, 0.0) + np.einsum("nct,ndt->cd", x, x)
         return total
 
@@ -193,7 +189,10 @@ def component_kurtosis(df: DataFrame, basis: np.ndarray, column: str = "eeg") ->
 def remove_components(
     df: DataFrame, column: str = "eeg", out: str = "eeg", n_components: int = 8, drop_top: int = 1
 ) -> DataFrame:
-    """Project away the components of largest absolute excess kurtosis."""
+    """Project away the components of largest absolute excess kurtosis.
+
+    The basis is that of all given epochs, whatever scope their rejection had.
+    """
     basis = component_basis(df, column)
     n_components = max(2, min(n_components, basis.shape[0]))
     kurtosis = np.abs(component_kurtosis(df, basis[:, :n_components], column))

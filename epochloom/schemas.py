@@ -84,6 +84,7 @@ CVE = struct(
     cve=S, package=S, severity=S, kev=B, status=S, source=S, note=S, snapshot_date=S
 )
 
+# The fields of an audit event.
 AUDIT = T.StructType([
     T.StructField(name, kind) for name, kind in (
         ("event_type", S), ("timestamp", T.TimestampType()), ("correlation_id", S),

@@ -185,3 +185,27 @@ def test_structured_epochs_beat_the_controls(spark):
     assert model.weights.shape == (16, 32)
     local = train.fold_local_report(df, train.TrainConfig(width=16, dim=16, ridge=0.1)).head()
     assert local.top1 > 0.9 and local.n_folds == 4
+
+
+def test_components_of_many_channels(spark):
+    import numpy as np
+
+    from epochloom.operators import cleaning
+
+    draw = np.random.default_rng(1)
+    rows = [(k, draw.normal(size=(128, 16)).tolist()) for k in range(6)]
+    df = spark.createDataFrame(rows, "epoch_id int, eeg array<array<double>>")
+    basis = cleaning.component_basis(df)
+    assert basis.shape == (128, 128) and np.allclose(basis.T @ basis, np.eye(128), atol=1e-6)
+
+
+def test_wide_weights_load_whole(spark):
+    import numpy as np
+
+    from epochloom.operators.encoders import RidgeModel
+
+    model = RidgeModel(np.arange(10_000.0).reshape(5_000, 2))
+    rows = model.to_rows(spark, "m")
+    assert (RidgeModel.from_rows(rows).weights == model.weights).all()
+    with pytest.raises(ValueError):
+        RidgeModel.from_rows(rows.where("row <> 17"))
