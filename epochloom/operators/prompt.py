@@ -29,10 +29,15 @@ def oversized_requests(
 ) -> DataFrame:
     """Requests whose attributes and conflicts alone pass the size policy.
 
-    Found by summing lengths, so such a prompt is refused without being collected.
+    Found by summing lengths, so such a prompt is refused without being collected. As in the prompt, accepted
+    rows of the subject's own concept don't count.
     """
+    subject = resolved.where(F.col("status") == "accepted").groupBy(request).agg(
+        F.min(F.struct("seq", "concept_id")).getField("concept_id").alias("_subject")
+    )
+    own = (F.col("status") == "accepted") & F.col("concept_id").eqNullSafe(F.col("_subject"))
     attribute = F.octet_length(F.to_json(F.struct("concept_id", "operator", "label", "provenance")))
-    sizes = resolved.select(request, attribute.cast("long").alias("_b")).unionByName(
+    sizes = resolved.join(subject, request, "left").where(~F.coalesce(own, F.lit(False))).select(request, attribute.cast("long").alias("_b")).unionByName(
         edges.where(F.col("relation") == "CONFLICTS_WITH").select(
             request, F.octet_length("target").cast("long").alias("_b")
         )
