@@ -1,8 +1,9 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
 The index holds the test items, in blocks of ``block_items``; impacts are BM25 contributions over the
-item's score for itself, so a threshold means the same for every item. Passages are all windows of
-``passage_words`` words, half overlapping. Retrieval returns every (passage, item) at or above the threshold
+item's score for itself, so a threshold means the same for every item. Words are runs of word signs, and single
+signs in scripts without spaces, for items and texts alike. Passages are all windows of ``passage_words`` words,
+half overlapping. Retrieval returns every (passage, item) at or above the threshold
 and skips as block-max WAND does: the terms of most items are left out as long as the sum of their maxima
 cannot close the gap, the block maxima of the other terms tell which blocks could reach the threshold, and
 postings are read for those blocks only. All passages of a batch take each step together.
@@ -22,7 +23,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,9 +31,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from epochloom.llm.common import fresh, text_of
 
-WORD = re.compile(r"\w+")
+#: Signs of scripts without spaces (Thai to Khmer, kana, ideographs), each of which is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
-#: Signs that may follow or precede a word in running text.
+#: Signs that often follow or precede a word in running text; a token with one of each at most is looked up as it is.
 AFTER = (".", ",", ";", ":", "!", "?", ")", '"', "'")
 BEFORE = ("(", '"', "'")
 
@@ -80,7 +82,8 @@ class Index:
         self.ids = [i[0] for i in items]
         self.parts = [(WORD.findall(i[1].lower()), WORD.findall(i[2].lower())) if i[2] is not None else split_item(i[1]) for i in items]
         words = [q + a for q, a in self.parts]
-        vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.terms = sorted({w for ws in words for w in ws})
+        vocabulary = {w: k for k, w in enumerate(self.terms)}
         n = max(1, len(words))
         self.blocks = -(-n // params.block_items)
         lengths = np.array([len(w) for w in words], float)
@@ -124,18 +127,30 @@ class Index:
         self.lookup = {b + w + a: k for w, k in vocabulary.items() for a in ("", *AFTER) for b in ("", *BEFORE)}
         self.grams = [(ngrams(q, params.ngram) if q else set(), ngrams(a, params.ngram) if a else set(), ngrams(q + a, params.ngram) if q or a else set()) for q, a in self.parts]
 
+    def terms_of(self, text: str) -> list[int]:
+        """The term of each word of ``text``, -1 for words that no item has."""
+        known, out = self.lookup, []
+        for token in text.lower().split():
+            term = known.get(token)
+            if term is not None:
+                out.append(term)
+            elif token.isascii() and token.isalnum():
+                out.append(-1)
+            else:
+                out += [known.get(w, -1) for w in WORD.findall(token)]
+        return out
+
     def retrieve(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
         """``(text, passage, item, score)`` of every passage and item at or above the threshold."""
         half, theta, vocab = self.params.passage_words // 2, self.params.threshold, len(self.term_max)
         terms, slots, starts, base = [], [], [], 0
         for text in texts:
-            words = text.lower().split()
-            ids = np.fromiter(map(self.lookup.get, words, repeat(-1)), np.int64, len(words))
+            ids = np.array(self.terms_of(text), np.int64)
             at = np.flatnonzero(ids >= 0)
             terms.append(ids[at])
             slots.append(base + at // half)
             starts.append(base)
-            base += max(1, -(-len(words) // half)) + 1  # an empty half parts a text from the next
+            base += max(1, -(-len(ids) // half)) + 1  # an empty half parts a text from the next
         starts = np.array(starts)
         pair = np.unique(np.concatenate(slots) * vocab + np.concatenate(terms)) if vocab else np.zeros(0, np.int64)
         if not len(pair):
@@ -194,9 +209,9 @@ class Index:
         split: dict[int, list[str]] = {}
         for k, place, item, score in self.retrieve(texts):
             if k not in split:
-                split[k] = texts[k].lower().split()
+                split[k] = WORD.findall(texts[k].lower())
             begin = max(0, (place - 2) * half)
-            words = WORD.findall(" ".join(split[k][begin : (place + 4) * half]))
+            words = split[k][begin : (place + 4) * half]
             n, have = self.params.ngram, {}
             for size in {min(n, len(g)) for part in self.grams[item] for g in list(part)[:1]}:
                 have[size] = ngrams(words, size) if len(words) >= size else set()

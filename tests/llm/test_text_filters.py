@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -107,6 +108,35 @@ def test_retrieval_equals_brute_force(dense, monkeypatch):
     assert got == sorted(want) and want
 
 
+@pytest.mark.parametrize("join", ["|", "-", "** **", '":"', "...", "» «", "!! "])
+def test_punctuated_leaks_are_retrieved(join):
+    draw = random.Random(14)
+    items = [(k, " ".join(invented(draw, draw.randint(20, 60))), None) for k in range(40)]
+    index = decontaminate.Index(items, decontaminate.Params())
+    texts = [join.join(invented(draw, 70) + items[k][1].split() + invented(draw, 50)) for k in range(0, 40, 5)]
+    want = []
+    for k, text in enumerate(texts):
+        words = re.findall(r"\w+", text.lower())
+        for place in range(max(1, -(-len(words) // 32))):
+            inside = set(words[place * 32 : place * 32 + 64])
+            scores: Counter = Counter()
+            for t, i, v in zip(index.term, index.item, index.impact):
+                if index.terms[t] in inside:
+                    scores[int(i)] += v
+            want += [(k, place, i, round(v, 9)) for i, v in scores.items() if v >= 0.3]
+    assert sorted((a, b, c, round(s, 9)) for a, b, c, s in index.retrieve(texts)) == sorted(want)
+    assert all(5 * k in {row[0] for row in rows} for k, rows in enumerate(index.search(texts)))
+
+
+def test_leaks_without_spaces_are_found():
+    draw = random.Random(15)
+    signs = lambda n: "".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    items = [(k, signs(40) + "。" + signs(12), None) for k in range(10)]
+    index = decontaminate.Index(items, decontaminate.Params())
+    got = index.search([signs(90) + items[3][1].replace("。", "") + signs(90), signs(300), '{"問":"' + items[6][1] + '"}'])
+    assert [[row[0] for row in rows] for rows in got] == [[3], [], [6]]
+
+
 def test_leaks_and_clean(spark, docs_of):
     draw = random.Random(5)
     items = [" ".join(invented(draw, 30)) + ". " + " ".join(invented(draw, 12)) + "." for _ in range(12)]
