@@ -2,13 +2,15 @@
 
 The index holds the test items, in blocks of ``block_items``; impacts are BM25 contributions over the
 item's score for itself, so a threshold means the same for every item. Words are runs of word signs, and single
-signs in scripts without spaces, for items and texts alike. Passages are all windows of ``passage_words`` words,
+signs in scripts without spaces, for items and texts alike. An item of more than ``passage_words`` words has several
+entries of that length, half overlapping, so it is retrieved by any part. Passages are all windows of ``passage_words`` words,
 half overlapping. Retrieval returns every (passage, item) at or above the threshold
 and skips as block-max WAND does: the terms of most items are left out as long as the sum of their maxima
 cannot close the gap, the block maxima of the other terms tell which blocks could reach the threshold, and
 postings are read for those blocks only. All passages of a batch take each step together.
 
-A retrieved item is verified on the passage and its neighbours: the share of the item's word n-grams that
+A retrieved item is verified on the passage and what lies within a passage, or the item's length if that is more,
+on both sides: the share of the item's word n-grams that
 occur there, for the question and the answer apart. The item counts as leaked if ``overlap`` of all its n-grams
 are found; ``part`` says whether question, answer or both reach ``overlap``. Where the test items have no answer
 column, the answer is the last sentence, or the last quarter of a single sentence.
@@ -16,11 +18,12 @@ column, the answer is the last sentence, or the last quarter of a single sentenc
 Defined cases: a null or empty text has no passages; a text of any length is searched whole; items without words
 match nothing; null or equal ids keep their rows (one for each item found in a row); an empty benchmark or an
 empty table finds nothing; further columns are kept by ``clean`` and ignored by ``leaks``. Benchmarks of more than
-``slice_items`` items are searched slice by slice, so the broadcast index stays bounded.
+``slice_items`` entries are searched slice by slice, so the broadcast index stays bounded.
 """
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,6 +70,13 @@ def ngrams(words: list[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
 
 
+def entries(words: int, size: int) -> list[tuple[int, int]]:
+    """Cuts of an item of so many words into index entries of at most ``size`` words, half overlapping."""
+    if words <= size:
+        return [(0, words)]
+    return [(k, k + size) for k in range(0, words - size, max(1, size // 2))] + [(words - size, words)]
+
+
 def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Concatenated ranges ``start, start + 1, ...`` of the given lengths."""
     total = int(counts.sum())
@@ -81,7 +91,11 @@ class Index:
         self.params = params
         self.ids = [i[0] for i in items]
         self.parts = [(WORD.findall(i[1].lower()), WORD.findall(i[2].lower())) if i[2] is not None else split_item(i[1]) for i in items]
-        words = [q + a for q, a in self.parts]
+        whole = [q + a for q, a in self.parts]
+        cuts = [entries(len(w), params.passage_words) for w in whole]
+        #: The item of each entry.
+        self.owner = np.repeat(np.arange(len(whole)), [len(c) for c in cuts])
+        words = [w[a:b] for w, c in zip(whole, cuts) for a, b in c]
         self.terms = sorted({w for ws in words for w in ws})
         vocabulary = {w: k for k, w in enumerate(self.terms)}
         n = max(1, len(words))
@@ -141,7 +155,7 @@ class Index:
         return out
 
     def retrieve(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
-        """``(text, passage, item, score)`` of every passage and item at or above the threshold."""
+        """``(text, passage, entry, score)`` of every passage and entry at or above the threshold."""
         half, theta, vocab = self.params.passage_words // 2, self.params.threshold, len(self.term_max)
         terms, slots, starts, base = [], [], [], 0
         for text in texts:
@@ -195,7 +209,7 @@ class Index:
         at, which = at[ok], which[ok]
         counts = self.cell_start[at + 1] - self.cell_start[at]
         posting = _expand(self.cell_start[at], counts)
-        n = len(self.ids)
+        n = len(self.owner)
         hits, inverse = np.unique((keys[np.repeat(which, counts)] // self.blocks) * n + self.item[posting], return_inverse=True)
         score = np.bincount(inverse, self.impact[posting], len(hits))
         kept = np.flatnonzero(score >= theta - 1e-12)
@@ -205,26 +219,58 @@ class Index:
 
     def search(self, texts: list[str]) -> list[list[tuple]]:
         """For each text its leaked items: ``(item_id, part, score, question, answer, all, first word)``."""
-        half, found = self.params.passage_words // 2, [dict() for _ in texts]
-        split: dict[int, list[str]] = {}
-        for k, place, item, score in self.retrieve(texts):
-            if k not in split:
-                split[k] = WORD.findall(texts[k].lower())
-            begin = max(0, (place - 2) * half)
-            words = split[k][begin : (place + 4) * half]
-            n, have = self.params.ngram, {}
-            for size in {min(n, len(g)) for part in self.grams[item] for g in list(part)[:1]}:
-                have[size] = ngrams(words, size) if len(words) >= size else set()
-            shares = [
-                len(part & have[len(next(iter(part)))]) / len(part) if part else 0.0 for part in self.grams[item]
-            ]
+        hits: list[dict[int, dict[int, float]]] = [{} for _ in texts]
+        for k, place, entry, score in self.retrieve(texts):
+            places = hits[k].setdefault(int(self.owner[entry]), {})
+            places[place] = max(score, places.get(place, 0.0))
+        found = []
+        for text, items in zip(texts, hits):
+            words = WORD.findall(text.lower()) if items else []
+            rows = [self.verify(words, item, items[item]) for item in sorted(items)]
+            found.append([row for row in rows if row is not None])
+        return found
+
+    def verify(self, words: list[str], item: int, places: dict[int, float]) -> tuple | None:
+        """The best span of ``words`` that leaks ``item``, if any; a span is a passage and the item's length around it."""
+        half, parts = self.params.passage_words // 2, self.grams[item]
+        around = max(2 * half, sum(map(len, self.parts[item])))
+        sizes = {len(next(iter(part))) for part in parts if part}
+        last: dict[int, int] = dict.fromkeys(sizes, 0)
+        seen: dict[int, list[tuple]] = {size: [] for size in sizes}  # n-grams of the item by place, those of open spans
+        dropped = dict.fromkeys(sizes, 0)
+        inside: dict[int, Counter] = {size: Counter() for size in sizes}
+        count = [0, 0, 0]
+        of_size = {size: [(k, part) for k, part in enumerate(parts) if part and len(next(iter(part))) == size] for size in sizes}
+        best = None
+        for place in sorted(places):
+            begin, end = max(0, place * half - around), min(len(words), (place + 2) * half + around)
+            for size in sizes:
+                held, kept = inside[size], seen[size]
+                for at in range(max(begin, last[size]), end - size + 1):
+                    gram = tuple(words[at : at + size])
+                    owners = [k for k, part in of_size[size] if gram in part]
+                    if owners:
+                        kept.append((at, gram, owners))
+                        held[gram] += 1
+                        if held[gram] == 1:
+                            for k in owners:
+                                count[k] += 1
+                last[size] = max(last[size], end - size + 1)
+                while dropped[size] < len(kept) and kept[dropped[size]][0] < begin:
+                    _, gram, owners = kept[dropped[size]]
+                    dropped[size] += 1
+                    held[gram] -= 1
+                    if not held[gram]:
+                        for k in owners:
+                            count[k] -= 1
+            shares = [n / len(part) if part else 0.0 for n, part in zip(count, parts)]
             if shares[2] < self.params.overlap:
                 continue
-            row = (self.ids[item], "both" if min(shares[:2]) >= self.params.overlap else "question" if shares[0] >= shares[1] else "answer", score, *shares, begin)
-            old = found[k].get(item)
-            if old is None or (row[5], row[2]) > (old[5], old[2]):
-                found[k][item] = row
-        return [[rows[i] for i in sorted(rows)] for rows in found]
+            part = "both" if min(shares[:2]) >= self.params.overlap else "question" if shares[0] >= shares[1] else "answer"
+            row = (self.ids[item], part, places[place], *shares, begin)
+            if best is None or (row[5], row[2]) > (best[5], best[2]):
+                best = row
+        return best
 
 
 FOUND = "doc_id long, item_id long, part string, score double, question_overlap double, answer_overlap double, item_overlap double, first_word long"
@@ -234,12 +280,13 @@ DENSE = 4_000_000
 
 
 def slices(bench: DataFrame, id_col: str, text_col: str, answer_col: str | None, params: Params) -> Iterator[Index]:
-    """Indexes of at most ``slice_items`` items each."""
+    """Indexes of about ``slice_items`` entries each at most, or of one item."""
     rows = bench.select(
         F.col(id_col).cast("long").alias("item_id"), text_of(text_col).alias("text"),
         (text_of(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"),
     )
-    count = rows.count()
+    words = sum((F.regexp_count(c, F.lit(f"(?U){WORD.pattern}")) for c in (F.col("text"), F.coalesce("answer", F.lit("")))), F.lit(0))
+    count = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(words * 2 / params.passage_words) - 1))).first()[0] or 0
     cuts = max(1, -(-count // params.slice_items))
     for k in range(cuts):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == k) if cuts > 1 else rows

@@ -137,6 +137,24 @@ def test_leaks_without_spaces_are_found():
     assert [[row[0] for row in rows] for rows in got] == [[3], [], [6]]
 
 
+@pytest.mark.parametrize("length", [64, 65, 250, 600, 3_000])
+def test_long_items_are_found(spark, docs_of, length):
+    draw = random.Random(length)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(length - 20) + ". " + text(20) + "." for _ in range(4)]
+    words = items[2].split()
+    rows = [
+        (1, text(77) + " " + items[1] + " " + text(150)), (2, text(400)), (3, " ".join(words[: int(0.7 * length)]) + " " + text(90)),
+        (4, text(10) + " " + " ".join(words[: length // 3]) + " " + text(30)), (5, text(41) + " " + " ".join(words[-int(0.6 * length) :])),
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for params in (decontaminate.Params(), decontaminate.Params(slice_items=5)):
+        found = decontaminate.leaks(docs_of(rows), bench, params=params).collect()
+        assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (3, 2), (5, 2)]
+        assert [(r.part, r.item_overlap) for r in found if r.doc_id == 1] == [("both", 1.0)]
+
+
 def test_leaks_and_clean(spark, docs_of):
     draw = random.Random(5)
     items = [" ".join(invented(draw, 30)) + ". " + " ".join(invented(draw, 12)) + "." for _ in range(12)]
