@@ -7,25 +7,25 @@ in that order, which follows edit similarity and not just the set of shingles. T
 the aligned sequences: ``m / (n1 + n2 - m)`` for ``m`` shingles matched in order; two texts are linked
 where it is at least ``similarity``. A banded alignment gives ``m`` exactly whenever a link is possible.
 
-1. One row for each different text, with signatures and a sketch of 64 bin minima.
+1. One row for each different sequence of shingles, with signatures and a sketch of 64 bin minima.
 2. Texts that share a signature are compared by sketch, inside their buckets. A bucket over ``most`` texts is
-   dealt again by pairs and then triples of signatures, so unrelated texts that only share a passage part;
-   what is still over ``most`` is compared block against block. No bucket is cut off.
+   compared block against block, whole. No bucket is cut off.
 3. Texts whose sketches agree make families (connected components). A family over ``most`` texts is cut into
    blocks, and every pair of blocks is a task of its own.
 4. Within a family, texts that aren't yet connected are aligned; links that join two classes are kept.
 
-At the threshold a pair shares one of 16 signatures with probability 1 - 1e-5, two of them with 1 - 2e-4.
-Work on links is linear in the texts, but for families of more than ``most`` different texts that all
-resemble each other, where it grows with the square of their number over ``most``.
+At the threshold a pair shares one of 16 signatures with probability 1 - 1e-5, whatever the size of its buckets.
+Work is linear in the texts, but for buckets of more than ``most`` texts that share a passage and families of more
+than ``most`` that all resemble each other, where it grows with the square of their number over ``most``.
 
-Defined cases: a null text counts as empty; equal texts (so all empty ones) are one class; texts under five
-words are one shingle, so they only join texts with the same words; repeated rows, equal or null ids all get a
+Defined cases: a null text counts as empty; equal texts (so all empty ones) are one class, and so
+are texts with the same words in the same order; texts under five words are one shingle, so they only join such; repeated rows, equal or null ids all get a
 row; an empty table gives an empty result; further columns are ignored. A class is named by its
 smallest document id.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -139,17 +139,19 @@ def sketch(labels: np.ndarray) -> np.ndarray:
 
 
 def _sketched(params: Params):
-    names = ["doc_id", "fp", "sigs", "sketch"]
+    names = ["doc_id", "fp", "seq", "sigs", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, sketches = [], []
-            for text in batch.column(2):
-                labels = occurrences(shingle_hashes(text.as_py(), params.words))
+            seqs, sigs, sketches = [], [], []
+            for fp, text in zip(batch.column(1), batch.column(2)):
+                hashes = shingle_hashes(text.as_py(), params.words)
+                seqs.append(hashlib.md5(hashes.tobytes()).digest() if len(hashes) else fp.as_py())
+                labels = occurrences(hashes)
                 sigs.append(signatures(labels, params))
                 sketches.append(sketch(labels).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names
+                [batch.column(0), batch.column(1), pa.array(seqs, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names
             )
 
     return run
@@ -322,27 +324,9 @@ def _grouped(rows: DataFrame, columns: list[str], work) -> DataFrame:
 
 def kin(texts: DataFrame, params: Params) -> DataFrame:
     """Pairs ``a, b`` of texts whose sketches agree, from the buckets of their signatures."""
-    spark = texts.sparkSession
-    bucket = texts.select("uid", F.posexplode("sigs").alias("last", "bucket"))
-    found = []
-    for level in (1, 2, 3):
-        rows = bucket if level == 1 else saved(bucket, "buckets")
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        shared = saved(rows.join(sizes, "bucket"), "shared")
-        whole = shared if level == 3 else shared.filter(F.col("size") <= params.most)
-        found.append(in_blocks(whole.select("bucket", "uid", "size"), "bucket", "size", params.most))
-        over = shared.filter(F.col("size") > params.most)
-        if level == 3 or over.isEmpty():
-            break
-        later = F.filter(
-            F.transform("sigs", lambda s, k: F.struct(k.alias("last"), s.alias("sig"))), lambda x: x["last"] > F.col("last")
-        )
-        bucket = over.select("uid", "bucket", "last").join(texts.select("uid", "sigs"), "uid").select(
-            "uid", "bucket", F.explode(later).alias("next")
-        ).select("uid", F.col("next.last").alias("last"), F.xxhash64("bucket", "next.sig").alias("bucket"))
-    dealt = found[0]
-    for more in found[1:]:
-        dealt = dealt.unionByName(more)
+    bucket = texts.select("uid", F.explode("sigs").alias("bucket"))
+    sizes = bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    dealt = in_blocks(bucket.join(sizes, "bucket"), "bucket", "size", params.most)
     rows = dealt.select("bucket", "first", "second", "uid").join(texts.select("uid", "sketch"), "uid")
     return _grouped(rows, ["bucket", "first", "second"], _kin)
 
@@ -353,10 +337,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, params: Params) -> Dat
         F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_of(text_col))).alias("fp"), text_of(text_col).alias("text")
     )
     all_rows = saved(
-        rows.mapInArrow(_sketched(params), "doc_id long, fp binary, sigs array<long>, sketch binary"), "sketches"
+        rows.mapInArrow(_sketched(params), "doc_id long, fp binary, seq binary, sigs array<long>, sketch binary"), "sketches"
     )
     texts = saved(
-        all_rows.groupBy("fp").agg(F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")).withColumn(
+        all_rows.groupBy("seq").agg(F.min("fp").alias("fp"), F.first("sigs").alias("sigs"), F.first("sketch").alias("sketch")).withColumn(
             "uid", F.monotonically_increasing_id()
         ), "texts",
     )
@@ -368,8 +352,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, params: Params) -> Dat
     dealt = in_blocks(members.join(one_each, "fp").select("component", "size", "uid", "sketch", "text"), "component", "size", params.most)
     links = _grouped(dealt.drop("size"), ["component", "first", "second"], _linked(params))
     classes = components(links).withColumnRenamed("node", "uid")
-    named = texts.select("uid", "fp").join(classes, "uid", "left").select("fp", F.coalesce("component", "uid").alias("cls"))
-    return all_rows.select("doc_id", "fp").join(named, "fp")
+    named = texts.select("uid", "seq").join(classes, "uid", "left").select("seq", F.coalesce("component", "uid").alias("cls"))
+    return all_rows.select("doc_id", "fp", "seq").join(named, "seq").drop("seq")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:

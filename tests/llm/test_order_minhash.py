@@ -99,6 +99,28 @@ def test_classes_equal_brute_force(spark, docs_of, most):
     assert classes(got) == brute_classes(rows)
 
 
+def test_short_texts_with_the_same_words_are_one_class(spark, docs_of):
+    words = "one two three four five six".split()
+    rows = [(k, " ".join(w.upper() if k >> at & 1 else w for at, w in enumerate(words))) for k in range(64)]
+    rows += [(100 + k, (" " * k).join(["left ", "right"])) for k in range(64)] + [(300, "left"), (301, "right left")]
+    docs = docs_of(rows)
+    got = om.near_duplicates(docs, params=om.Params(most=8)).collect()
+    assert {(r.class_id, r.class_size) for r in got} == {(0, 64), (100, 64), (300, 1), (301, 1)} and len(got) == len(rows)
+    assert sorted(r.doc_id for r in om.keep_one(docs, params=om.Params(most=8)).collect()) == [0, 100, 300, 301]
+
+
+def test_a_bucket_over_most_keeps_pairs_of_one_signature(spark, docs_of):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    base = " ".join(word() for _ in range(8))
+    rows = [(0, base)] + [(k, f"{base} {word()}") for k in range(1, 300)]  # each links to the first text only
+    whole, dealt = (
+        {(r.doc_id, r.class_id) for r in om.near_duplicates(docs_of(rows), params=om.Params(most=most)).collect()}
+        for most in (2_000, 40)
+    )
+    assert dealt == whole and sum(c == 0 for _, c in whole) > 295
+
+
 def test_one_document_of_each_class_stays(spark, docs_of):
     rows = corpus(6, families=4) + [(2, "same id, other text here now"), (0, corpus(6, families=4)[0][1])]
     kept = om.keep_one(docs_of(rows).withColumnRenamed("lang", "fp"))
