@@ -25,14 +25,18 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def late_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as several files, one a trigger, in which rows come up to three days out of order."""
-    folder = new_folder(spark, "arriving")
+    """The events as files of twelve days, one a trigger, in which rows come up to three days out of order."""
+    folder, dealt = new_folder(spark, "arriving"), new_folder(spark, "dealt")
     events = v.table(spark, sf, "events")
-    day = F.floor(F.unix_timestamp("ts") / 86_400) + F.col("event_id") % 4
-    first = events.agg(F.min(F.floor(F.unix_timestamp("ts") / 86_400)))
-    part = F.floor((day - first.first()[0]) / 12)
-    for n in range(3):
-        events.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    date = F.floor(F.unix_timestamp("ts") / 86_400)
+    day = date + F.col("event_id") % 4
+    first, last = events.agg(F.min(date), F.max(day)).first()
+    parts = 1 if first is None else (last - first) // 12 + 1
+    events.withColumn("_part", F.floor((day - F.lit(first)) / 12)).write.partitionBy("_part").parquet(dealt)
+    rows = spark.read.schema(events.withColumn("_part", F.lit(0)).schema).parquet(dealt)
+    for n in range(parts):
+        # one file: rows of a part that came with a later trigger would count as too late
+        rows.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
     return v.audit_of(parquet_stream(spark, folder, "*.parquet", events.schema, max_files=1))
 
 

@@ -196,3 +196,13 @@ def test_late_streams_equal_the_batch_form(spark, sf):
     batch = audit.sliding_limit(events, "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S).join(settled, "event_id", "left_semi")
     stream = drain(limits.sliding_limit_stream(late_stream(spark, sf), "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S, LATE), "t")
     assert {(r.event_id, r.allowed) for r in batch.collect()} == {(r.event_id, r.outcome == "allowed") for r in stream.collect()}
+
+
+def test_late_stream_takes_every_event(spark, sf, tmp_path):
+    events = v.table(spark, sf, "events")
+    first = events.agg(F.min("ts")).first()[0]
+    longer = F.timestamp_micros(F.unix_micros(F.lit(first)) + (F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 4)
+    for name, ts in (("given", F.col("ts")), ("longer", longer)):  # 30 and 120 days
+        events.withColumn("ts", ts).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = drain(late_stream(spark, f"{tmp_path}/{name}").select("event_id"), f"late_{name}")
+        assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
