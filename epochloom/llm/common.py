@@ -34,3 +34,14 @@ def text_of(column: str | Column = "text") -> Column:
     """The text, a null one counting as empty."""
     col = F.col(column) if isinstance(column, str) else column
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def replaced(df: DataFrame, label: str, old: str | None) -> tuple[DataFrame, str]:
+    """As ``saved``, with the new path; the written table ``old``, which ``df`` was made from, goes."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    df.write.parquet(path)
+    if old is not None:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.read.schema(df.schema).parquet(path), path

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochloom.llm import bit_planes, decontaminate, order_minhash, packing, pii, projected_neighbours, quality, sharding, toxicity, url_filter
+from epochloom.llm import bit_planes, decontaminate, ns_bounds, order_minhash, packing, pii, projected_neighbours, quality, sharding, toxicity, turn_repair, url_filter
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -117,3 +117,48 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of at most 4096 tokens."""
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def _op12_sql(params: ns_bounds.Params = ns_bounds.Params()) -> str:
+    steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding,
+  lambda x: CAST(floor({params.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {params.width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {params.width}),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{params.seed}:' || vec_id), v) - 1 AS c, v AS m
+  FROM kept WHERE vec_id IS NOT NULL ORDER BY c LIMIT {params.clusters})"""]
+    for r in range(params.rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, min({{'d': CAST(list_sum(list_transform(list_zip(v, m),
+  lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c}}) AS best FROM kept, m{r} GROUP BY rid)""")
+        if r < params.rounds:
+            steps.append(f"""m{r + 1} AS MATERIALIZED (SELECT c, coalesce(list(mean ORDER BY i) FILTER (mean IS NOT NULL), any_value(m)) AS m
+  FROM m{r} LEFT JOIN (SELECT best.c AS c, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS mean
+    FROM a{r} JOIN kept USING (rid), range(1, {params.width + 1}) t(i) GROUP BY best.c, i) USING (c) GROUP BY c)""")
+    last = params.rounds
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS "cluster", best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{last} JOIN kept USING (rid) JOIN m{last} ON c = best.c"""
+
+
+@query("op12_ns_bounds", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds."""
+    return ns_bounds.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """``conversations`` with turns dropped, emptied, cut short, repeated and given to the user, by their ids' hash."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", spaced("conv_id"), spaced("turn")).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query("op13_turn_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turn_repair.report(turn_repair.repair(damaged(rows)), rows)
