@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from epochloom.llm import bit_planes, decontaminate, ns_bounds, order_minhash, packing, pii, projected_neighbours, quality, sharding, toxicity, turn_repair, url_filter
+from epochloom.llm import bit_planes, decontaminate, katz, ns_bounds, order_minhash, packing, pii, projected_neighbours, quality, sharding, toxicity, turn_repair, url_filter
 from epochloom.llm.common import documents
 from epochloom.session import new_folder
 
@@ -119,6 +119,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir, "doc_id", "text"))
 
 
+@query("op11_katz_backoff")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the model of those that aren't held out."""
+    return katz.held_out_scores(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def _op12_sql(params: ns_bounds.Params = ns_bounds.Params()) -> str:
     steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding,
   lambda x: CAST(floor({params.scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
