@@ -1,6 +1,9 @@
 """Audit rules in batch and as streams, limits, revocation and streaming decode."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindings import views as v
@@ -12,7 +15,7 @@ from epochloom.session import new_folder
 from epochloom.sources import sinks
 from epochloom.streaming import decode as stream_decode
 from epochloom.streaming import detections, limits
-from epochloom.streaming.runtime import drain, drain_batches, parquet_stream
+from epochloom.streaming.runtime import drain, drain_arrivals, drain_batches, parquet_stream
 
 
 def stamp(col: str = "window_start") -> Column:
@@ -24,24 +27,33 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return v.audit_of(parquet_stream(spark, sf, "events.parquet", schema))
 
 
-def late_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as files of twelve days, one a trigger, in which rows come up to three days out of order."""
-    folder, dealt = new_folder(spark, "arriving"), new_folder(spark, "dealt")
+def late_arrivals(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The events as arrivals of twelve days in which rows come up to three days out of order, then a closing row.
+
+    The closing row is an attempt long after all events. The watermark thus passes every event, and never the
+    closing row itself.
+    """
+    dealt = new_folder(spark, "dealt")
     events = v.table(spark, sf, "events")
     date = F.floor(F.unix_timestamp("ts") / 86_400)
     day = date + F.col("event_id") % 4
-    first, last = events.agg(F.min(date), F.max(day)).first()
-    parts = 1 if first is None else (last - first) // 12 + 1
+    first, last, end = events.agg(F.min(date), F.max(day), F.max("ts")).first()
+    if first is None:
+        return [events]
     events.withColumn("_part", F.floor((day - F.lit(first)) / 12)).write.partitionBy("_part").parquet(dealt)
     rows = spark.read.schema(events.withColumn("_part", F.lit(0)).schema).parquet(dealt)
-    for n in range(parts):
-        # one file: rows of a part that came with a later trigger would count as too late
-        rows.where(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return v.audit_of(parquet_stream(spark, folder, "*.parquet", events.schema, max_files=1))
+    closing = spark.createDataFrame([(-1, end + timedelta(days=400), -1, "click", 0.0, '{"k": 1}')], events.schema)
+    return [rows.where(F.col("_part") == n).drop("_part") for n in range((last - first) // 12 + 1)] + [closing]
+
+
+def late(spark: SparkSession, sf: str, judged: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What ``judged`` makes of the arriving audit events, restarted from its checkpoint at each arrival."""
+    folder = new_folder(spark, "arriving")
+    schema = v.table(spark, sf, "events").schema
+    stream = lambda: judged(v.audit_of(parquet_stream(spark, folder, "*.parquet", schema)))
+    return drain_arrivals(stream, late_arrivals(spark, sf), folder, label)
 
 
-#: Rows at or before the last watermark, which are the ones that a stream has settled.
-SETTLED = "epoch_us(timestamp) <= (SELECT max(epoch_ms(timestamp)) - 4 * 86400000 FROM v_audit) * 1000"
 LATE = "4 days"
 
 # the sliding log and the lockout, one event of every key a step
@@ -190,10 +202,10 @@ def r06_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return audit.sliding_limit(v.audit(spark, sf), "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S).select("event_id", "allowed")
 
 
-@query("r06_sliding_rate_limit_stream", f"SELECT event_id, CASE WHEN allowed THEN 'allowed' ELSE 'limited' END AS outcome FROM v_limited WHERE {SETTLED}")
+@query("r06_sliding_rate_limit_stream", "SELECT event_id, CASE WHEN allowed THEN 'allowed' ELSE 'limited' END AS outcome FROM v_limited")
 def r06_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = limits.sliding_limit_stream(late_stream(spark, sf), "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S, LATE)
-    return drain(rows, "limited")
+    judged = lambda rows: limits.sliding_limit_stream(rows, "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S, LATE)
+    return late(spark, sf, judged, "limited")
 
 
 def attempts(events: DataFrame) -> DataFrame:
@@ -205,19 +217,23 @@ def r07(spark: SparkSession, sf: str) -> DataFrame:
     return audit.lockout(attempts(v.audit(spark, sf)), "user_sub", "timestamp", "event_id", "ok", 2, 5 * 86_400).select("event_id", "outcome")
 
 
-@query("r07_attempt_lockout_stream", f"SELECT event_id, outcome FROM v_locked WHERE {SETTLED}")
+@query("r07_attempt_lockout_stream", "SELECT event_id, outcome FROM v_locked")
 def r07_stream(spark: SparkSession, sf: str) -> DataFrame:
-    rows = limits.lockout_stream(attempts(late_stream(spark, sf)), "user_sub", "timestamp", "event_id", "ok", 2, 5 * 86_400, LATE)
-    return drain(rows, "lockout")
+    judged = lambda rows: limits.lockout_stream(attempts(rows), "user_sub", "timestamp", "event_id", "ok", 2, 5 * 86_400, LATE)
+    return late(spark, sf, judged, "lockout")
 
 
-@query("r08_revoked_use_stream", f"""
+@query("r08_revoked_use_stream", """
 SELECT event_id, CASE WHEN k = 0 THEN true ELSE EXISTS (SELECT 1 FROM v_revocations r WHERE r.token_id = a.token_id AND r.revoked_at <= a.timestamp AND a.timestamp < r.exp) END AS revoked
-FROM v_audit a WHERE k = 0 OR {SETTLED}""")
+FROM v_audit a""")
 def r08(spark: SparkSession, sf: str) -> DataFrame:
     """Late events and revocations; every event says whether its token was revoked, one without a token is."""
-    events = late_stream(spark, sf).withColumn("token_id", F.when(F.col("k") != 0, F.col("token_id")))
-    return drain(limits.revoked_stream(events, revocations(late_stream(spark, sf)), "token_id", "timestamp", "event_id", LATE), "revoked")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        events = rows.withColumn("token_id", F.when(F.col("k") != 0, F.col("token_id")))
+        return limits.revoked_stream(events, revocations(rows), "token_id", "timestamp", "event_id", LATE)
+
+    return late(spark, sf, judged, "revoked")
 
 
 CTES["v_peers"] = """

@@ -1,6 +1,8 @@
 """Reading and draining streams."""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -15,10 +17,13 @@ def parquet_stream(spark: SparkSession, folder: str, name: str, schema: StructTy
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, label: str) -> DataFrame:
-    """Run an append stream over everything available and read its Parquet sink back."""
+def drain(stream: DataFrame, label: str, at: tuple[str, str] | None = None) -> DataFrame:
+    """Run an append stream over everything available and read its Parquet sink back.
+
+    ``at`` names the sink and the checkpoint of an earlier run that is taken up again.
+    """
     spark = stream.sparkSession
-    out, state = new_folder(spark, label), new_folder(spark, f"{label}-state")
+    out, state = at or (new_folder(spark, label), new_folder(spark, f"{label}-state"))
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -27,6 +32,23 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drain_arrivals(
+    stream: Callable[[], DataFrame], arrivals: Iterable[DataFrame], folder: str, label: str,
+) -> DataFrame:
+    """Run a stream that reads ``folder`` once for each arrival, stopped in between.
+
+    Each run takes up the checkpoint of the one before: the source's offsets, the watermark and all state. The plan
+    is built anew every time, as after a restart of the driver.
+    """
+    out = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(folder)
+        if out is None:
+            at = (new_folder(rows.sparkSession, label), new_folder(rows.sparkSession, f"{label}-state"))
+        out = drain(stream(), label, at)
+    return out
+
+
 def drain_batches(stream: DataFrame, label: str, job) -> None:
     """Run ``job(batch, batch_id)`` over everything available."""
     state = new_folder(stream.sparkSession, f"{label}-state")

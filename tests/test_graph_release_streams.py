@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from bindings import views as v
-from bindings.streams import LATE, LIMIT, LIMIT_S, late_stream
+from bindings.streams import LATE, LIMIT, LIMIT_S, late
 from epochloom import schemas
 from epochloom.functions import paths
 from epochloom.operators import audit, graph, prompt, release, supply
@@ -187,22 +187,20 @@ def test_report_sink_writes_a_model_only_behind_the_gate(spark):
                 spark.read.parquet(f"{folder}/weights")
 
 
-def test_late_streams_equal_the_batch_form(spark, sf):
-    """Rows come in several files and out of order; those that the watermark has passed are judged as in batch."""
+def test_restarted_streams_equal_the_batch_form(spark, sf):
+    """Rows come out of order over several runs, each taken up from the checkpoint; every event gets its batch verdict."""
     prepare(spark)
-    events = v.audit(spark, sf)
-    last = events.agg(F.max(F.unix_millis("timestamp"))).first()[0] - 4 * 86_400_000
-    settled = events.where(F.unix_micros("timestamp") <= last * 1000).select("event_id")
-    batch = audit.sliding_limit(events, "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S).join(settled, "event_id", "left_semi")
-    stream = drain(limits.sliding_limit_stream(late_stream(spark, sf), "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S, LATE), "t")
-    assert {(r.event_id, r.allowed) for r in batch.collect()} == {(r.event_id, r.outcome == "allowed") for r in stream.collect()}
+    batch = audit.sliding_limit(v.audit(spark, sf), "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S)
+    judged = lambda rows: limits.sliding_limit_stream(rows, "user_sub", "timestamp", "event_id", LIMIT, LIMIT_S, LATE)
+    stream = late(spark, sf, judged, "t")
+    assert sorted((r.event_id, r.allowed) for r in batch.collect()) == sorted((r.event_id, r.outcome == "allowed") for r in stream.collect())
 
 
-def test_late_stream_takes_every_event(spark, sf, tmp_path):
+def test_late_arrivals_take_every_event(spark, sf, tmp_path):
     events = v.table(spark, sf, "events")
     first = events.agg(F.min("ts")).first()[0]
     longer = F.timestamp_micros(F.unix_micros(F.lit(first)) + (F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 4)
     for name, ts in (("given", F.col("ts")), ("longer", longer)):  # 30 and 120 days
         events.withColumn("ts", ts).write.parquet(f"{tmp_path}/{name}/events.parquet")
-        got = drain(late_stream(spark, f"{tmp_path}/{name}").select("event_id"), f"late_{name}")
-        assert sorted(r.event_id for r in got.collect()) == sorted(r.event_id for r in events.select("event_id").collect())
+        got = late(spark, f"{tmp_path}/{name}", lambda rows: rows.select("event_id"), f"late_{name}")
+        assert sorted(r.event_id for r in got.collect()) == [-1] + sorted(r.event_id for r in events.select("event_id").collect())
