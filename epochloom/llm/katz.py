@@ -56,12 +56,13 @@ class Params:
     k: int = 5
     #: Counts of counts that the slope is fitted to.
     fit: int = 32
-    #: Frequent words, and pairs, of the sample that are evaluated where the text is.
+    #: Frequent pairs, and words for each partition, of the sample that are evaluated where the text is.
     head: int = 20_000
+    head_words: int = 4
     sample_docs: int = 4_000
     #: Tokens of a block, and characters of text of a partition.
     block_tokens: int = 1 << 20
-    part_chars: int = 1 << 24
+    part_chars: int = 1 << 23
 
 
 # --- packing ----------------------------------------------------------------------
@@ -220,13 +221,14 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(_contexts(w).view(np.int64))], ["w", "ctx"])
 
 
-def _head(trained: DataFrame, rows: int, params: Params) -> Head:
+def _head(trained: DataFrame, rows: int, parts: int, params: Params) -> Head:
     """Candidates from a bounded sample, then their exact counts over all training rows; also their tokens and rows."""
     share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, params.sample_docs / max(1, rows)))
     sample = saved(trained.filter(share).mapInArrow(_sampled, "w long, ctx long").groupBy("w", "ctx").count(), "sample")
-    top = lambda df: df.orderBy(F.desc("n"), *[c for c in df.columns if c != "n"]).limit(params.head).collect()
-    words = top(sample.groupBy("w").agg(F.sum("count").alias("n")))
-    pairs = top(sample.select("w", "ctx", F.col("count").alias("n")))
+    top = lambda df, most: df.orderBy(F.desc("n"), *[c for c in df.columns if c != "n"]).limit(most).collect()
+    # a word with less than a quarter of a partition's tokens needn't be spread
+    words = top(sample.groupBy("w").agg(F.sum("count").alias("n")), min(params.head, params.head_words * parts))
+    pairs = top(sample.select("w", "ctx", F.col("count").alias("n")), params.head)
     w = np.array([r["w"] for r in words], np.int64).view(U64)
     held = set(w.tolist())
     pairs = [r for r in pairs if r["w"] % (1 << 64) in held]  # a frequent pair's word is evaluated with it
@@ -576,7 +578,7 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
     trained = rows.filter("not held_out")
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~F.col("held_out")).alias("trained")).first()
     parts = max(4, -(-(size["chars"] or 0) // params.part_chars))
-    head = _head(trained, size["trained"], params)
+    head = _head(trained, size["trained"], parts, params)
     total = trained_docs = 0
     exact = trained.select("text").mapInArrow(_count_head(sc.broadcast(head)), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
     for r in exact.collect():  # at most one for each word and pair of the head
