@@ -8,23 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SAMPLE_PER_BUCKET = 48
 SMALL_ROWS = 10_000
 MAX_BUCKETS = 1024
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows; reads no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, as a sum of fixed sizes and measured lengths."""
+    col = F.col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        return F.greatest(F.size(col), F.lit(0)) * 8 + 16
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + 32
+    return F.lit(8)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; a larger side joins by shuffle under AQE."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the table has at most ``max_rows`` rows and ``max_bytes`` bytes; reads no more than needed."""
+    width = F.lit(0)
+    for field in df.schema.fields:
+        width = width + _width(f"`{field.name}`", field.dataType)
+    got = df.limit(max_rows + 1).select(width.cast("long").alias("w")).agg(F.count("w").alias("n"), F.sum("w").alias("b")).first()
+    return got["n"] <= max_rows and (got["b"] or 0) <= max_bytes
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a check of rows and bytes; a larger side joins by shuffle under AQE."""
+    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

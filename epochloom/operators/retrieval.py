@@ -1,95 +1,143 @@
 """Anchor retrieval: scoring every epoch against a vocabulary without a cross join."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epochloom.functions import arrays
 from epochloom.functions.hashed import gaussian_vector, order_hash
 from epochloom.functions.scale import ranked, small_side
-from epochloom.operators.encoders import matrix
 
-VOCAB_BLOCK = 50_000
+#: Bytes of vectors in one block of the vocabulary, and of epochs in one group of the block product.
+BLOCK_BYTES = 32 << 20
+#: Scores held at once.
+CELLS = 1 << 22
 TIE = 1e-12
 
 
-def vocab_blocks(vocab: DataFrame, block: int = VOCAB_BLOCK) -> Iterator[tuple[np.ndarray, list[str], np.ndarray]]:
-    """``(pos, surface, vec)`` in position order, read block by block.
+def _blocks_of(vocab: DataFrame, block: int | None) -> tuple[int, int]:
+    """Number of vocabulary blocks, and the dimension; one small aggregate."""
+    got = vocab.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    dim = max(1, got["dim"] or 1)
+    rows = block or max(1, BLOCK_BYTES // (8 * dim))
+    return -(-got["n"] // rows), dim
 
-    The driver holds one block of at most ``block`` rows at a time.
-    """
-    low = None
-    while True:
-        page = vocab if low is None else vocab.where(F.col("pos") > low)
-        rows = page.orderBy("pos").limit(block).collect()
-        if not rows:
-            return
-        yield (
-            np.array([r["pos"] for r in rows], dtype=np.int64), [r["surface"] for r in rows],
-            np.array([r["vec"] for r in rows], dtype=np.float64),
-        )
-        if len(rows) < block:
-            return
-        low = rows[-1]["pos"]
-
-
-def _best_of(scores: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k best scores per row, ties by position; only near rows are sorted."""
-    if scores.shape[1] <= k:
-        return np.lexsort((np.broadcast_to(pos, scores.shape), -scores), axis=1)
-    cut = np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    out = np.empty((len(scores), k), dtype=np.int64)
-    for i, row in enumerate(scores):
-        near = np.flatnonzero(-row <= cut[i])
-        out[i] = near[np.lexsort((pos[near], -row[near]))][:k]
-    return out
+
+def _one_block(vocab: DataFrame):
+    """A vocabulary of one block, broadcast: positions in order, surfaces, vectors."""
+    rows = vocab.select("pos", "surface", "vec").orderBy("pos").toArrow()
+    return vocab.sparkSession.sparkContext.broadcast((
+        np.asarray(rows["pos"].combine_chunks(), dtype=np.int64), rows["surface"].to_pylist(), _matrix_of(rows["vec"]),
+    ))
 
 
-def _score_block(pos, surfaces, vectors, k: int):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, s, v = pos.value, surfaces.value, vectors.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            scores = matrix(batch["emb"]) @ v.T
-            found = []
-            for i, cols in enumerate(_best_of(scores, p, k)):
-                mine = [{"pos": int(p[c]), "surface": s[c], "dot": float(scores[i, c])} for c in cols]
-                before = batch["best"].iloc[i]
-                both = mine if before is None else [*before, *mine]
-                found.append(sorted(both, key=lambda a: (-a["dot"], a["pos"]))[:k])
-            yield batch.assign(best=found)
+def _matrix_of(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
-    return score
+
+def block_product(
+    epochs: DataFrame, vocab: DataFrame, parts: int, dim: int, fn: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str,
+    group_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``fn(group of epochs, block of vocabulary, first block)`` for every group and every block, as one join.
+
+    The vocabulary is dealt to ``parts`` blocks and the epochs to groups of about ``group_bytes``; each side is copied
+    for every number of the other, and equal (block, group) numbers meet in one task that holds one block and one
+    group. The number of stages depends on neither side's size.
+    """
+    groups = max(1, -(-epochs.count() * dim * 8 // group_bytes))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = epochs.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int")).withColumn("_block", numbers(parts))
+    dealt = F.pmod(F.xxhash64("pos"), F.lit(parts)).cast("int")
+    right = vocab.select("pos", "surface", "vec", dealt.alias("_block")).withColumn("_group", numbers(groups))
+
+    def meet(key: tuple, some: pa.Table, block: pa.Table) -> pa.Table:
+        return fn(some.drop_columns(["_group", "_block"]), block.sort_by("pos"), key[0].as_py() == 0)
+
+    return left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInArrow(meet, schema)
+
+
+def _best_of(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best scores of each row, best first, ties by column; only k columns a row are sorted."""
+    k = min(k, scores.shape[1])
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, at = scores > cut, scores == cut
+    taken = above | (at & (np.cumsum(at, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    columns = np.nonzero(taken)[1].reshape(len(scores), k)
+    order = np.lexsort((columns, -np.take_along_axis(scores, columns, 1)), axis=1)
+    return np.take_along_axis(columns, order, 1)
+
+
+def _top(emb: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and dots of the best k for each epoch."""
+    step = max(1, CELLS // max(1, len(vectors)))
+    columns, dots = [], []
+    for at in range(0, len(emb), step):
+        scores = emb[at : at + step] @ vectors.T
+        best = _best_of(scores, k)
+        columns.append(best)
+        dots.append(np.take_along_axis(scores, best, 1))
+    return np.concatenate(columns), np.concatenate(dots)
+
+
+def _top_rows(ids: pa.Array, emb: np.ndarray, pos: np.ndarray, surfaces: list, vectors: np.ndarray, k: int, names: list[str]) -> pa.Table:
+    columns, dots = _top(emb, vectors, k)
+    each = columns.shape[1]
+    flat = columns.ravel()
+    made = [
+        ids.take(pa.array(np.repeat(np.arange(len(emb)), each))), pa.array(np.tile(np.arange(1, each + 1, dtype=np.int32), len(emb))),
+        pa.array(pos[flat]), pa.array([surfaces[c] for c in flat], pa.string()), pa.array(dots.ravel()),
+    ]
+    return pa.Table.from_arrays(made, names=names)
 
 
 def top_anchors(
     epochs: DataFrame, vocab: DataFrame, k: int = 5, epoch_id: str = "epoch_id", emb: str = "emb",
-    block: int = VOCAB_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """The k best anchors of every epoch by dot product, ties in vocabulary order.
 
-    Each vocabulary block is broadcast and folded into a running top-k held on the
-    epoch row, so epochs are never shuffled and a vocabulary of any size is exact.
+    A vocabulary of one block (``BLOCK_BYTES`` of vectors) is broadcast and epochs aren't shuffled. A larger one is
+    multiplied block by block; the bests of the blocks are cut to k before and after their shuffle.
     """
     kind = epochs.schema[epoch_id].dataType.simpleString()
-    item = "array<struct<pos:bigint,surface:string,dot:double>>"
-    sc = epochs.sparkSession.sparkContext
-    running = epochs.select(
-        F.col(epoch_id).alias("epoch_id"), F.col(emb).alias("emb"), F.lit(None).cast(item).alias("best")
-    )
-    for pos, surfaces, vectors in vocab_blocks(vocab, block):
-        running = running.mapInPandas(
-            _score_block(sc.broadcast(pos), sc.broadcast(surfaces), sc.broadcast(vectors), k),
-            f"epoch_id {kind}, emb array<double>, best {item}",
-        )
-    return running.select("epoch_id", F.posexplode("best").alias("_p", "a")).select(
-        "epoch_id", (F.col("_p") + 1).alias("rank"), F.col("a.pos").alias("pos"),
-        F.col("a.surface").alias("surface"), F.col("a.dot").alias("dot"),
-    )
+    rows = epochs.select(F.col(epoch_id).alias("epoch_id"), F.col(emb).alias("emb"))
+    parts, dim = _blocks_of(vocab, block)
+    if parts <= 1:
+        shared = _one_block(vocab)
+        names = ["epoch_id", "rank", "pos", "surface", "dot"]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pos, surfaces, vectors = shared.value
+            for batch in batches:
+                if batch.num_rows and len(pos):
+                    table = pa.Table.from_batches([batch])
+                    yield from _top_rows(batch.column("epoch_id"), _matrix_of(table["emb"]), pos, surfaces, vectors, k, names).to_batches()
+
+        return rows.mapInArrow(score, f"epoch_id {kind}, rank int, pos bigint, surface string, dot double")
+    if epochs.isStreaming:
+        raise ValueError("a stream meets one block of vocabulary; hand its micro-batches over for more")
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    names = ["at", "rank", "pos", "surface", "dot"]
+
+    def meet(some: pa.Table, words: pa.Table, first: bool) -> pa.Table:
+        if not some.num_rows or not words.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(["uid", "epoch_id", "pos", "surface", "dot"], [pa.int64(), some["epoch_id"].type, pa.int64(), pa.string(), pa.float64()])})
+        at = pa.array(np.arange(some.num_rows))
+        best = _top_rows(at, _matrix_of(some["emb"]), np.asarray(words["pos"].combine_chunks()), words["surface"].to_pylist(), _matrix_of(words["vec"]), k, names)
+        where = best["at"]
+        return pa.table({
+            "uid": some["uid"].take(where), "epoch_id": some["epoch_id"].take(where), "pos": best["pos"], "surface": best["surface"], "dot": best["dot"],
+        })
+
+    found = block_product(rows, vocab, parts, dim, meet, f"uid bigint, epoch_id {kind}, pos bigint, surface string, dot double")
+    place = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("dot"), "pos"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("epoch_id", "rank", "pos", "surface", "dot")
 
 
 def as_anchors(top: DataFrame) -> DataFrame:
@@ -114,43 +162,67 @@ def epoch_provenance(epoch_id: str) -> Column:
     return F.when(key.startswith("eeg:"), key).otherwise(F.concat(F.lit("eeg:"), key))
 
 
-def _rank_block(pos, vectors):
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, v = pos.value, vectors.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            scores = matrix(batch["emb"]) @ v.T
-            own = batch["gold_dot"].to_numpy(dtype=np.float64, na_value=np.nan)[:, None]
-            own_pos = batch["gold_pos"].to_numpy(dtype=np.float64, na_value=np.nan)[:, None]
-            ahead = (scores > own + TIE) | ((np.abs(scores - own) <= TIE) & (p < own_pos))
-            yield batch.assign(ahead=batch["ahead"].to_numpy() + ahead.sum(axis=1))
+def _ahead(emb: np.ndarray, own: np.ndarray, own_pos: np.ndarray, pos: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """How many anchors stand before each epoch's own."""
+    step = max(1, CELLS // max(1, len(vectors)))
+    out = np.zeros(len(emb), dtype=np.int64)
+    for at in range(0, len(emb), step):
+        part = slice(at, at + step)
+        scores = emb[part] @ vectors.T
+        mine, place = own[part, None], own_pos[part, None]
+        out[part] = ((scores > mine + TIE) | ((np.abs(scores - mine) <= TIE) & (pos < place))).sum(axis=1)
+    return out
+
 
-    return rank
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
 
 
 def gold_ranks(
     epochs: DataFrame, vocab: DataFrame, epoch_id: str = "epoch_id", emb: str = "emb",
-    label: str = "label", block: int = VOCAB_BLOCK,
+    label: str = "label", block: int | None = None,
 ) -> DataFrame:
     """Rank of each epoch's own label among the whole vocabulary; NULL for an unknown label.
 
     Counting the anchors ahead of the label replaces materialising a ranking, so the
-    only output per epoch is one number. Other columns of the epochs are kept.
+    only output per epoch is one number, summed over the blocks. Other columns of the epochs are kept.
     """
-    sc = epochs.sparkSession.sparkContext
     gold = vocab.groupBy(F.lower("surface").alias("_gold")).agg(
         F.min("pos").alias("gold_pos"), F.min_by("vec", "pos").alias("_gold_vec")
     )
     kept = [c for c in epochs.columns if c != emb]
-    running = epochs.withColumn("_gold", F.lower(label)).join(small_side(gold), "_gold", "left").select(
-        *kept, F.col(emb).alias("emb"), arrays.dot(emb, "_gold_vec").alias("gold_dot"), "gold_pos",
-        F.lit(0).cast("long").alias("ahead"),
+    rows = epochs.withColumn("_gold", F.lower(label)).join(small_side(gold), "_gold", "left").select(
+        F.struct(*kept).alias("row"), F.col(emb).alias("emb"), arrays.dot(emb, "_gold_vec").alias("gold_dot"), "gold_pos"
     )
-    shape = running.schema
-    for pos, _, vectors in vocab_blocks(vocab, block):
-        running = running.mapInPandas(_rank_block(sc.broadcast(pos), sc.broadcast(vectors)), shape)
-    return running.select(*kept, F.when(F.col("gold_pos").isNotNull(), F.col("ahead") + 1).alias("gold_rank"))
+    row_type = rows.schema["row"].dataType.simpleString()
+    parts, dim = _blocks_of(vocab, block)
+    rank = F.when(F.col("gold_pos").isNotNull(), F.col("ahead") + 1).alias("gold_rank")
+    if parts <= 1:
+        shared = _one_block(vocab)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pos, _, vectors = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                some = pa.Table.from_batches([batch])
+                ahead = _ahead(_matrix_of(some["emb"]), _numbers(some["gold_dot"]), _numbers(some["gold_pos"]), pos, vectors) if len(pos) else np.zeros(batch.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("gold_pos"), pa.array(ahead)], ["row", "gold_pos", "ahead"])
+
+        counted = rows.mapInArrow(count, f"row {row_type}, gold_pos bigint, ahead bigint")
+        return counted.select("row.*", rank)
+
+    def meet(some: pa.Table, words: pa.Table, first: bool) -> pa.Table:
+        ahead = np.zeros(some.num_rows, np.int64)
+        if some.num_rows and words.num_rows:
+            ahead = _ahead(_matrix_of(some["emb"]), _numbers(some["gold_dot"]), _numbers(some["gold_pos"]), np.asarray(words["pos"].combine_chunks()), _matrix_of(words["vec"]))
+        row = some["row"] if first else pa.nulls(some.num_rows, some["row"].type)  # one block brings the row itself
+        return pa.table({"uid": some["uid"], "row": row, "gold_pos": some["gold_pos"], "ahead": pa.array(ahead)})
+
+    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
+    counted = block_product(numbered, vocab, parts, dim, meet, f"uid bigint, row {row_type}, gold_pos bigint, ahead bigint")
+    summed = counted.groupBy("uid").agg(F.first("row", ignorenulls=True).alias("row"), F.max("gold_pos").alias("gold_pos"), F.sum("ahead").alias("ahead"))
+    return summed.select("row.*", rank)
 
 
 def label_vocab(df: DataFrame, label: str, pos: str, embedder) -> DataFrame:

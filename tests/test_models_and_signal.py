@@ -79,6 +79,42 @@ def test_vocabulary_blocks_do_not_change_the_top(spark):
     assert ranks(1000) == ranks(10)
 
 
+def test_block_product_keeps_repeated_ids_and_ties(spark):
+    """Equal vectors all over the vocabulary and one id on every row, against a plain sort."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(-1, 2, (300, 4)).astype(float)
+    vocab = spark.createDataFrame([(i, f"w{i}", words[i].tolist()) for i in range(300)], "pos long, surface string, vec array<double>").repartition(7)
+    vectors = rng.integers(-1, 2, (40, 4)).astype(float)
+    ep = spark.createDataFrame([(1, i, vectors[i].tolist()) for i in range(40)], "epoch_id long, row_no long, emb array<double>").repartition(3)
+    want = sorted(tuple(sorted(range(300), key=lambda c: (-(words[c] @ v), c))[:7]) for v in vectors)
+    for block in (1000, 50, 11):
+        got = {}
+        top = retrieval.top_anchors(ep.withColumn("epoch_id", F.col("row_no")), vocab, 7, block=block)
+        for r in top.orderBy("rank").collect():
+            got.setdefault(r.epoch_id, []).append(r.pos)
+        assert sorted(map(tuple, got.values())) == want
+        assert retrieval.top_anchors(ep, vocab, 7, block=block).count() == 40 * 7
+    labelled = ep.withColumn("label", F.concat(F.lit("W"), F.col("row_no").cast("string")))
+    place = [int(((words @ v > words[i] @ v) | ((words @ v == words[i] @ v) & (np.arange(300) < i))).sum()) + 1 for i, v in enumerate(vectors)]
+    for block in (1000, 50):
+        got = retrieval.gold_ranks(labelled, vocab, block=block)
+        assert got.columns == ["epoch_id", "row_no", "label", "gold_rank"]
+        assert [r.gold_rank for r in got.orderBy("row_no").collect()] == place
+
+
+def test_block_product_plan_does_not_grow(spark):
+    """Ten times the blocks run in as many stages, and no vocabulary row comes to the driver."""
+    vocab = spark.range(4_000).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("surface"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("vec"))
+    ep = spark.range(50).select(F.col("id").alias("epoch_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("emb"))
+
+    def exchanges(block):
+        top = retrieval.top_anchors(ep, vocab, 3, block=block)
+        assert {r.pos for r in top.collect()} == {3999, 3998, 3997}
+        return top._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges(1_000) == exchanges(100)
+
+
 def test_equal_scores_follow_vocabulary_order(spark):
     vocab = spark.createDataFrame([(2, "b", [1.0]), (1, "a", [1.0]), (3, "c", [2.0])], "pos long, surface string, vec array<double>")
     ep = spark.createDataFrame([(0, [1.0])], "epoch_id long, emb array<double>")
