@@ -41,7 +41,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epochloom.llm.common import fresh, saved, text_of
+from epochloom.llm.common import fresh, release, saved, text_of
 from epochloom.llm.labelled import held_out
 
 U64 = np.uint64
@@ -107,7 +107,7 @@ def _steps(a: np.ndarray) -> np.ndarray:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = got
         return got
@@ -248,6 +248,7 @@ def _count_head(shared):
                 c1 += np.bincount(at[hot], minlength=len(c1))
                 c2 += np.bincount(pair[pair >= 0], minlength=len(c2))
                 total += (len(w), 1)
+        cache.clear()  # the worker lives on
         for kind, values in enumerate((c1, c2, total)):
             some = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays(
@@ -265,7 +266,8 @@ def _blocks(shared, parts: int, params: Params):
         w = np.concatenate(arrays)
         ctx = np.concatenate([_contexts(a) for a in arrays])
         sizes = np.array([len(a) for a in arrays])
-        doc = np.repeat(np.arange(len(arrays)), sizes)
+        doc = np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
+        arrays.clear()
         train = np.array([not held for _, held in docs])
         out = np.zeros((len(docs), len(sums.names)))
         at = head.word(w)
@@ -285,9 +287,12 @@ def _blocks(shared, parts: int, params: Params):
             n = np.ones(len(order), np.int64)
             made.append(("want", batch_id % parts, batch_id, _wants(ctx[asks][order], doc[asks][order], n, np.zeros_like(n)), None))
         w, ctx, doc, hot = w[~got], ctx[~got], doc[~got], hot[~got]
-        part = (np.where(hot, mixed(w, ctx), w) % U64(parts)).astype(np.int64)
+        del at, known, got
+        part = (np.where(hot, mixed(w, ctx), w) % U64(parts)).astype(np.int32)
+        del hot
         order = np.lexsort((doc, ctx, w, part))
         part, w, ctx, doc = part[order], w[order], ctx[order], doc[order]
+        del order
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
@@ -314,6 +319,7 @@ def _blocks(shared, parts: int, params: Params):
                 if held >= params.block_tokens or len(docs) >> DOC_BITS:
                     yield from block(first + number, docs, arrays, head)
                     docs, arrays, held, number = [], [], 0, number + 1
+        cache.clear()  # the worker lives on
         if docs:
             yield from block(first + number, docs, arrays, head)
 
@@ -344,10 +350,11 @@ def _counted(shared, params: Params):
         ctx = np.concatenate([np.cumsum(g[1].astype(U64), dtype=U64)[g[2]] for g in got])
         doc = np.concatenate([(g[3].astype(np.int64) >> 1) + (k << DOC_BITS + 1) for k, g in enumerate(got)])
         train = np.concatenate([(g[3] & 1).astype(bool) for g in got])
-        n = np.concatenate([g[4].astype(np.int64) for g in got])
+        n = np.concatenate([g[4].astype(np.int32) for g in got])
         del got
         order = np.lexsort((ctx, w))
         w, ctx, doc, train, n = w[order], ctx[order], doc[order], train[order], n[order]
+        del order
         new_w = np.ones(len(w), bool)
         new_w[1:] = w[1:] != w[:-1]
         new = new_w.copy()
@@ -592,6 +599,8 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
     blocks = rows.mapInArrow(_blocks(shared, parts, params), ROWS)
     dealt = blocks.repartition(parts, "part").sortWithinPartitions("part", "batch")
     tables = saved(dealt.mapInArrow(_counted(shared, params), ROWS), "tables")
+    del dealt, blocks
+    release(spark)  # the blocks' shuffle files, the largest of all
     model = _model(tables, head, total, trained_docs, params)
 
     # contexts: what was seen after each
