@@ -129,22 +129,32 @@ def usable_anchors(anchors: DataFrame, threshold: float = THRESHOLD) -> DataFram
     ).where((F.col("surface_key") != "") & (F.col("score") >= threshold)).withColumn("provenance", read)
 
 
+def concept_lookup(nodes: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """``surface_key, concept_id, node_label`` of every surface that names a known concept."""
+    named = nodes.select(F.col("id").alias("concept_id"), F.coalesce("label", "id").alias("node_label"))
+    return surface_lookup(nodes, synonyms).join(named, "concept_id", "inner").withColumnRenamed("surface", "surface_key")
+
+
+def accepted_columns(anchors: DataFrame, lookup: DataFrame, seq: str = "rank", threshold: float = THRESHOLD) -> DataFrame:
+    """Every anchor with ``usable`` and, as in ``accepted_concepts``, the concept it stands for; score and provenance stay."""
+    read = F.filter("provenance", lambda p: p.startswith("eeg:"))
+    key = text.text_key("surface")
+    fine = anchor_violations(threshold).isNull() & (key != "") & (F.col("score") >= threshold)
+    hit = anchors.withColumn("usable", F.coalesce(fine, F.lit(False))).withColumn("surface_key", key).join(small_side(lookup), "surface_key", "left")
+    known = F.col("concept_id").isNotNull()
+    values = {
+        "seq": F.col(seq).cast("long"), "concept_id": F.coalesce("concept_id", F.lit(FALLBACK_CONCEPT)),
+        "operator": F.lit("set"), "label": F.when(known, F.col("node_label")).otherwise(F.col("surface_key")),
+        "confidence": F.when(known, F.col("score")).otherwise(F.col("score") * F.lit(FALLBACK_FACTOR)), "status": F.lit("accepted"),
+        "read": read,
+    }
+    return hit.select(*anchors.columns, "usable", *[c.alias(n) for n, c in values.items()])
+
+
 def accepted_concepts(anchors: DataFrame, nodes: DataFrame, synonyms: DataFrame, request: str, seq: str) -> DataFrame:
     """One accepted concept per usable anchor; an unknown surface falls back at 0.8 of its score."""
-    lookup = surface_lookup(nodes, synonyms).join(
-        nodes.select(F.col("id").alias("concept_id"), F.coalesce("label", "id").alias("node_label")), "concept_id", "inner"
-    )
-    hit = anchors.join(
-        small_side(lookup.withColumnRenamed("surface", "surface_key")), "surface_key", "left"
-    )
-    known = F.col("concept_id").isNotNull()
-    return hit.select(
-        request, F.col(seq).cast("long").alias("seq"),
-        F.coalesce("concept_id", F.lit(FALLBACK_CONCEPT)).alias("concept_id"),
-        F.when(known, F.col("node_label")).otherwise(F.col("surface_key")).alias("label"),
-        F.when(known, F.col("score")).otherwise(F.col("score") * F.lit(FALLBACK_FACTOR)).alias("confidence"),
-        "provenance", F.lit("accepted").alias("status"), F.lit("set").alias("operator"),
-    )
+    rows = accepted_columns(anchors, concept_lookup(nodes, synonyms), seq).where("usable")
+    return rows.select(request, "seq", "concept_id", "label", "confidence", "provenance", "status", "operator")
 
 
 def touched_edges(accepted: DataFrame, edges: DataFrame, request: str) -> DataFrame:
@@ -168,7 +178,7 @@ def operator_of(relation: str | Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*entries), relation), F.lit("set"))
 
 
-def edge_provenance(edge_id: str) -> Column:
+def edge_provenance(edge_id: str | Column) -> Column:
     return F.concat(F.lit("kg:edge:"), F.regexp_replace(edge_id, "^edge:", ""))
 
 
@@ -192,6 +202,60 @@ def suggested_concepts(edges: DataFrame, nodes: DataFrame, request: str) -> Data
     )
 
 
+#: Bytes that a suggestion adds to a prompt at the least, and anchors of a request at most.
+LEAST_ITEM, MOST_ANCHORS = 64, 20
+
+
+def neighbour_lists(edges: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
+    """``concept, heavy, near, conflicts``: what a concept suggests, worked out once for all requests that meet it.
+
+    ``near`` holds each neighbour once, by its first edge, ``conflicts`` the targets of conflict edges. A concept is
+    heavy when these alone pass ``limit`` bytes of prompt whatever else a request holds (up to ``MOST_ANCHORS`` neighbours
+    may be inside the request); it has no lists, so every list is bounded by ``limit`` and no request is ever joined
+    to a hub's edges. A hub's edges are grouped by (concept, neighbour) first and never by the concept alone.
+    """
+    known = edges.where("source IS NOT NULL AND target IS NOT NULL")
+    fields = ("id", "pos", "relation", "confidence", "target")
+    ends = known.select(F.col("source").alias("concept"), F.col("target").alias("other"), *fields).unionByName(
+        known.select(F.col("target").alias("concept"), F.col("source").alias("other"), *fields)
+    )
+    first = ends.where("concept <> other").groupBy("concept", "other").agg(
+        F.min_by(F.struct("pos", "id", "relation", "confidence"), "pos").alias("e")
+    )
+    against = ends.where("relation = 'CONFLICTS_WITH'").select("concept", "id", "pos", "target").distinct()
+    counts = first.groupBy("concept").agg((F.count(F.lit(1)) - MOST_ANCHORS).alias("n")).select("concept", (F.col("n") * LEAST_ITEM).alias("b")).unionByName(
+        against.groupBy("concept").agg(F.sum(F.octet_length("target")).alias("b"))
+    )
+    heavy = counts.groupBy("concept").agg(F.max("b").alias("b")).where(F.col("b") > limit).select("concept")
+    light = lambda df: df.join(small_side(heavy), "concept", "left_anti")
+    labels = nodes.select(F.col("id").alias("other"), "label")
+    named = light(first).join(small_side(labels), "other", "left").select(
+        "concept", F.struct("other", "e.pos", "e.id", "e.relation", "e.confidence", F.coalesce("label", "other").alias("label")).alias("near"),
+        F.lit(None).cast("struct<pos:bigint,id:string,target:string>").alias("conflict"),
+    )
+    near_type = named.schema["near"].dataType
+    clashes = light(against).select(
+        "concept", F.lit(None).cast(near_type).alias("near"), F.struct(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), "target").alias("conflict"),
+    )
+    lists = named.unionByName(clashes).groupBy("concept").agg(
+        F.lit(False).alias("heavy"), F.collect_list("near").alias("near"), F.collect_list("conflict").alias("conflicts")
+    )
+    none = heavy.select("concept", F.lit(True).alias("heavy"), *[F.lit(None).cast(lists.schema[c].dataType).alias(c) for c in ("near", "conflicts")])
+    return lists.unionByName(none)
+
+
+def suggestions_of(near: Column, concepts: Column) -> Column:
+    """Prompt items of a request's neighbour lists: each concept outside the request once, by its first edge."""
+    outside = F.filter(near, lambda e: ~F.array_contains(concepts, e["other"]))
+    ordered = F.array_sort(F.transform(outside, lambda e: F.struct(e["other"].alias("other"), e["pos"].alias("pos"), e.alias("e"))))
+    once = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["other"] != x["other"]))
+    return F.transform(once, lambda x: F.struct(
+        F.lit(True).alias("late"), x["pos"].cast("long").alias("seq"), x["other"].alias("concept_id"), operator_of(x["e"]["relation"]).alias("operator"),
+        x["e"]["label"].alias("label"), (F.coalesce(x["e"]["confidence"], F.lit(0.5)) * F.lit(SUGGESTION_FACTOR)).alias("confidence"),
+        F.lit("suggested").alias("status"), F.array(edge_provenance(x["e"]["id"])).alias("provenance"),
+    ))
+
+
 def subgraph_nodes(resolved: DataFrame, nodes: DataFrame, request: str) -> DataFrame:
     """Ontology rows of the request's concepts; ``pos`` is their ontology order."""
     wanted = resolved.select(request, F.col("concept_id").alias("id")).distinct()

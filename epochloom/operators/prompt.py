@@ -1,6 +1,8 @@
 """Structured prompts: compile, validate, hash and render, one row per request."""
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions.arrays import Col, _c
@@ -48,18 +50,24 @@ def oversized_requests(
 def request_summary(anchors: DataFrame, request: str) -> DataFrame:
     """Everything one pass over the anchors gives a request: best anchor, surfaces,
     provenance, count, subgraph id and the first broken anchor rule."""
+    packed = anchors.groupBy(request).agg(*summary_aggregates())
+    return summary_of(packed, request)
+
+
+def summary_aggregates() -> list[Column]:
     best = F.max_by(F.struct("surface", "score", "provenance"), F.struct(F.col("score"), -F.col("rank")))
     listed = F.sort_array(F.collect_list(F.struct("rank", "surface", "provenance")))
-    packed = anchors.groupBy(request).agg(
-        best.alias("top"), listed.alias("_a"), F.min(anchor_violations()).alias("anchor_error")
-    )
+    return [best.alias("top"), listed.alias("_a"), F.min(anchor_violations()).alias("anchor_error")]
+
+
+def summary_of(packed: DataFrame, request: str, *more: str) -> DataFrame:
     surfaces = F.transform("_a", lambda a: a["surface"])
     joined = F.array_join(F.array_sort(F.transform("_a", lambda a: F.coalesce(a["surface"], F.lit("")))), "|")
     subgraph = F.concat(F.lit("sg:"), F.substring(F.sha2(joined.cast("binary"), 256), 1, 8))
     return packed.select(
         request, "top", surfaces.alias("surfaces"), F.size("_a").alias("anchor_count"), "anchor_error",
         subgraph.alias("subgraph_id"),
-        F.concat(F.flatten(F.transform("_a", lambda a: a["provenance"])), F.array(F.concat(F.lit("kg:"), subgraph))).alias("provenance"),
+        F.concat(F.flatten(F.transform("_a", lambda a: a["provenance"])), F.array(F.concat(F.lit("kg:"), subgraph))).alias("provenance"), *more,
     )
 
 
@@ -72,11 +80,7 @@ def compile_prompts(
     Intent comes from the best score, the subject from the first accepted concept in
     anchor order; accepted rows of the subject's concept are left out of the attributes.
     """
-    item = F.struct(
-        (F.col("status") != "accepted").alias("late"), "seq", "concept_id", "operator", "label",
-        "confidence", "status", "provenance",
-    )
-    ordered = resolved.groupBy(request).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    ordered = resolved.groupBy(request).agg(F.sort_array(F.collect_list(item_of())).alias("items"))
     conflicts = edges.where(F.col("relation") == "CONFLICTS_WITH").groupBy(request).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("pos", "target"))),
@@ -84,6 +88,33 @@ def compile_prompts(
         ).alias("forbidden")
     )
     rows = summary.join(ordered, request, "left").join(conflicts, request, "left")
+    return prompts_of(
+        rows, summary.columns, ontology_version=ontology_version, modality=modality, intent_value=intent_value, subject_fallback=subject_fallback
+    )
+
+
+def item_of(row: Callable[[str], Column] = F.col) -> Column:
+    """A resolved concept as an item; items sort in prompt order, accepted ones first."""
+    names = ("seq", "concept_id", "operator", "label", "confidence", "status", "provenance")
+    return F.struct((row("status") != "accepted").alias("late"), *[row(n).alias(n) for n in names])
+
+
+def attribute_bytes(items: Column, forbidden: Column) -> Column:
+    """As ``oversized_requests`` counts: items but for accepted ones of the subject, and conflicts."""
+    subject = F.get(F.filter(items, lambda i: i["status"] == "accepted"), F.lit(0))["concept_id"]
+    size = lambda i: F.octet_length(F.to_json(F.struct(i["concept_id"], i["operator"], i["label"], i["provenance"]))).cast("long")
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + F.coalesce(b, F.lit(0).cast("long")))
+    others = F.filter(items, lambda i: ~F.coalesce((i["status"] == "accepted") & (i["concept_id"] == subject), F.lit(False)))
+    return F.coalesce(total(F.transform(others, size)), F.lit(0)) + F.coalesce(
+        total(F.transform(forbidden, lambda t: F.octet_length(t).cast("long"))), F.lit(0)
+    )
+
+
+def prompts_of(
+    rows: DataFrame, keep: Sequence[str], *, ontology_version: str, modality: Column | None = None,
+    intent_value: str = "decode", subject_fallback: str = "text:Topic",
+) -> DataFrame:
+    """The columns ``keep`` and the prompt of rows that hold ``top``, ``subgraph_id``, sorted ``items`` and ``forbidden``."""
     first = F.try_element_at(F.filter("items", lambda i: i["status"] == "accepted"), F.lit(1))
     fallback = F.struct(
         F.lit(subject_fallback).alias("concept_id"), F.lit("topic").alias("label"),
@@ -118,7 +149,7 @@ def compile_prompts(
         F.struct(empty_text.alias("required"), F.coalesce("forbidden", empty_text).alias("forbidden")).alias("constraints"),
         F.struct(F.lit(ontology_version).alias("ontology_version"), F.coalesce("subgraph_id", F.lit("")).alias("subgraph_id")).alias("kg"),
     )
-    return rows.select(*summary.columns, prompt.alias("prompt"))
+    return rows.select(*keep, prompt.alias("prompt"))
 
 
 def _grounded(block: Column) -> Column:

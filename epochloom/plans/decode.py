@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from epochloom.functions import arrays
+from epochloom.functions.scale import small_side
 from epochloom.operators import graph, prompt, retrieval
 from epochloom.session import cut_lineage
 
@@ -62,8 +63,8 @@ class Resolution:
 def resolve(anchors: DataFrame, ontology: Ontology, request: str, threshold: float = graph.THRESHOLD) -> Resolution:
     """Accepted and suggested concepts, touched edges and subgraph nodes of every request."""
     usable = graph.usable_anchors(anchors, threshold)
-    accepted = graph.accepted_concepts(usable, ontology.nodes, ontology.synonyms, request, "rank").persist()
-    edges = graph.touched_edges(accepted, ontology.edges, request).persist()
+    accepted = graph.accepted_concepts(usable, ontology.nodes, ontology.synonyms, request, "rank")
+    edges = graph.touched_edges(accepted, ontology.edges, request)
     resolved = accepted.unionByName(graph.suggested_concepts(edges, ontology.nodes, request))
     return Resolution(resolved, edges, graph.subgraph_nodes(resolved, ontology.nodes, request))
 
@@ -73,23 +74,37 @@ def prompts_from_anchors(
 ) -> DataFrame:
     """Prompt, hash, text, provenance and status per request; bad rows carry their reason.
 
-    The anchors are checkpointed once, so scoring is never repeated by the branches
-    that read them.
+    A request's anchors meet once, in one row; its concepts are joined to the concepts' lists, which are bounded, and
+    its items stay in that row. A request that meets a hub is refused for its size without the hub's edges.
     """
-    anchors = cut_lineage(anchors)
-    found = resolve(anchors, ontology, request)
-    resolved, edges = found.resolved.persist(), found.edges
-    large = prompt.oversized_requests(resolved, edges, request).select(request, F.lit(True).alias("oversized")).persist()
-    summary = requests.select(request).join(prompt.request_summary(anchors, request), request, "left")
-    if large.isEmpty():
-        summary = summary.withColumn("oversized", F.lit(False))
-    else:
-        summary = summary.join(large, request, "left")
-        resolved = resolved.join(large.select(request), request, "left_anti")
-        edges = edges.join(large.select(request), request, "left_anti")
-    rows = prompt.compile_prompts(
-        summary, resolved, edges, request, ontology_version=ontology.version, modality=modality
+    lookup = graph.concept_lookup(ontology.nodes, ontology.synonyms)
+    hit = graph.accepted_columns(anchors, lookup)
+    packed = anchors_once(hit, request)
+    summary = prompt.summary_of(packed, request, "accepted", "concepts")
+    lists = small_side(graph.neighbour_lists(ontology.edges, ontology.nodes, prompt.MAX_PROMPT_BYTES))
+    # the row itself goes with its first concept only
+    payload = F.struct(*summary.columns)
+    parted = summary.select(F.col(request), F.col("concepts"), F.posexplode_outer("concepts").alias("_at", "concept"), payload.alias("_row")).select(
+        request, "concept", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_row")).alias("_row")
     )
+    met = parted.join(lists, "concept", "left").groupBy(request).agg(
+        F.first("_row", ignorenulls=True).alias("_row"), F.flatten(F.collect_list("near")).alias("near"),
+        F.flatten(F.collect_list("conflicts")).alias("conflicts"), F.coalesce(F.bool_or("heavy"), F.lit(False)).alias("heavy"),
+    )
+    grown = met.select(
+        request, *[F.col(f"_row.{c}").alias(c) for c in summary.columns if c != request], "heavy",
+        graph.suggestions_of(F.col("near"), F.col("_row.concepts")).alias("suggested"),
+        F.transform(F.array_sort(F.array_distinct("conflicts")), lambda c: c["target"]).alias("against"),
+    ).withColumn("items", F.array_sort(F.concat("accepted", "suggested")))
+    size = prompt.attribute_bytes(F.col("items"), F.col("against"))
+    grown = grown.withColumn("oversized", F.col("heavy") | (size > prompt.MAX_PROMPT_BYTES))
+    kept = lambda c: F.when(~F.col("oversized") & (F.size(c) > 0), F.col(c))
+    grown = grown.withColumn("items", kept("items")).withColumn("against", kept("against"))
+    rows = requests.select(request).join(grown, request, "left").withColumn(
+        "forbidden", F.transform("against", lambda t: F.concat(F.lit("avoid "), t))
+    )
+    keep = [request, *[c for c in summary.columns if c not in (request, "accepted", "concepts")], "oversized"]
+    made = prompt.prompts_of(rows, keep, ontology_version=ontology.version, modality=modality)
     errors = prompt.prompt_errors("prompt")
     status = (
         F.when(F.col("anchor_error").isNotNull(), F.concat(F.lit("anchor:"), F.col("anchor_error")))
@@ -97,7 +112,7 @@ def prompts_from_anchors(
         .when(F.size(errors) > 0, F.concat(F.lit("schema:"), F.array_join(errors, ",")))
         .otherwise(F.lit("ok"))
     )
-    return rows.withColumn("status", status).select(
+    return made.withColumn("status", status).select(
         request, "status", "prompt", prompt.prompt_hash("prompt").alias("prompt_hash"),
         prompt.summary_text("prompt", "surfaces").alias("text"), "provenance",
         F.coalesce("anchor_count", F.lit(0)).cast("int").alias("anchor_count"),
@@ -105,6 +120,15 @@ def prompts_from_anchors(
     )
 
 
+def anchors_once(hit: DataFrame, request: str) -> DataFrame:
+    """All of a request's anchors in one row: the summary parts, accepted items and distinct concepts."""
+    item = F.when(F.col("usable"), prompt.item_of(lambda c: F.col("read" if c == "provenance" else c)))
+    return hit.groupBy(request).agg(
+        *prompt.summary_aggregates(), F.collect_list(item).alias("accepted"),
+        F.collect_set(F.when(F.col("usable"), F.col("concept_id"))).alias("concepts"),
+    )
+
+
 def decode(
     requests: DataFrame, model, vocab: DataFrame, ontology: Ontology, request: str = "epoch_id", *,
     width: int, signal: str = "eeg", override: str | None = None, top_k: int = 5,
