@@ -16,9 +16,10 @@ them to ``parts`` partitions by word, packed in sorted blocks (6 to 8 bytes a to
 partition are counted and stored, and every seen or backed-off token is evaluated; as scores are linear in the logarithms of the
 still unknown discounts, each document gets sums and counts only. Pairs then send (c, left, P) to their context, combined
 by partition; documents of the training part need no more, as all their pairs were seen and c(h) is the count of a word
-of their own; the others' contexts are joined to the context table (adaptive skew join). Words and pairs that are
+of their own; the others' contexts meet the context sums in the context's partition. Words and pairs that are
 frequent in a bounded sample (``head``) are counted exactly beforehand, broadcast and evaluated where the text is, so that
-none of them fills a partition; frequent words' other pairs are spread by the pair. The sample decides only where work is done.
+none of them fills a partition; frequent words' other pairs are spread by the pair, and their sums as contexts are
+broadcast as well. The sample decides only where work is done.
 
 Why order 2: with a second context word every token's block entry, table row and context sum grows by 7 bytes, which at the
 given disk bound doesn't fit.
@@ -491,36 +492,139 @@ def _left(discount: Discount):
     return run
 
 
-def _to_contexts(model: Model):
-    """Table blocks to ``ctx, c, left, p`` for each context of a block."""
+def _sent(model: Model, body: bytes) -> list[np.ndarray]:
+    """``ctx, c, left, p`` of the contexts of a table block."""
+    _, known, place, c2, c1 = unpack(body)
+    c2, c1 = c2.astype(np.int64), c1.astype(np.int64)
+    ctx = np.cumsum(known.astype(U64), dtype=U64)
+    return [ctx, *[np.bincount(place, v, len(ctx)) for v in (c2, c2 - model.two(c2), model.one(c1) / model.total)]]
+
+
+def _added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of ``c, left, p`` for each context of several lists."""
+    ctx, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return [ctx, *[np.bincount(place, np.concatenate([p[k] for p in parts]), len(ctx)) for k in (1, 2, 3)]]
+
+
+def _weights(contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts with log c(h) and log alpha(h)."""
+    ctx, c, left, p = contexts
+    return ctx, np.log10(c), np.log10(left) - np.log10(c) - np.log10(1 - p)
+
+
+def _terms(weights, ctx, batch, doc, seen, unseen) -> list[tuple]:
+    """What the contexts of held-out tokens add, for each document; unknown contexts add nothing."""
+    table, log_c, alpha = weights
+    if not len(table) or not len(ctx):
+        return []
+    at = np.minimum(np.searchsorted(table, ctx), len(table) - 1)
+    value = np.where(table[at] == ctx, unseen * alpha[at] - seen * log_c[at], 0.0)
+    uid, row = np.unique((batch << DOC_BITS + 1) + doc, return_inverse=True)
+    total = np.bincount(row, value, len(uid))
+    cuts = np.flatnonzero(np.diff(uid >> DOC_BITS + 1)) + 1
+    return [
+        ("terms", None, int(u[0] >> DOC_BITS + 1), pack(u & ((1 << DOC_BITS + 1) - 1), v), None)
+        for u, v in zip(np.split(uid, cuts), np.split(total, cuts))
+    ]
+
+
+def _hot_contexts(model: Model, hot: np.ndarray):
+    """The share of each table block in the contexts ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column("body"):
-                _, known, place, c2, c1 = unpack(body.as_py())
-                c2, c1 = c2.astype(np.int64), c1.astype(np.int64)
-                ctx = np.cumsum(known.astype(U64), dtype=U64)
-                total = lambda v: np.bincount(place, v, len(ctx))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ctx.view(np.int64)), pa.array(total(c2)), pa.array(total(c2 - model.two(c2))), pa.array(total(model.one(c1) / model.total))],
-                    ["ctx", "c", "left", "p"],
-                )
+                sent = _sent(model, body.as_py())
+                some = Head._find(hot, sent[0]) >= 0
+                ctx, c, left, p = (v[some] for v in sent)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(c), pa.array(left), pa.array(p)], ["ctx", "c", "left", "p"])
+
+    return run
+
+
+def _to_contexts(shared, model: Model, parts: int, most: int = 1 << 20):
+    """Tables and wants to the partitions of their contexts; frequent contexts are answered here."""
+
+    def split(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        part = (ctx % U64(parts)).astype(np.int32)
+        order = np.lexsort((ctx, part))
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        return order, ends[:-1], ends[1:]
+
+    def sent(columns: list[np.ndarray], weights) -> list[tuple]:
+        cold = Head._find(weights[0], columns[0]) < 0
+        columns = [v[cold] for v in columns]
+        order, first, last = split(columns[0])
+        ctx, c, left, p = (v[order] for v in columns)
+        return [
+            ("ctx", k, None, pack(_steps(ctx[a:b]), c[a:b].astype(np.int64), left[a:b], p[a:b]), None)
+            for k, (a, b) in enumerate(zip(first, last)) if a < b
+        ]
+
+    def asked(held: list[list[np.ndarray]], weights) -> list[tuple]:
+        ctx, batch, doc, seen, unseen = (np.concatenate(c) for c in zip(*held))
+        cold = Head._find(weights[0], ctx) < 0
+        out = _terms(weights, *[v[~cold] for v in (ctx, batch, doc, seen, unseen)])
+        ctx, batch, doc, seen, unseen = (v[cold] for v in (ctx, batch, doc, seen, unseen))
+        order, first, last = split(ctx)
+        for k, (a, b) in enumerate(zip(first, last)):
+            if a < b:
+                rows = order[a:b]
+                ids, place = np.unique(batch[rows], return_inverse=True)
+                out.append(("want", k, None, pack(_steps(ctx[rows]), ids, place, doc[rows], seen[rows], unseen[rows]), None))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, held, n = shared.value, [], 0
+        for batch in batches:
+            for kind, b, body in zip(batch.column("kind").to_pylist(), batch.column("batch").to_pylist(), batch.column("body")):
+                if kind == "table":
+                    made = sent(_sent(model, body.as_py()), weights)
+                elif kind == "own":
+                    own = unpack(body.as_py())
+                    made = sent([np.cumsum(own[0].astype(U64), dtype=U64), *own[1:]], weights)
+                else:
+                    ctx, doc, seen, unseen = unpack(body.as_py())
+                    held.append([np.cumsum(ctx.astype(U64), dtype=U64), np.full(len(doc), b), doc.astype(np.int64), seen.astype(np.int32), unseen.astype(np.int32)])
+                    n += len(doc)
+                    if n < most:
+                        continue
+                    made, held, n = asked(held, weights), [], 0
+                if made:
+                    yield _rows(made)
+        if held:
+            made = asked(held, weights)
+            if made:
+                yield _rows(made)
 
     return run
 
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's contexts, summed, answer its wants; answers that were given before pass through."""
+    part, sent, held = None, [], []
+
+    def answer() -> Iterator[pa.RecordBatch]:
+        if sent and held:
+            made = _terms(_weights(_added(sent)), *[np.concatenate(c) for c in zip(*held)])
+            if made:
+                yield _rows(made)
+
     for batch in batches:
-        for b, body in zip(batch.column("batch").to_pylist(), batch.column("body")):
-            ctx, doc, seen, unseen = unpack(body.as_py())
-            ctx = np.cumsum(ctx.astype(U64), dtype=U64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ctx.view(np.int64)), pa.array((b << DOC_BITS + 1) + doc.astype(np.int64)),
-                    pa.array(seen.astype(np.int32)), pa.array(unseen.astype(np.int32)),
-                ],
-                ["ctx", "uid", "seen", "unseen"],
-            )
+        for r in batch.to_pylist():
+            if r["kind"] == "terms":
+                yield _rows([tuple(r.values())])
+                continue
+            if r["part"] != part:
+                yield from answer()
+                part, sent, held = r["part"], [], []
+            got = unpack(r["body"])
+            ctx = np.cumsum(got[0].astype(U64), dtype=U64)
+            if r["kind"] == "ctx":
+                sent.append([ctx, *got[1:]])
+            else:
+                held.append([ctx, got[1].astype(np.int64)[got[2]], got[3].astype(np.int64), got[4].astype(np.int32), got[5].astype(np.int32)])
+    yield from answer()
 
 
 def _finished(model: Model, params: Params):
@@ -538,17 +642,16 @@ def _finished(model: Model, params: Params):
     norm = math.log10(model.total + model.vocabulary + 1)
     start = log(model.docs)
 
-    def flush(batch_id: int, head: list[np.ndarray], out: np.ndarray) -> pa.RecordBatch:
+    def flush(head: list[np.ndarray], out: np.ndarray) -> pa.RecordBatch:
         ids, none, train, sizes = head
         base = out[:, sums.at["base"]] - sizes * norm
-        score = out @ weight - np.where(train.astype(bool), start, 0.0)
-        uid = (batch_id << DOC_BITS + 1) + np.arange(len(ids))
+        score = out[:, :-1] @ weight - np.where(train.astype(bool), start, 0.0) + out[:, -1]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(uid), pa.array(ids.astype(np.int64), mask=none.astype(bool)), pa.array(~train.astype(bool)),
+                pa.array(ids.astype(np.int64), mask=none.astype(bool)), pa.array(~train.astype(bool)),
                 pa.array(sizes.astype(np.int64)), pa.array(np.rint(out[:, sums.at["known"]]).astype(np.int64)), pa.array(base), pa.array(score),
             ],
-            ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "part_score"],
+            ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,17 +661,20 @@ def _finished(model: Model, params: Params):
                 got = unpack(body.as_py())
                 if kind == "docs":  # first of its batch
                     if now is not None:
-                        yield flush(now, head, out)
-                    now, head, out = b, got[:4], np.array(got[4:], float).T.copy()
+                        yield flush(head, out)
+                    now, head, out = b, got[:4], np.zeros((len(got[0]), len(got) - 3))
+                    out[:, :-1] = np.array(got[4:], float).T
+                elif kind == "terms":
+                    out[got[0], -1] += got[1]
                 else:
-                    out[got[0]] += np.array(got[1:], float).T
+                    out[got[0], :-1] += np.array(got[1:], float).T
         if now is not None:
-            yield flush(now, head, out)
+            yield flush(head, out)
 
     return run
 
 
-FINISHED = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, part_score double"
+FINISHED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
@@ -604,25 +710,24 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
     model = _model(tables, head, total, trained_docs, params)
 
     # contexts: what was seen after each
-    hot = model.one(np.maximum(head.c1[head.word(head.pw)], 0)) / max(1, model.total) if len(head.pw) else np.zeros(0)
-    own = spark.createDataFrame(
-        list(zip(head.pc.view(np.int64).tolist(), head.c2.astype(float).tolist(), (head.c2 - model.two(head.c2)).tolist(), hot.tolist())),
-        "ctx long, c double, left double, p double",
-    )
-    sent = tables.filter("kind = 'table'").select("body").mapInArrow(_to_contexts(model), "ctx long, c double, left double, p double")
-    contexts = sent.unionByName(own).groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("left").alias("left"), F.sum("p").alias("p"))
-    contexts = contexts.select(
-        "ctx", F.log10("c").alias("seen_by"), (F.log10("left") - F.log10("c") - F.log10(1 - F.col("p"))).alias("alpha")
-    )
-    asked = tables.filter("kind = 'want'").select("batch", "body").mapInArrow(_asked, "ctx long, uid long, seen int, unseen int")
-    terms = asked.join(contexts, "ctx").groupBy("uid").agg(
-        F.sum(F.col("unseen") * F.col("alpha") - F.col("seen") * F.col("seen_by")).alias("terms")
+    p = model.one(head.c1[head.word(head.pw)]) / max(1, model.total) if len(head.pw) else np.zeros(0)
+    own = _added([[head.pc, head.c2, head.c2 - model.two(head.c2), p]])
+    hot = np.unique(np.append(head.w, U64(START)))
+    table = tables.filter("kind = 'table'").select("body").mapInArrow(_hot_contexts(model, hot), "ctx long, c double, left double, p double")
+    summed = table.groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("left").alias("left"), F.sum("p").alias("p")).collect()  # no more than hot
+    mine = Head._find(hot, own[0]) >= 0
+    frequent = [np.array([r["ctx"] for r in summed], np.int64).view(U64), *[np.array([r[k] for r in summed], float) for k in ("c", "left", "p")]]
+    frequent = _added([frequent, [v[mine] for v in own]])
+    body = spark.createDataFrame([("own", bytearray(pack(_steps(own[0]), *own[1:])))], "kind string, body binary")
+    body = body.select("kind", F.lit(None).cast("long").alias("batch"), "body")
+    asked = tables.filter("kind in ('table', 'want')").select("kind", "batch", "body").unionByName(body).mapInArrow(
+        _to_contexts(sc.broadcast(_weights(frequent)), model, parts), ROWS
     )
-    blocks_of = tables.filter("kind in ('docs', 'sums')").select("kind", "batch", "body")
-    done = blocks_of.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_finished(model, params), FINISHED)
-    return done.join(terms, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score",
-        (F.col("part_score") + F.coalesce("terms", F.lit(0.0))).alias("score"),
+    spread = F.coalesce("part", F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int"))
+    terms = asked.withColumn("_to", spread).repartition(parts, "_to").drop("_to").sortWithinPartitions("part", "kind").mapInArrow(_answered, ROWS)
+    rows = tables.filter("kind in ('docs', 'sums')").unionByName(terms).select("kind", "batch", "body")
+    return rows.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_finished(model, params), FINISHED).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
 
