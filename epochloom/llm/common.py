@@ -1,8 +1,6 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from epochloom.session import new_folder
@@ -21,19 +19,27 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
     The written table cuts the lineage: a lost executor costs a reread, not the work before it.
     """
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return replaced(df, label, None)[0]
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that no table in use refers to any more.
+#: With it, a query's shuffle files go when it ends and not when the driver's memory is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    It does so by itself when the driver's memory is collected, which may be long after a large shuffle has ended.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+
+def replaced(df: DataFrame, label: str, old: str | None) -> tuple[DataFrame, str]:
+    """As ``saved``, with the new path; the written table ``old``, which ``df`` was made from, goes."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    if old is not None:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -45,14 +51,3 @@ def text_of(column: str | Column = "text") -> Column:
     """The text, a null one counting as empty."""
     col = F.col(column) if isinstance(column, str) else column
     return F.coalesce(col.cast("string"), F.lit(""))
-
-
-def replaced(df: DataFrame, label: str, old: str | None) -> tuple[DataFrame, str]:
-    """As ``saved``, with the new path; the written table ``old``, which ``df`` was made from, goes."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
-    if old is not None:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(old)
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-    return spark.read.schema(df.schema).parquet(path), path

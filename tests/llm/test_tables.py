@@ -122,7 +122,7 @@ def test_neighbours(spark):
     rows += [(3_000, None), (3_020, [0.0] * 8), (3_040, [float("nan")] * 8), (3_060, [1.0, None] * 4), (3_080, [float("inf")] * 8), (None, [1.0] * 8), (3_100, [1.0])]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got: dict = {}
-    params = projected_neighbours.Params(block_rows=500)
+    params = projected_neighbours.Params(block_rows=500, projections=8, confidence=0.99)
     for r in projected_neighbours.nearest(table, params=params).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute_nearest(rows, 20)
@@ -143,12 +143,57 @@ def test_few_neighbours(spark):
     assert projected_neighbours.nearest(table.filter("vec_id = 1")).count() == 0
 
 
-def test_slices_give_the_same(spark):
+def test_blocks_and_chunks_give_the_same(spark):
     draw = np.random.default_rng(4)
-    table = spark.createDataFrame([(k, draw.normal(size=6).tolist()) for k in range(400)], "vec_id long, embedding array<double>")
-    one = projected_neighbours.nearest(table).collect()
-    many = projected_neighbours.nearest(table, params=projected_neighbours.Params(slice_queries=6)).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+    rows = [(k, draw.normal(size=8).tolist()) for k in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sure = {"confidence": 1 - 1e-12, "projections": 4}
+    got = {
+        tuple(sorted((r.query_id, r["rank"], r.vec_id) for r in projected_neighbours.nearest(table, params=projected_neighbours.Params(**sure, **more)).collect()))
+        for more in ({}, {"block_rows": 60, "leaf": 16}, {"block_rows": 40, "cells": 4, "chunk_queries": 7, "leaf": 8})
+    }
+    assert got == {tuple(sorted((q, k + 1, i) for q, near in brute_nearest(rows, 20).items() for k, (i, _) in enumerate(near)))}
+
+
+def test_ties_of_different_vectors_and_repeated_ids(spark):
+    """Equal scores go to the smaller id, whatever the vectors; rows of the query's own id take no place."""
+    draw = np.random.default_rng(6)
+    rows = [(0, [1.0] + [0.0] * 7)]
+    rows += [(k, [0.5, *draw.permutation([2.0, 1.0, 0.0, 0.0, -1.0, -2.0, 3.0]).tolist()]) for k in range(1, 700)]
+    near = [1.0, 0.25] + [0.0] * 6
+    rows += [(0, near)] * 6 + [(1_001 + k, near) for k in range(15)] + [(1_001, near)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sure = projected_neighbours.Params(confidence=1 - 1e-12, block_rows=90, leaf=32)
+    got = [(r.vec_id, r.score) for r in projected_neighbours.nearest(table, params=sure).filter("query_id = 0").orderBy("rank").collect()]
+    copies = sorted([1_001 + k for k in range(15)] + [1_001] * 2)
+    # the query asks with its smallest vector, [1, 0, ...]
+    assert got == [(i, 1.0) for i in copies] + [(i, 0.5) for i in (1, 2, 3)]
+
+
+def test_search_stops_early():
+    """On 50,000 nearly isotropic rows at most three pairs in ten are verified, and 95 of 100 true neighbours found."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(50_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    params = projected_neighbours.Params()
+    space = projected_neighbours.Space(64, 1.0, params)
+    queries, z = x[:200], space.entries(x)
+    tree = projected_neighbours.TopTree(z[::100], 7)
+    cell, home = tree.place(z), tree.place(space.queries(queries))
+    rows = [np.flatnonzero(cell == c) for c in range(tree.cells)]
+    search = [projected_neighbours.Search(space, x[r], r, 21) for r in rows]
+    bound, found = np.full(200, -np.inf), [[] for _ in range(200)]
+    for at_home in (True, False):  # the own block first, then all others with its bound
+        for c in range(tree.cells):
+            mine = np.flatnonzero((home == c) == at_home)
+            for q, entry, score in zip(*search[c].run(queries[mine], bound[mine])):
+                found[mine[q]].append((-score, rows[c][entry]))
+        if at_home:
+            bound = np.array([-sorted(f)[20][0] for f in found])
+    verified = sum(s.verified for s in search)
+    hits = sum(len({i for _, i in sorted(f)[:21]} & set(np.argsort(-(x @ q), kind="stable")[:21].tolist())) for f, q in zip(found, queries))
+    assert hits / (200 * 21) >= 0.95
+    assert verified / (200 * len(x)) <= 0.3
 
 
 # --- pipeline -----------------------------------------------------------------------------
