@@ -13,8 +13,8 @@ so each context's probabilities sum to 1. All counts and statistics cover the wh
 
 How it runs. Tokens are 64-bit hashes of words. A task groups the (word, context, document) triples of some texts and sends
 them to ``parts`` partitions by word, packed in sorted blocks (6 to 8 bytes a token). There the unigram and pair tables of the
-partition are counted and stored, and every seen or backed-off token is evaluated; as scores are linear in the logarithms of the
-still unknown discounts, each document gets sums and counts only. Pairs then send (c, left, P) to their context, combined
+partition are counted and stored, and each document gets the two counts of each of its pairs back (2 to 3 bytes a token), which
+are evaluated once the discounts are known. Pairs then send (c, left, P) to their context, combined
 by partition; documents of the training part need no more, as all their pairs were seen and c(h) is the count of a word
 of their own; the others' contexts meet the context sums in the context's partition. Words and pairs that are
 frequent in a bounded sample (``head``) are counted exactly beforehand, broadcast and evaluated where the text is, so that
@@ -62,7 +62,7 @@ class Params:
     head_words: int = 4
     sample_docs: int = 4_000
     #: Tokens of a block, and characters of text of a partition.
-    block_tokens: int = 1 << 20
+    block_tokens: int = 3 << 18
     part_chars: int = 1 << 23
 
 
@@ -108,7 +108,7 @@ def _steps(a: np.ndarray) -> np.ndarray:
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         got = xxhash.xxh64_intdigest(word)
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = got
         return got
@@ -165,42 +165,29 @@ def _contexts(w: np.ndarray) -> np.ndarray:
 
 
 class Sums:
-    """Columns of a document's sums; what multiplies them is known only after all counts are."""
+    """Columns of what frequent words and pairs add to a document; discounts, which multiply them, are not known yet."""
 
     def __init__(self, k: int):
         self.k = k
-        self.names = (
-            ["known", "base", "ctx", "seen_log", "seen_step"] + [f"seen{r}" for r in range(1, k + 1)]
-            + ["uni_log", "uni_step", "uni_n"] + [f"uni{r}" for r in range(k + 1)]
-        )
+        self.names = ["known", "base", "fixed", "step"] + [f"seen{r}" for r in range(1, k + 1)]
         self.at = {name: i for i, name in enumerate(self.names)}
 
     def add(self, out: np.ndarray, name: str, doc: np.ndarray, value: np.ndarray) -> None:
         out[:, self.at[name]] += np.bincount(doc, value, len(out))
 
-    def words(self, out, doc, n, c1, trained, end) -> None:
-        """What a token's own count says: known, base score, and as the context of the next token."""
-        self.add(out, "known", doc, n * (c1 > 0))
-        self.add(out, "base", doc, n * np.log10(c1 + 1.0))
-        inner = trained & ~end
-        self.add(out, "ctx", doc[inner], -n[inner] * np.log10(c1[inner]))
+    def words(self, out, doc, c1, inner) -> None:
+        """A token's own count: known, base score, and (``inner``) as the context of the next token of a training text."""
+        self.add(out, "known", doc, (c1 > 0) * 1.0)
+        self.add(out, "base", doc, np.log10(c1 + 1.0))
+        self.add(out, "fixed", doc[inner], -np.log10(c1[inner]))
 
-    def pairs(self, out, doc, n, c2) -> None:
-        """Seen pairs."""
+    def pairs(self, out, doc, c2) -> None:
+        """Seen pairs: log c* is log c and a multiple of log(1 + 1/c), or that of one of the first counts."""
         big = c2 > self.k
-        self.add(out, "seen_log", doc[big], n[big] * np.log10(c2[big]))
-        self.add(out, "seen_step", doc[big], n[big] * np.log10(1 + 1 / c2[big]))
+        self.add(out, "fixed", doc[big], np.log10(c2[big]))
+        self.add(out, "step", doc[big], np.log10(1 + 1 / c2[big]))
         for r in range(1, self.k + 1):
-            self.add(out, f"seen{r}", doc[c2 == r], n[c2 == r])
-
-    def backed(self, out, doc, n, c1) -> None:
-        """Pairs that weren't seen fall back on their word."""
-        big = c1 > self.k
-        self.add(out, "uni_log", doc[big], n[big] * np.log10(c1[big]))
-        self.add(out, "uni_step", doc[big], n[big] * np.log10(1 + 1 / c1[big]))
-        self.add(out, "uni_n", doc, n * (c1 > 0))
-        for r in range(self.k + 1):
-            self.add(out, f"uni{r}", doc[c1 == r], n[c1 == r])
+            self.add(out, f"seen{r}", doc[c2 == r], (c2[c2 == r] > 0) * 1.0)
 
 
 # --- stages -----------------------------------------------------------------------
@@ -273,12 +260,11 @@ def _blocks(shared, parts: int, params: Params):
         out = np.zeros((len(docs), len(sums.names)))
         at = head.word(w)
         hot = at >= 0
-        one = np.ones(hot.sum())
-        sums.words(out, doc[hot], one, head.c1[at[hot]], train[doc[hot]], w[hot] == U64(END))
+        sums.words(out, doc[hot], head.c1[at[hot]], train[doc[hot]] & (w[hot] != U64(END)))
         known = np.full(len(w), -1)
         known[hot] = head.pair(w[hot], ctx[hot])
         got = known >= 0
-        sums.pairs(out, doc[got], np.ones(got.sum()), head.c2[known[got]])
+        sums.pairs(out, doc[got], head.c2[known[got]])
         ids = np.array([0 if i is None else i for i, _ in docs], np.int64)
         none = np.array([i is None for i, _ in docs])
         made = [("docs", batch_id % parts, batch_id, pack(ids.view(U64), none.astype(np.uint8), train.astype(np.uint8), sizes, *out.T), None)]
@@ -342,8 +328,7 @@ def _wants(ctx, doc, seen, unseen) -> bytes:
 
 
 def _counted(shared, params: Params):
-    """Blocks of a partition to its tables, and to sums and wants for the documents."""
-    sums = Sums(params.k)
+    """Blocks of a partition to its tables, and to counts and wants for the documents."""
 
     def part_of(part: int, blocks: list[tuple[int, bytes]], head: Head) -> Iterator[pa.RecordBatch]:
         got = [unpack(body) for _, body in blocks]
@@ -382,29 +367,24 @@ def _counted(shared, params: Params):
         if len(pw):
             made.append(("table", part, None, pack(_steps(pw), *_coded(pc), p2, p1), None))
         yield _rows(made)
-        # documents
-        docs, row = np.unique(doc, return_inverse=True)
-        out = np.zeros((len(docs), len(sums.names)))
+        # documents: what was counted, as small numbers in order of the document
         own = ~hot[word]
+        flags = own.astype(np.uint8) + 2 * (w == U64(END))
         r1, r2 = c1[word], c2[pair]
-        sums.words(out, row[own], n[own], r1[own], train[own], w[own] == U64(END))
-        hit = r2 > 0
-        sums.pairs(out, row[hit], n[hit], r2[hit])
-        sums.backed(out, row[~hit], n[~hit], r1[~hit])
-        bounds = np.searchsorted(docs, np.arange(len(blocks) + 1) << DOC_BITS + 1)
-        local = docs & ((1 << DOC_BITS + 1) - 1)
+        back = np.argsort(doc, kind="stable")
+        mask = (1 << DOC_BITS + 1) - 1
+        bounds = np.searchsorted(doc[back] >> DOC_BITS + 1, np.arange(len(blocks) + 1))
         asks = np.flatnonzero(~train)
         asks = asks[np.lexsort((ctx[asks], doc[asks] >> DOC_BITS + 1))]
         cuts = np.searchsorted(doc[asks] >> DOC_BITS + 1, np.arange(len(blocks) + 1))
+        hit = r2 > 0
         made = []
         for k, (batch_id, _) in enumerate(blocks):
-            a, b = bounds[k], bounds[k + 1]
-            some = a + np.flatnonzero(out[a:b].any(1))
-            if len(some):
-                made.append(("sums", part, batch_id, pack(local[some], *out[some].T), None))
+            rows = back[bounds[k] : bounds[k + 1]]
+            made.append(("seen", part, batch_id, pack(_steps((doc[rows] & mask).astype(U64)), n[rows], r2[rows], r1[rows], flags[rows]), None))
             rows = asks[cuts[k] : cuts[k + 1]]
             if len(rows):
-                made.append(("want", part, batch_id, _wants(ctx[rows], doc[rows] & ((1 << DOC_BITS + 1) - 1), n[rows] * hit[rows], n[rows] * ~hit[rows]), None))
+                made.append(("want", part, batch_id, _wants(ctx[rows], doc[rows] & mask, n[rows] * hit[rows], n[rows] * ~hit[rows]), None))
         for k in range(0, len(made), 256):
             yield _rows(made[k : k + 256])
 
@@ -542,7 +522,7 @@ def _hot_contexts(model: Model, hot: np.ndarray):
     return run
 
 
-def _to_contexts(shared, model: Model, parts: int, most: int = 1 << 20):
+def _to_contexts(shared, model: Model, parts: int, most: int = 1 << 18):
     """Tables and wants to the partitions of their contexts; frequent contexts are answered here."""
 
     def split(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -628,17 +608,27 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finished(model: Model, params: Params):
-    """Sums of a block's documents, in one row each."""
+    """Everything about a block's documents, to one row each."""
     sums = Sums(params.k)
     weight = np.zeros(len(sums.names))
     log = lambda x: math.log10(x) if x > 0 else 0.0
-    for name, value in (("ctx", 1.0), ("seen_log", 1.0), ("seen_step", model.two.power), ("uni_log", 1.0), ("uni_step", model.one.power)):
-        weight[sums.at[name]] = value
-    weight[sums.at["uni_n"]] = -log(model.total)
-    weight[sums.at["uni0"]] = log(model.unknown)
+    weight[sums.at["fixed"]], weight[sums.at["step"]] = 1.0, model.two.power
     for r in range(1, params.k + 1):
         weight[sums.at[f"seen{r}"]] = log(model.two.star[r])
-        weight[sums.at[f"uni{r}"]] = log(model.one.star[r])
+
+    def seen(body: list[np.ndarray], train: np.ndarray, out: np.ndarray) -> None:
+        step, n, c2, c1, flags = body
+        doc = np.cumsum(step.astype(U64), dtype=U64).astype(np.int64)
+        n, c2, c1, own = n.astype(float), c2.astype(np.int64), c1.astype(np.int64), (flags & 1).astype(bool)
+        word = np.where(c1 > 0, np.log10(np.maximum(model.one(np.maximum(c1, 1)), 1e-300)) - log(model.total), log(model.unknown))
+        value = np.where(c2 > 0, np.log10(model.two(np.maximum(c2, 1))), word)
+        inner = own & train[doc] & (flags < 2)
+        value[inner] -= np.log10(c1[inner])
+        add = lambda name, v: sums.add(out[:, :-1], name, doc, v)
+        add("known", n * (own & (c1 > 0)))
+        add("base", n * own * np.log10(c1 + 1.0))
+        add("fixed", n * value)
+
     norm = math.log10(model.total + model.vocabulary + 1)
     start = log(model.docs)
 
@@ -667,7 +657,7 @@ def _finished(model: Model, params: Params):
                 elif kind == "terms":
                     out[got[0], -1] += got[1]
                 else:
-                    out[got[0], :-1] += np.array(got[1:], float).T
+                    seen(got, head[2].astype(bool), out)
         if now is not None:
             yield flush(head, out)
 
@@ -723,7 +713,7 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
     )
     spread = F.coalesce("part", F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int"))
     terms = asked.withColumn("_to", spread).repartition(parts, "_to").drop("_to").sortWithinPartitions("part", "kind").mapInArrow(_answered, ROWS)
-    rows = tables.filter("kind in ('docs', 'sums')").unionByName(terms).select("kind", "batch", "body")
+    rows = tables.filter("kind in ('docs', 'seen')").unionByName(terms).select("kind", "batch", "body")
     return rows.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_finished(model, params), FINISHED).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
