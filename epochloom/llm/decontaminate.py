@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,10 +39,6 @@ from epochloom.llm.common import fresh, text_of
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
-#: Signs that often follow or precede a word in running text; a token with one of each at most is looked up as it is.
-AFTER = (".", ",", ";", ":", "!", "?", ")", '"', "'")
-BEFORE = ("(", '"', "'")
-
 
 @dataclass(frozen=True)
 class Params:
@@ -84,6 +81,11 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    a = np.sort(a)
+    return a[np.diff(a, prepend=-1) > 0]
+
+
 class Index:
     """Inverted index of one slice of items."""
 
@@ -138,66 +140,81 @@ class Index:
             for k, t in enumerate(rows):
                 cells = slice(self.term_cells[t], self.term_cells[t + 1])
                 self.late_max[k, self.cells[cells] % self.blocks] = self.cell_max[cells]
-        self.lookup = {b + w + a: k for w, k in vocabulary.items() for a in ("", *AFTER) for b in ("", *BEFORE)}
+        self.vocabulary = vocabulary
         self.grams = [(ngrams(q, params.ngram) if q else set(), ngrams(a, params.ngram) if a else set(), ngrams(q + a, params.ngram) if q or a else set()) for q, a in self.parts]
 
-    def terms_of(self, text: str) -> list[int]:
+    def terms_of(self, text: str) -> np.ndarray:
         """The term of each word of ``text``, -1 for words that no item has."""
-        known, out = self.lookup, []
-        for token in text.lower().split():
-            term = known.get(token)
-            if term is not None:
-                out.append(term)
-            elif token.isascii() and token.isalnum():
-                out.append(-1)
-            else:
-                out += [known.get(w, -1) for w in WORD.findall(token)]
-        return out
+        return np.fromiter(map(self.vocabulary.get, WORD.findall(text.lower()), repeat(-1)), np.int64)
+
+    def add_late(self, bound: np.ndarray, row: np.ndarray, late: np.ndarray) -> None:
+        """Add the block maxima of common terms to the rows that hold them; ``row`` ascends."""
+        step = max(1, DENSE // max(1, self.blocks))
+        for at in range(0, len(row), step):
+            part = row[at : at + step]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            bound[part[first]] += np.add.reduceat(self.late_max[late[at : at + step]], first)
 
     def retrieve(self, texts: list[str]) -> list[tuple[int, int, int, float]]:
         """``(text, passage, entry, score)`` of every passage and entry at or above the threshold."""
         half, theta, vocab = self.params.passage_words // 2, self.params.threshold, len(self.term_max)
         terms, slots, starts, base = [], [], [], 0
         for text in texts:
-            ids = np.array(self.terms_of(text), np.int64)
+            ids = self.terms_of(text)
             at = np.flatnonzero(ids >= 0)
             terms.append(ids[at])
             slots.append(base + at // half)
             starts.append(base)
             base += max(1, -(-len(ids) // half)) + 1  # an empty half parts a text from the next
         starts = np.array(starts)
-        pair = np.unique(np.concatenate(slots) * vocab + np.concatenate(terms)) if vocab else np.zeros(0, np.int64)
-        if not len(pair):
+        slot, term = np.concatenate(slots), np.concatenate(terms)
+        # first the sum of all words' maxima over all blocks: many passages end here
+        most = np.bincount(slot, self.term_max[term], base + 1) if vocab else np.zeros(base + 1)
+        alive = np.flatnonzero(most[:-1] + most[1:] >= theta - 1e-12)
+        if not len(alive):
             return []
-        slot, term = pair // vocab, pair % vocab
+        halves = np.union1d(alive, alive + 1)
+        begin = np.searchsorted(slot, halves)
+        counts = np.searchsorted(slot, halves, side="right") - begin
+        left = _expand(begin, counts)
+        # each term once a half
+        pair = _distinct(np.repeat(np.arange(len(halves)), counts) * vocab + term[left])
+        row, term = pair // vocab, pair % vocab
+        slot = halves[row]
+        one, two = np.searchsorted(halves, alive), np.searchsorted(halves, alive + 1)
         # bounds of each half from term maxima (common terms) and block maxima (the others); a passage, which
         # is a half and the next one, has at most the sum of both
         late = self.common[term]
-        rest = np.bincount(slot[late], self.term_max[term[late]], base + 1)
-        rest = rest[:-1] + rest[1:]
-        p, t = slot[~late], term[~late]
+        rest = np.bincount(row[late], self.term_max[term[late]], len(halves))
+        rest = rest[one] + rest[two]
+        p, t = row[~late], term[~late]
         counts = self.term_cells[t + 1] - self.term_cells[t]
         cell = _expand(self.term_cells[t], counts)
         where, value = np.repeat(p, counts) * self.blocks + self.cells[cell] % self.blocks, self.cell_max[cell]
-        if (base + 1) * self.blocks <= DENSE and self.late_max.shape[1] == self.blocks:
-            bound = np.bincount(where, value, (base + 1) * self.blocks).reshape(base + 1, self.blocks)
-            has = np.zeros((base + 1, len(self.late_max)), np.float32)  # block maxima count for common terms too
-            has[slot[late], self.late_row[term[late]]] = 1
-            bound = bound + has @ self.late_max
-            keys = np.flatnonzero((bound[:-1] + bound[1:]).ravel() >= theta - 1e-6)
+        if len(halves) * self.blocks <= DENSE and self.late_max.shape[1] == self.blocks:
+            bound = np.bincount(where, value, len(halves) * self.blocks).astype(float).reshape(len(halves), self.blocks)
+            self.add_late(bound, row[late], self.late_row[term[late]])  # block maxima count for common terms too
+            at, block = np.nonzero(bound[one] + bound[two] >= theta - 1e-6)
+            keys = alive[at] * self.blocks + block
         else:
-            keys, inverse = np.unique(np.concatenate([where, np.maximum(where - self.blocks, 0)]), return_inverse=True)
-            bound = np.bincount(inverse, np.concatenate([value, value]), len(keys))
+            half, block, n = where // self.blocks, where % self.blocks, len(halves)
+            places = np.full((2, n), -1)
+            places[0, one], places[1, two] = np.arange(len(alive)), np.arange(len(alive))
+            meets = [(places[k, half], k) for k in (0, 1)]
+            keys = np.concatenate([at[at >= 0] * self.blocks + block[at >= 0] for at, _ in meets])
+            keys, inverse = np.unique(keys, return_inverse=True)
+            bound = np.bincount(inverse, np.concatenate([value[at >= 0] for at, _ in meets]), len(keys))
             keys = keys[bound + rest[keys // self.blocks] >= theta - 1e-12]
             open_ = np.flatnonzero(rest >= theta - 1e-12)  # what common terms alone could lift keeps all blocks
             keys = np.union1d(keys, (open_[:, None] * self.blocks + np.arange(self.blocks)[None, :]).ravel())
+            keys = alive[keys // self.blocks] * self.blocks + keys % self.blocks
         if not len(keys):
             return []
         # the terms of both halves, of the passages that are left
         open_ = np.unique(keys // self.blocks)
         begin = np.searchsorted(slot, open_)
         counts = np.searchsorted(slot, open_ + 1, side="right") - begin
-        pair = np.unique(np.repeat(open_, counts) * vocab + term[_expand(begin, counts)])
+        pair = _distinct(np.repeat(open_, counts) * vocab + term[_expand(begin, counts)])
         passage, term = pair // vocab, pair % vocab
         # exact scores from the postings of those blocks
         begin = np.searchsorted(passage, keys // self.blocks)
