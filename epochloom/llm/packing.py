@@ -4,7 +4,9 @@ Pieces (documents, or the cuts of those over the capacity) are dealt at random t
 size. Each group packs by best fit, longest first, and then exchanges pieces between its underfull
 sequences: a piece moves, one changes places with one, or two with one, whenever the fuller sequence
 becomes fuller still. Each exchange raises the sum of squared fills, so the search ends, and the sequences
-that are drained go. What stays loosely filled is packed once more over many groups.
+that are drained go. All underfull sequences are tried, the emptiest first and with the best partner of all, until none of
+them changes or the fewest possible sequences are reached. What stays loosely filled (below 98 %) is dealt to fewer
+groups again, until one group holds it all or a pass saves no sequence.
 
 Only lengths and row numbers go through the groups; ids are joined to them where they are wanted.
 
@@ -15,7 +17,7 @@ are ignored. Ties between equally good places go to the smaller free space, then
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +104,7 @@ class _Exchange:
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
-        self.at: dict[int, set[int]] = {}  # length -> underfull bins that hold it
+        self.at: dict[int, list[tuple[int, int]]] = {}  # length -> (free, bin) of the underfull bins that hold it, in order
         self.sizes: list[int] = []
         self.spaces: list[tuple[int, int]] = []  # (free, bin), in order
         for k, fill in enumerate(self.fill):
@@ -115,9 +117,9 @@ class _Exchange:
         insort(self.spaces, (self.capacity - self.fill[k], k))
         for size in {self.lengths[i] for i in self.bins[k]}:
             if size not in self.at:
-                self.at[size] = set()
+                self.at[size] = []
                 insort(self.sizes, size)
-            self.at[size].add(k)
+            insort(self.at[size], (self.capacity - self.fill[k], k))
 
     def _leave(self, k: int) -> None:
         entry = (self.capacity - self.fill[k], k)
@@ -127,10 +129,12 @@ class _Exchange:
         for size in {self.lengths[i] for i in self.bins[k]}:
             held = self.at.get(size)
             if held is not None:
-                held.discard(k)
+                pos = bisect_left(held, entry)
+                if pos < len(held) and held[pos] == entry:
+                    del held[pos]
                 if not held:
                     del self.at[size]
-                    self.sizes.remove(size)
+                    del self.sizes[bisect_left(self.sizes, size)]
 
     def _swap(self, low: int, out: list[int], high: int, back: list[int]) -> None:
         for k in (low, high):
@@ -157,24 +161,30 @@ class _Exchange:
                 pos += 1
         return False
 
-    def _trade(self, low: int, out: list[int], looks: int = 24) -> bool:
-        """``out`` for one smaller piece of a fuller bin that it fills best."""
+    def _trade(self, low: int, out: list[int]) -> bool:
+        """``out`` for one smaller piece of a bin that it makes fuller than either was, filling it best.
+
+        A bin with ``space`` free that gives a piece of ``small`` ends with ``space - (size - small)`` free, so the
+        best partner of each bin is looked up among its own few lengths, and bins come in order of free space.
+        """
         size = sum(self.lengths[i] for i in out)
-        pos = bisect_right(self.sizes, size - 1) - 1
+        fill = self.fill[low]
         best = None
-        for _ in range(looks):
-            if pos < 0:
-                break
-            small = self.sizes[pos]
+        for small in reversed(self.sizes[: bisect_left(self.sizes, size)]):
             gain = size - small
-            for high in self.at[small]:
-                space = self.capacity - self.fill[high]
-                # the fuller bin must become fuller than either was
-                if high != low and gain <= space and self.fill[high] + gain > max(self.fill[low], self.fill[high]):
+            # within a length, the bin with the least space that still takes the gain is best
+            held = self.at[small]
+            pos = bisect_left(held, (gain, -1))
+            while pos < len(held) and held[pos][1] == low:
+                pos += 1
+            if pos < len(held):
+                space, high = held[pos]
+                if self.fill[high] + gain > fill:
                     key = (space - gain, -gain, high)
                     if best is None or key < best[0]:
                         best = (key, high, small)
-            pos -= 1
+                        if space == gain:
+                            break  # no bin can be fuller; larger gains stand further down
         if best is None:
             return False
         _, high, small = best
@@ -182,37 +192,44 @@ class _Exchange:
         self._swap(low, out, high, [back])
         return True
 
+    def _drain(self, low: int) -> bool:
+        """Exchange until ``low`` is empty or nothing helps; whether anything changed."""
+        changed = False
+        while self.bins[low]:
+            own = sorted({self.lengths[i]: i for i in self.bins[low]}.values(), key=lambda i: -self.lengths[i])
+            if self._move(low) or any(self._trade(low, [i]) for i in own):
+                changed = True
+                continue
+            if any(self._trade(low, pair) for pair in self._pairs(low)):
+                changed = True
+                continue
+            break
+        return changed
+
+    def _pairs(self, low: int) -> Iterator[list[int]]:
+        """Pairs of pieces of different lengths, the longest first; equal lengths stand for each other."""
+        seen = set()
+        own = sorted(self.bins[low], key=lambda i: -self.lengths[i])
+        for n, a in enumerate(own):
+            for b in own[n + 1 :]:
+                pair = (self.lengths[a], self.lengths[b])
+                if pair not in seen:
+                    seen.add(pair)
+                    yield [a, b]
+
     def run(self) -> list[list[int]]:
-        total = sum(self.lengths)
-        least = -(-total // self.capacity)
+        """All underfull bins are tried, the emptiest first, until a round changes none of them or none can be saved."""
+        least = -(-sum(self.lengths) // self.capacity)
         held = sum(1 for b in self.bins if b)
-        stuck: set[int] = set()
-        while held > least:
-            low = next((k for _, k in reversed(self.spaces) if k not in stuck), None)
-            if low is None:
-                break
+        changed = True
+        while changed and held > least:
             changed = False
-            while self.bins[low]:
-                if self._move(low):
-                    changed = True
-                    continue
-                own = sorted(self.bins[low], key=lambda i: -self.lengths[i])
-                if any(self._trade(low, [i]) for i in own):
-                    changed = True
-                    continue
-                pairs = [[a, b] for n, a in enumerate(own[:12]) for b in own[n + 1 : 12]]
-                if any(self._trade(low, p) for p in pairs):
+            for _, low in list(reversed(self.spaces)):
+                if held <= least:
+                    break
+                if self.bins[low] and self._drain(low):
                     changed = True
-                    continue
-                break
-            if changed:
-                stuck.clear()  # other bins have changed as well
-            if self.bins[low]:
-                stuck.add(low)
-            else:
-                held -= 1
-            if not changed and len(stuck) > 32:
-                break
+                    held -= not self.bins[low]
         return [b for b in self.bins if b]
 
 
@@ -233,7 +250,7 @@ def _packed(capacity: int, loose: float, level: int):
                 number[i], offset[i] = k, place
                 place += lengths[i]
             open_[members] = place < loose * capacity
-        base = (level << 60) + (int(key[0]) << 24)
+        base = (level << 56) + (int(key[0]) << 24)
         return pd.DataFrame({"uid": frame["uid"], "length": frame["length"], "sequence_id": base + number, "offset": offset, "loose": open_})
 
     return run
@@ -243,23 +260,28 @@ PLACES = "uid long, length long, sequence_id long, offset long, loose boolean"
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """``uid, sequence_id, offset`` for pieces with ``uid, length``; ``uid`` numbers the rows."""
+    """``uid, sequence_id, offset`` for pieces with ``uid, length``; ``uid`` numbers the rows.
+
+    What a pass leaves loose is dealt anew to fewer groups, until one group holds it all or a pass saves nothing.
+    """
     rows = pieces.select("uid", "length")
-    count = rows.filter(F.col("length") < capacity).count()
-    groups = max(1, -(-count // group_pieces))
-    full = rows.filter(F.col("length") >= capacity).select(
-        "uid", ((F.lit(2).cast("long") * (1 << 60)) + F.monotonically_increasing_id()).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-    )
-    dealt = rows.filter(F.col("length") < capacity).withColumn("grp", F.pmod(F.xxhash64("uid"), F.lit(groups)))
-    first = saved(dealt.groupBy("grp").applyInPandas(_packed(capacity, LOOSE, 0), PLACES), "places")
-    left = first.filter("loose").select("uid", "length")
-    again = max(1, -(-left.count() // group_pieces))
-    second = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(again))).groupBy("grp").applyInPandas(
-        _packed(capacity, 0.0, 1), PLACES
-    )
     keep = lambda df: df.select("uid", "sequence_id", "offset")
-    return keep(first.filter(~F.col("loose"))).unionByName(keep(second)).unionByName(full)
+    out = rows.filter(F.col("length") >= capacity).select(
+        "uid", (F.lit(1 << 62).cast("long") + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
+    left, level, before = rows.filter(F.col("length") < capacity), 1, None
+    while True:
+        groups = max(1, -(-left.count() // group_pieces))
+        dealt = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
+        placed = saved(dealt.groupBy("grp").applyInPandas(_packed(capacity, LOOSE if groups > 1 else 0.0, level), PLACES), "places")
+        if groups == 1:
+            return out.unionByName(keep(placed))
+        loose = placed.filter("loose")
+        open_ = loose.agg(F.count_distinct("sequence_id")).first()[0]
+        if not open_ or (before is not None and open_ >= before):
+            return out.unionByName(keep(placed))
+        out = out.unionByName(keep(placed.filter(~F.col("loose"))))
+        left, level, before = loose.select("uid", "length"), level + 1, open_
 
 
 def pack_documents(

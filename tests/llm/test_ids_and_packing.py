@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epochloom.llm import bit_planes, packing, tokens
@@ -113,3 +114,72 @@ def test_loose_sequences_of_many_groups_meet(spark):
     assert placed.count() == 300
     total = sum(100 + k % 50 for k in range(300))
     assert placed.select("sequence_id").distinct().count() <= -(-total // 1000) + 2
+
+
+def test_ends_at_a_local_optimum():
+    """No move, one-for-one or two-for-one exchange, tried by hand, would raise the squared fill."""
+    import itertools
+    import random
+
+    draw = random.Random(4)
+    for case in range(25):
+        capacity = 100
+        lengths = [draw.randint(*draw.choice([(20, 60), (30, 45), (5, 70)])) for _ in range(draw.randint(5, 40))]
+        bins = packing.pack(lengths, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        assert max(fill) <= capacity
+        if len(bins) == -(-sum(lengths) // capacity):
+            continue
+        for a, b in itertools.permutations(range(len(bins)), 2):
+            outs = [[i] for i in bins[a]] + [list(p) for p in itertools.combinations(bins[a], 2)]
+            backs = [[]] + [[i] for i in bins[b]]
+            for out, back in itertools.product(outs, backs):
+                if len(out) == 2 and not back:
+                    continue
+                gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+                if fill[b] + gain <= capacity:
+                    after = (fill[a] - gain) ** 2 + (fill[b] + gain) ** 2
+                    assert gain <= 0 or fill[b] + gain <= fill[a] or after <= fill[a] ** 2 + fill[b] ** 2, (case, out, back)
+
+
+def test_small_cases_reach_the_optimum_or_one_more():
+    import random
+
+    def optimum(lengths, capacity):
+        best = len(lengths)
+
+        def place(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(lengths):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + lengths[k] <= capacity:
+                    bins[j] += lengths[k]
+                    place(k + 1, bins)
+                    bins[j] -= lengths[k]
+            place(k + 1, [*bins, lengths[k]])
+
+        place(0, [])
+        return best
+
+    draw, worse = random.Random(9), 0
+    for _ in range(120):
+        lengths = sorted((draw.randint(15, 70) for _ in range(draw.randint(3, 10))), reverse=True)
+        got, best = len(packing.pack(lengths, 100)), optimum(lengths, 100)
+        assert best <= got <= best + 1
+        worse += got > best
+    assert worse <= 6
+
+
+def test_packing_over_many_groups_is_as_tight_as_over_one(spark):
+    import random
+
+    draw = random.Random(11)
+    lengths = [draw.randint(900, 2_300) for _ in range(3_000)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    count = lambda size: packing.pack_pieces(pieces, group_pieces=size).agg(F.count_distinct("sequence_id")).first()[0]
+    assert count(300) <= 1.02 * count(4_000)
