@@ -94,7 +94,7 @@ def plain_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = _emails(text)
     for m in _IP.finditer(text):
-        if all(len(p) <= 64 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split(".")):
             out["ip"].append(m.span())
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "") if m.end() - m.start() >= 13 else ""

@@ -97,9 +97,9 @@ def test_retrieval_equals_brute_force(dense, monkeypatch):
     got = sorted((a, b, c, round(s, 9)) for a, b, c, s in index.retrieve(texts))
     want = []
     for k, text in enumerate(texts):
-        words = text.lower().split()
+        words = decontaminate.WORD.findall(text.lower())
         for place in range(max(1, -(-len(words) // 32))):
-            terms = {index.lookup[w] for w in words[place * 32 : place * 32 + 64] if w in index.lookup}
+            terms = {index.vocabulary[w] for w in words[place * 32 : place * 32 + 64] if w in index.vocabulary}
             scores: Counter = Counter()
             for t, i, v in zip(index.term, index.item, index.impact):
                 if t in terms:
@@ -261,3 +261,11 @@ def test_correlated_voters_count_less():
     model = toxicity.fit_label_model(toxicity.with_silence(votes), gold.astype(int), toxicity.Params())
     assert model.kin[0, 1] > 0.5 and model.kin[0, 2] == 0
     assert ((model.posterior(toxicity.with_silence(votes)) > 0.5) == gold).all()
+
+
+def test_zero_padded_parts():
+    """Leading zeros count for nothing, however many there are."""
+    for text in ("0" * 70 + "1.2.3.4", "x " + "0" * 300 + "255.0000.00.9", "1." + "0" * 90 + ".2.3"):
+        begin = text.find("0") if text[0] != "1" else 0
+        assert pii.plain_spans(text)["ip"] == [(begin, len(text))]
+    assert pii.plain_spans("0" * 70 + "256.1.1.1")["ip"] == [] and pii.plain_spans("1" * 70 + ".1.1.1")["ip"] == []
