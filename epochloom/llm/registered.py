@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 #: Host labels whose pages make up the URL list of the query.
-LISTED_LABELS = ("spam-farm", "casino", "phish")
+LISTED_LABELS = ("spam-farm", "casino-win", "free-bets", "ads-track", "cheap-pills", "adult-x")
 
 _AFTER = "coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '')"
 _HOST = f"translate(regexp_extract({_AFTER}, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}')"
