@@ -54,6 +54,8 @@ class Params:
     least_texts: int = 6
     #: Other texts that a mined entry may be in, for one toxic text.
     most_other: float = 0.01
+    #: Other texts that it may be in besides, as few labels tell little; the label model weighs such an entry.
+    chance: int = 1
     #: A voter must fire so many times as often in toxic texts as in others, by the gold labels.
     least_lift: float = 2.0
     #: As many entries in the very same toxic texts are taken for a copied passage.
@@ -76,7 +78,7 @@ def choose(candidates: list[tuple[str, int, int]], outside: dict[str, int], para
     """The lexicon from ``(form, toxic texts, signature of their set)`` and the counts in other texts."""
     sets = defaultdict(list)
     for form, n, signature in candidates:
-        if outside.get(form, 0) <= params.most_other * n:
+        if outside.get(form, 0) <= params.most_other * n + params.chance:
             sets[n, signature].append(form)
     good: dict[int, set[str]] = defaultdict(set)
     for same in sets.values():
