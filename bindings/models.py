@@ -74,6 +74,79 @@ def m07(spark: SparkSession, sf: str) -> DataFrame:
     return weight_cells(model.to_rows(spark, "ridge"))
 
 
+#: Sums of three features and two targets of the given vectors, and the ridge weights from them by cofactors.
+CTES["s_small"] = """
+SELECT vec_id AS epoch_id, label::VARCHAR AS grp, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2, embedding[3]::DOUBLE AS x3,
+  embedding[4]::DOUBLE AS y1, embedding[5]::DOUBLE AS y2 FROM embeddings"""
+_SUMS = ", ".join(f"sum({a} * {b}) AS {a}{b}" for a, b in (
+    ("x1", "x1"), ("x1", "x2"), ("x1", "x3"), ("x2", "x2"), ("x2", "x3"), ("x3", "x3"), *[(x, y) for x in ("x1", "x2", "x3") for y in ("y1", "y2")],
+))
+_SOLVED = """
+SELECT *, (c11 * x1{y} + c12 * x2{y} + c13 * x3{y}) / det AS w1{y}, (c12 * x1{y} + c22 * x2{y} + c23 * x3{y}) / det AS w2{y},
+  (c13 * x1{y} + c23 * x2{y} + c33 * x3{y}) / det AS w3{y} FROM {source}"""
+
+
+def solved_sql(source: str) -> str:
+    """Weights ``w{i}y{k}`` for the ridge 1 from sums of products, by Cramer's rule."""
+    sides = f"""SELECT *, a * c11 + b * c12 + c * c13 AS det FROM (SELECT *, d * f - e * e AS c11, c * e - b * f AS c12, b * e - c * d AS c13,
+      a * f - c * c AS c22, b * c - a * e AS c23, a * d - b * b AS c33 FROM (
+      SELECT *, x1x1 + 1 AS a, x1x2 AS b, x1x3 AS c, x2x2 + 1 AS d, x2x3 AS e, x3x3 + 1 AS f FROM ({source})))"""
+    return _SOLVED.format(y="y2", source=f"({_SOLVED.format(y='y1', source=f'({sides})')})")
+
+
+def small(spark: SparkSession, sf: str) -> DataFrame:
+    pick = lambda *at: F.array(*[F.get("embedding", F.lit(i)).cast("double") for i in at])
+    return v.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("epoch_id"), F.col("label").cast("string").alias("grp"), pick(0, 1, 2).alias("x"), pick(3, 4).alias("y")
+    )
+
+
+@query("m07_ridge_three_features", " UNION ALL ".join(
+    f"SELECT 'w' AS part, {i - 1} AS row, {k - 1} AS i, round(w{i}y{k}, 6) AS w FROM ({solved_sql(f'SELECT {_SUMS} FROM s_small')})" for i in (1, 2, 3) for k in (1, 2)))
+def m07_small(spark: SparkSession, sf: str) -> DataFrame:
+    """The closed form on three features."""
+    rows = encoders.RidgeEncoder(3, 2, 1.0).fit(small(spark, sf)).to_rows(spark, "small")
+    return rows.select("part", "row", F.posexplode("vec").alias("i", "x")).select("part", "row", "i", v.r6("x").alias("w"))
+
+
+@query("m07_conjugate_ridge", " UNION ALL ".join(
+    f"SELECT {i - 1} AS row, {k - 1} AS i, round(w{i}y{k}, 6) AS w FROM ({solved_sql(f'SELECT {_SUMS} FROM s_small')})" for i in (1, 2, 3) for k in (1, 2)))
+def m07_conjugate(spark: SparkSession, sf: str) -> DataFrame:
+    """The way of wide features, which forms no square matrix, on three."""
+    w = encoders.conjugate_ridge(small(spark, sf), 3, 2, 1.0)
+    cells = [(i, k, float(w[i, k])) for i in range(3) for k in range(2)]
+    return spark.createDataFrame(cells, "row int, i int, x double").select("row", "i", v.r6("x").alias("w"))
+
+
+def _encoded_sql(weights: str, join: str) -> str:
+    y = lambda k: f"x1 * w1y{k} + x2 * w2y{k} + x3 * w3y{k}"
+    return f"""SELECT epoch_id, grp, round(p / (sqrt(p * p + q * q) + 1e-8), 6) AS e1, round(q / (sqrt(p * p + q * q) + 1e-8), 6) AS e2
+FROM (SELECT s.epoch_id, s.grp, {y(1).replace("x", "s.x", 1).replace(" x", " s.x")} AS p, {y(2).replace("x", "s.x", 1).replace(" x", " s.x")} AS q
+  FROM s_small s JOIN ({weights}) w ON {join})"""
+
+
+def unit_cells(rows: DataFrame) -> DataFrame:
+    return rows.select("epoch_id", "grp", *[v.r6(F.get("emb", F.lit(i))).alias(f"e{i + 1}") for i in (0, 1)])
+
+
+@query("m09_encode_three_features", _encoded_sql(solved_sql(f"SELECT {_SUMS} FROM s_small"), "true"))
+def m09_small(spark: SparkSession, sf: str) -> DataFrame:
+    rows = small(spark, sf)
+    return unit_cells(encoders.RidgeEncoder(3, 2, 1.0).fit(rows).transform(rows))
+
+
+_LEFT = ", ".join(f"t.{c} - g.{c} AS {c}" for c in (
+    "x1x1", "x1x2", "x1x3", "x2x2", "x2x3", "x3x3", "x1y1", "x1y2", "x2y1", "x2y2", "x3y1", "x3y2",
+))
+
+
+@query("m08_held_out_three_features", _encoded_sql(
+    solved_sql(f"SELECT g.grp AS fold, {_LEFT} FROM (SELECT {_SUMS} FROM s_small) t, (SELECT grp, {_SUMS} FROM s_small GROUP BY 1) g"), "w.fold = s.grp"))
+def m08_small(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector by the model that leaves its label out, solved in closed form for each."""
+    return unit_cells(encoders.held_out_embeddings(small(spark, sf), "grp", 3, 2, 1.0))
+
+
 @query("m08_all_fold_evaluation")
 def m08(spark: SparkSession, sf: str) -> DataFrame:
     """Held-out hit rates of every session and every subject fold from one pass each."""

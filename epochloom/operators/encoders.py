@@ -16,7 +16,12 @@ from epochloom.functions import arrays
 from epochloom.functions.hashed import gaussian_vector
 from epochloom.functions.scale import array_sum
 
+#: Up to here ``X'X`` is summed whole and solved on the driver.
 MAX_FEATURES = 4096
+#: Lines of a wide ``X'X`` that one task holds.
+LINES = 512
+#: Bytes of the models of the folds that are fitted together.
+FOLD_BYTES = 64 << 20
 CHUNK_ROWS = 20_000
 
 
@@ -77,15 +82,103 @@ def _gram_rows(width: int, dim: int, keyed: bool):
     return partial
 
 
+def _gram_lines(size: int):
+    """As ``_gram_rows`` for one block of lines at a time; rows come in order of block and group."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, acc = None, None
+        out = lambda: pd.DataFrame({"grp": [key[1]] * len(acc), "row": range(key[0] * size, key[0] * size + len(acc)), "vec": list(acc)})
+        for batch in batches:
+            grp = batch["grp"]
+            for (blk, none, name), some in batch.groupby([batch["blk"], grp.isna(), grp.fillna("")], sort=False):
+                now = (blk, None if none else name)
+                x, y = matrix(some["x"]), matrix(some["y"])
+                made = x[:, blk * size : (blk + 1) * size].T @ np.hstack([x, y])
+                if now == key:
+                    acc += made
+                    continue
+                if acc is not None:
+                    yield out()
+                key, acc = now, made
+        if acc is not None:
+            yield out()
+
+    return partial
+
+
+def _normal_product(shared):
+    """Partial ``X'(X P)`` of a partition, and ``X'Y`` with it where ``P`` is None."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        direction, total = shared.value, None
+        for batch in batches:
+            if len(batch):
+                x = matrix(batch["x"])
+                made = x.T @ (matrix(batch["y"]) if direction is None else x @ direction)
+                total = made if total is None else total + made
+        if total is not None:
+            yield pd.DataFrame({"row": range(len(total)), "vec": list(total)})
+
+    return partial
+
+
+def conjugate_ridge(df: DataFrame, width: int, dim: int, ridge: float, tolerance: float = 1e-12, most: int | None = None) -> np.ndarray:
+    """``(X'X + ridge I) W = X'Y`` by conjugate gradients, all columns of ``W`` at once.
+
+    ``X'X`` is never formed: a step is one pass that sums ``X'(X P)`` line by line. The driver holds four matrices of the
+    size of ``W``. In exact arithmetic it ends within as many steps as ``X`` has independent rows or columns.
+    """
+    if ridge <= 0:
+        raise ValueError("conjugate gradients need a positive ridge")
+    rows = df.select("x", "y").persist()
+    sc = df.sparkSession.sparkContext
+
+    def product(direction: np.ndarray | None) -> np.ndarray:
+        shared = sc.broadcast(direction)
+        lines = array_sum(rows.mapInPandas(_normal_product(shared), "row int, vec array<double>"), ["row"], "vec", "vec")
+        out = np.zeros((width, dim))
+        for r in lines.collect():
+            out[r["row"]] = r["vec"]
+        shared.unpersist()
+        return out
+
+    try:
+        residual = product(None)
+        w, direction = np.zeros((width, dim)), residual.copy()
+        size = (residual**2).sum(0)
+        goal = tolerance**2 * np.maximum(size, 1e-300)
+        for _ in range(most or 2 * width):
+            open_ = size > goal
+            if not open_.any():
+                break
+            applied = product(direction) + ridge * direction
+            step = np.where(open_, size / np.maximum((direction * applied).sum(0), 1e-300), 0.0)
+            w, residual = w + step * direction, residual - step * applied
+            new = (residual**2).sum(0)
+            direction = residual + np.where(open_, new / np.maximum(size, 1e-300), 0.0) * direction
+            size = new
+        return w
+    finally:
+        rows.unpersist()
+
+
 def gram(df: DataFrame, width: int, dim: int, group: str | None = None) -> DataFrame:
     """Rows of ``[X'X | X'Y]``, overall or per group, summed by matrix line.
 
     ``df`` has ``x`` and ``y`` arrays. Lines are reduced apart from each other, so no
-    task ever sums whole matrices.
+    task ever sums whole matrices. Beyond ``MAX_FEATURES`` a task holds ``LINES`` lines only: rows are copied
+    for each such block of lines and dealt by it.
     """
-    if width > MAX_FEATURES:
-        raise ValueError(f"{width} features exceed {MAX_FEATURES}; pool the epochs first")
     rows = df.select((F.col(group) if group else F.lit(None)).cast("string").alias("grp"), "x", "y")
+    if width > MAX_FEATURES:
+        blocks = -(-width // LINES)
+        parts = max(blocks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        copies = rows.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn(
+            "part", F.pmod(F.xxhash64("x"), F.lit(max(1, parts // blocks)))
+        )
+        dealt = copies.repartition(parts, "blk", "part").sortWithinPartitions("blk", "grp")
+        partial = dealt.select("grp", "x", "y", "blk").mapInPandas(_gram_lines(LINES), "grp string, row int, vec array<double>")
+        return array_sum(partial, ["grp", "row"], "vec", "vec")
     partial = rows.mapInPandas(_gram_rows(width, dim, group is not None), "grp string, row int, vec array<double>")
     return array_sum(partial, ["grp", "row"], "vec", "vec")
 
@@ -142,7 +235,7 @@ def _stacked(part: str, lines: dict[int, list[float]]) -> np.ndarray:
 
 @dataclass
 class RidgeEncoder:
-    """``W = (X'X + ridge I)^-1 X'Y`` from one pass over the data."""
+    """``W = (X'X + ridge I)^-1 X'Y``, from one pass over the data; by conjugate gradients beyond ``MAX_FEATURES``."""
 
     width: int
     dim: int = 64
@@ -151,6 +244,8 @@ class RidgeEncoder:
     def fit(self, df: DataFrame) -> RidgeModel:
         if self.ridge < 0:
             raise ValueError("ridge must be non-negative")
+        if self.width > MAX_FEATURES:
+            return RidgeModel(conjugate_ridge(df, self.width, self.dim, self.ridge))
         xx, xy = collect_gram(gram(df, self.width, self.dim), self.width, self.dim)
         return RidgeModel(solve_ridge(xx, xy, self.ridge))
 
@@ -376,6 +471,104 @@ class MlpEncoder:
             rows.unpersist()
 
 
+def _fold_gradients(shared):
+    """Partial gradients of every fold's model over the rows outside its group."""
+
+    def grads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, sizes = shared.value
+        total: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            every, targets, grp = matrix(batch["x"]), matrix(batch["y"]), batch["grp"].to_numpy()
+            for name, m in models.items():
+                use = grp != name
+                if not use.any():
+                    continue
+                x = (every[use] - m.mean) / m.scale
+                z = x @ m.w1 + m.b1
+                hidden = np.maximum(z, 0.0)
+                g_out = (2.0 / sizes[name]) * (hidden @ m.w2 + m.b2 - targets[use])
+                g_z = (g_out @ m.w2.T) * (z > 0.0)
+                made = [x.T @ g_z, g_z.sum(0, keepdims=True), hidden.T @ g_out, g_out.sum(0, keepdims=True)]
+                total[name] = [a + b for a, b in zip(total[name], made)] if name in total else made
+        for name, parts in total.items():
+            for part, g in zip(("w1", "b1", "w2", "b2"), parts):
+                yield pd.DataFrame({"fold": name, "part": part, "row": range(len(g)), "vec": list(g)})
+
+    return grads
+
+
+def _encode_own(shared):
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = shared.value
+        for batch in batches:
+            for name, some in batch.groupby("grp"):
+                m = models[name]
+                hidden = np.maximum((matrix(some["x"]) - m.mean) / m.scale @ m.w1 + m.b1, 0.0)
+                yield pd.DataFrame({"epoch_id": some["epoch_id"], "grp": name, "emb": list(unit_rows(hidden @ m.w2 + m.b2))})
+
+    return encode
+
+
+def refit_embeddings(df: DataFrame, folds: DataFrame, group: str, settings: MlpEncoder, epoch_id: str = "epoch_id", fold_bytes: int = FOLD_BYTES) -> DataFrame:
+    """Every epoch of ``folds`` encoded by a model fitted on all rows outside its group.
+
+    The models of all folds (of as many as ``fold_bytes`` hold, at very many) take each gradient step together: one pass,
+    summed over (fold, part, line). Standardisation leaves each group out of the overall sums, taken around the overall mean.
+    """
+    if settings.epochs < 1 or settings.lr <= 0 or settings.ridge < 0:
+        raise ValueError("epochs and lr must be positive and ridge non-negative")
+    spark, width = df.sparkSession, settings.width
+    rows = df.select(F.col(epoch_id).alias("epoch_id"), F.col(group).cast("string").alias("grp"), "x", "y").where("grp IS NOT NULL").persist()
+    n = rows.count()
+    if n == 0:
+        raise ValueError("At least one epoch is required")
+    around = np.array([r["mean"] for r in feature_stats(rows).orderBy("idx").collect()])
+    middle = F.array(*[F.lit(float(v)) for v in around])
+    spread = F.zip_with("x", middle, lambda a, b: a - b)
+    sums = array_sum(rows.select("grp", spread.alias("d")).select("grp", F.concat("d", F.transform("d", lambda v: v * v), F.array(F.lit(1.0))).alias("s")), ["grp"], "s", "s").persist()
+    whole = np.array(array_sum(sums, [], "s", "s").first()["s"])
+    weights = (settings.width + 1) * settings.hidden + (settings.hidden + 1) * settings.dim + 2 * width
+    cuts = max(1, -(-folds.count() * weights * 8 // fold_bytes))
+    start = settings._start(spark, np.zeros(width), np.ones(width))
+    kind = df.schema[epoch_id].dataType.simpleString()
+    out = None
+    for cut in range(cuts):
+        some = folds.where(F.pmod(F.xxhash64("fold"), F.lit(cuts)) == cut)
+        own = sums.join(some.select(F.col("fold").cast("string").alias("grp")), "grp", "left_semi").collect()  # as many as fold_bytes hold
+        models, sizes = {}, {}
+        for r in own:
+            left = whole - np.array(r["s"])
+            if left[-1] < 1:
+                raise ValueError("At least one epoch is required")
+            mean, square = left[:width] / left[-1], left[width:-1] / left[-1]
+            scale = np.maximum(np.sqrt(np.maximum(square - mean**2, 0.0)), 1e-6)
+            models[r["grp"]] = MlpModel(start.w1, start.b1, start.w2, start.b2, around + mean, scale)
+            sizes[r["grp"]] = left[-1]
+        for _ in range(settings.epochs if models else 0):
+            shared = spark.sparkContext.broadcast((models, sizes))
+            partial = rows.mapInPandas(_fold_gradients(shared), "fold string, part string, row int, vec array<double>")
+            g: dict[tuple[str, str], dict[int, list[float]]] = {}
+            for r in array_sum(partial, ["fold", "part", "row"], "vec", "vec").collect():
+                g.setdefault((r["fold"], r["part"]), {})[r["row"]] = r["vec"]
+            line = lambda name, part: np.array([v for _, v in sorted(g[name, part].items())])
+            lr, shrink = settings.lr, 2.0 * settings.ridge
+            models = {
+                name: MlpModel(
+                    m.w1 - lr * (line(name, "w1") + shrink * m.w1), m.b1 - lr * line(name, "b1")[0],
+                    m.w2 - lr * (line(name, "w2") + shrink * m.w2), m.b2 - lr * line(name, "b2")[0], m.mean, m.scale,
+                ) for name, m in models.items()
+            }
+            shared.unpersist()
+        mine = rows.select("epoch_id", "grp", "x").where(F.pmod(F.xxhash64("grp"), F.lit(cuts)) == cut).join(
+            some.select(F.col("fold").cast("string").alias("grp")), "grp", "left_semi"
+        )
+        part = mine.select("epoch_id", "grp", "x").mapInPandas(_encode_own(spark.sparkContext.broadcast(models)), f"epoch_id {kind}, grp string, emb array<double>")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 ENCODERS = {"ridge": RidgeEncoder, "mlp": MlpEncoder}
 
 

@@ -103,29 +103,13 @@ def grouped_report(df: DataFrame, strategy: str, vocab: DataFrame, cfg: TrainCon
     if cfg.encoder == "ridge":
         encoded = encoders.held_out_embeddings(ready, key, cfg.width, cfg.dim, cfg.ridge).withColumnRenamed("grp", "fold")
     else:
-        encoded = _refit_folds(ready, folds, key, cfg)
+        encoded = encoders.refit_embeddings(ready, folds, key, make_encoder(cfg)).withColumnRenamed("grp", "fold")
     labelled = encoded.join(df.select("epoch_id", "label"), "epoch_id", "inner")
     if holdout:
         labelled = labelled.join(small_side(folds.select("fold")), "fold", "left_semi")
     return fold_mean(evaluate(labelled, vocab, cfg), strategy)
 
 
-def _refit_folds(ready: DataFrame, folds: DataFrame, key: str, cfg: TrainConfig, max_folds: int = 1000) -> DataFrame:
-    """A model per fold, for encoders without a leave-group-out identity.
-
-    The loop runs over fold names, each step a distributed fit; rows stay on executors.
-    """
-    names = [r[0] for r in folds.select("fold").orderBy("fold").limit(max_folds + 1).collect()]
-    if len(names) > max_folds:
-        raise splits.SplitError("too many folds to refit; use the ridge encoder")
-    out = None
-    for name in names:
-        model = make_encoder(cfg).fit(ready.where(F.col(key) != name))
-        part = model.transform(ready.where(F.col(key) == name)).select("epoch_id", F.col(key).alias("fold"), "emb")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def make_encoder(cfg: TrainConfig):
     if cfg.encoder == "mlp":
         return encoders.encoder("mlp", width=cfg.width, dim=cfg.dim, hidden=cfg.hidden, ridge=cfg.ridge, epochs=cfg.steps, lr=cfg.lr)

@@ -245,3 +245,48 @@ def test_wide_weights_load_whole(spark):
     assert (RidgeModel.from_rows(rows).weights == model.weights).all()
     with pytest.raises(ValueError):
         RidgeModel.from_rows(rows.where("row <> 17"))
+
+
+def fold_rows(spark, n=60, width=6, dim=3):
+    rng = np.random.default_rng(21)
+    x, y = rng.normal(size=(n, width)) * 3 + 5, rng.normal(size=(n, dim))
+    rows = [(i, f"s{i % 4}", x[i].tolist(), y[i].tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "epoch_id long, subject_id string, x array<double>, y array<double>").repartition(3)
+
+
+def test_folds_fitted_together_equal_single_fits(spark):
+    """All folds in one pass a step, and in several slices of folds, against a fit for each fold."""
+    df = fold_rows(spark)
+    folds = df.select(F.col("subject_id").alias("fold")).distinct()
+    mlp = encoders.MlpEncoder(6, 3, hidden=5, epochs=6, lr=0.05)
+    want = {}
+    for name in ("s0", "s1", "s2", "s3"):
+        model = mlp.fit(df.where(F.col("subject_id") != name))
+        want |= {r.epoch_id: r.emb for r in model.transform(df.where(F.col("subject_id") == name)).collect()}
+    for size in (encoders.FOLD_BYTES, 1_000):
+        got = {r.epoch_id: r.emb for r in encoders.refit_embeddings(df, folds, "subject_id", mlp, fold_bytes=size).collect()}
+        assert got.keys() == want.keys()
+        assert max(np.abs(np.array(got[i]) - want[i]).max() for i in got) < 1e-9
+
+
+def test_wide_ridge_needs_no_square_matrix(spark):
+    df = fold_rows(spark, 40, 30, 2)
+    rows = df.orderBy("epoch_id").collect()
+    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows])
+    want = np.linalg.solve(x.T @ x + 0.7 * np.eye(30), x.T @ y)
+    assert np.abs(encoders.conjugate_ridge(df, 30, 2, 0.7) - want).max() < 1e-8
+    wide = spark.createDataFrame([(np.random.default_rng(i).normal(size=20_000).tolist(), [float(i)]) for i in range(5)], "x array<double>, y array<double>")
+    model = encoders.RidgeEncoder(20_000, 1, 2.0).fit(wide)
+    xs = np.array([np.random.default_rng(i).normal(size=20_000) for i in range(5)])
+    dual = xs.T @ np.linalg.solve(xs @ xs.T + 2.0 * np.eye(5), np.arange(5.0)[:, None])
+    assert np.abs(model.weights - dual).max() < 1e-10
+
+
+def test_wide_sums_equal_the_plain_ones(spark, monkeypatch):
+    df = fold_rows(spark)
+    lines = lambda group: {(r.grp, r.row): r.vec for r in encoders.gram(df, 6, 3, group).collect()}
+    plain = [lines(None), lines("subject_id")]
+    monkeypatch.setattr(encoders, "MAX_FEATURES", 5)
+    monkeypatch.setattr(encoders, "LINES", 4)
+    for one, two in zip(plain, [lines(None), lines("subject_id")]):
+        assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
