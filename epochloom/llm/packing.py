@@ -17,7 +17,7 @@ are ignored. Ties between equally good places go to the smaller free space, then
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,37 +104,30 @@ class _Exchange:
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
-        self.at: dict[int, list[tuple[int, int]]] = {}  # length -> (free, bin) of the underfull bins that hold it, in order
-        self.sizes: list[int] = []
-        self.spaces: list[tuple[int, int]] = []  # (free, bin), in order
+        #: Of the underfull bins, in order: (free, bin), and (free + length, length, bin) for each length they hold.
+        self.spaces: list[tuple[int, int]] = []
+        self.offers: list[tuple[int, int, int]] = []
         for k, fill in enumerate(self.fill):
-            if fill < capacity:
-                self._enter(k)
+            if fill < capacity and bins[k]:
+                space = capacity - fill
+                self.spaces.append((space, k))
+                self.offers += [(space + size, size, k) for size in {lengths[i] for i in bins[k]}]
+        self.spaces.sort()
+        self.offers.sort()
 
     def _enter(self, k: int) -> None:
-        if self.fill[k] >= self.capacity or not self.bins[k]:
-            return
-        insort(self.spaces, (self.capacity - self.fill[k], k))
-        for size in {self.lengths[i] for i in self.bins[k]}:
-            if size not in self.at:
-                self.at[size] = []
-                insort(self.sizes, size)
-            insort(self.at[size], (self.capacity - self.fill[k], k))
+        space = self.capacity - self.fill[k]
+        if space and self.bins[k]:
+            insort(self.spaces, (space, k))
+            for size in {self.lengths[i] for i in self.bins[k]}:
+                insort(self.offers, (space + size, size, k))
 
     def _leave(self, k: int) -> None:
-        entry = (self.capacity - self.fill[k], k)
-        pos = bisect_right(self.spaces, entry) - 1
-        if pos >= 0 and self.spaces[pos] == entry:
-            del self.spaces[pos]
-        for size in {self.lengths[i] for i in self.bins[k]}:
-            held = self.at.get(size)
-            if held is not None:
-                pos = bisect_left(held, entry)
-                if pos < len(held) and held[pos] == entry:
-                    del held[pos]
-                if not held:
-                    del self.at[size]
-                    del self.sizes[bisect_left(self.sizes, size)]
+        space = self.capacity - self.fill[k]
+        if space and self.bins[k]:
+            del self.spaces[bisect_left(self.spaces, (space, k))]
+            for size in {self.lengths[i] for i in self.bins[k]}:
+                del self.offers[bisect_left(self.offers, (space + size, size, k))]
 
     def _swap(self, low: int, out: list[int], high: int, back: list[int]) -> None:
         for k in (low, high):
@@ -150,12 +143,14 @@ class _Exchange:
             self._enter(k)
 
     def _move(self, low: int) -> bool:
-        """A piece into another bin with room, the one left with least space."""
+        """A piece into another bin with room that becomes fuller than this one was, the one left with least space."""
+        free = self.capacity - self.fill[low]
         for i in sorted(self.bins[low], key=lambda i: -self.lengths[i]):
-            pos = bisect_right(self.spaces, (self.lengths[i], -1))
-            while pos < len(self.spaces):
-                _, high = self.spaces[pos]
-                if high != low and self.fill[high] + self.lengths[i] > self.fill[low]:
+            size = self.lengths[i]
+            pos = bisect_left(self.spaces, (size, -1))
+            while pos < len(self.spaces) and self.spaces[pos][0] < size + free:
+                high = self.spaces[pos][1]
+                if high != low:
                     self._swap(low, [i], high, [])
                     return True
                 pos += 1
@@ -164,33 +159,20 @@ class _Exchange:
     def _trade(self, low: int, out: list[int]) -> bool:
         """``out`` for one smaller piece of a bin that it makes fuller than either was, filling it best.
 
-        A bin with ``space`` free that gives a piece of ``small`` ends with ``space - (size - small)`` free, so the
-        best partner of each bin is looked up among its own few lengths, and bins come in order of free space.
+        A bin with ``space`` free that gives a piece of ``small`` is left with ``space + small - size``. So the best partner
+        is the first offer from ``size`` on, and none is one from ``size`` and the own free space on.
         """
         size = sum(self.lengths[i] for i in out)
-        fill = self.fill[low]
-        best = None
-        for small in reversed(self.sizes[: bisect_left(self.sizes, size)]):
-            gain = size - small
-            # within a length, the bin with the least space that still takes the gain is best
-            held = self.at[small]
-            pos = bisect_left(held, (gain, -1))
-            while pos < len(held) and held[pos][1] == low:
-                pos += 1
-            if pos < len(held):
-                space, high = held[pos]
-                if self.fill[high] + gain > fill:
-                    key = (space - gain, -gain, high)
-                    if best is None or key < best[0]:
-                        best = (key, high, small)
-                        if space == gain:
-                            break  # no bin can be fuller; larger gains stand further down
-        if best is None:
-            return False
-        _, high, small = best
-        back = next(i for i in self.bins[high] if self.lengths[i] == small)
-        self._swap(low, out, high, [back])
-        return True
+        free = self.capacity - self.fill[low]
+        pos = bisect_left(self.offers, (size, -1, -1))
+        while pos < len(self.offers) and self.offers[pos][0] < size + free:
+            _, small, high = self.offers[pos]
+            if small < size and high != low:
+                back = next(i for i in self.bins[high] if self.lengths[i] == small)
+                self._swap(low, out, high, [back])
+                return True
+            pos += 1
+        return False
 
     def _drain(self, low: int) -> bool:
         """Exchange until ``low`` is empty or nothing helps; whether anything changed."""
