@@ -144,14 +144,16 @@ def x02(spark: SparkSession, sf: str) -> DataFrame:
 @query("x03_ontology_merge", """
 SELECT 'node' AS kind, id, row_number() OVER (ORDER BY part, pos) - 1 AS at_pos FROM (
   SELECT id, 0 AS part, pos FROM g_nodes WHERE type <> 'Supplier' UNION ALL SELECT id, 1, pos FROM g_nodes WHERE type = 'Supplier')
+UNION ALL SELECT 'edge', id, row_number() OVER (ORDER BY part, pos) - 1 FROM (
+  SELECT id, 0 AS part, pos FROM g_edges WHERE id LIKE 'edge:n%' UNION ALL SELECT id, 1, pos FROM g_edges WHERE id NOT LIKE 'edge:n%')
 UNION ALL SELECT 'synonym', surface, row_number() OVER (ORDER BY part, pos, surface) - 1 FROM (SELECT surface, 0 AS part, pos FROM g_syn UNION ALL SELECT surface, 1, pos FROM g_syn)""")
 def x03(spark: SparkSession, sf: str) -> DataFrame:
-    """Regions and nations extended by the whole graph: only suppliers are new, synonyms repeat."""
+    """Regions and nations extended by the whole graph: only suppliers and their edges are new, synonyms repeat."""
     o = v.ontology(spark, sf)
     base = (o.nodes.where("type <> 'Supplier'"), o.edges.where(F.col("id").startswith("edge:n")), o.synonyms)
-    nodes, _, syn = graph.merge_ontology(base, (o.nodes, o.edges, o.synonyms))
+    nodes, edges, syn = graph.merge_ontology(base, (o.nodes, o.edges, o.synonyms))
     number = lambda df, kind, key: ranked(df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "pos"), [], ["pos", "id"], "at_pos").select("kind", "id", (F.col("at_pos") - 1).alias("at_pos"))
-    return number(nodes, "node", "id").unionByName(number(syn, "synonym", "surface"))
+    return number(nodes, "node", "id").unionByName(number(edges, "edge", "id")).unionByName(number(syn, "synonym", "surface"))
 
 
 @query("x04_closed_keys", """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bindings import views as v
 from bindings.registry import CTES, query
 from epochloom.functions import arrays, paths
-from epochloom.operators import release
+from epochloom.operators import encoders, release
 from epochloom.session import new_folder
 from epochloom.sources import advisories, catalog, files, readers, sinks
 
@@ -61,22 +61,27 @@ def s04(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b)
 
 
+SUBJECTS = 5
+
+
 def marker_folder(spark: SparkSession, sf: str) -> str:
-    """Marker TSV files named by subject and session, written from the events."""
+    """Marker TSV files below subject and session folders, written from the events; one subject has no session folder."""
     folder = new_folder(spark, "markers")
     rows = v.markers(v.indexed_events(spark, sf)).select(
         "onset", F.lit(0.5).alias("duration"), "trial_type", F.lit("n/a").alias("value"),
         F.col("marker_id").cast("int").alias("sentence_id"), F.lit(1).alias("segment"),
-        F.col("recording_id").alias("rid"),
-    )
-    rows.withColumn("sub", F.concat(F.lit("sub-"), (F.col("rid") % 5).cast("string"))).drop("rid").withColumn(
-        "ses", F.lit("ses-1")
-    ).write.option("header", True).option("sep", "\t").partitionBy("sub", "ses").csv(folder)
-    return folder
-
-
-@query("s05_marker_tsv_scan", """
-SELECT round(onset, 6) AS onset, trial_type, marker_id::INT AS sentence_id, 'unknown' AS subject_id, 'unknown:unknown' AS session_id FROM v_markers""")
+        (F.col("recording_id") % SUBJECTS).alias("sub"),
+    ).persist()
+    for k in range(SUBJECTS):
+        below = f"{folder}/sub-{k}" + (f"/ses-{k % 2}" if k else "/none")
+        rows.where(F.col("sub") == k).drop("sub").write.option("header", True).option("sep", "\t").csv(below)
+    rows.unpersist()
+    return f"{folder}/*/*"
+
+
+@query("s05_marker_tsv_scan", f"""
+SELECT round(onset, 6) AS onset, trial_type, marker_id::INT AS sentence_id, 'sub-' || k AS subject_id,
+  'sub-' || k || ':' || CASE WHEN k = 0 THEN 'unknown' ELSE 'ses-' || k % 2 END AS session_id FROM (SELECT *, recording_id % {SUBJECTS} AS k FROM v_markers)""")
 def s05(spark: SparkSession, sf: str) -> DataFrame:
     rows = readers.marker_tsv(spark, marker_folder(spark, sf))
     return rows.select(v.r6("onset").alias("onset"), "trial_type", "sentence_id", "subject_id", "session_id")
@@ -276,10 +281,18 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("cve", "package", "severity", "kev", F.coalesce("status", F.lit("-")).alias("status"))
 
 
-@query("s14_source_fallback", "SELECT 'alternate' AS source, label, count(*) AS n FROM v_epochs GROUP BY 2")
+@query("s14_source_fallback", """
+SELECT 'empty' AS given, 'alternate' AS source, label, count(*) AS n FROM v_epochs GROUP BY 3
+UNION ALL SELECT 'some', 'primary', label, count(*) FROM v_epochs WHERE segment % 2 = 0 GROUP BY 3""")
 def s14(spark: SparkSession, sf: str) -> DataFrame:
+    """The primary source where it has rows, else the alternate one."""
     ep = v.epochs(spark, sf)
-    return readers.with_fallback(ep.where("segment < 0"), ep, "primary", "alternate").groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for given, primary in (("empty", ep.where("segment < 0")), ("some", ep.where("segment % 2 = 0"))):
+        rows = readers.with_fallback(primary, ep, "primary", "alternate")
+        part = rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n")).select(F.lit(given).alias("given"), "source", "label", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("s16_report_sink", """
@@ -309,6 +322,28 @@ def s17(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("model_id", F.posexplode("vec").alias("idx", "w")).select("model_id", "idx", v.r6("w").alias("w"))
 
 
+@query("s17_encoder_round_trip", """
+SELECT part, row, i::INT AS i, round(CASE part WHEN 'x_mean' THEN m WHEN 'x_scale' THEN greatest(s, 1e-6) END, 6) AS x FROM (
+  SELECT i - 1 AS i, avg(embedding[i]::DOUBLE) AS m, stddev_pop(embedding[i]::DOUBLE) AS s FROM embeddings, range(1, 65) r(i) GROUP BY 1),
+  (VALUES ('x_mean', 0), ('x_scale', 0)) p(part, row)
+UNION ALL SELECT 'size:' || name, 0, 0, n::DOUBLE FROM (VALUES ('b1', 16), ('b2', 8), ('w1', 64 * 16), ('w2', 16 * 8), ('x_mean', 64), ('x_scale', 64)) q(name, n)""")
+def s17_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole encoder with its scaler, written and read back: the scaler's numbers and every matrix's size."""
+    pick = F.transform(F.slice("embedding", 1, 8), lambda e: e.cast("double"))
+    rows = v.table(spark, sf, "embeddings").select(F.transform("embedding", lambda e: e.cast("double")).alias("x"), pick.alias("y"))
+    model = encoders.MlpEncoder(64, 8, hidden=16, epochs=2, lr=0.01).fit(rows)
+    folder = new_folder(spark, "encoder")
+    sinks.save_weights(model.to_rows(spark, "mlp"), folder)
+    back = encoders.MlpModel.from_rows(sinks.load_weights(spark, folder, "mlp"))
+    for name, part in model.parts().items():
+        if not (part == back.parts()[name]).all():
+            raise ValueError(f"{name} changed on its way")
+    again = back.to_rows(spark, "mlp")
+    cells = again.where(F.col("part").startswith("x_")).select("part", "row", F.posexplode("vec").alias("i", "x")).select("part", "row", "i", v.r6("x").alias("x"))
+    sizes = again.groupBy(F.concat(F.lit("size:"), "part").alias("part")).agg(F.sum(F.size("vec")).cast("double").alias("x"))
+    return cells.unionByName(sizes.select("part", F.lit(0).alias("row"), F.lit(0).alias("i"), "x"))
+
+
 @query("s18_manifest_sink", """
 SELECT family AS key, count(*) AS n_pieces, sha256('{"dataset_id":"' || family || '","files":[' || string_agg(
   '{"path":"' || path || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}', ',' ORDER BY path)

@@ -108,6 +108,22 @@ def s20(spark: SparkSession, sf: str) -> DataFrame:
     return shown(spark.read.schema(rows.schema).option("recursiveFileLookup", True).json(f"{folder}/events"))
 
 
+@query("s20_dead_letters", """
+SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'missing:event_type' WHEN event_id % 11 = 5 THEN 'missing:timestamp' ELSE 'written' END AS route FROM v_audit""")
+def s20_dead(spark: SparkSession, sf: str) -> DataFrame:
+    """Events without a type or time end among the dead letters, row by row; the rest of their batch is written."""
+    folder = new_folder(spark, "audit")
+    holed = event_stream(spark, sf).withColumn("event_type", F.when(F.col("event_id") % 7 != 3, F.col("event_type"))).withColumn(
+        "timestamp", F.when(F.col("event_id") % 11 != 5, F.col("timestamp"))
+    )
+    rows = normal_rows(holed)
+    drain_batches(rows, "audit", lambda batch, n: sinks.append_audit(batch, n, f"{folder}/events", f"{folder}/dead"))
+    read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{folder}/{name}")
+    written = read("events", rows.schema).select(F.col("reason").cast("long").alias("event_id"), F.lit("written").alias("route"))
+    dead = read("dead", "reason string, error string").select(F.col("reason").cast("long").alias("event_id"), F.col("error").alias("route"))
+    return written.unionByName(dead)
+
+
 RULES = {
     "r02_repeated_mfa_failures": ("event_type = 'mfa_verification_failed'", ["tenant_id", "user_sub"], "1 day", 1),
     "r03_unauthorised_bursts": ("event_type = 'api_request' AND status = 401", ["src_ip", "user_sub"], "5 days", 2),

@@ -80,13 +80,26 @@ def ordered_digest(
     return ordered.mapInPandas(_running_digest(), "key string, n_pieces bigint, sha256 string")
 
 
-def append_audit(batch: DataFrame, batch_id: int, folder: str, dead_letter: str) -> None:
-    """Write one micro-batch of audit events; what cannot be written goes aside."""
-    tagged = batch.withColumn("batch_id", F.lit(batch_id))
-    target = f"{folder}/batch_id={batch_id}"
+def append_audit(
+    batch: DataFrame, batch_id: int, folder: str, dead_letter: str, required: tuple[str, ...] = ("event_type", "timestamp")
+) -> None:
+    """Write one micro-batch of audit events; what cannot be written goes aside.
+
+    A row without a required field goes to the dead letters with the field's name, the others are written; when the
+    write itself fails, the whole batch goes aside. A batch that is run again replaces what it wrote.
+    """
+    missing = F.lit(None).cast("string")
+    for name in reversed([c for c in required if c in batch.columns]):
+        missing = F.when(F.col(name).isNull(), F.lit(f"missing:{name}")).otherwise(missing)
+    rows = batch.withColumn("error", missing).persist()
+    aside = lambda df: df.write.mode("overwrite").json(dead_letter_of)
+    dead_letter_of = f"{dead_letter}/batch_id={batch_id}"
     try:
-        tagged.drop("batch_id").write.mode("overwrite").json(target)
+        bad = rows.where("error IS NOT NULL")
+        if not bad.isEmpty():
+            aside(bad)
+        rows.where("error IS NULL").drop("error").write.mode("overwrite").json(f"{folder}/batch_id={batch_id}")
     except Exception as error:  # noqa: BLE001 - telemetry must not stop the pipeline
-        tagged.withColumn("error", F.lit(type(error).__name__)).write.mode("overwrite").json(
-            f"{dead_letter}/batch_id={batch_id}"
-        )
+        aside(rows.withColumn("error", F.coalesce("error", F.lit(type(error).__name__))))
+    finally:
+        rows.unpersist()

@@ -204,3 +204,35 @@ def test_late_arrivals_take_every_event(spark, sf, tmp_path):
         events.withColumn("ts", ts).write.parquet(f"{tmp_path}/{name}/events.parquet")
         got = late(spark, f"{tmp_path}/{name}", lambda rows: rows.select("event_id"), f"late_{name}")
         assert sorted(r.event_id for r in got.collect()) == [-1] + sorted(r.event_id for r in events.select("event_id").collect())
+
+
+def test_dead_letters_row_by_row_and_as_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("b", 3)], "event_type string, n int")
+    sinks.append_audit(rows, 0, f"{tmp_path}/events", f"{tmp_path}/dead")
+    sinks.append_audit(rows, 0, f"{tmp_path}/events", f"{tmp_path}/dead")  # run again: the same rows once
+    read = lambda name: sorted((r.n, getattr(r, "error", None)) for r in spark.read.option("recursiveFileLookup", True).json(f"{tmp_path}/{name}").collect())
+    assert read("events") == [(1, None), (3, None)] and read("dead") == [(2, "missing:event_type")]
+    (tmp_path / "blocked").write_text("not a folder")
+    sinks.append_audit(rows, 1, f"{tmp_path}/blocked", f"{tmp_path}/dead1")
+    assert [n for n, _ in read("dead1")] == [1, 2, 3]
+
+
+def test_a_hub_is_refused_without_its_edges(spark):
+    """A concept with very many neighbours has no list; requests that meet it are refused, others keep theirs."""
+    hub = spark.range(30_000).select(
+        F.concat(F.lit("edge:h"), F.col("id").cast("string")).alias("id"), F.col("id").alias("pos"), F.lit("a:hub").alias("source"), F.lit("RELATED_TO").alias("relation"),
+        F.concat(F.lit("a:n"), F.col("id").cast("string")).alias("target"), F.lit(0.5).alias("confidence"),
+    ).unionByName(spark.createDataFrame([("edge:s", 30_000, "a:small", "INCREASES", "a:n1", 0.8)], "id string, pos long, source string, relation string, target string, confidence double"))
+    names = hub.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    nodes = names.select("id", F.lit("Concept").alias("type"), F.regexp_replace("id", "^a:", "").alias("label"), F.xxhash64("id").alias("pos"))
+    lists = {r.concept: r for r in graph.neighbour_lists(hub, nodes, 65_536).where("concept IN ('a:hub', 'a:small', 'a:n1')").collect()}
+    assert lists["a:hub"].heavy and lists["a:hub"].near is None
+    assert [e.other for e in lists["a:small"].near] == ["a:n1"] and sorted(e.other for e in lists["a:n1"].near) == ["a:hub", "a:small"]
+    onto = decode.Ontology(nodes, hub, spark.createDataFrame([], "surface string, concept_id string, pos long"), "v")
+    requests = spark.range(2_000).select(F.col("id").cast("int").alias("request"))
+    anchors = requests.select(
+        "request", F.lit("anchor").alias("anchor_id"), F.when(F.col("request") % 2 == 0, "hub").otherwise("small").alias("surface"),
+        F.lit(0.9).alias("score"), F.lit(1).alias("rank"), F.array(F.lit("eeg:1")).alias("provenance"),
+    )
+    got = decode.prompts_from_anchors(requests, anchors, onto, "request").groupBy((F.col("request") % 2).alias("k"), "status").count().collect()
+    assert {(r.k, r.status, r["count"]) for r in got} == {(0, "prompt-size", 1_000), (1, "ok", 1_000)}
