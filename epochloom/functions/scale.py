@@ -16,6 +16,8 @@ BROADCAST_BYTES = 64 << 20
 SAMPLE_PER_BUCKET = 48
 SMALL_ROWS = 10_000
 MAX_BUCKETS = 1024
+#: Rows of one slot of a trailing window that one task may sort.
+SLOT_ROWS = 1_000_000
 
 
 def _width(name: str, kind: T.DataType) -> Column:
@@ -213,15 +215,20 @@ def prefix_max(
 
 
 def trailing_count(
-    df: DataFrame, keys: Sequence[str], at_us: str, width_us: int, out: str
+    df: DataFrame, keys: Sequence[str], at_us: str, width_us: int, out: str, slot_rows: int = SLOT_ROWS
 ) -> DataFrame:
-    """Rows of the same key in ``[t - width, t]``, hot keys cut into time slots.
+    """Rows of the same key in ``[t - width, t]``.
 
-    Slots are as wide as the window, so a row can only count into its own slot
-    and the next one; each row is copied once as context for the next slot.
+    Slots are as wide as the window, so a row can only count into its own slot and the next one, and a window for each slot
+    does. Where a slot holds more than ``slot_rows`` rows, its window would be too much for one task: then each count is the
+    difference of two prefix counts, taken over buckets of the time that are carried forward. A row without a time counts
+    the rows of its key without one.
     """
     keys = list(keys)
     slot = F.floor(F.col(at_us) / F.lit(width_us))
+    most = df.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most > slot_rows:
+        return _trailing_ranks(df, keys, at_us, width_us, out)
     copies = df.withColumn(
         "_copy",
         F.explode(F.array(
@@ -232,10 +239,37 @@ def trailing_count(
     w = (
         Window.partitionBy(*keys, "_copy.slot").orderBy(at_us).rangeBetween(-width_us, 0)
     )
-    return (
-        copies.withColumn(out, F.count(F.lit(1)).over(w))
-        .where("_copy.own").drop("_copy")
+    counted = copies.withColumn(out, F.count(F.lit(1)).over(w))
+    # rows without a time stand in one slot twice
+    whole = F.when(F.col(at_us).isNull(), F.floor(F.col(out) / 2)).otherwise(F.col(out)).cast("long")
+    return counted.where("_copy.own").withColumn(out, whole).drop("_copy")
+
+
+def _trailing_ranks(df: DataFrame, keys: Sequence[str], at_us: str, width_us: int, out: str) -> DataFrame:
+    """As ``trailing_count``, without a task that holds a slot.
+
+    Equal (key, time) rows are one row with their number, so a burst in one instant is one row; two marks for each of
+    these, one before all rows at ``t - width`` and one after all rows at ``t``, read the running number.
+    """
+    keys = list(keys)
+    points = df.groupBy(*keys, at_us).agg(F.count(F.lit(1)).alias("_n"))
+    timed = points.where(F.col(at_us).isNotNull())
+    row = lambda at, side, n, sign: F.struct(at.alias("at"), F.lit(side).alias("side"), n.cast("long").alias("n"), F.lit(sign).alias("sign"))
+    t = F.col(at_us)
+    marks = timed.select(*keys, t.alias("_t"), F.explode(F.array(
+        row(t - width_us, 0, F.lit(0), -1), row(t, 1, F.col("_n"), 0), row(t, 2, F.lit(0), 1),
+    )).alias("_m")).select(*keys, "_t", "_m.*")
+    cuts = cut_points(marks, ["at"]) or []
+    marks = marks.withColumn("_bucket", bucket_of(["at"], cuts))
+    totals = marks.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_s"))
+    carried = _carry(totals, keys, F.sum("_s"), "_before").select(*keys, "_bucket", "_before")
+    w = Window.partitionBy(*keys, "_bucket").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = marks.withColumn("_run", F.sum("n").over(w)).where("sign <> 0")
+    read = join_keys(running, carried, [*keys, "_bucket"]).groupBy(*keys, F.col("_t").alias(at_us)).agg(
+        F.sum(F.col("sign") * (F.col("_run") + F.coalesce("_before", F.lit(0)))).cast("long").alias(out)
     )
+    untimed = points.where(F.col(at_us).isNull()).select(*keys, at_us, F.col("_n").cast("long").alias(out))
+    return join_keys(df, read.unionByName(untimed), [*keys, at_us])
 
 
 def array_sum(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:

@@ -164,3 +164,20 @@ def test_budget_keeps_groups_without_a_name(spark):
 
     rows = spark.createDataFrame([(None, k) for k in range(3)] + [(1, k) for k in range(3)], "g int, k int")
     assert strided_budget(rows, ["g"], ["k"], 5).count() == 6
+
+
+def test_trailing_counts_of_a_burst_equal_the_window(spark):
+    """The ways with a window for each slot and with prefix counts, against a count by hand."""
+    import random
+
+    draw = random.Random(12)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([draw.randint(0, 4_000), draw.randint(900, 960), 950]), i) for i in range(900)]
+    rows += [("a", None, 901), ("a", None, 902), (None, None, 903)]
+    df = spark.createDataFrame(rows, "k string, t long, i int").repartition(5)
+    want = {
+        i: sum(k2 == k and ((t2 is None) if t is None else t2 is not None and t - 100 <= t2 <= t) for k2, t2, _ in rows) for k, t, i in rows
+    }
+    for limit in (10**6, 10):
+        got = scale.trailing_count(df, ["k"], "t", 100, "n", slot_rows=limit)
+        assert got.columns == ["k", "t", "i", "n"]
+        assert {r.i: r.n for r in got.collect()} == want
