@@ -62,7 +62,7 @@ class Params:
     head_words: int = 4
     sample_docs: int = 4_000
     #: Tokens of a block, and characters of text of a partition.
-    block_tokens: int = 3 << 18
+    block_tokens: int = 5 << 18
     part_chars: int = 1 << 23
 
 
