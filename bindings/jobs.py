@@ -12,10 +12,11 @@ from bindings.scans import advisory_folder, sharded
 from epochloom.functions.scale import attach_row
 from epochloom.operators import encoders, epoching, release
 from epochloom.operators.selection import strided_budget
-from epochloom.plans import advisory_gate, decode, load_jobs, train
+from epochloom.plans import advisory_gate, decode, load_jobs, named_loads, train
 from epochloom.plans import release as release_plan
 from epochloom.plans.preprocess import CleaningConfig, preprocess_epochs
-from epochloom.sources import datasets
+from epochloom.session import new_folder
+from epochloom.sources import catalog, datasets, formats
 
 
 @query("c01_preprocess_epochs")
@@ -240,6 +241,52 @@ def u03(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def manifest_of(spark: SparkSession, folder: str, dataset_id: str, labels: list[str], channels: int, times: int) -> DataFrame:
+    """A pinned manifest of the files below a folder, from their stored bytes."""
+    formats.register(spark)
+    name = F.substring_index("path", folder.removeprefix("file:") + "/", -1).alias("path")
+    shard = F.struct(name, "size_bytes", "sha256")
+    return spark.read.format("file_digests").load(folder).agg(F.sort_array(F.collect_list(shard)).alias("shards")).select(
+        F.lit(dataset_id).alias("dataset_id"), F.lit("local").alias("provider"), F.lit("r1").alias("revision"), F.lit("table").alias("format"),
+        F.lit(250.0).alias("sampling_rate_hz"), F.lit(channels).alias("n_channels_source"), F.lit(times).alias("n_times_source"),
+        F.array(*map(F.lit, labels)).alias("labels"), F.lit("subject").alias("subject_field"), F.lit("session").alias("session_field"), "shards",
+    )
+
+
+@query("u03_labelled_loads", """
+SELECT 'nested' AS dataset_id, 'local' AS provider, 'r1' AS revision, 'verified' AS mode, 'nested:topic' AS source, 'nested-parquet' AS format, label,
+  count(*) AS n_epochs, count(DISTINCT subject_id) AS n_subjects, count(*) AS n_described, true AS pinned FROM v_epochs GROUP BY label
+UNION ALL SELECT 'windowed', 'local', 'r1', 'verified', 'windowed:samples', 'csv-windowed', label, count(*), count(DISTINCT patient), count(*), true FROM (
+  SELECT patient, epoch, min(label) AS label FROM v_samples WHERE (patient, epoch) IN (SELECT (patient, epoch) FROM v_contract WHERE reason IS NULL) GROUP BY 1, 2) GROUP BY label""")
+def u03_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Two load jobs by name over written files: manifest and stored bytes are verified, epochs carry what they come from."""
+    nested, sampled, pinned = (new_folder(spark, name) for name in ("nested", "windowed", "pins"))
+    v.epochs(spark, sf).select(
+        F.col("label").alias("word"), F.concat(F.lit(" "), F.upper("label")).alias("topic"), F.lit("").alias("selected_topic"),
+        F.col("subject_id").alias("participant"), "eeg", F.lit(1).cast("long").alias("semantic_relevance"),
+    ).write.parquet(nested)
+    v.samples(spark, sf).write.option("header", True).csv(sampled)
+    manifest_of(spark, nested, "nested", ["topic"], 8, 8).unionByName(
+        manifest_of(spark, sampled, "windowed", ["left", "right", "foot"], len(v.SAMPLE_CHANNELS), v.SAMPLE_EXPECTED)
+    ).write.json(pinned)
+    registry = datasets.Registry()
+    manifests = lambda s: catalog.manifest_documents(s, pinned, multi_line=False)
+    named_loads.register(registry, "nested", named_loads.nested_load("nested:topic", n_times=4), path=nested, manifests=manifests, dataset_id="nested")
+    windowed = named_loads.windowed_load("windowed:samples", v.SAMPLE_CHANNELS, expected=v.SAMPLE_EXPECTED, n_times=2, n_channels=2, strict=False)
+    named_loads.register(registry, "windowed", windowed, path=sampled, manifests=manifests, dataset_id="windowed", aliases=("samples",))
+    described = (F.col("metadata.label") == F.col("label")) & (F.col("metadata.subject_id") == F.col("subject_id")) & (F.col("metadata.session_id") == F.col("session_id"))
+
+    def summary(name: str) -> DataFrame:
+        rows, _ = registry.resolve(name, spark)
+        keys = [F.col(f"lineage.{c}").alias(c) for c in ("dataset_id", "provider", "revision", "mode")]
+        return rows.groupBy(*keys, "source", F.col("metadata.format").alias("format"), "label").agg(
+            F.count(F.lit(1)).alias("n_epochs"), F.count_distinct("subject_id").alias("n_subjects"), F.count_if(described).alias("n_described"),
+            F.bool_and(F.length("lineage.manifest_sha256") == 64).alias("pinned"),
+        )
+
+    return summary("nested").unionByName(summary("samples"))
+
+
 @query("u04_cleaning_strategies", """
 SELECT 'none' AS stages, count(*) AS n_kept FROM v_epochs UNION ALL SELECT 'mask', count(*) FROM (SELECT epoch_id FROM v_long GROUP BY 1 HAVING max(v) - min(v) < 55e-2)
 UNION ALL SELECT 'mask+reject', count(*) FROM (SELECT epoch_id FROM v_long GROUP BY 1 HAVING max(v) - min(v) < 55e-2) JOIN (SELECT epoch_id, avg(CASE WHEN z > 4e0 THEN 1e0 ELSE 0e0 END) AS bad FROM v_z GROUP BY 1) USING (epoch_id) WHERE bad <= 25e-2""")

@@ -8,7 +8,7 @@ from bindings.registry import CTES, query
 from epochloom.functions import arrays, paths
 from epochloom.operators import encoders, release
 from epochloom.session import new_folder
-from epochloom.sources import advisories, catalog, files, readers, sinks
+from epochloom.sources import advisories, catalog, files, formats, readers, sinks
 
 
 @query("s01_nested_epoch_scan", """
@@ -234,9 +234,10 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s12_file_inventory")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    """The given files hashed in the JVM and by bounded reads; both must agree."""
+    """The given files hashed in the JVM and by bounded reads of the registered format; both must agree."""
     small = files.hashed_files(spark, sf, "*.parquet")
-    large = files.hashed_large_files(small.select("path")).select("path", F.col("sha256").alias("streamed"), F.col("size_bytes").alias("streamed_bytes"))
+    formats.register(spark)
+    large = spark.read.format("file_digests").option("glob", "*.parquet").load(sf).select("path", F.col("sha256").alias("streamed"), F.col("size_bytes").alias("streamed_bytes"))
     return small.join(large, "path").select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "sha256",
         ((F.col("sha256") == F.col("streamed")) & (F.col("size_bytes") == F.col("streamed_bytes"))).alias("agree"),

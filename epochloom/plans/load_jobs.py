@@ -25,7 +25,7 @@ def nested_job(
     subject = F.coalesce(F.nullif(F.col("participant"), F.lit("")), F.lit("unknown"))
     return rows.select(
         F.concat_ws(":", "shard", "row_index").alias("epoch_id"), subject.alias("subject_id"),
-        F.concat(subject, F.lit(":"), F.col("shard")).alias("session_id"), "label",
+        F.concat(subject, F.lit(":"), F.col("shard")).alias("session_id"), "label", "shard", "row_index",
         arrays.pool_time("eeg", n_times).alias("eeg"),
     )
 
@@ -71,7 +71,7 @@ def windowed_job(
     return epochs.select(
         F.concat_ws(":", "patient", "epoch").alias("epoch_id"), subject.alias("subject_id"),
         F.concat(subject, F.lit(":"), paths.numbered("epoch-", "epoch", 3)).alias("session_id"),
-        F.col("label").alias("stimulus_id"), "label",
+        F.col("label").alias("stimulus_id"), "label", "patient", "epoch",
         arrays.pool_time(arrays.pool_channels("eeg", n_channels), n_times).alias("eeg"),
     )
 

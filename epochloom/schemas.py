@@ -12,7 +12,12 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 EEG = T.ArrayType(T.ArrayType(T.FloatType()))
 
-LINEAGE = struct(dataset_id=S, revision=S, manifest_sha256=S, provider=S, mode=S)
+RELEASE_LINEAGE = struct(
+    release_id=S, scope_status=S, manifest_signature_status=S, governance_status=S, file_count=L, total_size_bytes=L
+)
+LINEAGE = T.StructType(
+    struct(dataset_id=S, revision=S, manifest_sha256=S, provider=S, mode=S).fields + RELEASE_LINEAGE.fields
+)
 
 NESTED_EPOCHS = struct(
     word=S, topic=S, selected_topic=S, participant=S, eeg=EEG, semantic_relevance=L
