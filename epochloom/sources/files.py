@@ -15,7 +15,7 @@ CHUNK = 1024 * 1024
 
 
 def hashed_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files of a folder whose content fits a row (2 GB), hashed inside the JVM."""
+    """Files of a folder whose content fits a row (2 GB), hashed inside the JVM; Spark leaves out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -36,7 +36,8 @@ def test_digests_of_stored_bytes(spark, folder):
         f"file:{p}": (len(p.read_bytes()), hashlib.sha256(p.read_bytes()).hexdigest())
         for p in (folder / "a%20b.csv", folder / "empty.csv", folder / "sub 1" / "z.gz")
     }
-    assert {r.path for r in files.hashed_files(spark, str(folder)).collect()} == set(got)
+    # Spark's own readers leave out empty files
+    assert {r.path for r in files.hashed_files(spark, str(folder)).collect()} == {p for p, (size, _) in got.items() if size}
     assert digests(spark, folder, recursive="false", glob="*.csv").count() == 2
     assert digests(spark, folder / "a%20b.csv").collect()[0].size_bytes == 10
 
