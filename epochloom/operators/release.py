@@ -222,26 +222,45 @@ def approved(families: DataFrame, order: str) -> DataFrame:
     return governance_decision(families).where("can_upload").orderBy(order)
 
 
+def nesting(json_column: str) -> Column:
+    """Depth of the brackets of a JSON text, those inside its strings left out."""
+    bare = F.regexp_replace(F.regexp_replace(json_column, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]++", ""), "")
+    turn = lambda state, sign: F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0) + state["now"]
+    return F.aggregate(
+        signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda state, sign: F.struct(turn(state, sign).alias("now"), F.greatest(state["most"], turn(state, sign)).alias("most")),
+        lambda state: state["most"],
+    )
+
+
 def config_strings(df: DataFrame, key: str, json_column: str) -> DataFrame:
-    """Every ``(key_path, name, value)`` of a nested JSON document.
+    """Every ``(key_path, name, value, kind)`` of a nested JSON document, at any depth.
 
-    One lateral generator per level of nesting that occurs in the table.
+    A document is parsed once and walked in one pass without a shuffle: at each level a container gives itself and its
+    members, all other rows go through. The greatest depth of the table is found first. Texts that are no JSON, NULL,
+    and documents that are a bare value give no rows.
     """
     tvf = df.sparkSession.tvf
-    level = df.select(key, F.lit("").alias("key_path"), F.try_parse_json(json_column).alias("v"))
-    out = None
-    while True:
-        step = level.lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
-        inner = step.select(
-            key, F.concat("key_path", F.lit("/"), F.coalesce("_key", F.col("_pos").cast("string"))).alias("key_path"),
-            F.col("_key").alias("name"), F.col("_value").alias("v"),
+    parsed = F.try_parse_json(json_column)
+    depth = df.where(parsed.isNotNull()).agg(F.max(nesting(json_column))).first()[0] or 0
+    text = F.lit(None).cast("string")
+    rows = df.select(
+        key, F.lit("").alias("key_path"), text.alias("name"), text.alias("value"), text.alias("kind"), parsed.alias("v"), F.lit(True).alias("_open"),
+    )
+    for level in range(depth):
+        if level:
+            both = F.when(F.col("v").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+            rows = rows.withColumn("_open", F.explode(both))
+        inside = tvf.variant_explode_outer(F.when(F.col("_open"), F.col("v")).outer()).toDF("_pos", "_key", "_value")
+        kind = F.schema_of_variant("_value")
+        member = lambda new, old: F.when(F.col("_open"), new).otherwise(F.col(old)).alias(old)
+        rows = rows.lateralJoin(inside).where(~F.col("_open") | F.col("_pos").isNotNull()).select(
+            key, member(F.concat("key_path", F.lit("/"), F.coalesce("_key", F.col("_pos").cast("string"))), "key_path"),
+            member(F.col("_key"), "name"), member(F.try_variant_get("_value", "$", "string"), "value"), member(kind, "kind"),
+            F.when(F.col("_open") & (kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.col("_value")).alias("v"),
         )
-        kind = F.schema_of_variant("v")
-        rows = inner.select(key, "key_path", "name", F.try_variant_get("v", "$", "string").alias("value"), kind.alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-        level = inner.where(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select(key, "key_path", "v")
-        if level.isEmpty():
-            return out
+    return (rows if depth else rows.where(F.lit(False))).select(key, "key_path", "name", "value", "kind")
 
 
 def secret_violations(strings: DataFrame, key: str) -> DataFrame:

@@ -236,3 +236,28 @@ def test_a_hub_is_refused_without_its_edges(spark):
     )
     got = decode.prompts_from_anchors(requests, anchors, onto, "request").groupBy((F.col("request") % 2).alias("k"), "status").count().collect()
     assert {(r.k, r.status, r["count"]) for r in got} == {(0, "prompt-size", 1_000), (1, "ok", 1_000)}
+
+
+def test_configuration_is_walked_to_any_depth(spark):
+    """Members of nested documents in one pass, held against a walk in Python."""
+    deep = "leaf"
+    for _ in range(12):
+        deep = {"d": [deep, 1]}
+    docs = [
+        {"a": {"b": {"c": "x"}, "e": {}}, "l": [], "n": None, "t": True}, deep, ["[{", {"q\"}]": "\\\\ ]}\""}, [[["y"]]]], [], {},
+    ]
+    texts = [json.dumps(d) for d in docs] + ["{broken", "[" * 400, None, "3", '"s"', ""]
+
+    def walk(value, path=""):
+        items = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        for name, inner in items:
+            yield (f"{path}/{name}", name if isinstance(value, dict) else None, inner if isinstance(inner, str) else None)
+            yield from walk(inner, f"{path}/{name}")
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    found = release.config_strings(df, "k", "j")
+    got = sorted((r.k, r.key_path, r.name or "", r.value if r.kind == "STRING" else None) for r in found.collect())
+    want = sorted((k, path, name or "", value) for k, d in enumerate(docs) for path, name, value in walk(d))
+    assert got == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert release.config_strings(df.where("k > 4"), "k", "j").count() == 0
