@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from epochloom.functions import arrays
 from epochloom.functions.arrays import Col, _c
 from epochloom.operators.graph import anchor_violations
 
@@ -104,7 +105,7 @@ def attribute_bytes(items: Column, forbidden: Column) -> Column:
     subject = F.get(F.filter(items, lambda i: i["status"] == "accepted"), F.lit(0))["concept_id"]
     size = lambda i: F.octet_length(F.to_json(F.struct(i["concept_id"], i["operator"], i["label"], i["provenance"]))).cast("long")
     total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + F.coalesce(b, F.lit(0).cast("long")))
-    others = F.filter(items, lambda i: ~F.coalesce((i["status"] == "accepted") & (i["concept_id"] == subject), F.lit(False)))
+    others = arrays.bound(subject, lambda own: F.filter(items, lambda i: ~F.coalesce((i["status"] == "accepted") & (i["concept_id"] == own), F.lit(False))))
     return F.coalesce(total(F.transform(others, size)), F.lit(0)) + F.coalesce(
         total(F.transform(forbidden, lambda t: F.octet_length(t).cast("long"))), F.lit(0)
     )

@@ -92,3 +92,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor never loses the cut plan."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table below the shared folder: worked out once, where a checkpoint works its last stage out twice."""
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 
 import pytest
 from pyspark.sql import Row, functions as F
@@ -57,6 +58,19 @@ def test_accepted_and_suggested(spark, onto):
     assert hashlib.sha256(json.dumps(plain, sort_keys=True, separators=(",", ":")).encode()).hexdigest() == rows[1].prompt_hash
 
 
+def test_suggestions_sort_their_neighbours_once(spark):
+    n = 6_000
+    near = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.struct(
+        F.concat(F.lit("c:"), (i % n).cast("string")).alias("other"), (2 * n - i).cast("long").alias("pos"), i.cast("string").alias("id"),
+        F.lit("SETS").alias("relation"), F.lit(0.5).alias("confidence"), F.lit("x").alias("label"),
+    ))
+    start = time.time()
+    items = F.array_sort(graph.suggestions_of(F.col("near"), F.array(F.lit("c:0"))))
+    row = spark.range(1).select(near.alias("near")).select(items.alias("i")).select("i", prompt.attribute_bytes(F.col("i"), F.array().cast("array<string>")).alias("b")).head()
+    assert len(row.i) == n - 1 and {int(x.provenance[0].split(":")[-1]) // n for x in row.i} == {1} and row.b > 0
+    assert time.time() - start < 20  # the list is not sorted anew for every neighbour
+
+
 def rows_schema(row: Row):
     from pyspark.sql.types import _infer_schema
 
