@@ -14,7 +14,8 @@ from epochloom.sources import advisories, catalog, files, formats, readers, sink
 @query("s01_nested_epoch_scan", """
 SELECT vec_id, label, vec_id AS row_index, round(list_sum(embedding::DOUBLE[]), 6) AS total FROM embeddings""")
 def s01(spark: SparkSession, sf: str) -> DataFrame:
-    rows = readers.nested_epochs(spark, sf, ["vec_id", "label", "embedding"], glob="embeddings*.parquet")
+    """The table is one file or a folder of them; its rows are numbered through."""
+    rows = readers.table_rows(readers.nested_epochs(spark, f"{sf}/embeddings.parquet", ["vec_id", "label", "embedding"]))
     return rows.select("vec_id", "label", "row_index", v.r6(arrays.vsum("embedding")).alias("total"))
 
 

@@ -15,7 +15,7 @@ from epochloom.session import new_folder
 from epochloom.sources import sinks
 from epochloom.streaming import decode as stream_decode
 from epochloom.streaming import detections, limits
-from epochloom.streaming.runtime import drain, drain_arrivals, drain_batches, parquet_stream
+from epochloom.streaming.runtime import drain, drain_arrivals, drain_batches, parquet_stream, table_stream
 
 
 def stamp(col: str = "window_start") -> Column:
@@ -24,7 +24,7 @@ def stamp(col: str = "window_start") -> Column:
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return v.audit_of(parquet_stream(spark, sf, "events.parquet", schema))
+    return v.audit_of(table_stream(spark, sf, "events.parquet", schema))
 
 
 def late_arrivals(spark: SparkSession, sf: str) -> list[DataFrame]:
@@ -275,7 +275,7 @@ SELECT epoch_id, rank, surface, round(dot, 6) AS dot FROM (SELECT e.epoch_id, su
 def r10(spark: SparkSession, sf: str) -> DataFrame:
     """Arriving vectors as epochs, encoded by the untrained projection and given their anchors."""
     schema = spark.read.parquet(f"{sf}/embeddings.parquet").schema
-    arriving = parquet_stream(spark, sf, "embeddings.parquet", schema).select(
+    arriving = table_stream(spark, sf, "embeddings.parquet", schema).select(
         F.col("vec_id").alias("epoch_id"), arrays.reshape("embedding", 8, 8).alias("eeg")
     )
     model = encoders.random_projection(spark, v.WIDTH, 64)
@@ -288,7 +288,7 @@ def r10(spark: SparkSession, sf: str) -> DataFrame:
 def r10_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Micro-batches through the whole decode job."""
     schema = spark.read.parquet(f"{sf}/embeddings.parquet").schema
-    arriving = parquet_stream(spark, sf, "embeddings.parquet", schema).select(
+    arriving = table_stream(spark, sf, "embeddings.parquet", schema).select(
         F.col("vec_id").alias("epoch_id"), arrays.reshape("embedding", 8, 8).alias("eeg")
     )
     onto = v.ontology(spark, sf)

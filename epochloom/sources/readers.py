@@ -50,6 +50,16 @@ def nested_epochs(
     )
 
 
+def table_rows(epochs: DataFrame) -> DataFrame:
+    """``row_index`` counted through all shards in name order instead of within each."""
+    # one row per file, not per epoch
+    sizes = epochs.groupBy("shard").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return epochs.join(F.broadcast(sizes.select("shard", ahead.alias("_ahead"))), "shard").withColumn(
+        "row_index", F.col("row_index") + F.col("_ahead")
+    ).drop("_ahead")
+
+
 def shard_range(df: DataFrame, start: int, max_shards: int) -> DataFrame:
     """Rows of ``max_shards`` shards from ``start`` in name order; a late start means the last one."""
     names = df.select("shard").distinct()

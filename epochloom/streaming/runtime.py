@@ -17,6 +17,14 @@ def parquet_stream(spark: SparkSession, folder: str, name: str, schema: StructTy
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A Parquet table of a folder as a stream, stored as one file or as a folder of files."""
+    found = spark.read.schema(schema).parquet(f"{folder}/{name}").inputFiles()
+    if len(found) == 1 and found[0].endswith(f"/{name}"):
+        return parquet_stream(spark, folder, name, schema)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}")
+
+
 def drain(stream: DataFrame, label: str, at: tuple[str, str] | None = None) -> DataFrame:
     """Run an append stream over everything available and read its Parquet sink back.
 

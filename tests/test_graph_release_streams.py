@@ -5,9 +5,11 @@ import hashlib
 import json
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row, functions as F
 
+import __spark_entry__ as entry
 from bindings import views as v
 from bindings.streams import LATE, LIMIT, LIMIT_S, late
 from epochloom import schemas
@@ -18,6 +20,7 @@ from epochloom.session import new_folder, prepare
 from epochloom.sources import advisories, catalog, datasets, readers, sinks
 from epochloom.streaming import limits
 from epochloom.streaming.runtime import drain
+from tests.harness import TABLES, compare, duck
 
 
 @pytest.fixture(scope="module")
@@ -275,3 +278,29 @@ def test_configuration_is_walked_to_any_depth(spark):
     assert got == want
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert release.config_strings(df.where("k > 4"), "k", "j").count() == 0
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, sf, tmp_path_factory):
+    """The given tables with the embeddings as a folder of three files, in the order of their ids."""
+    out = tmp_path_factory.mktemp("folders")
+    for name in TABLES:
+        if name != "embeddings":
+            (out / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    rows = pq.read_table(f"{sf}/embeddings.parquet").slice(0, 90)
+    (out / "embeddings.parquet").mkdir()
+    for part in range(3):
+        pq.write_table(rows.slice(part * 30, 30), out / "embeddings.parquet" / f"part-{part}.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("name", ["s01_nested_epoch_scan", "r10_streaming_anchors"])
+def test_a_table_may_be_a_folder(spark, folder_tables, name):
+    con = duck(folder_tables)
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{folder_tables}/embeddings.parquet/*.parquet'")
+    fn, sql = entry.queries()[name], entry.oracle_sql()[name]
+    assert compare(spark, con, folder_tables, fn, sql) is None
+
+
+def test_streaming_decode_of_a_folder(spark, folder_tables):
+    assert entry.queries()["r10_streaming_decode"](spark, folder_tables).count() == 90
