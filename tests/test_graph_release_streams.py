@@ -304,3 +304,29 @@ def test_a_table_may_be_a_folder(spark, folder_tables, name):
 
 def test_streaming_decode_of_a_folder(spark, folder_tables):
     assert entry.queries()["r10_streaming_decode"](spark, folder_tables).count() == 90
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_touched_edges_and_suggestions_are_not_grouped_again(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(graph, "fits", lambda df: False)
+        monkeypatch.setattr(graph, "LINKS_A_KEY", 3)
+    pairs = [(f"h:{k % 3}", f"s:{k}") for k in range(40)] + [("s:1", "h:0"), ("h:0", "h:1"), ("h:2", "h:2"), ("h:0", "s:1")]
+    edges = [(f"edge:{i}", a, "SETS", b, 0.5, "r", i) for i, (a, b) in enumerate(pairs)]
+    nodes = [(n, "T", n.upper(), i) for i, n in enumerate(sorted({x for p in pairs for x in p}))]
+    edges_df = spark.createDataFrame(edges, "id string, source string, relation string, target string, confidence double, provenance string, pos long")
+    nodes_df = spark.createDataFrame(nodes, "id string, type string, label string, pos long")
+    sets = {1: {"h:0", "h:1"}, 2: {"s:1", "h:0"}, 3: {"h:2"}, 4: {"none"}}
+    accepted = spark.createDataFrame([(r, c) for r, cs in sets.items() for c in cs] * 2, "request int, concept_id string")
+    touched = graph.touched_edges(accepted, edges_df, "request")
+    got = sorted((r.request, r.id, r.source_in, r.target_in) for r in touched.collect())
+    assert got == sorted((r, e[0], e[1] in cs, e[3] in cs) for r, cs in sets.items() for e in edges if e[1] in cs or e[3] in cs)
+    want = {}
+    for r, cs in sets.items():
+        for e in edges:
+            if (e[1] in cs) != (e[3] in cs):
+                want.setdefault((r, e[3] if e[1] in cs else e[1]), e[0])
+    suggested = graph.suggested_concepts(accepted, edges_df, nodes_df, "request")
+    assert sorted((r.request, r.concept_id, r.provenance[0], r.node.label) for r in suggested.collect()) == sorted(
+        (r, c, f"kg:{i}", c.upper()) for (r, c), i in want.items())
+    assert "hashpartitioning(request" not in touched._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
