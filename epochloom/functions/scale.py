@@ -78,7 +78,9 @@ def cut_points(df: DataFrame, order: Sequence[str], buckets: int | None = None)
     """
     buckets = buckets or n_buckets(df)
     limit = max(buckets * SAMPLE_PER_BUCKET, SMALL_ROWS)
-    picked = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(limit).collect()
+    first = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(limit)
+    # one row: a collected limit would bring ``limit`` rows of every partition to the driver
+    picked = first.agg(F.collect_list(F.struct(*order)).alias("rows")).first()["rows"]
     if len(picked) < limit:
         return None
     values = sorted({tuple(row) for row in picked if all(item is not None for item in row)})
