@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from epochloom.functions import scale
-from epochloom.operators import audit, selection, splits
+from epochloom.operators import audit, embedders, selection, splits
 
 
 @pytest.fixture(autouse=True)
@@ -181,3 +181,26 @@ def test_trailing_counts_of_a_burst_equal_the_window(spark):
         got = scale.trailing_count(df, ["k"], "t", 100, "n", slot_rows=limit)
         assert got.columns == ["k", "t", "i", "n"]
         assert {r.i: r.n for r in got.collect()} == want
+
+
+def test_terms_are_counted_before_their_shuffle(spark):
+    docs = spark.createDataFrame([(i, "a b a") for i in range(300)] + [(300, ""), (301, "c")], "id int, t string").coalesce(2)
+    rows = {r.term: (r.tf_total, r.df) for r in embedders.document_frequency(docs, "id", "t").collect()}
+    assert rows == {"a": (600, 300), "b": (300, 300), "a b": (300, 300), "b a": (300, 300), "c": (1, 1)}
+    plan = embedders.term_totals(docs, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in embedders.document_frequency(docs, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan
+
+
+def test_cut_points_bring_one_row_to_the_driver(spark, monkeypatch):
+    frame = type(spark.range(1))
+    real, sizes = frame.collect, []
+
+    def counted(self):
+        rows = real(self)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(frame, "collect", counted)
+    cuts = scale.cut_points(spark.range(0, 30_000, numPartitions=6), ["id"], 4)
+    assert len(cuts) == 3 and all(isinstance(c, tuple) for c in cuts) and max(sizes) == 1
