@@ -330,3 +330,9 @@ def test_touched_edges_and_suggestions_are_not_grouped_again(spark, monkeypatch,
     assert sorted((r.request, r.concept_id, r.provenance[0], r.node.label) for r in suggested.collect()) == sorted(
         (r, c, f"kg:{i}", c.upper()) for (r, c), i in want.items())
     assert "hashpartitioning(request" not in touched._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
+
+
+def test_keys_of_one_state_are_judged_apart(spark, sf, monkeypatch):
+    monkeypatch.setattr(limits, "BUCKETS", 1)
+    name = "r07_attempt_lockout_stream"
+    assert compare(spark, duck(sf), sf, entry.queries()[name], entry.oracle_sql()[name]) is None
