@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import time
 
 import pyarrow.parquet as pq
@@ -13,7 +14,7 @@ import __spark_entry__ as entry
 from bindings import views as v
 from bindings.streams import LATE, LIMIT, LIMIT_S, late
 from epochloom import schemas
-from epochloom.functions import paths
+from epochloom.functions import paths, text
 from epochloom.operators import audit, graph, prompt, release, supply
 from epochloom.plans import decode
 from epochloom.session import new_folder, prepare
@@ -336,3 +337,18 @@ def test_keys_of_one_state_are_judged_apart(spark, sf, monkeypatch):
     monkeypatch.setattr(limits, "BUCKETS", 1)
     name = "r07_attempt_lockout_stream"
     assert compare(spark, duck(sf), sf, entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
+def test_a_surface_is_read_only_as_far_as_it_goes(spark):
+    """As dropping, trimming and cutting the whole text would give, in time that its length doesn't change."""
+    rng = random.Random(3)
+    some = ["", " ", "<>", "a" * 64 + "  ", "a" * 63 + " ", "a" * 63 + "  b", " " * 70 + "a", "a" * 64 + "<>  é", "é\n" * 90 + "a b", "x" * 200, None]
+    some += ["".join(rng.choice("ab  <é\n\U0001F600_-") for _ in range(rng.randrange(150))) for _ in range(400)]
+    whole = F.substring(F.trim(F.regexp_replace("s", text.SURFACE_DROP, "")), 1, 64)
+    df = spark.createDataFrame(list(enumerate(some)), "i int, s string")
+    rows = df.select("s", text.sanitise_surface("s").alias("got"), whole.alias("want")).collect()
+    assert [r for r in rows if r.got != r.want] == []
+    long = spark.range(2_000, numPartitions=1).select(F.repeat(F.lit("ab, c. "), 30_000).alias("s"))
+    start = time.time()
+    long.select(text.sanitise_surface("s").alias("c")).agg(F.sum(F.length("c"))).collect()
+    assert time.time() - start < 10
