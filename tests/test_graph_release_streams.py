@@ -352,3 +352,11 @@ def test_a_surface_is_read_only_as_far_as_it_goes(spark):
     start = time.time()
     long.select(text.sanitise_surface("s").alias("c")).agg(F.sum(F.length("c"))).collect()
     assert time.time() - start < 10
+
+
+def test_hashed_texts_are_dealt_over_the_tasks(spark, sf):
+    """One split of a small table gives forty numbers a row."""
+    scan = v.table(spark, sf, "part").rdd.getNumPartitions()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scan < tasks
+    assert entry.queries()["f01_hash_text_embedding"](spark, sf).rdd.getNumPartitions() == tasks
