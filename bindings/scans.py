@@ -1,7 +1,7 @@
 """Scans, sources and sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bindings import views as v
 from bindings.registry import CTES, query
@@ -151,12 +151,17 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
 def manifests(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest documents: one per order, its lines as shards."""
     li = v.table(spark, sf, "lineitem")
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
-    shard = F.struct(
-        F.concat(F.when(F.col("l_discount") == 0.0, "../").otherwise(""), key, F.lit(".csv")).alias("path"),
-        F.col("l_quantity").cast("long").alias("size_bytes"), F.sha2(key.cast("binary"), 256).alias("sha256"),
+    # lines are shuffled as they are; paths and digests, far longer, are made of them afterwards
+    line = F.struct("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", F.coalesce(F.col("l_discount") == 0.0, F.lit(False)).alias("up"))
+
+    def shard(x: Column) -> Column:
+        key = F.concat_ws("-", *[x[c].cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber")])
+        path = F.concat(F.when(x["up"], "../").otherwise(""), key, F.lit(".csv"))
+        return F.struct(path.alias("path"), x["l_quantity"].cast("long").alias("size_bytes"), F.sha2(key.cast("binary"), 256).alias("sha256"))
+
+    docs = li.groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"), F.max("l_tax").alias("t")).select(
+        "l_orderkey", F.array_sort(F.transform("lines", shard)).alias("shards"), "t"
     )
-    docs = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(shard)).alias("shards"), F.max("l_tax").alias("t"))
     head = docs.select(
         F.concat(F.lit("ds-"), F.col("l_orderkey").cast("string")).alias("dataset_id"), F.lit("local").alias("provider"),
         F.when(F.col("t") >= 0.08, "main").otherwise(F.concat(F.lit("rev-"), F.col("l_orderkey").cast("string"))).alias("revision"),
@@ -165,7 +170,8 @@ def manifests(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("patient").alias("subject_field"), F.lit("epoch").alias("session_field"), "shards",
     )
     folder = new_folder(spark, "manifests")
-    head.write.json(folder)
+    # a compressed file is read by one task
+    head.write.option("compression", "lz4").option("maxRecordsPerFile", 100_000).json(folder)
     return catalog.manifest_documents(spark, folder, multi_line=False)
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 import __spark_entry__ as entry
-from bindings import views as v
+from bindings import scans, views as v
 from bindings.streams import LATE, LIMIT, LIMIT_S, late
 from epochloom import schemas
 from epochloom.functions import paths, text
@@ -360,3 +360,13 @@ def test_hashed_texts_are_dealt_over_the_tasks(spark, sf):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert scan < tasks
     assert entry.queries()["f01_hash_text_embedding"](spark, sf).rdd.getNumPartitions() == tasks
+
+
+def test_manifest_lines_are_shuffled_before_their_digests_are_made(spark, sf, tmp_path, monkeypatch):
+    """The documents are written packed, and the shuffle below them carries no digest."""
+    monkeypatch.setattr(scans, "new_folder", lambda _, label: str(tmp_path / label))
+    docs = scans.manifests(spark, sf)
+    lines = docs.select(F.sum(F.size("shards"))).head()[0]
+    assert lines == v.table(spark, sf, "lineitem").count()
+    plain = docs.select(F.sum(F.length(F.to_json(F.struct(*docs.columns))))).head()[0]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("part-*")) < 0.7 * plain
