@@ -278,13 +278,21 @@ def _blocks(shared, parts: int, params: Params):
         part = (np.where(hot, mixed(w, ctx), w) % U64(parts)).astype(np.int32)
         del hot
         order = np.lexsort((doc, ctx, w, part))
-        part, w, ctx, doc = part[order], w[order], ctx[order], doc[order]
+        # one after the other, so that no two orders of all arrays are held
+        part = part[order]
+        w = w[order]
+        ctx = ctx[order]
+        doc = doc[order]
         del order
         new = np.ones(len(w), bool)
         new[1:] = (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         n = np.diff(first, append=len(w))
-        part, w, ctx, doc = part[first], w[first], ctx[first], doc[first]
+        part = part[first]
+        w = w[first]
+        ctx = ctx[first]
+        doc = doc[first]
+        del new, first
         ends = np.searchsorted(part, np.arange(parts + 1))
         for p in range(parts):
             a, b = ends[p], ends[p + 1]
@@ -331,22 +339,27 @@ def _counted(shared, params: Params):
     """Blocks of a partition to its tables, and to counts and wants for the documents."""
 
     def part_of(part: int, blocks: list[tuple[int, bytes]], head: Head) -> Iterator[pa.RecordBatch]:
+        ids = [batch_id for batch_id, _ in blocks]
         got = [unpack(body) for _, body in blocks]
+        blocks.clear()
+        # an array is made, ordered and let go before the next, and places are held in four bytes
         w = np.concatenate([np.cumsum(g[0].astype(U64), dtype=U64) for g in got])
         ctx = np.concatenate([np.cumsum(g[1].astype(U64), dtype=U64)[g[2]] for g in got])
-        doc = np.concatenate([(g[3].astype(np.int64) >> 1) + (k << DOC_BITS + 1) for k, g in enumerate(got)])
-        train = np.concatenate([(g[3] & 1).astype(bool) for g in got])
-        n = np.concatenate([g[4].astype(np.int32) for g in got])
-        del got
-        order = np.lexsort((ctx, w))
-        w, ctx, doc, train, n = w[order], ctx[order], doc[order], train[order], n[order]
-        del order
+        got = [g[3:] for g in got]
+        order = np.lexsort((ctx, w)).astype(np.uint32)
+        w = w[order]
+        ctx = ctx[order]
+        doc = np.concatenate([(g[0].astype(np.int64) >> 1) + (k << DOC_BITS + 1) for k, g in enumerate(got)])[order]
+        train = np.concatenate([(g[0] & 1).astype(bool) for g in got])[order]
+        n = np.concatenate([g[1].astype(np.int32) for g in got])[order]
+        del got, order
         new_w = np.ones(len(w), bool)
         new_w[1:] = w[1:] != w[:-1]
         new = new_w.copy()
         new[1:] |= ctx[1:] != ctx[:-1]
         first, first_w = np.flatnonzero(new), np.flatnonzero(new_w)
-        pair, word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
+        pair, word = np.cumsum(new, dtype=np.int32) - np.int32(1), np.cumsum(new_w, dtype=np.int32) - np.int32(1)
+        del new, new_w
         c2 = np.add.reduceat(n * train, first)
         c1 = np.add.reduceat(n * train, first_w)
         at = head.word(w[first_w])
@@ -359,27 +372,29 @@ def _counted(shared, params: Params):
         for r in range(1, params.fit + 1):
             stats[r] = int((cold == r).sum())
             stats[params.fit + r] = int((c2 == r).sum())
-        seen = c2 > 0
-        pw, pc, p2, p1 = w[first][seen], ctx[first][seen], c2[seen], c1[word[first]][seen]
         made = [("stats", part, None, None, stats)]
         if len(cold):
             made.append(("words", part, None, pack(_steps(w[first_w][~hot]), cold), None))
-        if len(pw):
-            made.append(("table", part, None, pack(_steps(pw), *_coded(pc), p2, p1), None))
+        seen = first[c2 > 0]
+        if len(seen):
+            made.append(("table", part, None, pack(_steps(w[seen]), *_coded(ctx[seen]), c2[pair[seen]], c1[word[seen]]), None))
+        del first, first_w, seen
         yield _rows(made)
         # documents: what was counted, as small numbers in order of the document
         own = ~hot[word]
-        flags = own.astype(np.uint8) + 2 * (w == U64(END))
+        flags = own.astype(np.uint8) + np.uint8(2) * (w == U64(END))
+        del w, own
         r1, r2 = c1[word], c2[pair]
+        del word, pair, c1, c2
         back = np.argsort(doc, kind="stable")
         mask = (1 << DOC_BITS + 1) - 1
-        bounds = np.searchsorted(doc[back] >> DOC_BITS + 1, np.arange(len(blocks) + 1))
+        bounds = np.searchsorted(doc[back] >> DOC_BITS + 1, np.arange(len(ids) + 1))
         asks = np.flatnonzero(~train)
         asks = asks[np.lexsort((ctx[asks], doc[asks] >> DOC_BITS + 1))]
-        cuts = np.searchsorted(doc[asks] >> DOC_BITS + 1, np.arange(len(blocks) + 1))
+        cuts = np.searchsorted(doc[asks] >> DOC_BITS + 1, np.arange(len(ids) + 1))
         hit = r2 > 0
         made = []
-        for k, (batch_id, _) in enumerate(blocks):
+        for k, batch_id in enumerate(ids):
             rows = back[bounds[k] : bounds[k + 1]]
             made.append(("seen", part, batch_id, pack(_steps((doc[rows] & mask).astype(U64)), n[rows], r2[rows], r1[rows], flags[rows]), None))
             rows = asks[cuts[k] : cuts[k + 1]]
