@@ -241,7 +241,7 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s12_file_inventory")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
-    """The given files hashed in the JVM and by bounded reads of the registered format; both must agree."""
+    """The given files hashed in the JVM, if not large, and by bounded reads of the registered format; both must agree."""
     small = files.hashed_files(spark, sf, "*.parquet")
     formats.register(spark)
     large = spark.read.format("file_digests").option("glob", "*.parquet").load(sf).select("path", F.col("sha256").alias("streamed"), F.col("size_bytes").alias("streamed_bytes"))

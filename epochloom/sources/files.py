@@ -12,16 +12,23 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNK = 1024 * 1024
+#: Bytes of a file that one row holds at most, as many as a task of Spark's readers takes by default.
+ROW_BYTES = 128 * 1024 * 1024
 
 
-def hashed_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files of a folder whose content fits a row (2 GB), hashed inside the JVM; Spark leaves out empty files."""
+def hashed_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """Files of a folder, hashed inside the JVM as one row up to ``row_bytes``; Spark leaves out empty files.
+
+    Larger files are listed without their content and hashed by bounded reads, so no task holds one.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
+    listed = reader.load(path)
+    small = listed.where(F.col("length") <= row_bytes).select(
         "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
     )
+    return small.unionByName(hashed_large_files(listed.where(F.col("length") > row_bytes)))
 
 
 def located(path: str) -> tuple[fs.FileSystem, str, str]:

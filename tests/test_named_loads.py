@@ -145,3 +145,15 @@ def test_names_are_not_taken_twice(spark, dataset):
     rows, _ = resolved(spark, dataset)
     with pytest.raises(ContractError, match="source, metadata, lineage"):
         named_loads.labelled(rows, "again", {}, F.lit(1))
+
+
+def test_large_files_are_hashed_without_a_row_of_their_content(spark, tmp_path):
+    """One side of the size is read as rows, the other by bounded reads; together they are all files."""
+    sizes = {"a b%20.bin": 10, "b.bin": 1_000, "c.bin": 1_001, "d.bin": 3_000_000}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(name.encode() * size)
+    want = {name: (len(name) * size, hashlib.sha256(name.encode() * size).hexdigest()) for name, size in sizes.items()}
+    for bound in (1, 5_000, files.ROW_BYTES):
+        rows = files.hashed_files(spark, str(tmp_path), row_bytes=bound).collect()
+        assert {r.path.rsplit("/", 1)[-1]: (r.size_bytes, r.sha256) for r in rows} == want
+        assert len(rows) == len(sizes)
