@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -105,22 +106,80 @@ def _steps(a: np.ndarray) -> np.ndarray:
 # --- tokens -----------------------------------------------------------------------
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        got = xxhash.xxh64_intdigest(word)
-        if len(self) >= 100_000:
-            self.clear()
-        self[word] = got
-        return got
+#: 1 for the bytes of words.
+_WORD = bytes(c not in b" \t\n\x0b\x0c\r" for c in range(256))
+#: Longer words are hashed one by one.
+LONG = 64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection that spreads every bit over all."""
+    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+    return x ^ (x >> U64(31))
+
+
+def _hashed(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words at ``start``, eight bytes of all of them at a time."""
+    buffer = np.frombuffer(raw + bytes(8), np.uint8)
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer, 0, (1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    out = _mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > LONG)
+    live, at, left = None, start, np.where(size > LONG, 0, size) if len(long) else size
+    while True:
+        chunk = eight[at] & masks[np.minimum(left, 8)]
+        if live is None:
+            out = _mix(out ^ chunk)
+            live = np.flatnonzero(left > 8)
+            at, left = at[live], left[live]
+        else:
+            out[live] = _mix(out[live] ^ chunk)
+            more = left > 8
+            live, at, left = live[more], at[more], left[more]
+        if not len(live):
+            break
+        at, left = at + 8, left - 8
+    for k in long:
+        out[k] = xxhash.xxh64_intdigest(raw[start[k] : start[k] + size[k]])
+    return out
 
 
-def tokens(text: str, cache: dict) -> np.ndarray:
-    """Hashes of the words of a text and of its end; bytes.lower and bytes.split know ASCII only, as wanted."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, U64)
-    out[:-1] = np.fromiter(map(cache.__getitem__, words), U64, len(words))
-    out[-1] = END
-    return out
+def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, an end after each text, and the number of tokens of each; only A-Z is lowered."""
+    wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    bounds = np.frombuffer(text.buffers()[1], wide, len(text) + 1, text.offset * np.dtype(wide).itemsize).astype(np.int64)
+    body = text.buffers()[2]
+    raw = body[int(bounds[0]) : int(bounds[-1])].to_pybytes().lower() if body is not None else b""
+    bounds = bounds - bounds[0]
+    inside = np.frombuffer(raw.translate(_WORD), bool)
+    # a word begins and ends at white space or at the bounds of its text
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    first, last = bounds[some], bounds[some + 1] - 1
+    begins[first], ends[last] = inside[first], inside[last]
+    start = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - start
+    before = np.searchsorted(start, bounds)
+    out = np.empty(len(start) + len(text), U64)
+    sizes = np.diff(before) + 1
+    word = np.ones(len(out), bool)
+    word[np.cumsum(sizes) - 1] = False
+    out[word] = _hashed(raw, start, size)
+    out[~word] = END
+    return out, sizes
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows whose texts have about ``most`` bytes together, or one row."""
+    ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def mixed(w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
@@ -130,6 +189,35 @@ def mixed(w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+class Places:
+    """Places of hashes in a sorted table, by their upper bits."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        bits = min(22, len(table).bit_length() + 3)
+        self.shift = U64(64 - bits)
+        self.first = np.searchsorted((table >> self.shift).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """-1 where absent."""
+        out = np.full(len(x), -1)
+        if not len(self.table):
+            return out
+        bucket = (x >> self.shift).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        rows = np.flatnonzero(at < end)
+        at, end = at[rows], end[rows]
+        for _ in range(self.most):
+            hit = self.table[at] == x[rows]
+            out[rows[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            rows, at, end = rows[more], at[more] + 1, end[more]
+            if not len(rows):
+                break
+        return out
+
+
 class Head:
     """Frequent words and pairs with their exact counts."""
 
@@ -138,6 +226,7 @@ class Head:
         keys = mixed(*pairs)
         _, first = np.unique(keys, return_index=True)
         self.key, self.pw, self.pc = keys[first], pairs[0][first], pairs[1][first]
+        self.words, self.pairs = Places(self.w), Places(self.key)
         self.c1, self.c2 = np.zeros(len(self.w), np.int64), np.zeros(len(self.key), np.int64)
 
     @staticmethod
@@ -149,16 +238,50 @@ class Head:
         return np.where(table[at] == x, at, -1)
 
     def word(self, w: np.ndarray) -> np.ndarray:
-        return self._find(self.w, w)
+        return self.words(w)
 
     def pair(self, w: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        at = self._find(self.key, mixed(w, ctx))
-        same = (at >= 0) & (self.pw[at] == w) & (self.pc[at] == ctx) if len(self.key) else at >= 0
-        return np.where(same, at, -1)
+        at = self.pairs(mixed(w, ctx))
+        some = np.flatnonzero(at >= 0)
+        other = some[(self.pw[at[some]] != w[some]) | (self.pc[at[some]] != ctx[some])]
+        at[other] = -1
+        return at
+
+
+def _contexts(w: np.ndarray, sizes: np.ndarray, start=START) -> np.ndarray:
+    """The token before each, ``start`` before the first of a text."""
+    out = np.empty_like(w)
+    out[1:] = w[:-1]
+    out[np.cumsum(sizes) - sizes] = start
+    return out
 
 
-def _contexts(w: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], U64), w[:-1]])
+def _ordered(rank: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct triples of small numbers in order, and how often each occurs; as one number each, where that fits."""
+    if not len(rank):
+        return rank, ctx, doc, np.zeros(0, np.int64)
+    low, mid, high = (int(a.max()).bit_length() for a in (doc, ctx, rank))
+    if low + mid + high > 64:
+        order = np.lexsort((doc, ctx, rank))
+        rank, ctx, doc = rank[order], ctx[order], doc[order]
+        new = np.ones(len(rank), bool)
+        new[1:] = (rank[1:] != rank[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        return rank[first], ctx[first], doc[first], np.diff(first, append=len(new))
+    key = rank.astype(U64)
+    for values, bits in ((ctx, mid), (doc, low)):
+        key <<= U64(bits)
+        key |= values.astype(U64)
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    del new
+    key = key[first]
+    n = np.diff(first, append=len(rank)).astype(np.int32)
+    del first
+    cut = lambda shift, bits: ((key >> U64(shift)) & U64((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+    return cut(mid + low, high), cut(low, mid), cut(0, low), n
 
 
 # --- sums of a document -----------------------------------------------------------
@@ -202,11 +325,10 @@ def _rows(made: list[tuple]) -> pa.RecordBatch:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = _Hashes()
     for batch in batches:
-        for text in batch.column("text"):
-            w = tokens(text.as_py(), cache)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(_contexts(w).view(np.int64))], ["w", "ctx"])
+        for some in slices(batch, 1 << 17):
+            w, sizes = tokens(some.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(_contexts(w, sizes).view(np.int64))], ["w", "ctx"])
 
 
 def _head(trained: DataFrame, rows: int, parts: int, params: Params) -> Head:
@@ -225,18 +347,17 @@ def _head(trained: DataFrame, rows: int, parts: int, params: Params) -> Head:
 
 def _count_head(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, cache = shared.value, _Hashes()
+        head = shared.value
         c1, c2, total = np.zeros(len(head.w), np.int64), np.zeros(len(head.key), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                w = tokens(text.as_py(), cache)
+            for some in slices(batch, 1 << 20):
+                w, sizes = tokens(some.column("text"))
                 at = head.word(w)
-                hot = at >= 0
-                pair = head.pair(w[hot], _contexts(w)[hot])
+                hot = np.flatnonzero(at >= 0)
+                pair = head.pair(w[hot], _contexts(w, sizes)[hot])
                 c1 += np.bincount(at[hot], minlength=len(c1))
                 c2 += np.bincount(pair[pair >= 0], minlength=len(c2))
-                total += (len(w), 1)
-        cache.clear()  # the worker lives on
+                total += (len(w), len(sizes))
         for kind, values in enumerate((c1, c2, total)):
             some = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays(
@@ -250,21 +371,25 @@ def _blocks(shared, parts: int, params: Params):
     """Documents to blocks of triples for the partitions, and what the head says of them."""
     sums = Sums(params.k)
 
-    def block(batch_id: int, docs: list[tuple], arrays: list[np.ndarray], head: Head) -> Iterator[pa.RecordBatch]:
-        w = np.concatenate(arrays)
-        ctx = np.concatenate([_contexts(a) for a in arrays])
-        sizes = np.array([len(a) for a in arrays])
-        doc = np.repeat(np.arange(len(arrays), dtype=np.int32), sizes)
+    def block(batch_id: int, docs: list[tuple], arrays: list[tuple], head: Head) -> Iterator[pa.RecordBatch]:
+        w, sizes = (np.concatenate(a) for a in zip(*arrays))
         arrays.clear()
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        # places in the block's sorted words stand for them
+        known, code = np.unique(np.append(w, U64(START)), return_inverse=True)
+        del w
+        code, start = code[:-1].astype(np.int32), code[-1]
+        ctx = _contexts(code, sizes, start)
         train = np.array([not held for _, held in docs])
         out = np.zeros((len(docs), len(sums.names)))
-        at = head.word(w)
+        of_known = head.word(known).astype(np.int32)
+        at = of_known[code]
         hot = at >= 0
-        sums.words(out, doc[hot], head.c1[at[hot]], train[doc[hot]] & (w[hot] != U64(END)))
-        known = np.full(len(w), -1)
-        known[hot] = head.pair(w[hot], ctx[hot])
-        got = known >= 0
-        sums.pairs(out, doc[got], head.c2[known[got]])
+        sums.words(out, doc[hot], head.c1[at[hot]], train[doc[hot]] & (known[code[hot]] != U64(END)))
+        pair = np.full(len(code), -1, np.int32)
+        pair[hot] = head.pair(known[code[hot]], known[ctx[hot]])
+        got = pair >= 0
+        sums.pairs(out, doc[got], head.c2[pair[got]])
         ids = np.array([0 if i is None else i for i, _ in docs], np.int64)
         none = np.array([i is None for i, _ in docs])
         made = [("docs", batch_id % parts, batch_id, pack(ids.view(U64), none.astype(np.uint8), train.astype(np.uint8), sizes, *out.T), None)]
@@ -272,49 +397,48 @@ def _blocks(shared, parts: int, params: Params):
         if asks.any():
             order = np.lexsort((doc[asks], ctx[asks]))
             n = np.ones(len(order), np.int64)
-            made.append(("want", batch_id % parts, batch_id, _wants(ctx[asks][order], doc[asks][order], n, np.zeros_like(n)), None))
-        w, ctx, doc, hot = w[~got], ctx[~got], doc[~got], hot[~got]
-        del at, known, got
-        part = (np.where(hot, mixed(w, ctx), w) % U64(parts)).astype(np.int32)
-        del hot
-        order = np.lexsort((doc, ctx, w, part))
-        # one after the other, so that no two orders of all arrays are held
-        part = part[order]
-        w = w[order]
-        ctx = ctx[order]
-        doc = doc[order]
-        del order
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (ctx[1:] != ctx[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        n = np.diff(first, append=len(w))
-        part = part[first]
-        w = w[first]
-        ctx = ctx[first]
-        doc = doc[first]
-        del new, first
-        ends = np.searchsorted(part, np.arange(parts + 1))
+            made.append(("want", batch_id % parts, batch_id, _wants(known[ctx[asks][order]], doc[asks][order], n, np.zeros_like(n)), None))
+        del pair, asks
+        # a word goes to its partition, a frequent word's pairs each to theirs
+        part = (known % U64(parts)).astype(np.int64)
+        by_part = np.lexsort((known, part))
+        rank = np.empty(len(known), np.int32)
+        rank[by_part] = np.arange(len(known), dtype=np.int32)
+        cold = np.flatnonzero(~hot)
+        where, c, d, n = _ordered(rank[code[cold]], ctx[cold], doc[cold])
+        ends = np.searchsorted(where, np.searchsorted(part[by_part], np.arange(parts + 1)))
+        groups = [(ends, known[by_part[where]], known[c], d * 2 + train[d], n)]
+        del cold, where, c, d, n, rank, by_part
+        spread = np.flatnonzero(hot & ~got)
+        if len(spread):
+            own, c, d = at[spread], ctx[spread], doc[spread]
+            to = (mixed(head.w[own], known[c]) % U64(parts)).astype(np.int64)
+            where, c, d, n = _ordered(to * len(head.w) + own, c, d)
+            ends = np.searchsorted(where, np.arange(parts + 1) * len(head.w))
+            groups.append((ends, head.w[where % len(head.w)], known[c], d * 2 + train[d], n))
+        del at, hot, got, code, ctx, doc, spread
         for p in range(parts):
-            a, b = ends[p], ends[p + 1]
-            if a < b:
-                made.append(("pairs", p, batch_id, _pairs(w[a:b], ctx[a:b], doc[a:b] * 2 + train[doc[a:b]], n[a:b]), None))
+            mine = [[v[g[0][p] : g[0][p + 1]] for v in g[1:]] for g in groups if g[0][p] < g[0][p + 1]]
+            if mine:
+                made.append(("pairs", p, batch_id, _pairs(*(mine[0] if len(mine) == 1 else map(np.concatenate, zip(*mine)))), None))
         for k in range(0, len(made), 256):
             yield _rows(made[k : k + 256])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, cache = shared.value, _Hashes()
+        head = shared.value
         first, number = TaskContext.get().partitionId() << 22, 0
         docs, arrays, held = [], [], 0
         for batch in batches:
-            for doc_id, text, out in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist()):
-                w = tokens(text.as_py(), cache)
-                docs.append((doc_id, out))
-                arrays.append(w)
-                held += len(w)
-                if held >= params.block_tokens or len(docs) >> DOC_BITS:
-                    yield from block(first + number, docs, arrays, head)
-                    docs, arrays, held, number = [], [], 0, number + 1
-        cache.clear()  # the worker lives on
+            for some in slices(batch, params.block_tokens):
+                # a block has no more documents than their numbers have room for
+                for at in range(0, some.num_rows, 1 << DOC_BITS - 1):
+                    few = some.slice(at, 1 << DOC_BITS - 1)
+                    arrays.append(tokens(few.column("text")))
+                    docs += zip(few.column("doc_id").to_pylist(), few.column("held_out").to_pylist())
+                    held += len(arrays[-1][0])
+                    if held >= params.block_tokens or len(docs) > 1 << DOC_BITS - 1:
+                        yield from block(first + number, docs, arrays, head)
+                        docs, arrays, held, number = [], [], 0, number + 1
         if docs:
             yield from block(first + number, docs, arrays, head)
 

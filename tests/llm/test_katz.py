@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,42 @@ def test_a_partition_is_counted_in_bounded_memory():
         tracemalloc.stop()
     assert made >= 6
     assert peak < 85 * 600_000, peak / 600_000
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """A batch's words are hashed at once; only very long ones have a call each."""
+    made = [f"word{i} {'x' * 70}{i} Ä{i}" for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(made)], ["text"])
+    none, calls = np.zeros(0, np.uint64), []
+    digest = katz.xxhash.xxh64_intdigest
+    monkeypatch.setattr(katz.xxhash, "xxh64_intdigest", lambda word: calls.append(word) or digest(word))
+
+    class Shared:
+        value = katz.Head(none, (none, none))
+
+    got = {(r["kind"], r["at"]): r["n"] for out in katz._count_head(Shared)(iter([batch])) for r in out.to_pylist()}
+    assert got == {(2, 0): 200 * 4, (2, 1): 200}
+    assert len(calls) == 200
+
+
+def test_tokens_are_those_of_split():
+    draw = random.Random(9)
+    signs = ["a", "B", "\x00", "é", "Ä", " ", "\x1c", "\x85", " ", "\t", "\n", "\x0b", "\x0c", "\r", "x" * 63, "y" * 64, "z" * 65, "q" * 8]
+    made = ["".join(draw.choice(signs) for _ in range(draw.randrange(12))) for _ in range(3_000)] + ["", " ", "a", "a\x00", "a\x00\x00", "\x00"]
+    ids = {}
+    for column in (pa.array(made), pa.array(["before", *made, "after"]).slice(1, len(made)), pa.array(made, pa.large_string())):
+        got, sizes = katz.tokens(column)
+        want = [w for t in made for w in [*t.encode().lower().split(), None]]
+        assert sizes.tolist() == [len(t.encode().split()) + 1 for t in made] and len(got) == len(want)
+        for word, code in zip(want, got.tolist()):
+            assert ids.setdefault(word, code) == code
+    assert len(set(ids.values())) == len(ids) and ids[None] == katz.END
+
+
+def test_triples_in_order_on_both_ways():
+    rng = np.random.default_rng(1)
+    rank, ctx, doc = rng.integers(0, 9, 500), rng.integers(0, 7, 500), rng.integers(0, 5, 500)
+    want = sorted(Counter(zip(rank.tolist(), ctx.tolist(), doc.tolist())).items())
+    for wide in (0, 1 << 40):  # the second doesn't fit one number
+        got = list(zip(*(a.tolist() for a in katz._ordered(rank + wide, ctx + wide, doc))))
+        assert got == [(r + wide, c + wide, d, n) for (r, c, d), n in want]
