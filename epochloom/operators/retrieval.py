@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from epochloom.functions import arrays
-from epochloom.functions.hashed import gaussian_vector, order_hash
+from epochloom.functions.hashed import gaussian_units, order_hash
 from epochloom.functions.scale import ranked, small_side
 
 #: Bytes of vectors in one block of the vocabulary, and of epochs in one group of the block product.
@@ -258,7 +258,7 @@ def shuffled_labels(df: DataFrame, epoch_id: str, label: str, seed: str = "1", o
 
 def random_unit(df: DataFrame, epoch_id: str, dim: int, seed: str, out: str = "emb") -> DataFrame:
     """A random unit vector per epoch, drawn from its id."""
-    return df.withColumn(out, arrays.l2_normalise(gaussian_vector(F.col(epoch_id), dim, seed)))
+    return df.withColumn(out, gaussian_units(F.col(epoch_id), dim, seed))
 
 
 def passes(topk: Column, controls: list[Column]) -> Column:

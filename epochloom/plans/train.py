@@ -12,7 +12,7 @@ from epochloom.functions.hashed import order_hash
 from epochloom.functions.scale import array_sum, attach_row, ranked, small_side
 from epochloom.operators import embedders, encoders, retrieval, splits
 from epochloom.operators.embedders import HashEmbedder
-from epochloom.session import cut_lineage
+from epochloom.session import written
 
 CONTROLS = ("shuffled_label_top5", "temporal_shuffle_top5", "gaussian_noise_top5", "no_eeg_lm_only_top5")
 
@@ -47,7 +47,7 @@ def evaluate(
     n_labels = vocab.count() if n_labels is None else n_labels
     k = 1 if n_labels <= 1 else min(cfg.top_k, n_labels - 1)
     # every arm reads the encoded epochs; they are written once
-    keep = cut_lineage(encoded.select("epoch_id", fold, "label", "emb"))
+    keep = written(encoded.select("epoch_id", fold, "label", "emb"), "encoded")
     shuffled = _shuffled_in_folds(keep, fold, seed)
     noise = lambda s: retrieval.random_unit(keep, "epoch_id", cfg.dim, s)
     arms = {

@@ -290,3 +290,14 @@ def test_wide_sums_equal_the_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(encoders, "LINES", 4)
     for one, two in zip(plain, [lines(None), lines("subject_id")]):
         assert one.keys() == two.keys() and all(np.allclose(one[k], two[k]) for k in one)
+
+
+def test_drawn_units_are_the_normalised_draws(spark):
+    from epochloom.functions.hashed import gaussian_units, gaussian_vector
+
+    keys = spark.createDataFrame([(None,), (1,), (2**40,), (-3,)], "k long")
+    for dim in (1, 8, 13):
+        got = keys.select("k", gaussian_units(F.col("k"), dim, "s:1").alias("a"), arrays.l2_normalise(gaussian_vector(F.col("k"), dim, "s:1")).alias("b")).collect()
+        assert all(len(r["a"]) == dim and max(abs(x - y) for x, y in zip(r["a"], r["b"])) < 1e-12 for r in got)
+    plan = retrieval.random_unit(keys, "k", 8, "s:1")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sha2" not in plan
