@@ -95,9 +95,11 @@ def c03_paired(spark: SparkSession, sf: str) -> DataFrame:
 @query("c04_sentence_load")
 def c04(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as sentences over the signal of the user of that number, padded and cleaned."""
-    idx = v.indexed_events(spark, sf).withColumnRenamed("recording_id", "subject_id")
+    # a recording is that of the sentence's number: the others have no sentence, and lengths need no numbering
+    users = v.table(spark, sf, "conversations").select(F.col("conv_id").cast("int").cast("long").alias("user_id")).distinct()
+    idx = v.indexed_events(spark, sf, users).withColumnRenamed("recording_id", "subject_id")
     signal = idx.select("subject_id", "sample_idx", F.posexplode(F.array("value", "k")).alias("ch", "v"))
-    recordings = idx.groupBy("subject_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    recordings = v.table(spark, sf, "events").groupBy(F.col("user_id").alias("subject_id")).agg(F.count(F.lit(1)).alias("n_samples"))
     words = conversation_words(spark, sf).withColumn("subject_id", F.col("sentence_id").cast("long"))
     spec = v.table(spark, sf, "conversations").groupBy(F.col("conv_id").cast("int").alias("sentence_id")).agg(F.min_by("text", "turn").alias("text"))
     rows = load_jobs.sentence_job(signal, recordings, words, spec, fs=4.0, tmin=0.0, max_epoch_sec=4.0, n_channels=2, n_times=8)

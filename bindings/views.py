@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from bindings.registry import CTES
 from epochloom.functions import arrays, paths
-from epochloom.functions.scale import ranked
+from epochloom.functions.scale import ranked, small_side
 from epochloom.operators import graph, retrieval
 from epochloom.operators.embedders import HashEmbedder
 from epochloom.plans.decode import Ontology
@@ -95,9 +95,14 @@ FROM lineitem"""
 FS = 10.0
 
 
-def indexed_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of a user numbered in time order: the sample index of an irregular signal."""
-    ev = table(spark, sf, "events").select(
+def indexed_events(spark: SparkSession, sf: str, users: DataFrame | None = None) -> DataFrame:
+    """Events of a user numbered in time order: the sample index of an irregular signal.
+
+    With ``users`` (``user_id``), those of no other user are numbered.
+    """
+    given = table(spark, sf, "events")
+    given = given if users is None else given.join(small_side(users), "user_id", "left_semi")
+    ev = given.select(
         F.col("user_id").alias("recording_id"), "event_id", "ts", "event_type", "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
     )

@@ -301,3 +301,13 @@ def test_drawn_units_are_the_normalised_draws(spark):
         assert all(len(r["a"]) == dim and max(abs(x - y) for x, y in zip(r["a"], r["b"])) < 1e-12 for r in got)
     plan = retrieval.random_unit(keys, "k", 8, "s:1")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "sha2" not in plan
+
+
+def test_numbering_of_some_users_is_that_of_all(spark):
+    from bindings import views as v
+
+    sf = "/root/testdata/sf0.001"
+    users = spark.createDataFrame([(1,), (7,), (8,)], "user_id long")
+    some = v.indexed_events(spark, sf, users).select("recording_id", "event_id", "sample_idx").collect()
+    every = v.indexed_events(spark, sf).where("recording_id IN (1, 7, 8)").select("recording_id", "event_id", "sample_idx").collect()
+    assert sorted(some) == sorted(every) and some
