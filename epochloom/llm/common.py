@@ -1,6 +1,9 @@
 """Helpers that several operators share."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from epochloom.session import new_folder
@@ -24,18 +27,27 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 #: With it, a query's shuffle files go when it ends and not when the driver's memory is next collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of rows that a Python task is sent at once, besides a limit of rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for the jobs that run within."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def replaced(df: DataFrame, label: str, old: str | None) -> tuple[DataFrame, str]:
     """As ``saved``, with the new path; the written table ``old``, which ``df`` was made from, goes."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     if old is not None:
         gone = spark._jvm.org.apache.hadoop.fs.Path(old)
         gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

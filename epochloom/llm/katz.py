@@ -43,7 +43,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from epochloom.llm.common import fresh, saved, text_of
+from epochloom.llm.common import BATCH_BYTES, fresh, saved, setting, text_of
 from epochloom.llm.labelled import held_out
 
 U64 = np.uint64
@@ -65,6 +65,8 @@ class Params:
     #: Tokens of a block, and characters of text of a partition.
     block_tokens: int = 5 << 18
     part_chars: int = 1 << 23
+    #: Bytes of texts or blocks that a task is sent at once, or one row.
+    batch_bytes: int = 1 << 22
 
 
 # --- packing ----------------------------------------------------------------------
@@ -81,9 +83,13 @@ def _small(a: np.ndarray) -> np.ndarray:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned or floating numbers in byte planes, compressed."""
     arrays = [np.ascontiguousarray(_small(a)) for a in arrays]
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays]
     head = pickle.dumps([(a.dtype.str, len(a)) for a in arrays])
-    return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + b"".join(planes))
+    out = zstandard.ZstdCompressor(level=1).compressobj(size=4 + len(head) + sum(a.nbytes for a in arrays))
+    made = [out.compress(len(head).to_bytes(4, "little") + head)]
+    for a in arrays:
+        if len(a):
+            made += [out.compress(np.ascontiguousarray(plane)) for plane in a.view(np.uint8).reshape(len(a), -1).T]
+    return b"".join([*made, out.flush()])
 
 
 def unpack(body: bytes) -> list[np.ndarray]:
@@ -98,6 +104,21 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def _distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the place of each; as ``np.unique``, in half of its memory."""
+    order = np.argsort(a).astype(np.uint32)
+    ranked = a[order]
+    new = np.ones(len(a), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    known = ranked[new]
+    del ranked
+    rank = np.cumsum(new, dtype=np.int32)
+    rank -= 1
+    place = np.empty(len(a), np.int32)
+    place[order] = rank
+    return known, place
+
+
 def _steps(a: np.ndarray) -> np.ndarray:
     """Differences of ascending numbers; ``np.cumsum`` undoes it."""
     return np.diff(a, prepend=U64(0))
@@ -269,19 +290,27 @@ def _ordered(rank: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.nda
         first = np.flatnonzero(new)
         return rank[first], ctx[first], doc[first], np.diff(first, append=len(new))
     key = rank.astype(U64)
-    for values, bits in ((ctx, mid), (doc, low)):
-        key <<= U64(bits)
-        key |= values.astype(U64)
+    del rank
+    key <<= U64(mid)
+    key |= ctx.astype(U64)
+    del ctx
+    key <<= U64(low)
+    key |= doc.astype(U64)
+    del doc
     key.sort()
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
     del new
+    n = np.diff(first, append=len(key)).astype(np.int32)
     key = key[first]
-    n = np.diff(first, append=len(rank)).astype(np.int32)
     del first
-    cut = lambda shift, bits: ((key >> U64(shift)) & U64((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
-    return cut(mid + low, high), cut(low, mid), cut(0, low), n
+    cut = lambda bits: (key & U64((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
+    doc = cut(low)
+    key >>= U64(low)
+    ctx = cut(mid)
+    key >>= U64(mid)
+    return cut(high), ctx, doc, n
 
 
 # --- sums of a document -----------------------------------------------------------
@@ -376,9 +405,10 @@ def _blocks(shared, parts: int, params: Params):
         arrays.clear()
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         # places in the block's sorted words stand for them
-        known, code = np.unique(np.append(w, U64(START)), return_inverse=True)
+        w = np.append(w, U64(START))
+        known, code = _distinct(w)
         del w
-        code, start = code[:-1].astype(np.int32), code[-1]
+        code, start = code[:-1], code[-1]
         ctx = _contexts(code, sizes, start)
         train = np.array([not held for _, held in docs])
         out = np.zeros((len(docs), len(sums.names)))
@@ -404,8 +434,10 @@ def _blocks(shared, parts: int, params: Params):
         by_part = np.lexsort((known, part))
         rank = np.empty(len(known), np.int32)
         rank[by_part] = np.arange(len(known), dtype=np.int32)
-        cold = np.flatnonzero(~hot)
-        where, c, d, n = _ordered(rank[code[cold]], ctx[cold], doc[cold])
+        cold = ~hot
+        rank = rank[code[cold]]
+        del code
+        where, c, d, n = _ordered(rank, ctx[cold], doc[cold])
         ends = np.searchsorted(where, np.searchsorted(part[by_part], np.arange(parts + 1)))
         groups = [(ends, known[by_part[where]], known[c], d * 2 + train[d], n)]
         del cold, where, c, d, n, rank, by_part
@@ -416,7 +448,7 @@ def _blocks(shared, parts: int, params: Params):
             where, c, d, n = _ordered(to * len(head.w) + own, c, d)
             ends = np.searchsorted(where, np.arange(parts + 1) * len(head.w))
             groups.append((ends, head.w[where % len(head.w)], known[c], d * 2 + train[d], n))
-        del at, hot, got, code, ctx, doc, spread
+        del at, hot, got, ctx, doc, spread
         for p in range(parts):
             mine = [[v[g[0][p] : g[0][p + 1]] for v in g[1:]] for g in groups if g[0][p] < g[0][p + 1]]
             if mine:
@@ -446,7 +478,7 @@ def _blocks(shared, parts: int, params: Params):
 
 
 def _coded(ctx: np.ndarray) -> list[np.ndarray]:
-    known, place = np.unique(ctx, return_inverse=True)
+    known, place = _distinct(ctx)
     return [_steps(known), place]
 
 
@@ -473,19 +505,21 @@ def _counted(shared, params: Params):
         order = np.lexsort((ctx, w)).astype(np.uint32)
         w = w[order]
         ctx = ctx[order]
-        doc = np.concatenate([(g[0].astype(np.int64) >> 1) + (k << DOC_BITS + 1) for k, g in enumerate(got)])[order]
+        number = np.uint32 if len(ids) < 1 << 31 - DOC_BITS else np.int64
+        doc = np.concatenate([(g[0] >> 1).astype(number) + number(k << DOC_BITS + 1) for k, g in enumerate(got)])[order]
         train = np.concatenate([(g[0] & 1).astype(bool) for g in got])[order]
-        n = np.concatenate([g[1].astype(np.int32) for g in got])[order]
+        n = _small(np.concatenate([g[1] for g in got])[order])
         del got, order
         new_w = np.ones(len(w), bool)
         new_w[1:] = w[1:] != w[:-1]
         new = new_w.copy()
         new[1:] |= ctx[1:] != ctx[:-1]
         first, first_w = np.flatnonzero(new), np.flatnonzero(new_w)
-        pair, word = np.cumsum(new, dtype=np.int32) - np.int32(1), np.cumsum(new_w, dtype=np.int32) - np.int32(1)
+        pair, word = (np.cumsum(a, dtype=np.int32) for a in (new, new_w))
+        pair -= 1
+        word -= 1
         del new, new_w
-        c2 = np.add.reduceat(n * train, first)
-        c1 = np.add.reduceat(n * train, first_w)
+        c2, c1 = (np.add.reduceat(n * train, at, dtype=np.int64) for at in (first, first_w))
         at = head.word(w[first_w])
         hot = at >= 0
         c1[hot] = head.c1[at[hot]]
@@ -499,10 +533,14 @@ def _counted(shared, params: Params):
         made = [("stats", part, None, None, stats)]
         if len(cold):
             made.append(("words", part, None, pack(_steps(w[first_w][~hot]), cold), None))
+        del first_w
         seen = first[c2 > 0]
+        del first
         if len(seen):
-            made.append(("table", part, None, pack(_steps(w[seen]), *_coded(ctx[seen]), c2[pair[seen]], c1[word[seen]]), None))
-        del first, first_w, seen
+            known, place = _coded(ctx[seen])
+            made.append(("table", part, None, pack(_small(_steps(w[seen])), known, place, _small(c2[c2 > 0]), _small(c1[word[seen]])), None))
+            del known, place
+        del seen
         yield _rows(made)
         # documents: what was counted, as small numbers in order of the document
         own = ~hot[word]
@@ -512,10 +550,11 @@ def _counted(shared, params: Params):
         del word, pair, c1, c2
         back = np.argsort(doc, kind="stable")
         mask = (1 << DOC_BITS + 1) - 1
-        bounds = np.searchsorted(doc[back] >> DOC_BITS + 1, np.arange(len(ids) + 1))
+        numbers = np.arange(len(ids) + 1, dtype=number)
+        bounds = np.searchsorted(doc[back] >> DOC_BITS + 1, numbers)
         asks = np.flatnonzero(~train)
         asks = asks[np.lexsort((ctx[asks], doc[asks] >> DOC_BITS + 1))]
-        cuts = np.searchsorted(doc[asks] >> DOC_BITS + 1, np.arange(len(ids) + 1))
+        cuts = np.searchsorted(doc[asks] >> DOC_BITS + 1, numbers)
         hit = r2 > 0
         made = []
         for k, batch_id in enumerate(ids):
@@ -530,12 +569,11 @@ def _counted(shared, params: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, part, blocks = shared.value, None, []
         for batch in batches:
-            rows = batch.to_pylist()
-            pairs = [r for r in rows if r["kind"] == "pairs"]
-            rest = [tuple(r.values()) for r in rows if r["kind"] != "pairs"]
+            pairs = pa.compute.equal(batch.column("kind"), "pairs")
+            rest = [tuple(r.values()) for r in batch.filter(pa.compute.invert(pairs)).to_pylist()]
             if rest:
                 yield _rows(rest)
-            for r in pairs:
+            for r in batch.filter(pairs).select(["part", "batch", "body"]).to_pylist():
                 if r["part"] != part and blocks:
                     yield from part_of(part, blocks, head)
                     blocks = []
@@ -820,20 +858,22 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
     trained = rows.filter("not held_out")
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count_if(~F.col("held_out")).alias("trained")).first()
     parts = max(4, -(-(size["chars"] or 0) // params.part_chars))
-    head = _head(trained, size["trained"], parts, params)
-    total = trained_docs = 0
-    exact = trained.select("text").mapInArrow(_count_head(sc.broadcast(head)), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
-    for r in exact.collect():  # at most one for each word and pair of the head
-        if r["kind"] < 2:
-            (head.c1, head.c2)[r["kind"]][r["at"]] = r["n"]
-        elif r["at"]:
-            trained_docs = r["n"]
-        else:
-            total = r["n"]
-    shared = sc.broadcast(head)
-    blocks = rows.mapInArrow(_blocks(shared, parts, params), ROWS)
-    dealt = blocks.repartition(parts, "part").sortWithinPartitions("part", "batch")
-    tables = saved(dealt.mapInArrow(_counted(shared, params), ROWS), "tables")
+    with setting(spark, BATCH_BYTES, str(params.batch_bytes)):
+        head = _head(trained, size["trained"], parts, params)
+        total = trained_docs = 0
+        exact = trained.select("text").mapInArrow(_count_head(sc.broadcast(head)), "kind int, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
+        for r in exact.collect():  # at most one for each word and pair of the head
+            if r["kind"] < 2:
+                (head.c1, head.c2)[r["kind"]][r["at"]] = r["n"]
+            elif r["at"]:
+                trained_docs = r["n"]
+            else:
+                total = r["n"]
+        shared = sc.broadcast(head)
+        blocks = rows.mapInArrow(_blocks(shared, parts, params), ROWS)
+        # by its own number, as hashes of the numbers would bring several partitions to one task
+        dealt = blocks.repartitionById(parts, "part").sortWithinPartitions("part", "batch")
+        tables = saved(dealt.mapInArrow(_counted(shared, params), ROWS), "tables")
     model = _model(tables, head, total, trained_docs, params)
 
     # contexts: what was seen after each
@@ -851,7 +891,7 @@ def scores(docs: DataFrame, out: Column, id_col: str = "doc_id", text_col: str =
         _to_contexts(sc.broadcast(_weights(frequent)), model, parts), ROWS
     )
     spread = F.coalesce("part", F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int"))
-    terms = asked.withColumn("_to", spread).repartition(parts, "_to").drop("_to").sortWithinPartitions("part", "kind").mapInArrow(_answered, ROWS)
+    terms = asked.withColumn("_to", spread).repartitionById(parts, "_to").drop("_to").sortWithinPartitions("part", "kind").mapInArrow(_answered, ROWS)
     rows = tables.filter("kind in ('docs', 'seen')").unionByName(terms).select("kind", "batch", "body")
     return rows.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_finished(model, params), FINISHED).select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"

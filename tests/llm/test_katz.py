@@ -219,3 +219,69 @@ def test_triples_in_order_on_both_ways():
     for wide in (0, 1 << 40):  # the second doesn't fit one number
         got = list(zip(*(a.tolist() for a in katz._ordered(rank + wide, ctx + wide, doc))))
         assert got == [(r + wide, c + wide, d, n) for (r, c, d), n in want]
+
+
+NONE = np.zeros(0, np.uint64)
+
+
+class Nothing:
+    """A broadcast of no frequent words and pairs."""
+
+    value = katz.Head(NONE, (NONE, NONE))
+
+
+def peak_of(run):
+    tracemalloc.start()
+    try:
+        made = sum(out.num_rows for out in run())
+        return made, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_is_made_and_counted_in_narrow_arrays(monkeypatch):
+    """Bytes a token at the peak: 78 to count and 64 to make a block, when places and documents took eight bytes each."""
+    rng = np.random.default_rng(5)
+    made = [" ".join(f"w{x}" for x in rng.zipf(1.3, 500)) for _ in range(1_200)]
+    columns = [pa.array(range(1_200), pa.int64()), pa.array(made), pa.array([i % 7 == 2 for i in range(1_200)])]
+    rows = pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "held_out"])
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(katz, "TaskContext", Task)
+    n, peak = peak_of(lambda: katz._blocks(Nothing, 100, katz.Params())(iter([rows])))
+    assert n > 100 and peak < 56 * 1_200 * 501, peak / (1_200 * 501)
+
+    blocks = []
+    for batch in range(4):
+        w, ctx = (rng.zipf(1.3, 150_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        doc = np.sort(rng.integers(0, 2_000, len(w)))
+        order = np.lexsort((doc, ctx, w))
+        body = katz._pairs(w[order], ctx[order], doc[order] * 2 + doc[order] % 2, np.ones(len(w), np.int64))
+        blocks.append(("pairs", 0, batch, body, None))
+    got = katz._rows(blocks)
+    n, peak = peak_of(lambda: katz._counted(Nothing, katz.Params())(iter([got])))
+    assert n >= 6 and peak < 66 * 600_000, peak / 600_000
+
+
+def test_tasks_get_one_partition_in_bounded_batches(spark, monkeypatch):
+    """Partitions come to tasks by their number, texts and blocks in batches bounded by bytes."""
+    saved, seen = katz.saved, []
+
+    def watched(df, label):
+        if label == "tables":
+            seen.append(spark.conf.get(katz.BATCH_BYTES))
+            tables = saved(df.withColumn("task", F.spark_partition_id()), label)
+            at = tables.filter("kind = 'stats'").select("part", "task").collect()
+            seen.append(sorted((r["part"], r["task"]) for r in at))
+            return tables.drop("task")
+        return saved(df, label)
+
+    monkeypatch.setattr(katz, "saved", watched)
+    before = spark.conf.get(katz.BATCH_BYTES)
+    params = katz.Params(part_chars=2_000, batch_bytes=4_096)
+    check(spark, texts(300, 3), params)
+    assert seen[0] == "4096" and spark.conf.get(katz.BATCH_BYTES) == before
+    assert len(seen[1]) > 10 and len({task for _, task in seen[1]}) == len(seen[1])
