@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from epochloom.functions import arrays, text
-from epochloom.functions.scale import attach_row, ranked
+from epochloom.functions.scale import attach_row, join_keys, ranked, small_side
+from epochloom.session import written
 
 
 def _dense(entries: DataFrame, key: str, index: str, weight: str, dim: int) -> DataFrame:
@@ -80,10 +81,32 @@ def term_totals(df: DataFrame, surface: str, *by: str) -> DataFrame:
 
     Each row is one document; the first of equal terms in it counts as the document.
     """
+    return _sums(_marks(df, surface, *by), *by)
+
+
+def _marks(df: DataFrame, surface: str, *by: str) -> DataFrame:
+    """``by, term, tf, df`` rows of texts that are a document each."""
     listed = df.select(*by, text.word_terms(surface).alias("_w"))
     one = lambda w, n, d: F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(n).alias("tf"), F.lit(d).alias("df")))
-    counted = listed.select(*by, F.inline(F.concat(one(F.col("_w"), 1, 0), one(F.array_distinct("_w"), 0, 1))))
-    return counted.groupBy(*by, "term").agg(F.sum("tf").alias("tf_total"), F.sum("df").alias("df"))
+    return listed.select(*by, F.inline(F.concat(one(F.col("_w"), 1, 0), one(F.array_distinct("_w"), 0, 1))))
+
+
+def _sums(marks: DataFrame, *by: str) -> DataFrame:
+    return marks.groupBy(*by, "term").agg(F.sum("tf").alias("tf_total"), F.sum("df").alias("df"))
+
+
+def fold_totals(df: DataFrame, key: str, surface: str, fold: str) -> DataFrame:
+    """``term_totals`` by fold, where the rows of one key and fold are one document.
+
+    Only the terms of such repeated keys are shuffled by key.
+    """
+    repeated = df.groupBy(key, fold).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, fold, F.lit(True).alias("_again"))
+    repeated = written(repeated, "repeated")
+    if repeated.isEmpty():
+        return term_totals(df, surface, fold)
+    rows = join_keys(df, small_side(repeated), [key, fold], "left")
+    again = term_rows(rows.where("_again"), key, surface, fold).select(fold, "term", "tf", F.lit(1).alias("df"))
+    return _sums(_marks(rows.where("_again IS NULL"), surface, fold).unionByName(again), fold)
 
 
 def document_frequency(df: DataFrame, key: str, surface: str) -> DataFrame:
@@ -150,39 +173,48 @@ class FunctionEmbedder:
 def fold_terms(df: DataFrame, key: str, surface: str, fold: str, dim: int) -> DataFrame:
     """Fold-local TF-IDF terms without refitting: totals less the counts of the held-out group.
 
-    A fold's best terms lie among its own terms and the first ``dim + h`` terms of the
-    whole corpus, where ``h`` is how many terms the fold holds; only those are formed.
+    Texts are tokenised once; rows of one key and fold are one document. A fold's best terms lie among its own terms and the first ``dim`` terms of the whole
+    corpus that it doesn't hold; only those are formed, so besides the fold's own terms there are ``dim`` rows a fold.
     """
-    corpus = document_frequency(df, key, surface).drop("idf")
-    by_rank = ranked(
-        corpus.withColumn("_neg", -F.col("tf_total")), [], ["_neg", "term"], "rank"
-    ).drop("_neg")
-    held = term_totals(df, surface, fold).withColumnsRenamed({"tf_total": "tf_held", "df": "df_held"})
-    docs = df.groupBy(fold).agg(F.count(F.lit(1)).alias("docs_held"))
-    reach = held.groupBy(fold).agg(F.count(F.lit(1)).alias("h")).join(docs, fold, "right").withColumn(
-        "rank", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("h", F.lit(0)) + F.lit(dim).cast("long")))
-    ).select(fold, "rank")
-    candidates = (
-        reach.join(by_rank, "rank", "inner").select(fold, "term")
-        .unionByName(held.select(fold, "term")).distinct()
-    )
-    scored = (
-        candidates.join(corpus, "term", "inner").join(held, [fold, "term"], "left").join(docs, fold, "inner")
-        .select(
-            fold, "term",
-            (F.col("tf_total") - F.coalesce("tf_held", F.lit(0))).alias("tf_train"),
-            (F.col("df") - F.coalesce("df_held", F.lit(0))).alias("df_train"),
-            (F.col("n_docs") - F.col("docs_held")).alias("n_train"),
-        ).where("df_train > 0")
+    counts = fold_totals(df, key, surface, fold)
+    by_term = written(counts.groupBy("term").agg(
+        F.sum("tf_total").alias("tf_total"), F.sum("df").alias("df"), (-F.sum("tf_total")).alias("_neg"),
+        F.collect_list(F.struct(F.col(fold).alias("fold"), F.col("tf_total").alias("tf"), F.col("df").alias("df"))).alias("held"),
+    ), "terms")
+    corpus = written(ranked(by_term, [], ["_neg", "term"], "rank").drop("_neg"), "ranked")
+    sizes = df.groupBy(fold).agg(F.count(F.lit(1)).alias("docs_held"))
+    docs = attach_row(sizes, sizes.agg(F.sum("docs_held").alias("n_docs"))).where(F.col(fold).isNotNull())
+    own = corpus.select("term", "rank", "tf_total", F.col("df").alias("_df"), F.explode("held").alias("h")).select(
+        F.col("h.fold").alias(fold), "term", "rank", (F.col("tf_total") - F.col("h.tf")).alias("tf_train"), (F.col("_df") - F.col("h.df")).alias("df_train"),
+    ).where(F.col(fold).isNotNull())
+    others = _ranks_not_held(own.select(fold, "rank"), docs.select(fold), fold, dim).join(corpus, "rank", "inner").select(
+        fold, "term", F.col("tf_total").alias("tf_train"), F.col("df").alias("df_train")
     )
     best = Window.partitionBy(fold).orderBy(F.desc("tf_train"), "term")
+    scored = own.drop("rank").unionByName(others).where("df_train > 0")
     chosen = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= dim).drop("_r")
     # each fold keeps at most ``dim`` rows here
-    return chosen.withColumn("idf", F.log((F.col("n_train") + 1) / (F.col("df_train") + 1)) + 1).withColumn(
+    numbered = chosen.join(docs, fold, "inner").select(fold, "term", "tf_train", "df_train", (F.col("n_docs") - F.col("docs_held")).alias("n_train"))
+    return numbered.withColumn("idf", F.log((F.col("n_train") + 1) / (F.col("df_train") + 1)) + 1).withColumn(
         "idx", F.row_number().over(Window.partitionBy(fold).orderBy("term")) - 1
     )
 
 
+def _ranks_not_held(held: DataFrame, folds: DataFrame, fold: str, dim: int) -> DataFrame:
+    """``fold, rank``: the first ``dim`` ranks that each fold doesn't hold.
+
+    The i-th held rank ``r`` has ``r - i`` others before it; so the k-th other one is ``k`` plus the number of held
+    ranks with fewer than ``k`` before them. No rank beyond those is listed.
+    """
+    before = ranked(held, [fold], ["rank"], "_i").select(fold, (F.col("rank") - F.col("_i")).alias("_c")).where(F.col("_c") < dim)
+    counted = before.groupBy(fold, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    places = folds.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))))
+    w = Window.partitionBy(fold).orderBy("_c")
+    rank = F.col("_c") + 1 + F.sum(F.coalesce("_n", F.lit(0))).over(w)
+    # written, so that the join knows its size
+    return small_side(written(places.join(counted, [fold, "_c"], "left").select(fold, rank.alias("rank")), "others"))
+
+
 def fold_embeddings(
     surfaces: DataFrame, key: str, surface: str, terms: DataFrame, fold: str, dim: int, out: str = "vec"
 ) -> DataFrame:

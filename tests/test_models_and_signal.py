@@ -210,6 +210,40 @@ def test_fold_local_terms_equal_refitting(spark):
     assert got == want
 
 
+def test_fold_local_terms_broadcast_no_more_than_they_keep(spark):
+    """Folds that hold nearly all terms, or share none: as refitting, and no side grows with a fold's terms."""
+    rows = [(i, "big", f"only{i} w{i % 50} common") for i in range(900)] + [(1000 + i, f"f{i % 2}", f"w{i % 9} solo{i} common") for i in range(60)]
+    df = spark.createDataFrame([*rows, (2000, "empty", ""), (2001, None, "w1 w2")], "i int, fold string, t string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsList().size()
+    got = {(r.fold, r.term): (r.idx, r.tf_train, r.df_train, round(r.idf, 9)) for r in embedders.fold_terms(df, "i", "t", "fold", 70).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sent = []
+    for i in range(seen, store.executionsList().size()):
+        run = store.executionsList().apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                rows_out = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                sent += [int(v.get().replace(",", "")) for v in rows_out if v.isDefined()]
+    assert sent and max(sent) <= 4 * 70
+    want = {}
+    for f in ("big", "f0", "f1", "empty"):
+        kept = df.where(F.col("fold").isNull() | (F.col("fold") != f))
+        fitted = embedders.top_terms(embedders.document_frequency(kept, "i", "t"), 70)
+        want |= {(f, r.term): (r.idx, r.tf_total, r.df, round(r.idf, 9)) for r in fitted.collect()}
+    assert got == want
+
+
+def test_fold_local_terms_count_a_repeated_key_once(spark):
+    """Rows of one key and fold are one document, as SQL groups them; of another fold they aren't."""
+    rows = [(1, "a", "x y"), (1, "a", "x z"), (1, "b", "x"), (2, "b", "x y"), (3, "c", "q"), (None, "b", "y"), (None, "b", "y")]
+    got = {(r.fold, r.term): (r.tf_train, r.df_train, r.n_train) for r in embedders.fold_terms(
+        spark.createDataFrame(rows, "i int, fold string, t string"), "i", "t", "fold", 50).collect()}
+    assert got[("c", "x")] == (4, 3, 6) and got[("c", "y")] == (4, 3, 6) and got[("a", "x")] == (2, 2, 5) and got[("b", "x")] == (2, 1, 3)
+
+
 def test_structured_epochs_beat_the_controls(spark):
     rng = np.random.default_rng(5)
     base = {k: rng.normal(size=16) for k in range(5)}
