@@ -77,7 +77,7 @@ PTP = "(list_max(flatten(eeg)) - list_min(flatten(eeg)))"
 
 
 def masked(spark: SparkSession, sf: str, limit: float) -> DataFrame:
-    return v.epochs(spark, sf).withColumn("keep", arrays.peak_to_peak("eeg") < limit)
+    return v.epochs(spark, sf).withColumn("keep", arrays.stored_peak_to_peak("eeg").cast("double") < limit)
 
 
 @query("a06_mask_guard", f"""

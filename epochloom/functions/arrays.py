@@ -145,6 +145,12 @@ def peak_to_peak(eeg: Col) -> Column:
     return F.array_max(flat).cast("double") - F.array_min(flat).cast("double")
 
 
+def stored_peak_to_peak(eeg: Col) -> Column:
+    """Peak-to-peak in the type that the values are stored in: of floats it is rounded to a float."""
+    flat = F.flatten(_c(eeg))
+    return F.array_max(flat) - F.array_min(flat)
+
+
 def channel_peak_to_peak(eeg: Col) -> Column:
     return F.transform(_c(eeg), lambda r: F.array_max(r).cast("double") - F.array_min(r).cast("double"))
 

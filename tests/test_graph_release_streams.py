@@ -6,6 +6,8 @@ import json
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Row, functions as F
@@ -295,6 +297,29 @@ def folder_tables(spark, sf, tmp_path_factory):
     return str(out)
 
 
+def test_mask_guard_takes_differences_of_floats(spark, sf, tmp_path):
+    """Peak-to-peak values that lie below a limit and, as floats, above it."""
+    rng = np.random.default_rng(4)
+    rows = np.zeros((40, 64), dtype=np.float32)
+    for k, limit in enumerate(0.6 if k % 2 else 0.55 for k in range(40)):
+        top = rng.uniform(0.2, 0.4, 200_000).astype(np.float32)
+        for off in range(-3, 4):
+            low = (top.astype(float) - limit).astype(np.float32) + np.float32(off) * np.float32(2e-8)
+            at = np.flatnonzero((top.astype(float) - low < limit) & ((top - low).astype(float) >= limit))
+            if len(at):
+                rows[k, :2] = top[at[0]], low[at[0]]
+                break
+    assert (rows.any(axis=1)).sum() > 16
+    for name in TABLES:
+        if name != "embeddings":
+            (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    pq.write_table(pa.table({
+        "vec_id": pa.array(range(40), pa.int64()), "embedding": pa.array(rows.tolist(), pa.list_(pa.float32())), "label": pa.array([k % 10 for k in range(40)], pa.int32()),
+    }), tmp_path / "embeddings.parquet")
+    name = "a06_mask_guard"
+    assert compare(spark, duck(str(tmp_path)), str(tmp_path), entry.queries()[name], entry.oracle_sql()[name]) is None
+
+
 @pytest.mark.parametrize("name", ["s01_nested_epoch_scan", "r10_streaming_anchors"])
 def test_a_table_may_be_a_folder(spark, folder_tables, name):
     con = duck(folder_tables)
