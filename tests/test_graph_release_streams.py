@@ -258,6 +258,39 @@ def test_a_hub_is_refused_without_its_edges(spark):
     assert {(r.k, r.status, r["count"]) for r in got} == {(0, "prompt-size", 1_000), (1, "ok", 1_000)}
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_prompts_of_hubs_are_compiled_whole(spark, monkeypatch, broadcast):
+    """Every suggestion of a hub is in the prompt, its text is that of the whole prompt, and a refused prompt shows nothing."""
+    if not broadcast:
+        monkeypatch.setattr(graph, "fits", lambda df: False)
+    hubs = spark.range(6_000).select(
+        F.concat(F.lit("edge:h"), F.col("id").cast("string")).alias("id"), F.col("id").alias("pos"), F.concat(F.lit("a:hub"), (F.col("id") % 2).cast("string")).alias("source"),
+        F.when(F.col("id") < 2, "CONFLICTS_WITH").otherwise("INCREASES").alias("relation"), F.concat(F.lit("a:n"), F.floor(F.col("id") / 3).cast("string")).alias("target"), F.lit(0.5).alias("confidence"),
+    ).unionByName(spark.createDataFrame([("edge:x", 9_000, "a:hub1", "PRESERVES", "a:hub0", 0.8)], "id string, pos long, source string, relation string, target string, confidence double"))
+    names = [r.id for r in hubs.select(F.explode(F.array("source", "target")).alias("id")).distinct().collect()]
+    nodes = spark.createDataFrame([(n, "C", n[2:], k) for k, n in enumerate(names)], "id string, type string, label string, pos long")
+    onto = decode.Ontology(nodes, hubs, spark.createDataFrame([], "surface string, concept_id string, pos long"), "v")
+    given = [(1, ["hub0", "hub1"]), (2, ["hub1"]), (3, ["unknown", "hub0", "n7"])]
+    requests = spark.createDataFrame([(1,), (2,), (3,), (4,)], "request int")
+    anchors = anchor_rows(spark, [(r, "anchor", s, 0.9 - k / 10, k + 1, ["eeg:1"]) for r, surfaces in given for k, s in enumerate(surfaces)])
+    rows = {r.request: r for r in decode.compiled_prompts(requests, anchors, onto, "request").collect()}
+    edges = sorted(hubs.collect(), key=lambda e: e.pos)
+    for request, surfaces in given:
+        own, seen = {f"a:{s}" for s in surfaces}, {}
+        for e in edges:
+            if (e.source in own) != (e.target in own):
+                seen.setdefault(e.target if e.source in own else e.source, e.id)
+        got = [(a.concept_id, a.provenance[0]) for a in rows[request].prompt.attributes if a.status == "suggested"]
+        assert got == [(c, f"kg:{i}") for c, i in seen.items()] and len(got) > 1_500
+        assert rows[request].text.startswith(f"[EEG-to-text] Anchors: {', '.join(surfaces)}. Subject: {surfaces[0]}. KG suggestions (not EEG-read): {next(iter(seen))[2:]}, ")
+    assert rows[1].prompt.constraints.forbidden == ["avoid a:n0", "avoid a:n0"] and rows[4].prompt.subject.concept_id == "text:Topic"
+    short = decode.compiled_prompts(requests, anchors, onto, "request", chars=prompt.MAX_OUTPUT_CHARS).collect()
+    assert {r.request: r.text for r in short} == {k: r.text for k, r in rows.items()} and all(len(r.text) == 4_000 for r in short if r.request < 4)
+    assert all(len(r.prompt.attributes) < 1_500 for r in short)
+    refused = [r for r in decode.prompts_from_anchors(requests, anchors, onto, "request").collect() if r.status == "prompt-size"]
+    assert sorted(r.request for r in refused) == [1, 2, 3] and {(r.prompt, r.prompt_hash, r.text) for r in refused} == {(None, None, None)}
+
+
 def test_configuration_is_walked_to_any_depth(spark):
     """Members of nested documents in one pass, held against a walk in Python."""
     deep = "leaf"
