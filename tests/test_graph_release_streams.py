@@ -391,6 +391,19 @@ def test_touched_edges_and_suggestions_are_not_grouped_again(spark, monkeypatch,
     assert "hashpartitioning(request" not in touched._jdf.queryExecution().executedPlan().toString().split("Join", 1)[0]
 
 
+def test_touched_edges_and_suggestions_are_made_by_all_tasks(spark):
+    """Requests are few bytes, what they touch is not: adaptive execution must not put them into one task."""
+    edges = spark.range(300).select(
+        F.concat(F.lit("edge:"), F.col("id").cast("string")).alias("id"), F.lit("h:0").alias("source"), F.lit("SETS").alias("relation"),
+        F.concat(F.lit("s:"), F.col("id").cast("string")).alias("target"), F.lit(0.5).alias("confidence"), F.lit("r").alias("provenance"), F.col("id").alias("pos"))
+    nodes = edges.select(F.col("target").alias("id"), F.lit("T").alias("type"), F.col("target").alias("label"), "pos")
+    accepted = spark.range(400).select(F.xxhash64("id").alias("request"), F.lit("h:0").alias("concept_id"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows in (graph.touched_edges(accepted, edges, "request"), graph.suggested_concepts(accepted, edges, nodes, "request")):
+        made = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert len(made) >= tasks > 1 and sum(r["count"] for r in made) == 400 * 300
+
+
 def test_keys_of_one_state_are_judged_apart(spark, sf, monkeypatch):
     monkeypatch.setattr(limits, "BUCKETS", 1)
     name = "r07_attempt_lockout_stream"
